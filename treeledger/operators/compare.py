@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage
@@ -83,46 +83,40 @@ class Sides:
         return self.options.sync_mode and "windows" not in rules
 
 
-def _presence() -> tuple[Column, Column]:
-    return F.col("s").isNotNull(), F.col("t").isNotNull()
+def _link_verdict(mode: str) -> str:
+    differ = "s IS NOT NULL AND t IS NOT NULL AND s.target <> t.target"
+    more = {
+        "mirror": f"WHEN {differ} THEN 'link-mirror' WHEN s IS NULL THEN 'link-gone'",
+        "sync": f"WHEN {differ} THEN 'link-differs' WHEN s IS NULL THEN 'link-only-t'",
+        "enrich": "",
+    }
+    return f"CASE WHEN t IS NULL THEN 'link-only-s' {more[mode]} END"
 
 
-def _link_verdict(mode: str) -> Column:
-    has_s, has_t = _presence()
-    differ = has_s & has_t & (F.col("s.target") != F.col("t.target"))
-    out = F.when(has_s & ~has_t, "link-only-s")
-    if mode == "mirror":
-        out = out.when(differ, "link-mirror").when(~has_s & has_t, "link-gone")
-    elif mode == "sync":
-        out = out.when(differ, "link-differs").when(~has_s & has_t, "link-only-t")
-    return out
+TWINS = "(kind = 'file' AND (s_twins > 1 OR t_twins > 1))"
 
 
-def _judge(df: DataFrame, mode: str, file_verdict: Column) -> DataFrame:
+def _judge(df: DataFrame, mode: str, file_verdict: str) -> DataFrame:
     """Attach the verdict per kind. Undisputed keys are dropped, unless twins share the key."""
-    has_s, has_t = _presence()
-    verdict = F.when(F.col("kind") == "file", file_verdict).when(F.col("kind") == "symlink", _link_verdict(mode))
-    if mode == "mirror":
-        verdict = verdict.when((F.col("kind") == "directory") & ~has_s & has_t, "dir-gone")
-    twins = (F.col("kind") == "file") & (F.greatest(F.coalesce("s_twins", F.lit(0)), F.coalesce("t_twins", F.lit(0))) > 1)
-    return df.withColumn("verdict", verdict).where(F.col("verdict").isNotNull() | twins)
+    folders = "WHEN 'directory' THEN CASE WHEN s IS NULL THEN 'dir-gone' END" if mode == "mirror" else ""
+    verdict = f"CASE kind WHEN 'file' THEN {file_verdict} WHEN 'symlink' THEN {_link_verdict(mode)} {folders} END"
+    return df.withColumn("verdict", F.expr(verdict)).where(f"verdict IS NOT NULL OR {TWINS}")
 
 
 def decide_one_way(sides: Sides, mode: str) -> DataFrame:
     """mirror / enrich: (kind, key, s, t, verdict) of every key that is not settled."""
     win = sides.options.mtime_window_ms
-    has_s, has_t = _presence()
-    newer = F.col("s.mtime_ms") > F.col("t.mtime_ms") + win
-    chmod = (
-        F.lit(sides.modes_apply) & F.col("s.mode").isNotNull() & ~F.col("s.mode").eqNullSafe(F.col("t.mode"))
-    )
-    verdict = F.when(has_s & ~has_t, "add").when(~has_s & has_t, F.lit("del" if mode == "mirror" else None).cast("string"))
-    verdict = (
-        verdict.when(evidence_missing("s", "t"), "unreadable")
-        .when(files_equal("s", "t", win), F.when(chmod, "chmod"))
-        .when(F.lit(mode == "mirror"), "differs-master-wins")
-        .when(newer, "source-newer")
+    chmod = "s.mode IS NOT NULL AND NOT (s.mode <=> t.mode)" if sides.modes_apply else "false"
+    differs = (
+        "'differs-master-wins'" if mode == "mirror"
+        else f"CASE WHEN s.mtime_ms > t.mtime_ms + {win} THEN 'source-newer' END"
     )
+    verdict = f"""CASE
+        WHEN t IS NULL THEN 'add'
+        WHEN s IS NULL THEN {"'del'" if mode == "mirror" else "NULL"}
+        WHEN {evidence_missing("s", "t")} THEN 'unreadable'
+        WHEN {files_equal("s", "t", win)} THEN CASE WHEN {chmod} THEN 'chmod' END
+        ELSE {differs} END"""
     kinds = ("file", "symlink", "directory") if mode == "mirror" else ("file", "symlink")
     return _judge(sides.joined(kinds), mode, verdict)
 
@@ -130,79 +124,74 @@ def decide_one_way(sides: Sides, mode: str) -> DataFrame:
 def decide_two_way(sides: Sides, archive: Inventory | None, resolve_newer: bool) -> DataFrame:
     """sync: verdicts against the archive's generations, or the safe rules when there is none."""
     win = sides.options.mtime_window_ms
-    has_s, has_t = _presence()
     both = sides.joined(("file", "symlink"))
-    settled = has_s & has_t & ~evidence_missing("s", "t") & files_equal("s", "t", win)
+    missing, equal = evidence_missing("s", "t"), files_equal("s", "t", win)
     if archive is None:
         differs = (
-            F.when(F.col("s.mtime_ms") >= F.col("t.mtime_ms"), "newer-to-target").otherwise("newer-to-source")
-            if resolve_newer
-            else F.lit("differs-no-archive")
-        )
-        verdict = (
-            F.when(has_s & ~has_t, "add-s")
-            .when(~has_s & has_t, "add-t")
-            .when(evidence_missing("s", "t"), "unreadable")
-            .when(~settled, differs)
+            "CASE WHEN s.mtime_ms >= t.mtime_ms THEN 'newer-to-target' ELSE 'newer-to-source' END"
+            if resolve_newer else "'differs-no-archive'"
         )
+        verdict = f"""CASE WHEN t IS NULL THEN 'add-s' WHEN s IS NULL THEN 'add-t' WHEN {missing} THEN 'unreadable'
+            WHEN {equal} THEN NULL ELSE {differs} END"""
         return _judge(both, "sync", verdict)
     record = first_by_key(sides.readable(archive, ("file",)), ["previous_identities"], "r").drop("twins")
-    twins = F.greatest(F.coalesce("s_twins", F.lit(0)), F.coalesce("t_twins", F.lit(0))) > 1
     # Equal pairs need no archive row; dropping them first leaves the second join little to carry.
-    disputed = both.where((F.col("kind") != "file") | ~settled | twins)
-    sg, tg = generation_of("s", "r", win), generation_of("t", "r", win)
-    paired = (
-        F.when(evidence_missing("s", "t"), "unreadable")
-        .when(sg.isNotNull() & tg.isNull(), "target-changed")
-        .when(sg.isNull() & tg.isNotNull(), "source-changed")
-        .when(sg < tg, "target-behind-by-generations")
-        .when(sg > tg, "source-behind-by-generations")
-        .otherwise("both-changed")
+    disputed = both.where(
+        f"kind <> 'file' OR s IS NULL OR t IS NULL OR {missing} OR NOT {equal} OR {TWINS}"
     )
-    known = F.col("r").isNotNull()
-    verdict = (
-        F.when(has_s & has_t, F.when(~settled, paired))
-        .when(has_s & known, F.when(files_equal("s", "r", win), "del-s").otherwise("deleted-on-target-but-changed-on-source"))
-        .when(has_s, "add-s")
-        .when(known, F.when(files_equal("t", "r", win), "del-t").otherwise("deleted-on-source-but-changed-on-target"))
-        .otherwise("add-t")
+    generations = disputed.join(record, ["kind", "key"], "left").withColumns(
+        {"sg": F.expr(generation_of("s", "r", win)), "tg": F.expr(generation_of("t", "r", win))}
     )
-    return _judge(disputed.join(record, ["kind", "key"], "left"), "sync", verdict).drop("r")
+    verdict = f"""CASE
+        WHEN s IS NOT NULL AND t IS NOT NULL THEN CASE
+            WHEN {missing} THEN 'unreadable'
+            WHEN {equal} THEN NULL
+            WHEN sg IS NOT NULL AND tg IS NULL THEN 'target-changed'
+            WHEN sg IS NULL AND tg IS NOT NULL THEN 'source-changed'
+            WHEN sg < tg THEN 'target-behind-by-generations'
+            WHEN sg > tg THEN 'source-behind-by-generations'
+            ELSE 'both-changed' END
+        WHEN s IS NOT NULL THEN CASE
+            WHEN r IS NULL THEN 'add-s'
+            WHEN {files_equal("s", "r", win)} THEN 'del-s'
+            ELSE 'deleted-on-target-but-changed-on-source' END
+        WHEN r IS NULL THEN 'add-t'
+        WHEN {files_equal("t", "r", win)} THEN 'del-t'
+        ELSE 'deleted-on-source-but-changed-on-target' END"""
+    return _judge(generations, "sync", verdict).drop("r", "sg", "tg")
 
 
 # --- rows -------------------------------------------------------------------------------------------------
 
-
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
 FILE_TYPE = (
     "struct<path:string,size:bigint,mtime_ms:bigint,identity:struct<kind:string,digest:string>,"
     "mode:int,target:string>"
 )
 
 
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def op_row(
-    side, action, path, reason, *, pass_no: int, key="key", sub: int = 0, from_=None, size=None, mtime=None,
-    hash_=None, link=None, mode=None, s=None, t=None,
-) -> list[Column]:
-    """Columns of one planned operation. Plain strings are literals for side, action and reason."""
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
-    opt = lambda v, kind: _none(kind) if v is None else v.cast(kind)
-    return [
-        lit(side).alias("side"), lit(action).alias("action"), path.alias("path"),
-        opt(from_, "string").alias("from"), opt(size, "bigint").alias("size"),
-        opt(mtime, "bigint").alias("mtime_ms"), opt(hash_, "string").alias("hash"),
-        opt(link, "string").alias("link"), opt(mode, "int").alias("mode"), lit(reason).alias("reason"),
-        F.lit(pass_no).alias("_pass"), F.col(key).alias("_key") if isinstance(key, str) else key.alias("_key"),
-        F.lit(sub).alias("_sub"),
-        (_none(FILE_TYPE) if s is None else s).alias("_s"), (_none(FILE_TYPE) if t is None else t).alias("_t"),
-    ]
+    side: str, action: str, path: str, reason: str, *, pass_no: int, key: str = "key", sub: int = 0, from_: str = "NULL",
+    size: str = "NULL", mtime: str = "NULL", hash_: str = "NULL", link: str = "NULL", mode: str = "NULL",
+    s: str = "NULL", t: str = "NULL",
+) -> str:
+    """SQL text of one planned operation; every argument is SQL. Emission order is (_pass, _key, _sub)."""
+    return f"""named_struct('side', {side}, 'action', {action}, 'path', {path}, 'from', CAST({from_} AS STRING),
+        'size', CAST({size} AS BIGINT), 'mtime_ms', CAST({mtime} AS BIGINT), 'hash', CAST({hash_} AS STRING),
+        'link', CAST({link} AS STRING), 'mode', CAST({mode} AS INT), 'reason', {reason},
+        '_pass', {pass_no}, '_key', {key}, '_sub', {sub},
+        '_s', CAST({s} AS {FILE_TYPE}), '_t', CAST({t} AS {FILE_TYPE}))"""
+
+
+def op_rows(df: DataFrame, *row_args, **row_kwargs) -> DataFrame:
+    return df.select(F.expr(op_row(*row_args, **row_kwargs)).alias("_o")).select("_o.*")
 
 
 def _content(f: str) -> dict:
-    return dict(size=F.col(f"{f}.size"), mtime=F.col(f"{f}.mtime_ms"), hash_=text.plan_hash(f"{f}.identity"))
+    return dict(size=f"{f}.size", mtime=f"{f}.mtime_ms", hash_=text.plan_hash_sql(f"{f}.identity"))
 
 
 class _Rules:
@@ -210,56 +199,52 @@ class _Rules:
 
     def __init__(self, sides: Sides):
         self.sides = sides
-        self.rules: list[tuple[str, list[Column]]] = []
+        self.rules: list[tuple[str, str]] = []
 
-    def add(self, verdict: str, columns: list[Column]) -> "_Rules":
-        self.rules.append((verdict, columns))
+    def add(self, verdict: str, row: str) -> "_Rules":
+        self.rules.append((verdict, row))
         return self
 
-    def _mode(self, f: str):
-        return F.col(f"{f}.mode") if self.sides.modes_apply else None
+    def _mode(self, f: str) -> str:
+        return f"{f}.mode" if self.sides.modes_apply else "NULL"
 
     def update(self, verdict: str, to: str, reason: str | None = None):
         reads, writes = ("s", "t") if to == "target" else ("t", "s")
-        return self.add(
-            verdict,
-            op_row(
-                to, "update", F.col(f"{writes}.path"), reason or verdict, pass_no=2, mode=self._mode(reads), **_content(reads)
-            ),
+        row = op_row(
+            quoted(to), "'update'", f"{writes}.path", quoted(reason or verdict), pass_no=2, mode=self._mode(reads), **_content(reads)
         )
+        return self.add(verdict, row)
 
     def conflict(self, verdict: str, path_of: str, reason: str | None = None, pass_no: int = 2, pair: bool = False):
-        kept = dict(s=F.col("s"), t=F.col("t")) if pair else {}
-        return self.add(verdict, op_row("target", "conflict", F.col(f"{path_of}.path"), reason or verdict, pass_no=pass_no, **kept))
+        kept = dict(s="s", t="t") if pair else {}
+        row = op_row("'target'", "'conflict'", f"{path_of}.path", quoted(reason or verdict), pass_no=pass_no, **kept)
+        return self.add(verdict, row)
 
     def copy(self, verdict: str, to: str, reason: str, pass_no: int):
         f = "s" if to == "target" else "t"
-        return self.add(
-            verdict, op_row(to, "copy", F.col(f"{f}.path"), reason, pass_no=pass_no, mode=self._mode(f), **_content(f))
-        )
+        row = op_row(quoted(to), "'copy'", f"{f}.path", quoted(reason), pass_no=pass_no, mode=self._mode(f), **_content(f))
+        return self.add(verdict, row)
 
     def delete(self, verdict: str, on: str, reason: str, pass_no: int):
         f = "s" if on == "source" else "t"
-        return self.add(verdict, op_row(on, "delete", F.col(f"{f}.path"), reason, pass_no=pass_no, size=F.col(f"{f}.size")))
+        return self.add(verdict, op_row(quoted(on), "'delete'", f"{f}.path", quoted(reason), pass_no=pass_no, size=f"{f}.size"))
 
     def move(self, verdict: str, side: str, f: str, suffix: str, pass_no: int):
-        in_place = text.parent(f"{f}.path") == text.parent("old.path")
-        base = F.concat(F.when(in_place, "rename").otherwise("move"), F.lit(suffix))
-        reason = F.when(
-            F.col("candidates") > 1,
-            F.concat(base, F.lit(" (ambiguous: "), F.col("candidates").cast("string"), F.lit(" identical candidates)")),
-        ).otherwise(base)
-        return self.add(
-            verdict,
-            op_row(
-                side, "move", F.col(f"{f}.path"), reason, pass_no=pass_no, from_=F.col("old.path"), size=F.col("old.size"),
-                mtime=F.col("old.mtime_ms"), hash_=F.col("old.identity.digest"), mode=F.col("old.mode"),
-            ),
+        in_place = f"({text.parent_sql(f + '.path')}) = ({text.parent_sql('old.path')})"
+        reason = (
+            f"concat(CASE WHEN {in_place} THEN 'rename' ELSE 'move' END, {quoted(suffix)}, CASE WHEN candidates > 1 "
+            f"THEN concat(' (ambiguous: ', candidates, ' identical candidates)') ELSE '' END)"
+        )
+        row = op_row(
+            quoted(side), "'move'", f"{f}.path", reason, pass_no=pass_no, from_="old.path", size="old.size",
+            mtime="old.mtime_ms", hash_="old.identity.digest", mode="old.mode",
         )
+        return self.add(verdict, row)
 
     def links(self, mode: str):
         def link(verdict, side, action, f, reason, pass_no):
-            self.add(verdict, op_row(side, action, F.col(f"{f}.path"), reason, pass_no=pass_no, link=F.col(f"{f}.target")))
+            row = op_row(quoted(side), quoted(action), f"{f}.path", quoted(reason), pass_no=pass_no, link=f"{f}.target")
+            self.add(verdict, row)
 
         link("link-only-s", "target", "copy", "s", "symlink-only-in-source", 10)
         if mode == "mirror":
@@ -271,11 +256,8 @@ class _Rules:
         return self
 
     def apply(self, decided: DataFrame) -> DataFrame:
-        out = None
-        for verdict, columns in self.rules:
-            hit, row = F.col("verdict") == verdict, F.struct(*columns)
-            out = F.when(hit, row) if out is None else out.when(hit, row)
-        return decided.select(out.alias("_o")).where("_o is not null").select("_o.*")
+        cases = " ".join(f"WHEN {quoted(verdict)} THEN {row}" for verdict, row in self.rules)
+        return decided.select(F.expr(f"CASE verdict {cases} END").alias("_o")).where("_o IS NOT NULL").select("_o.*")
 
 
 def mark_moves(decided: DataFrame, flows: list[tuple[str, str, str]], limit: int) -> DataFrame:
@@ -358,11 +340,9 @@ def possible_moves(decided: DataFrame) -> DataFrame:
         .agg(F.max_by(F.col("t.path"), F.col("key")).alias("other"))
     )
     mine = decided.where((F.col("verdict") == "add-s") & full("s")).withColumn("digest", F.col("s.identity.digest"))
-    return mine.join(other, "digest").select(
-        *op_row(
-            "target", "note", F.col("s.path"), "possible-move-needs-archive", pass_no=4, from_=F.col("other"),
-            size=F.col("s.size"),
-        )
+    return op_rows(
+        mine.join(other, "digest"), "'target'", "'note'", "s.path", "'possible-move-needs-archive'", pass_no=4,
+        from_="other", size="s.size",
     )
 
 
@@ -375,9 +355,8 @@ def duplicate_notes(sides: Sides, decided: DataFrame) -> DataFrame | None:
         )
         if crowded.isEmpty():
             continue
-        notes = later_twins(sides.readable(sides.inventory(side), ("file",)), crowded).select(
-            *op_row(side, "note", F.col("path"), DUPLICATE, pass_no=p, key="path")
-        )
+        twins = later_twins(sides.readable(sides.inventory(side), ("file",)), crowded)
+        notes = op_rows(twins, quoted(side), "'note'", "path", quoted(DUPLICATE), pass_no=p, key="path")
         out = notes if out is None else out.unionByName(notes)
     return out
 
@@ -385,17 +364,15 @@ def duplicate_notes(sides: Sides, decided: DataFrame) -> DataFrame | None:
 def removed_directories(sides: Sides, decided: DataFrame) -> DataFrame:
     """Mirror only: target folders the source lacks, unless an unread area lies below."""
     gone = decided.where("verdict = 'dir-gone'").select("key", "t")
-    return sides.scope.not_enclosing(gone).select(
-        *op_row("target", "delete_dir", F.col("t.path"), "dir-gone-from-source", pass_no=6)
+    return op_rows(
+        sides.scope.not_enclosing(gone), "'target'", "'delete_dir'", "t.path", "'dir-gone-from-source'", pass_no=6
     )
 
 
-def permission_change() -> list[Column]:
-    octal = lambda c: F.lpad(F.conv(F.coalesce(c, F.lit(0)), 10, 8), 4, "0")
-    reason = F.concat(
-        F.lit("mode-differs-master-wins ("), octal(F.col("t.mode")), F.lit(" -> "), octal(F.col("s.mode")), F.lit(")")
-    )
-    return op_row("target", "chmod", F.col("t.path"), reason, pass_no=12, mode=F.col("s.mode"))
+def permission_change() -> str:
+    octal = lambda c: f"lpad(conv(coalesce({c}, 0), 10, 8), 4, '0')"
+    reason = f"concat('mode-differs-master-wins (', {octal('t.mode')}, ' -> ', {octal('s.mode')}, ')')"
+    return op_row("'target'", "'chmod'", "t.path", reason, pass_no=12, mode="s.mode")
 
 
 def identical_files(sides: Sides) -> DataFrame:

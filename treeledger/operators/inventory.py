@@ -154,40 +154,27 @@ def later_twins(keyed: DataFrame, crowded: DataFrame | None = None) -> DataFrame
     return keyed.join(crowded, ["kind", "key"]).where(F.col("path") != F.col("first_path")).drop("first_path")
 
 
-def files_equal(a: str, b: str, window_ms: int) -> Column:
-    """Typed equality of two file structs; never true on missing or mixed evidence."""
-    ka, kb = F.col(f"{a}.identity.kind"), F.col(f"{b}.identity.kind")
-    digest = ["full", "sampled"]
-    return F.coalesce(
-        F.when((ka == "unreadable") | (kb == "unreadable"), F.lit(False))
-        .when(
-            (ka == "size_and_mtime") & (kb == "size_and_mtime"),
-            (F.col(f"{a}.size") == F.col(f"{b}.size"))
-            & (F.abs(F.col(f"{a}.mtime_ms") - F.col(f"{b}.mtime_ms")) <= window_ms),
-        )
-        .when(
-            ka.isin(digest) & kb.isin(digest),
-            (ka == kb) & (F.col(f"{a}.identity.digest") == F.col(f"{b}.identity.digest")),
-        ),
-        F.lit(False),
-    )
-
-
-def evidence_missing(a: str, b: str) -> Column:
-    return F.coalesce(
-        (F.col(f"{a}.identity.kind") == "unreadable") | (F.col(f"{b}.identity.kind") == "unreadable"),
-        F.lit(False),
-    )
-
-
-def generation_of(entry: str, record: str, window_ms: int) -> Column:
-    """0 = what the archive records, n = its n-th older identity, null = never seen."""
-    older = F.col(f"{record}.previous_identities")
-    at = F.when(F.col(f"{entry}.identity").isNotNull(), F.array_position(older, F.col(f"{entry}.identity")))
-    return F.when(
-        F.col(record).isNotNull(),
-        F.when(files_equal(entry, record, window_ms), F.lit(0).cast("bigint")).otherwise(F.nullif(at, F.lit(0))),
-    )
+def files_equal(a: str, b: str, window_ms: int) -> str:
+    """SQL text: typed equality of two file structs; never true on missing or mixed evidence."""
+    return f"""coalesce(CASE
+        WHEN {a}.identity.kind = 'unreadable' OR {b}.identity.kind = 'unreadable' THEN false
+        WHEN {a}.identity.kind = 'size_and_mtime' AND {b}.identity.kind = 'size_and_mtime'
+            THEN {a}.size = {b}.size AND abs({a}.mtime_ms - {b}.mtime_ms) <= {int(window_ms)}
+        WHEN {a}.identity.kind IN ('full', 'sampled') AND {b}.identity.kind IN ('full', 'sampled')
+            THEN {a}.identity.kind = {b}.identity.kind AND {a}.identity.digest = {b}.identity.digest
+        END, false)"""
+
+
+def evidence_missing(a: str, b: str) -> str:
+    """SQL text: one side's content could not be read."""
+    return f"coalesce({a}.identity.kind = 'unreadable' OR {b}.identity.kind = 'unreadable', false)"
+
+
+def generation_of(entry: str, record: str, window_ms: int) -> str:
+    """SQL text: 0 = what the archive records, n = its n-th older identity, null = never seen."""
+    return f"""CASE WHEN {record} IS NULL OR {entry} IS NULL THEN NULL
+        WHEN {files_equal(entry, record, window_ms)} THEN 0
+        ELSE nullif(array_position({record}.previous_identities, {entry}.identity), 0) END"""
 
 
 # --- archive upkeep -------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ def local_session(name: str = "treeledger", cpus: int | str | None = None) -> Sp
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return (
-        builder.config("spark.ui.enabled", "false")
+        builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
