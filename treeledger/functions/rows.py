@@ -225,7 +225,7 @@ def evidence_axes(axes: Column, evidence: Column) -> Column:
 
 def run_label() -> Column:
     """State text of a run record: compare results, counts, interruption."""
-    stamp = F.date_format(F.timestamp_millis(F.col("ts_ms")), "yyyy-MM-dd HH:mm:ss")
+    stamp = F.date_format(text.utc_time("ts_ms"), "yyyy-MM-dd HH:mm:ss")
     plural = lambda c, word: F.when(
         F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.lit(" · "), F.col(c).cast("string"), F.lit(word))
     ).otherwise(F.lit(""))

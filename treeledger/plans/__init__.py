@@ -1,6 +1,6 @@
 """Whole comparison plans and the registered queries."""
 
-from . import queries_compare  # noqa: F401
+from . import queries_compare, queries_plan  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

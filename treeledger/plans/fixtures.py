@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators.inventory import Header, Inventory, directories_of
 
 UNREAD = ["src3/en"]
@@ -87,6 +88,39 @@ def inventories(spark, sf, folders: bool = False, unread: bool = True) -> tuple[
     )
 
 
+def review_plan(spark, sf) -> DataFrame:
+    """A reviewed plan with one operation per event row: evidence, `reversed` and `included` flags."""
+    e = table(spark, sf, "events").withColumns(
+        {"ms": text.epoch_ms("ts"), "amount": F.round(F.col("value") * 1000).cast("bigint")}
+    )
+    i = F.col("event_id")
+    action = F.element_at(F.array(*[F.lit(a) for a in PLAN_ACTIONS]), (i % 9 + 1).cast("int"))
+    e = e.withColumns({"action": action, "folder": F.concat_ws("/", F.concat(F.lit("u"), F.col("user_id")), F.col("event_type"))})
+    path = (
+        F.when(i % 50 == 0, F.concat(F.lit("root-"), i.cast("string")))
+        .when(F.col("action") == "delete_dir", F.col("folder"))
+        .otherwise(F.concat(F.col("folder"), F.lit("/F"), i.cast("string"), F.lit(".dat")))
+    )
+    a = F.col("action")
+    sized, timed = a.isin("copy", "update", "delete", "move"), a.isin("copy", "update")
+    meta = lambda size, ms: F.struct(size.alias("size"), ms.alias("mtime_ms"))
+    both = a.isin("update", "chmod", "conflict")
+    return e.select(
+        i.alias("op_index"), F.when(i % 4 == 0, "source").otherwise("target").alias("side"), "action", path.alias("path"),
+        F.when(a == "move", F.concat(F.lit("old/"), path)).alias("from"), F.when(sized, F.col("amount")).alias("size"),
+        F.when(timed, F.col("ms")).alias("mtime_ms"), F.lit(None).cast("string").alias("hash"),
+        F.lit(None).cast("string").alias("link"), F.lit(None).cast("int").alias("mode"),
+        F.concat(F.lit("why-"), F.col("event_type")).alias("reason"),
+        F.when(both, meta(F.col("amount"), F.col("ms"))).alias("src"),
+        F.when(both | (a == "delete"), meta(F.col("amount") + 7, F.col("ms") - (i % 5) * 1000)).alias("dst"),
+        ((i % 10 == 1) & a.isin("copy", "update", "delete")).alias("reversed"), (i % 3 != 0).alias("included"),
+    )
+
+
+PLAN_ACTIONS = ["move", "copy", "update", "chmod", "delete", "delete_dir", "conflict", "note", "copy"]
+PLAN_MS = 1_706_700_000_000
+
+
 # SQL forms -----------------------------------------------------------------------------------------------
 
 BASE_SQL = """
@@ -271,5 +305,67 @@ ops AS (
 """
 
 
+def human_sql(n: str) -> str:
+    steps = "".join(
+        f" WHEN {n} < {1024 ** (k + 1)} THEN printf('%.1f', ({n}) / {float(1024 ** k)}) || ' {u}'"
+        for k, u in ((1, "KiB"), (2, "MiB"), (3, "GiB"))
+    )
+    return f"CASE WHEN {n} < 1024 THEN CAST(({n})::BIGINT AS VARCHAR) || ' B'{steps} ELSE printf('%.1f', ({n}) / {float(1024 ** 4)}) || ' TiB' END"
+
+
 def with_sql(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip() for p in parts) + "\n" + select
+
+
+# `plan` is the reviewed plan as stored; `eff` has reversals applied and evidence filled in.
+PLAN_SQL = """
+ev AS (
+  SELECT *, epoch_us(ts) // 1000 AS ms, CAST(round(value * 1000) AS BIGINT) AS amount, 'u' || user_id || '/' || event_type AS folder,
+         ['move', 'copy', 'update', 'chmod', 'delete', 'delete_dir', 'conflict', 'note', 'copy'][event_id % 9 + 1] AS action
+  FROM events
+),
+ev2 AS (
+  SELECT *, CASE WHEN event_id % 50 = 0 THEN 'root-' || event_id WHEN action = 'delete_dir' THEN folder
+            ELSE folder || '/F' || event_id || '.dat' END AS path,
+         action IN ('update', 'chmod', 'conflict') AS both_sides
+  FROM ev
+),
+plan AS (
+  SELECT event_id AS op_index, CASE WHEN event_id % 4 = 0 THEN 'source' ELSE 'target' END AS side, action, path,
+         CASE WHEN action = 'move' THEN 'old/' || path END AS from_path,
+         CASE WHEN action IN ('copy', 'update', 'delete', 'move') THEN amount END AS size,
+         CASE WHEN action IN ('copy', 'update') THEN ms END AS mtime_ms,
+         'why-' || event_type AS reason,
+         CASE WHEN both_sides THEN amount END AS src_size, CASE WHEN both_sides THEN ms END AS src_ms,
+         CASE WHEN both_sides OR action = 'delete' THEN amount + 7 END AS dst_size,
+         CASE WHEN both_sides OR action = 'delete' THEN ms - (event_id % 5) * 1000 END AS dst_ms,
+         event_id % 10 = 1 AND action IN ('copy', 'update', 'delete') AS reversed, event_id % 3 <> 0 AS included
+  FROM ev2
+),
+full_plan AS (
+  SELECT * REPLACE (
+    CASE WHEN action = 'copy' AND side = 'target' THEN size ELSE src_size END AS src_size,
+    CASE WHEN action = 'copy' AND side = 'target' THEN mtime_ms ELSE src_ms END AS src_ms,
+    CASE WHEN action = 'copy' AND side = 'source' THEN size ELSE dst_size END AS dst_size,
+    CASE WHEN action = 'copy' AND side = 'source' THEN mtime_ms ELSE dst_ms END AS dst_ms)
+  FROM plan
+),
+eff AS (
+  SELECT * REPLACE (
+    CASE WHEN reversed THEN CASE side WHEN 'source' THEN 'target' ELSE 'source' END ELSE side END AS side,
+    CASE WHEN reversed AND action = 'copy' THEN 'delete' WHEN reversed AND action = 'delete' THEN 'copy' ELSE action END AS action,
+    CASE WHEN reversed AND action = 'update' THEN CASE side WHEN 'source' THEN src_size ELSE dst_size END ELSE size END AS size,
+    CASE WHEN reversed THEN NULL ELSE mtime_ms END AS mtime_ms,
+    CASE WHEN reversed THEN 'reversed(' || reason || ')' ELSE reason END AS reason)
+  FROM full_plan
+),
+own AS (
+  SELECT *, CASE WHEN action = 'delete_dir' THEN path ELSE regexp_replace(path, '/?[^/]*$', '') END AS owner,
+         CASE WHEN action IN ('copy', 'update') THEN greatest(0, coalesce(CASE side WHEN 'target' THEN src_size ELSE dst_size END, size, 0)) ELSE 0 END AS transfer,
+         CASE WHEN action IN ('delete', 'delete_dir') THEN greatest(0, coalesce(size, 0)) ELSE 0 END AS deletion,
+         greatest(coalesce(size, 0), coalesce(src_size, 0), coalesce(dst_size, 0)) AS row_size,
+         greatest(coalesce(src_ms, 0), coalesce(dst_ms, 0)) AS row_ms,
+         CASE action WHEN 'chmod' THEN 'update' WHEN 'delete_dir' THEN 'delete' ELSE action END AS result_type
+  FROM eff
+)
+"""
