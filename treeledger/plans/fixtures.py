@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.inventory import Header, Inventory, directories_of
+from ..schema import ENTRY
 
 UNREAD = ["src3/en"]
 BASE_MS = 1_700_000_000_000
@@ -72,6 +73,58 @@ def archive_files(spark, sf) -> DataFrame:
     return _files(df, F.col("path"), F.col("mtime_ms"), F.lit("full"), _digest(""), F.lit(420), older)
 
 
+def sampled_inventories(spark, sf) -> tuple[Inventory, Inventory]:
+    """Two scans of the sampled tier: large texts carry sampled digests, some target times drifted by an hour."""
+    df = base(spark, sf)
+    kind = F.when(F.col("size") >= 4000, "sampled").otherwise("full")
+    drifted = F.col("mtime_ms") + F.when(_every(31), 3_600_000).when(_every(37), -3_600_000).otherwise(0)
+    s = _files(df, F.col("path"), F.col("mtime_ms"), kind, _digest(""), F.lit(420))
+    t = _files(df, F.col("path"), drifted, kind, _digest(""), F.lit(420))
+    return Inventory(s, Header(evidence="sampled")), Inventory(t, Header(evidence="sampled"))
+
+
+def metadata_inventories(spark, sf) -> tuple[Inventory, Inventory]:
+    """Two scans without content evidence: equality rests on size and a time window."""
+    df = base(spark, sf)
+    kind = F.lit("size_and_mtime")
+    s = _files(df, F.col("path"), F.col("mtime_ms"), kind, F.lit(None), F.lit(420))
+    jitter = F.col("mtime_ms") + (F.col("doc_id") % 5) * 900
+    t = _files(
+        df.where(~_every(19)).withColumn("size", F.col("size") + F.when(_every(41), 1).otherwise(0)),
+        F.col("path"), jitter, kind, F.lit(None), F.lit(420),
+    )
+    return Inventory(s, Header(evidence="none")), Inventory(t, Header(evidence="none"))
+
+
+def link_inventories(spark, sf) -> tuple[Inventory, Inventory]:
+    """Symlink-only trees, one link per conversation turn."""
+    c = table(spark, sf, "conversations")
+    i = F.col("conv_id") * 31 + F.col("turn")
+    path = F.concat_ws("/", F.lit("links"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    def entries(df, target):
+        return df.select(F.lit("symlink").alias("kind"), path.alias("path"), target.alias("target"))
+    typed = lambda df: spark.createDataFrame([], ENTRY).unionByName(df, allowMissingColumns=True)
+    s = entries(c.where(i % 5 != 0), F.concat(F.lit("to/"), F.col("role")))
+    t = entries(c.where(i % 7 != 0), F.concat(F.lit("to/"), F.when(i % 3 == 0, F.lit("elsewhere")).otherwise(F.col("role"))))
+    return Inventory(typed(s)), Inventory(typed(t))
+
+
+def page_inventories(spark, sf, target_rules: str) -> tuple[Inventory, Inventory]:
+    """Trees named after page addresses: colons, question marks and other hard characters."""
+    p = table(spark, sf, "pages")
+    plain = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?:/+", "")).otherwise(F.regexp_replace("url", "/+", "/"))
+    name = F.concat(F.lit("web/"), plain, F.when(F.col("page_id") % 4 == 0, "?v=1").otherwise(""), F.when(F.col("page_id") % 9 == 0, "/con.txt").otherwise(""))
+    df = p.select(F.col("page_id").alias("doc_id"), "html", F.length("html").cast("bigint").alias("size"), name.alias("path"))
+    def entries(d, mark):
+        return _files(d.withColumn("text", F.col("html")), F.col("path"), F.lit(BASE_MS) + F.col("doc_id"), F.lit("full"), F.sha2(F.concat(F.col("html"), mark), 256), F.lit(420))
+    s = entries(df.where(~_every(6)), F.lit(""))
+    t = entries(df.where(~_every(3)), F.when(_every(5), "x").otherwise(""))
+    return (
+        Inventory(s, Header(host="alpha", os="linux")),
+        Inventory(t, Header(host="beta", os="windows" if target_rules == "windows" else "linux", name_rules=target_rules)),
+    )
+
+
 def unread_paths(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(u) for u in UNREAD])).alias("path"))
 
@@ -137,7 +190,7 @@ src_all AS (
   FROM base WHERE doc_id % 17 <> 0
 ),
 tgt_all AS (
-  SELECT CASE WHEN doc_id % 23 = 0 THEN upper(path) ELSE path END AS path, size,
+  SELECT CASE WHEN doc_id % 23 = 0 THEN ucase(path) ELSE path END AS path, size,
          mtime_ms + CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 5000 ELSE -5000 END ELSE 0 END AS mtime_ms,
          CASE WHEN doc_id % 29 = 0 THEN 'unreadable' ELSE 'full' END AS ik,
          CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN sha256(text || 't') ELSE sha256(text) END AS digest,
@@ -172,6 +225,10 @@ pair AS (
 """
 
 
+# The same with case-sensitive keys.
+EXACT_SQL = BASE_SQL.replace("upper(path)", "path").replace("SRC3/EN", "src3/en")
+
+
 def parent_sql(p: str) -> str:
     return f"regexp_replace({p}, '/?[^/]*$', '')"
 

@@ -129,7 +129,7 @@ def folder_rollup(spark, sf):
 
 
 SCOPE = stats.ScopeFilter(
-    result_types=("copy", "update", "delete"), search="F1", folder="u7", minimum_mib=0.001, maximum_mib=0.05,
+    result_types=("copy", "update", "delete"), search="F", folder="u7", minimum_mib=0.001, maximum_mib=0.2,
     modified_within_days=25.0, masks=("*/error/",),
 )
 
@@ -138,8 +138,8 @@ SCOPE = stats.ScopeFilter(
     "run_scope",
     plan_sql(
         """SELECT op_index, action, path, row_size FROM own
-        WHERE result_type IN ('copy', 'update', 'delete') AND (lower(path) LIKE '%f1%' OR lower(reason) LIKE '%f1%' OR lower(coalesce(from_path, '')) LIKE '%f1%')
-        AND (owner = 'u7' OR starts_with(owner, 'u7/')) AND row_size >= 0.001 * 1048576 AND row_size <= 0.05 * 1048576
+        WHERE result_type IN ('copy', 'update', 'delete') AND (lower(path) LIKE '%f%' OR lower(reason) LIKE '%f%' OR lower(coalesce(from_path, '')) LIKE '%f%')
+        AND (owner = 'u7' OR starts_with(owner, 'u7/')) AND row_size >= 0.001 * 1048576 AND row_size <= 0.2 * 1048576
         AND row_ms > 0 AND row_ms >= 1706700000000 - 25 * 86400000::BIGINT AND NOT upper(path) LIKE '%/ERROR/%'
         AND included AND action NOT IN ('conflict', 'note')"""
     ),
