@@ -60,32 +60,31 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index"
     return placed.withColumn(name, base + F.col("_row")).drop("_part", "_row")
 
 
-def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
-    """1-based rank inside each group, exact even when one group holds most of the rows.
+def running_total(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of `value` over the rows before each row of its group, exact even when one group holds most rows.
 
-    A plain window would sort a hot group in one task. Here rows are range-partitioned on
-    (group, order); a group that spans partitions gets its earlier partitions' counts added. Only
-    groups crossing a partition bound have more than one (partition, group) count row.
+    A plain window would sort a hot group in one task. Here rows are range-partitioned on (group, order)
+    and checkpointed; each partition sums locally, and a group that spans partitions gets the totals of
+    its earlier partitions added. Only such groups have more than one (partition, group) total.
     """
     cols = [F.col(c) for c in groups + order]
     placed = cut_lineage(
-        df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    ).withColumn("_part", F.spark_partition_id())
+        df.withColumn("_rt_value", value).repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ).withColumn("_rt_part", F.spark_partition_id())
+    here = Window.partitionBy("_rt_part", *groups).orderBy(*order)
     local = placed.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order))
+        "_rt_local", F.coalesce(F.sum("_rt_value").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    counts = placed.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("_n")
+    totals = placed.groupBy("_rt_part", *groups).agg(F.sum("_rt_value").alias("_rt_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_rt_before", F.coalesce(F.sum("_rt_n").over(earlier), F.lit(0))).drop("_rt_n")
     return (
-        local.join(before, ["_part", *groups])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_part", "_local", "_before")
+        local.join(before, ["_rt_part", *groups])
+        .withColumn(name, (F.col("_rt_local") + F.col("_rt_before")).cast("bigint"))
+        .drop("_rt_part", "_rt_local", "_rt_before", "_rt_value")
     )
+
+
+def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """1-based rank inside each group, by `running_total` of ones."""
+    return running_total(df, groups, order, F.lit(1), name).withColumn(name, F.col(name) + 1)

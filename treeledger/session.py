@@ -16,7 +16,9 @@ SETTINGS = {
 }
 
 
-def local_session(name: str = "treeledger", cpus: int | str | None = None) -> SparkSession:
+def local_session(
+    name: str = "treeledger", cpus: int | str | None = None, partitions: int | str | None = None
+) -> SparkSession:
     """A local session with UTC time and adaptive execution, for tests and the benchmark."""
     cpus = cpus or os.environ.get("BENCH_CPUS") or "8"
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
@@ -24,7 +26,7 @@ def local_session(name: str = "treeledger", cpus: int | str | None = None) -> Sp
         builder = builder.config(key, value)
     return (
         builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
