@@ -60,13 +60,17 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index"
     return placed.withColumn(name, base + F.col("_row")).drop("_part", "_row")
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+def running_total(
+    df: DataFrame, groups: list[str], order: list[str], value: Column, name: str, stored: bool = False
+) -> DataFrame:
     """Sum of `value` over the rows before each row of its group, exact even when one group holds most rows.
 
     A plain window would sort a hot group in one task. Here rows are range-partitioned on (group, order)
     and checkpointed; each partition sums locally, and a group that spans partitions gets the totals of
-    its earlier partitions added. Only such groups have more than one (partition, group) total.
+    its earlier partitions added. Only such groups have more than one (partition, group) total. The input is
+    checkpointed first unless the caller already did (`stored`): the range exchange reads it twice.
     """
+    df = df if stored else cut_lineage(df)
     cols = [F.col(c) for c in groups + order]
     placed = cut_lineage(
         df.withColumn("_rt_value", value).repartitionByRange(*cols).sortWithinPartitions(*cols)
@@ -85,6 +89,6 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: Col
     )
 
 
-def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str, stored: bool = False) -> DataFrame:
     """1-based rank inside each group, by `running_total` of ones."""
-    return running_total(df, groups, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
+    return running_total(df, groups, order, F.lit(1), name, stored).withColumn(name, F.col(name) + 1)

@@ -157,7 +157,7 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
     held = free.limit(0).select(*carried, F.lit("").alias("del_key"))
     while not free.isEmpty():
         wants = F.when(F.col("stage") == 1, F.col("parent")).when(F.col("stage") == 2, F.col("name")).otherwise(F.lit(""))
-        asking = ranked_in_group(free.withColumn("wants", wants), _LIST, ["turn"], "j")
+        asking = ranked_in_group(free.withColumn("wants", wants), _LIST, ["turn"], "j", stored=True)
         earliest = asking.groupBy(*_LIST).agg(F.min("turn").alias("_first"))
         holders = held.select(*BUCKET, "del_key", F.col("turn").alias("holder"))
         open_files = (

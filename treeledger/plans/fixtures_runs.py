@@ -108,7 +108,7 @@ def retained_files(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select(
         (F.col("l_orderkey") % 40).alias("store"), F.col("l_orderkey").cast("string").alias("run_id"),
-        (F.lit(NOW_MS - 400 * 86_400_000) + F.col("l_orderkey") * 2_100_000).alias("at_ms"),
+        (F.lit(NOW_MS) - F.col("l_orderkey") * 2_100_000 % (400 * 86_400_000) - 1).alias("at_ms"),
         F.concat(F.lit("Part/P"), F.col("l_partkey").cast("string")).alias("path"), F.round("l_extendedprice").cast("bigint").alias("size"),
         F.col("l_linenumber").alias("n"), (F.col("l_quantity") > 10).alias("preserved"), F.col("l_returnflag").alias("flag"),
     )
@@ -116,7 +116,7 @@ def retained_files(spark, sf) -> DataFrame:
 
 FILES_SQL = f"""
 kept AS (
-  SELECT l_orderkey % 40 AS store, CAST(l_orderkey AS VARCHAR) AS run_id, {NOW_MS - 400 * 86_400_000} + l_orderkey * 2100000 AS at_ms,
+  SELECT l_orderkey % 40 AS store, CAST(l_orderkey AS VARCHAR) AS run_id, {NOW_MS} - l_orderkey * 2100000 % {400 * 86_400_000} - 1 AS at_ms,
          'Part/P' || l_partkey AS path, CAST(round(l_extendedprice) AS BIGINT) AS size, l_quantity > 10 AS preserved, l_returnflag AS flag
   FROM lineitem
 )

@@ -106,8 +106,10 @@ thin AS (
       WHEN {now} - s.at_s < 2592000 THEN 86400 WHEN {now} - s.at_s < 31536000 THEN 604800 ELSE 31536000 END AS k
     FROM thin t JOIN seconds s ON s.store = t.store AND s.i = t.i + 1) q
 ),
-judged AS (SELECT r.*, NOT coalesce(t.keeps, false) AS thinned, row_number() OVER (PARTITION BY r.store ORDER BY at_ms DESC, run_id DESC) = 1 AS newest
-  FROM store_runs r LEFT JOIN thin t ON t.store = r.store AND t.at_s = r.at_ms // 1000)
+named AS (SELECT r.*, NOT coalesce(t.keeps, false) OR count(*) OVER (PARTITION BY r.store, r.at_ms // 1000) > 1 AS named_second,
+  row_number() OVER (PARTITION BY r.store, r.at_ms // 1000 ORDER BY r.at_ms, r.run_id) = 1 AS first_of_second, row_number() OVER (PARTITION BY r.store ORDER BY at_ms DESC, run_id DESC) = 1 AS newest
+  FROM store_runs r LEFT JOIN thin t ON t.store = r.store AND t.at_s = r.at_ms // 1000),
+judged AS (SELECT *, named_second AND first_of_second AS thinned FROM named)
 """.format(now=fr.NOW_MS // 1000)
 
 
@@ -124,7 +126,7 @@ def retained_run_stats(spark, sf):
     return _store_runs(spark, sf)
 
 
-@query("staggered_removals", files_sql("SELECT store, at_ms // 1000 AS at_s FROM judged WHERE thinned", STORES))
+@query("staggered_removals", files_sql("SELECT DISTINCT store, at_ms // 1000 AS at_s FROM judged WHERE named_second", STORES))
 def staggered_removals(spark, sf):
     r = _store_runs(spark, sf).withColumn("at_s", F.floor(F.col("at_ms") / 1000).cast("bigint"))
     return history.stagger_removals(r, ["store"], fr.NOW_MS // 1000)
@@ -156,7 +158,7 @@ def find_retained(spark, sf):
 @query(
     "restore_plan",
     files_sql(
-        """SELECT path, arg_max(run_id, at_ms) AS run_id, max(at_ms) AS at_ms, CASE WHEN 'Part/P' || CAST(substr(path, 7) AS BIGINT) // 3 * 3 = path THEN 'skip' ELSE 'restore' END AS decision
+        """SELECT path, arg_max(run_id, (at_ms, run_id)) AS run_id, max(at_ms) AS at_ms, CASE WHEN 'Part/P' || CAST(substr(path, 7) AS BIGINT) // 3 * 3 = path THEN 'skip' ELSE 'restore' END AS decision
         FROM kept GROUP BY path"""
     ),
 )
