@@ -146,7 +146,7 @@ def write_review_csv(rows: DataFrame, path: str) -> None:
     columns = [c for c in rows.columns if c != "position"]
     cells = [F.col(c).cast("string") if c in bare else _quoted(c) for c in columns]
     body = rows.select(F.col("position").cast("bigint").alias("position"), F.concat_ws(",", *cells).alias("value"))
-    head = rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("position"), F.lit("﻿" + ",".join(columns)).alias("value"))
+    head = rows.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("position"), F.lit("\ufeff" + ",".join(columns)).alias("value"))
     head.unionByName(body).repartitionByRange("position").sortWithinPartitions("position").select("value").write.text(path)
 
 
