@@ -133,3 +133,24 @@ def test_result_store(spark, tmp_path):
         tables.append_result(row("j", seq), path)
     tables.append_result(row("k", 7), path)
     assert tables.next_sequence(spark, path, "j") == 3 and tables.next_sequence(spark, path, "none") == 1
+
+
+def test_bucketed_inventories_compare_without_an_exchange(spark, tmp_path):
+    from treeledger.operators.compare import Options, Sides
+
+    names = []
+    for i, rows in enumerate([[file("a", "1"), file("B", "2"), file("b", "3")], [file("A", "1"), file("c", "4")]]):
+        names.append(f"bucketed_{os.getpid()}_{i}")
+        dropped = tables.save_bucketed(inventory(spark, *rows).entries, names[-1], 2)
+        assert [r["path"] for r in dropped.collect()] == ([] if i else ["b"])
+    try:
+        source, target = (tables.bucketed_inventory(spark, n) for n in names)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = Sides(source, target, Options()).joined(("file", "symlink"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert [(r[0], r[2]) for r in shown(compare(source, target, "mirror"))] == [("copy", "B"), ("delete", "c")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")

@@ -56,7 +56,7 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index"
     for part in range(max(counts, default=-1) + 1):
         offsets.append(running)
         running += counts.get(part, 0)
-    base = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), F.col("_part") + 1)
+    base = F.expr(f"element_at(array({', '.join(f'{o}L' for o in offsets or [0])}), _part + 1)")
     return placed.withColumn(name, base + F.col("_row")).drop("_part", "_row")
 
 
@@ -81,10 +81,11 @@ def running_total(
     )
     totals = placed.groupBy("_rt_part", *groups).agg(F.sum("_rt_value").alias("_rt_n"))
     earlier = Window.partitionBy(*groups).orderBy("_rt_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("_rt_before", F.coalesce(F.sum("_rt_n").over(earlier), F.lit(0))).drop("_rt_n")
+    before = totals.withColumn("_rt_before", F.sum("_rt_n").over(earlier)).where("_rt_before <> 0").drop("_rt_n")
+    # Only the first group of a partition can have begun in an earlier one: one row per partition at most.
     return (
-        local.join(before, ["_rt_part", *groups])
-        .withColumn(name, (F.col("_rt_local") + F.col("_rt_before")).cast("bigint"))
+        local.join(F.broadcast(before), ["_rt_part", *groups], "left")
+        .withColumn(name, (F.col("_rt_local") + F.coalesce("_rt_before", F.lit(0))).cast("bigint"))
         .drop("_rt_part", "_rt_local", "_rt_before", "_rt_value")
     )
 

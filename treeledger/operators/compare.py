@@ -16,7 +16,7 @@ from ..functions import text
 from ..schema import OP_COLUMNS
 from . import moves as mv
 from .inventory import (
-    Inventory, UnreadScope, evidence_missing, files_equal, first_by_key, generation_of, later_twins,
+    Inventory, UnreadScope, entry_struct, evidence_missing, files_equal, first_by_key, generation_of, later_twins,
 )
 
 DUPLICATE = "duplicate-after-normalization (kept first; NFC/case twin)"
@@ -62,17 +62,23 @@ class Sides:
         return self.source if side == "source" else self.target
 
     def readable(self, inventory: Inventory, kinds: tuple[str, ...]) -> DataFrame:
-        keyed = inventory.keyed(self.options.case_insensitive).where(F.col("kind").isin(*kinds))
-        return self.scope.readable(keyed)
-
-    def firsts(self, side: str, name: str, kinds: tuple[str, ...] = ("file",)) -> DataFrame:
-        return first_by_key(self.readable(self.inventory(side), kinds), name=name).withColumnRenamed(
-            "twins", f"{name}_twins"
-        )
+        return self.scope.readable(inventory.keyed(self.options.case_insensitive, kinds))
+
+    def firsts(
+        self, inventory: Inventory, name: str, kinds: tuple[str, ...] = ("file",), extra: list[str] | None = None,
+        keys: DataFrame | None = None,
+    ) -> DataFrame:
+        """(kind, key, entry struct, twins) of an inventory, optionally for some keys only."""
+        entries = self.readable(inventory, kinds)
+        if keys is not None:
+            entries = entries.join(keys, "key", "left_semi")
+        if inventory.unique_keys:
+            return entries.select("kind", "key", entry_struct(extra).alias(name), F.lit(1).cast("bigint").alias(f"{name}_twins"))
+        return first_by_key(entries, extra, name).withColumnRenamed("twins", f"{name}_twins")
 
     def joined(self, kinds: tuple[str, ...], how: str = "full_outer") -> DataFrame:
         """source and target on (kind, key); structs `s` and `t`. One scan and one exchange per side."""
-        return self.firsts("source", "s", kinds).join(self.firsts("target", "t", kinds), ["kind", "key"], how)
+        return self.firsts(self.source, "s", kinds).join(self.firsts(self.target, "t", kinds), ["kind", "key"], how)
 
     def unread_entries(self, side: str) -> DataFrame:
         return self.scope.covered(self.inventory(side).keyed(self.options.case_insensitive))
@@ -134,7 +140,7 @@ def decide_two_way(sides: Sides, archive: Inventory | None, resolve_newer: bool)
         verdict = f"""CASE WHEN t IS NULL THEN 'add-s' WHEN s IS NULL THEN 'add-t' WHEN {missing} THEN 'unreadable'
             WHEN {equal} THEN NULL ELSE {differs} END"""
         return _judge(both, "sync", verdict)
-    record = first_by_key(sides.readable(archive, ("file",)), ["previous_identities"], "r").drop("twins")
+    record = sides.firsts(archive, "r", extra=["previous_identities"]).drop("r_twins")
     # Equal pairs need no archive row; dropping them first leaves the second join little to carry.
     disputed = both.where(
         f"kind <> 'file' OR s IS NULL OR t IS NULL OR {missing} OR NOT {equal} OR {TWINS}"

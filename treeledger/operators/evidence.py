@@ -27,15 +27,15 @@ def attach_evidence(ops: DataFrame, sides: Sides) -> DataFrame:
     )
     keyed = named.withColumns({"_sk": text.norm_key("_sn", ci), "_tk": text.norm_key("_tn", ci)})
     return (
-        keyed.join(_lookup(sides, "source", "_sk", "src"), "_sk", "left")
-        .join(_lookup(sides, "target", "_tk", "dst"), "_tk", "left")
+        keyed.join(_lookup(sides, sides.source, keyed.select(F.col("_sk").alias("key")), "_sk", "src"), "_sk", "left")
+        .join(_lookup(sides, sides.target, keyed.select(F.col("_tk").alias("key")), "_tk", "dst"), "_tk", "left")
         .drop("_sn", "_tn", "_sk", "_tk")
     )
 
 
-def _lookup(sides: Sides, side: str, key: str, name: str) -> DataFrame:
-    """key -> struct(size, mtime_ms) over files and directories of one side."""
-    both = sides.firsts(side, "e", ("file", "directory"))
+def _lookup(sides: Sides, inventory: Inventory, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """key -> struct(size, mtime_ms) over files and directories of one side, for the plan's keys only."""
+    both = sides.firsts(inventory, "e", ("file", "directory"), keys=keys.distinct())
     measured = F.struct(F.coalesce("e.size", F.lit(0)).cast("bigint").alias("size"), F.col("e.mtime_ms").alias("mtime_ms"))
     order = F.when(F.col("kind") == "file", 0).otherwise(1)
     return both.groupBy(F.col("key").alias(key)).agg(F.min_by(measured, order).alias(name))

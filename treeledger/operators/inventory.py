@@ -44,17 +44,22 @@ class Header:
 
 @dataclass
 class Inventory:
-    """Entry rows, the header scalars, and the unread paths (a one-column frame `path`, or none)."""
+    """Entry rows, the header scalars, and the unread paths (a one-column frame `path`, or none).
+
+    A `key` column stored with the entries is trusted. `unique_keys` says that no two entries of a kind
+    share a key (a table saved with its twins resolved); the comparison then skips looking for twins, and
+    tables bucketed on (kind, key) join without an exchange.
+    """
 
     entries: DataFrame
     header: Header = field(default_factory=Header)
     unread: DataFrame | None = None
+    unique_keys: bool = False
 
-    def keyed(self, case_insensitive: bool) -> DataFrame:
-        """Entries with their comparison key. A stored `key` column is trusted."""
-        if "key" in self.entries.columns:
-            return self.entries
-        return text.with_key(self.entries, case_insensitive)
+    def keyed(self, case_insensitive: bool, kinds: tuple[str, ...] | None = None) -> DataFrame:
+        """Entries with their comparison key. The kind filter comes first, so it reaches the scan."""
+        entries = self.entries if kinds is None else self.entries.where(F.col("kind").isin(*kinds))
+        return entries if "key" in entries.columns else text.with_key(entries, case_insensitive)
 
 
 @dataclass
@@ -129,13 +134,17 @@ class UnreadScope:
 ENTRY_FIELDS = ["path", "size", "mtime_ms", "identity", "mode", "target"]
 
 
+def entry_struct(extra: list[str] | None = None) -> Column:
+    return F.struct(*ENTRY_FIELDS, *(extra or []))
+
+
 def first_by_key(keyed: DataFrame, extra: list[str] | None = None, name: str = "entry") -> DataFrame:
     """(kind, key, entry, twins): the first entry in path order per kind and key, and how many share the key.
 
     An aggregate rather than a window: map tasks already reduce a key with very many twins to one row,
     and its output order is the order the comparison's merge join needs.
     """
-    fields = F.struct(*ENTRY_FIELDS, *(extra or []))
+    fields = entry_struct(extra)
     return keyed.groupBy("kind", "key").agg(
         F.min_by(fields, F.col("path")).alias(name), F.count(F.lit(1)).alias("twins")
     )

@@ -105,6 +105,23 @@ def save_keyed(entries: DataFrame, path: str, case_insensitive: bool = True) ->
     keyed.repartitionByRange("path").sortWithinPartitions("path").write.parquet(path)
 
 
+def save_bucketed(entries: DataFrame, table: str, buckets: int, case_insensitive: bool = True) -> DataFrame:
+    """Save an inventory as a table bucketed and sorted on (kind, key), first spelling per key only.
+
+    Two inventories saved with the same bucket count compare without any exchange. The dropped spellings
+    are returned; they are what the comparison would have noted as twins.
+    """
+    keyed = text.with_key(entries, case_insensitive)
+    names = entries.columns
+    first = keyed.groupBy("kind", "key").agg(F.min_by(F.struct(*names), F.col("path")).alias("e")).select("kind", "key", *[F.col(f"e.{c}").alias(c) for c in names if c != "kind"])
+    first.repartition(buckets, "kind", "key").write.mode("overwrite").bucketBy(buckets, "kind", "key").sortBy("kind", "key").format("parquet").saveAsTable(table)
+    return inv.later_twins(keyed)
+
+
+def bucketed_inventory(spark: SparkSession, table: str, header: inv.Header | None = None) -> inv.Inventory:
+    return inv.Inventory(spark.table(table), header or inv.Header(), unique_keys=True)
+
+
 # --- plans --------------------------------------------------------------------------------------------------
 
 
