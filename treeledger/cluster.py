@@ -38,13 +38,15 @@ def hint_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFram
     return df
 
 
-def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index") -> DataFrame:
+def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index", stored: bool = False) -> DataFrame:
     """Dense 0-based position under `order` without a single-partition window.
 
     The rows are range-partitioned, sorted inside each partition and checkpointed, so the partition
     bounds sampled by the range exchange are fixed before the per-partition counts are taken. Only one
-    count per partition reaches the driver.
+    count per partition reaches the driver. The input is checkpointed first unless it is `stored` already,
+    because the range exchange reads it twice: once for its sample.
     """
+    df = df if stored else cut_lineage(df)
     ordered = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = ordered.select(
         "*",

@@ -112,41 +112,37 @@ def can_reverse() -> Column:
     )
 
 
+def _reversed_fields(flip: Column) -> dict[str, Column]:
+    """What a reversal changes where `flip` holds: the other side acts, and only the new origin's size is kept."""
+    a = F.col("action")
+    origin = F.when(F.col("side") == "source", F.col("src.size")).otherwise(F.col("dst.size"))
+    stays = lambda c: F.when(~flip, F.col(c))
+    return {
+        "side": F.when(flip, F.when(F.col("side") == "source", "target").otherwise("source")).otherwise(F.col("side")),
+        "action": F.when(flip & (a == "copy"), "delete").when(flip & (a == "delete"), "copy").otherwise(a),
+        "from": stays("from"),
+        "size": F.when(flip & (a == "update"), F.when(F.col("link").isNull(), origin)).otherwise(F.col("size")),
+        "mtime_ms": stays("mtime_ms"),
+        "hash": stays("hash"),
+        "link": F.when(~(flip & (a == "copy")), F.col("link")),
+        "reason": F.when(flip, F.concat(F.lit("reversed("), F.col("reason"), F.lit(")"))).otherwise(F.col("reason")),
+    }
+
+
 def reversed_op() -> Column:
     """The operation struct after the user flips its direction; null where that is refused."""
-    a = F.col("action")
-    origin = F.when(F.col("side") == "source", F.col("src")).otherwise(F.col("dst"))
-    is_update = a == "update"
-    return F.when(
-        can_reverse(),
-        F.struct(
-            F.when(F.col("side") == "source", F.lit("target")).otherwise(F.lit("source")).alias("side"),
-            F.when(a == "copy", F.lit("delete")).when(a == "delete", F.lit("copy")).otherwise(a).alias("action"),
-            F.col("path").alias("path"),
-            F.lit(None).cast("string").alias("from"),
-            F.when(is_update & F.col("link").isNotNull(), F.lit(None))
-            .when(is_update, origin["size"])
-            .otherwise(F.col("size"))
-            .cast("bigint")
-            .alias("size"),
-            F.lit(None).cast("bigint").alias("mtime_ms"),
-            F.lit(None).cast("string").alias("hash"),
-            F.when(a != "copy", F.col("link")).alias("link"),
-            F.col("mode").alias("mode"),
-            F.concat(F.lit("reversed("), F.col("reason"), F.lit(")")).alias("reason"),
-        ),
-    )
+    fields = {**{c: F.col(c) for c in ("side", "action", "path", "from", "size", "mtime_ms", "hash", "link", "mode", "reason")},
+              **_reversed_fields(F.lit(True))}
+    return F.when(can_reverse(), F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def apply_reversals(df: DataFrame, flag: str = "reversed") -> DataFrame:
     """Replace flagged rows by their reversed form. Refused flags leave the row and set `reversal_refused`."""
-    rev = F.when(F.col(flag), reversed_op())
-    out = effective_evidence(df).withColumn("_rev", rev)
-    names = ["side", "action", "path", "from", "size", "mtime_ms", "hash", "link", "mode", "reason"]
-    flipped = F.col("_rev").isNotNull()
-    changed = {n: F.when(flipped, F.col("_rev")[n]).otherwise(F.col(n)) for n in names}
-    changed["reversal_refused"] = F.coalesce(F.col(flag), F.lit(False)) & ~flipped
-    return out.withColumns(changed).drop("_rev")
+    asked = F.coalesce(F.col(flag), F.lit(False))
+    ready = effective_evidence(df).withColumn("_flip", asked & can_reverse())
+    changed = _reversed_fields(F.col("_flip"))
+    changed["reversal_refused"] = asked & ~F.col("_flip")
+    return ready.withColumns(changed).drop("_flip")
 
 
 def row_size() -> Column:
@@ -225,7 +221,7 @@ def evidence_axes(axes: Column, evidence: Column) -> Column:
 
 def run_label() -> Column:
     """State text of a run record: compare results, counts, interruption."""
-    stamp = F.date_format(text.utc_time("ts_ms"), "yyyy-MM-dd HH:mm:ss")
+    stamp = text.stamp("ts_ms")
     plural = lambda c, word: F.when(
         F.coalesce(F.col(c), F.lit(0)) > 0, F.concat(F.lit(" · "), F.col(c).cast("string"), F.lit(word))
     ).otherwise(F.lit(""))

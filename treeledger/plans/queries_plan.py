@@ -119,7 +119,7 @@ def space_check(spark, sf):
         sum(CASE WHEN folder = owner THEN deletion ELSE 0 END)::BIGINT AS direct_deletion_bytes,
         count(*) AS result_count, sum(transfer)::BIGINT AS transfer_bytes, sum(deletion)::BIGINT AS deletion_bytes,
         min(op_index) AS first_index, CASE WHEN folder = '' THEN 'Root Level' ELSE regexp_extract(folder, '[^/]*$') END AS label,
-        length(folder) - length(replace(folder, '/', '')) AS depth
+        (length(folder) - length(replace(folder, '/', '')))::INT AS depth
         FROM (SELECT *, unnest(CASE WHEN owner = '' THEN [''] ELSE list_transform(range(1, len(string_split(owner, '/')) + 1), lambda i: array_to_string(string_split(owner, '/')[1:i], '/')) END) AS folder FROM own)
         GROUP BY folder"""
     ),
@@ -294,7 +294,7 @@ def directory_outcomes(spark, sf):
     "scalar_formats",
     plan_sql(
         """SELECT op_index, regexp_replace(path, '/?[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS base,
-        length(path) - length(replace(path, '/', '')) AS depth,
+        (length(path) - length(replace(path, '/', '')))::INT AS depth,
         CASE WHEN amount < 1024 THEN amount || ' B' ELSE printf('%.1f', amount / 1024.0) || ' KiB' END AS human,
         strftime(make_timestamp(ms // 1000 * 1000000), '%Y%m%d-%H%M%S') AS stamp,
         CASE WHEN amount // 3600000 > 0 THEN amount // 3600000 || ':' || lpad(CAST(amount // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(amount // 1000 % 60 AS VARCHAR), 2, '0')

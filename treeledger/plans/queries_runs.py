@@ -260,7 +260,7 @@ def outcome_ledger(spark, sf):
 @query(
     "fault_list",
     events_sql(
-        """SELECT * FROM (SELECT run_id, path, action, side, message, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS position FROM (
+        """SELECT * FROM (SELECT run_id, path, action, side, message, (row_number() OVER (PARTITION BY run_id ORDER BY seq))::INT AS position FROM (
           SELECT run_id, path, action, message, min(seq) AS seq, arg_min(side, seq) AS side FROM ev WHERE kind = 'error' AND action <> 'walk' GROUP BY run_id, path, action, message))
         WHERE position <= 12"""
     ),

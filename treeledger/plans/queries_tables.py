@@ -226,7 +226,7 @@ def grouped_rows(spark, sf):
 @query(
     "grouped_folders",
     plan_sql(
-        """SELECT e.folder, length(e.folder) - length(replace(e.folder, '/', '')) AS depth, e.f AS first_index, e.n AS count, e.x AS executable_count, e.bytes,
+        """SELECT e.folder, (length(e.folder) - length(replace(e.folder, '/', '')))::INT AS depth, e.f AS first_index, e.n AS count, e.x AS executable_count, e.bytes,
         s.start, s.start + e.n AS "end" FROM elem e JOIN (SELECT unnest(line) AS folder, min(display_index) AS start FROM shown GROUP BY 1) s ON s.folder = e.folder""",
         TREE,
     ),
