@@ -29,11 +29,11 @@ RIGOR = {
 RIGOR_AXES = ["hash", "sampled", "use_cache", "escalate", "verify_writes"]
 
 
-def _lookup(key: Column, table: dict, default) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+def _lookup(key: Column, table: dict, default=None) -> Column:
+    """A fixed table as one map access: the key expression appears once in the generated code."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(pairs, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def action_rank(action: Column | str = "action") -> Column:
@@ -186,16 +186,11 @@ def is_cloud_placeholder(path: Column | str = "path") -> Column:
 
 def execution_class(delta: bool = False) -> Column:
     """Order in which an executor runs the plan; null for reports. `delta` splits off content updates."""
-    a = F.col("action")
-    delta = F.lit(delta) & (a == "update") & F.col("link").isNull()
-    return (
-        F.when(a == "move", 0)
-        .when(delta, 2)
-        .when(a.isin("copy", "update"), 1)
-        .when(a == "chmod", 3)
-        .when(a == "delete", 4)
-        .when(a == "delete_dir", 5)
-    )
+    order = {**{name: i for i, name in enumerate(EXECUTION_CLASSES) if name != "delta_update"}, "update": 2 if delta else 1}
+    placed = _lookup(F.col("action"), order)
+    if not delta:
+        return placed
+    return F.when((F.col("action") == "update") & F.col("link").isNotNull(), 1).otherwise(placed)
 
 
 def rigor_axes(preset: Column, overrides: dict[str, Column] | None = None) -> Column:

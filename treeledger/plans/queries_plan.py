@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rows, text
-from ..operators import evidence, passes, stats
-from ..operators.compare import Options, Sides, identical_files
+from ..operators import evidence, passes, stats, validate
 from . import fixtures as fx
 from .compare import compare, plan_header
 from .registry import query
@@ -316,3 +315,57 @@ def scalar_formats(spark, sf):
         text.relative_time("ms", fx.PLAN_MS).alias("ago"), text.relative_age("ms", fx.PLAN_MS).alias("age"),
         text.conflict_name("path", F.lit("nas.01"), F.col("ms")).alias("kept"),
     )
+
+
+@query(
+    "preflight_verdict",
+    fx.with_sql(
+        fx.BASE_SQL,
+        fx.MIRROR_OPS_SQL,
+        select="""SELECT level, message FROM (
+          SELECT 'warning' AS level, 'source: 1 subtree(s) could not be read, so this comparison left them out on both sides — nothing under them will be copied or deleted, and nothing there has been compared: src3/en. Grant access and compare again to include them.' AS message
+          UNION ALL SELECT 'warning', 'target: plan deletes ' || d || ' of ' || n || ' entries (' || CAST(round_even(d * 100.0 / n, 0) AS BIGINT) || '%) — over the 1% mark. A wrong filter, an unmounted share, or swapped source/target all look exactly like this.'
+            FROM (SELECT (SELECT count(*) FROM ops WHERE action = 'delete') AS d, (SELECT count(*) FROM tgt_all) AS n) WHERE d / n >= 0.01
+          UNION ALL SELECT 'blocker', 'target: not enough free space on /mnt/t: writing needs ~' || need || ' (plus 0 B reserve), only 0 B available'
+            FROM (SELECT """
+        + fx.human_sql("w + w // 10")
+        + """ AS need FROM (SELECT sum(size)::BIGINT AS w FROM ops WHERE action IN ('copy', 'update')))
+          UNION ALL SELECT 'verdict', 'attended_ok=false unattended_ok=false')""",
+    ),
+)
+def preflight_verdict(spark, sf):
+    """All safety checks of a mirror plan, and whether it may run."""
+    source, target, _ = fx.inventories(spark, sf)
+    made = compare(source, target, "mirror")
+    head = plan_header(made, fx.PLAN_MS)
+    per_side = stats.side_stats(made.operations())
+    entries = head.select(
+        F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_entries").alias("entries")) for s in ("source", "target")])).alias("e")
+    ).select("e.*")
+    zero = F.lit(0).cast("bigint")
+    capacity = per_side.select("side", F.lit("/mnt/t").alias("display"), zero.alias("available"), zero.alias("total"))
+    guards = stats.Guards(max_delete_ratio=0.01)
+    v = stats.verdict(
+        [stats.scan_findings(head), stats.delete_ratio_findings(per_side, entries, guards), stats.space_findings(per_side, capacity, guards)]
+    )
+    listed = lambda c, level: F.transform(c, lambda m: F.struct(F.lit(level).alias("level"), m.alias("message")))
+    outcome = F.concat(F.lit("attended_ok="), F.col("attended_ok").cast("string"), F.lit(" unattended_ok="), F.col("unattended_ok").cast("string"))
+    every = F.concat(listed(F.col("blockers"), "blocker"), listed(F.col("warnings"), "warning"), F.array(F.struct(F.lit("verdict").alias("level"), outcome.alias("message"))))
+    return v.select(F.explode(every).alias("f")).select("f.*")
+
+
+@query(
+    "header_attestation",
+    fx.with_sql(
+        fx.BASE_SQL,
+        select="""SELECT 'stated value differs' AS rule, subject, detail FROM (
+          SELECT 'target_entries' AS subject, (SELECT count(*) + 1 FROM tgt_all) || ' vs ' || (SELECT count(*) FROM tgt_all) AS detail
+          UNION ALL SELECT 'source_unread_entries', '0 vs ' || ((SELECT count(*) FROM src_all) - (SELECT count(*) FROM src)))""",
+    ),
+)
+def header_attestation(spark, sf):
+    """A stored plan header with two wrong facts, checked against the header recomputed from both inventories."""
+    source, target, _ = fx.inventories(spark, sf)
+    actual = plan_header(compare(source, target, "enrich"), fx.PLAN_MS)
+    stated = actual.withColumns({"target_entries": F.col("target_entries") + 1, "source_unread_entries": F.lit(0).cast("bigint")})
+    return validate.attestation_faults(stated, actual)
