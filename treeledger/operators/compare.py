@@ -354,13 +354,13 @@ def possible_moves(decided: DataFrame) -> DataFrame:
 
 def duplicate_notes(sides: Sides, decided: DataFrame) -> DataFrame | None:
     """A note per file twin that normalisation folded onto an earlier path; none when no key has twins."""
+    files = F.col("kind") == "file"
+    most = decided.where(files).agg(F.max("s_twins").alias("s"), F.max("t_twins").alias("t")).first()
     out = None
     for p, (side, f) in enumerate((("source", "s"), ("target", "t"))):
-        crowded = decided.where((F.col("kind") == "file") & (F.col(f"{f}_twins") > 1)).select(
-            "kind", "key", F.col(f"{f}.path").alias("first_path")
-        )
-        if crowded.isEmpty():
+        if (most[f] or 0) < 2:
             continue
+        crowded = decided.where(files & (F.col(f"{f}_twins") > 1)).select("kind", "key", F.col(f"{f}.path").alias("first_path"))
         twins = later_twins(sides.readable(sides.inventory(side), ("file",)), crowded)
         notes = op_rows(twins, quoted(side), "'note'", "path", quoted(DUPLICATE), pass_no=p, key="path")
         out = notes if out is None else out.unionByName(notes)

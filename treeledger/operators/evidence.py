@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import with_global_index
 from ..functions import rows, text
 from ..schema import OP_COLUMNS
 from .compare import Sides, identical_files
 from .inventory import Inventory
 
+TOP_ROWS = 100_000
 ESCALATED = "escalated: sampled digests equal, mtime differs, full hashes differ"
 
 
@@ -48,12 +50,21 @@ def identical_totals(sides: Sides) -> DataFrame:
 
 
 def identical_page(sides: Sides, search: str = "", offset: int = 0, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(total row, one page in key order). The page is a top-k, so only offset + limit rows are sorted together."""
+    """(total row, one page in key order).
+
+    Near the start a page is a top-k. A deep page would gather every row before it, so beyond
+    `TOP_ROWS` the rows are positioned by a distributed sort and the page is a range of positions.
+    """
     found = identical_files(sides)
     wanted = search.strip().lower()
     if wanted:
         found = found.where(F.contains(F.lower("path"), F.lit(wanted)))
-    page = found.orderBy("key").offset(offset).limit(limit).drop("key")
+    if offset + limit <= TOP_ROWS:
+        page = found.orderBy("key").offset(offset).limit(limit).drop("key")
+    else:
+        place = F.col("_place")
+        placed = with_global_index(found, [F.col("key")], "_place")
+        page = placed.where((place >= offset) & (place < offset + limit)).drop("key", "_place")
     return found.agg(F.count(F.lit(1)).alias("total")), page
 
 
@@ -88,8 +99,6 @@ def escalation_verdicts(suspects: DataFrame, full: DataFrame, mode: str, window_
 
 def append_escalated(plan: DataFrame, escalated: DataFrame) -> DataFrame:
     """Escalated rows go behind the sorted plan, in path order, with the following positions."""
-    from ..cluster import with_global_index
-
     start = plan.agg(F.coalesce(F.max("op_index") + 1, F.lit(0)).cast("bigint")).scalar()
     placed = with_global_index(escalated, [F.col("path")], "op_index").withColumn("op_index", F.col("op_index") + start)
     return plan.unionByName(placed.select(*plan.columns))

@@ -79,7 +79,10 @@ def stage_stream(events: DataFrame) -> DataFrame:
 
 
 def throttle_stream(events: DataFrame, spacing_ms: int = SPACING_MS) -> DataFrame:
-    """Progress rows kept when each must follow the last kept one of its phase by the spacing (append mode)."""
+    """Progress rows kept when each must follow the last kept one of its phase by the spacing (append mode).
+
+    A micro-batch brings one phase's rows to one task; bound it at the source (files or offsets per trigger).
+    """
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -208,8 +211,8 @@ def compare_rounds(
 
     def round_(rows: DataFrame, round_no: int) -> None:
         spark = rows.sparkSession
-        arrived = [r["snapshot_id"] for r in rows.orderBy("ts_ms").limit(1000).collect()]
-        for place, snapshot_id in enumerate(arrived):
+        for place, row in enumerate(rows.orderBy("ts_ms").select("snapshot_id").toLocalIterator()):
+            snapshot_id = row["snapshot_id"]
             made = compare(load(spark, snapshot_id), target, mode, **compare_options)
             side_stats(made.operations()).withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").parquet(
                 f"{path}/round={round_no}/place={place}"
