@@ -130,9 +130,11 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
     """Proposal rounds over the large buckets. No bucket is ever gathered into one task.
 
     Each add walks three lists: files with its parent, files with its name, all files. In a round the
-    j-th free add of a list (in key order) proposes to the j-th file that would still accept the list's
-    first free add. That is exact up to the first position whose holder outranks the proposer; the rest
-    wait for the next round. An add past the end of its list moves to its next list.
+    j-th asking add of a list (in key order) proposes to the j-th file that would still accept the list's
+    first free add; adds after that one which hold files through the same list ask again with it, so a
+    file lost to another list shifts the whole list at once. That is exact up to the first position whose
+    holder outranks the proposer; the rest wait for the next round. An add past the end of its list moves
+    to its next list.
     """
     ranked = ranked_in_group(a.join(buckets, BUCKET), BUCKET, ["key"], "turn")
     free = cut_lineage(
@@ -155,10 +157,18 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
     )
     carried = [*BUCKET, "nd", "add_key", "parent", "name", "turn", "stage"]
     held = free.limit(0).select(*carried, F.lit("").alias("del_key"))
+    wants = F.when(F.col("stage") == 1, F.col("parent")).when(F.col("stage") == 2, F.col("name")).otherwise(F.lit(""))
     while not free.isEmpty():
-        wants = F.when(F.col("stage") == 1, F.col("parent")).when(F.col("stage") == 2, F.col("name")).otherwise(F.lit(""))
-        asking = ranked_in_group(free.withColumn("wants", wants), _LIST, ["turn"], "j", stored=True)
+        asking = free.withColumn("wants", wants)
         earliest = asking.groupBy(*_LIST).agg(F.min("turn").alias("_first"))
+        # Later holders of the same list give way: they can only move down it, and do so in this round.
+        listed = cut_lineage(
+            held.withColumn("wants", wants).join(earliest, _LIST, "left")
+            .withColumn("_yields", F.coalesce(F.col("turn") > F.col("_first"), F.lit(False))).drop("_first")
+        )
+        held = listed.where("not _yields").select(*carried, "del_key")
+        pool = asking.unionByName(listed.where("_yields").select(*asking.columns))
+        asking = ranked_in_group(pool, _LIST, ["turn"], "j")
         holders = held.select(*BUCKET, "del_key", F.col("turn").alias("holder"))
         open_files = (
             lists.join(earliest, _LIST)
