@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..cluster import cut_lineage, ranked_in_group
 from ..functions import text
 
-BUCKET_LIMIT = 4096
+# A grouped pass holds one bucket: at this many short rows, some tens of megabytes.
+BUCKET_LIMIT = 100_000
 BUCKET = ["flow", "digest", "size"]
 PAIRS = "flow string, digest string, size bigint, add_key string, del_key string, candidates bigint"
 
