@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .counts import token_counts
 from .dedup import exact_groups
+from .mixing import allocate, mix, taken
+from .simhash import components_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +23,13 @@ def query(fn):
     return fn
 
 
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allocated = allocate(documents(spark, sf_dir))
+    mixed = taken(allocated, mix(allocated))
+    return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
@@ -36,6 +46,11 @@ FROM n
 """
 
 
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(documents(spark, sf_dir))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
