@@ -1,0 +1,28 @@
+"""Values of a growing dictionary brought to whole texts, block by block, without broadcasting the dictionary."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pick
+
+#: Bytes of text in a block, on average. A block is what a Python function sees at once.
+BLOCK_BYTES = 12 << 20
+
+
+def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, key, text: rows dealt evenly to blocks of about `block_bytes`, whatever sources, copies or nulls there are."""
+    rows = pick(docs, key, text).select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(1, -(-int(total) // block_bytes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(number)).cast("int").alias("block"), "key", "text").repartition(number, "block")
+
+
+def attach(placed: DataFrame, asked: DataFrame, dictionary: DataFrame, on: str, apply: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """`apply` of each block's rows of `placed` and the `dictionary` rows for what `asked` (block, `on`) names."""
+    answers = asked.join(dictionary, on)
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-from functools import lru_cache
+from collections.abc import Iterator
 
+import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .blocks import attach, in_blocks
+from .common import cut_lineage
 
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -21,17 +28,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array<map<binary, int>>, in the bucket that `ranked` looks in. Its size is the vocabulary's."""
+    """The ranks as a literal array<map<string, int>> by the tokens' hexadecimal digits. Its size is the vocabulary's.
+
+    Catalyst folds the text to a literal once for each place where it stands, so it is to be bound by `let`.
+    """
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        buckets[xxhash.xxh64_intdigest(token, 42) % BUCKETS][token.hex()] = rank
-    read = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-    return F.transform(read, lambda m: F.transform_keys(m, lambda k, v: F.unhex(k)))
+        buckets[xxhash.xxh64_intdigest(token, 42) % BUCKETS][token.hex().upper()] = rank
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def ranked(table: Column, piece: Column) -> Column:
-    """The rank of a piece, null if it is no token."""
-    return F.try_element_at(F.get(table, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece)
+    """The rank of a piece (binary), null if it is no token."""
+    return F.try_element_at(F.get(table, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), F.hex(piece))
 
 
 def let(value: Column, body) -> Column:
@@ -75,6 +84,57 @@ def merged(table: Column, word: Column) -> Column:
     return F.aggregate(rounds, start, step, lambda s: s["parts"])
 
 
-def encoded(table: Column, word: Column) -> Column:
-    """The ids (array<int>) of a word (binary); a word that is a token is that token."""
-    return F.coalesce(F.transform(F.when(ranked(table, word).isNotNull(), F.array(word)), lambda p: ranked(table, p)), F.transform(merged(table, word), lambda p: ranked(table, p)))
+def encoded(ranks: dict[bytes, int], word: Column) -> Column:
+    """The ids (array<int>) of a non-empty word (binary). A word that is a token is that token."""
+
+    def ids(table: Column) -> Column:
+        whole = ranked(table, word)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(merged(table, word), lambda p: ranked(table, p)))
+
+    return let(rank_map(ranks), ids)
+
+
+def distinct_words(pattern: str, by_block: bool):
+    """A mapInArrow function: the distinct pattern matches of the texts, of each block or of the task's rows."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        seen: dict[int, set[str]] = {}
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                seen.setdefault(block if by_block else 0, set()).update(find(text.as_py()))
+        for block, found in seen.items():
+            ordered = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ordered), pa.int32()), pa.array(ordered, pa.string())], ["block", "word"])
+
+    return words
+
+
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, n_tokens, ids_sha256 and decoded_sha256 of each row: its text's ids, and the bytes that they decode to.
+
+    Each match of `pattern` is encoded separately, without special tokens. The corpus's distinct matches are encoded once each,
+    by the fold of `encoded`; blocks of texts then meet the ids of their own words. Decoding concatenates the ids' bytes.
+
+    Null counts as empty and has no tokens. Equal rows give equal rows; further columns are ignored.
+    """
+    placed = in_blocks(docs, key, text)
+    asked = placed.mapInArrow(distinct_words(pattern, True), "block int, word string")
+    ids = F.array_join(encoded(ranks, F.col("word").cast("binary")).cast("array<string>"), ",")
+    dictionary = cut_lineage(asked.select("word").distinct().withColumn("ids", ids))
+    tokens = {rank: token for token, rank in ranks.items()}
+    schema = T.StructType([placed.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        find = regex.compile(pattern).findall
+        ids = dict(zip(answers.column("word").to_pylist(), answers.column("ids").to_pylist(), strict=True))
+        out: list[tuple[int, str, str]] = []
+        for text in texts.column("text"):
+            line = ",".join(map(ids.__getitem__, find(text.as_py())))
+            own = line.split(",") if line else []
+            decoded = b"".join(map(tokens.__getitem__, map(int, own)))
+            out.append((len(own), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        n, a, b = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"key": texts.column("key"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+
+    return attach(placed, asked, dictionary, "word", apply, schema).withColumnRenamed("key", key)

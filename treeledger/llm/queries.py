@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode, read_ranks
 from .common import documents
 from .counts import token_counts
 from .dedup import exact_groups
@@ -23,6 +24,12 @@ def query(fn):
     return fn
 
 
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     allocated = allocate(documents(spark, sf_dir))
