@@ -1,19 +1,55 @@
-"""The corpus pipeline: documents in, encoded training documents out."""
+"""The corpus pipeline: documents in, encoded training documents out.
+
+Low quality goes, then exact copies, then near copies; what is left is mixed to the sources' target weights and encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from treeledger.llm.bpe import encode_decode, read_ranks
 from treeledger.llm.dedup import without_copies
+from treeledger.llm.mixing import allocate, mix, shuffled
+from treeledger.llm.quality import good_only
+from treeledger.llm.simhash import one_of_each
 
+#: The classifier, the fingerprints and the mix have no SQL form.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it is fitted on a bounded sample of `docs` and the labels."""
+    return good_only(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
     return without_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that reach each other over SimHash links, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document stands in it as often as its source's target wants, shard by shard in shuffled order."""
+    return shuffled(docs, mix(allocate(docs)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix."""
+    return encode_decode(docs, read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("mixing sources", source_mix),
+    ("byte-level bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
