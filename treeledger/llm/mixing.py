@@ -86,8 +86,8 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
         node = node.withColumn("total", total)
         start = F.struct(F.col("total").alias("pool"), F.floor(F.col("total") / 2).alias("open"), F.lit(0).alias("i"), F.array().cast("array<bigint>").alias("taken"))
 
-        def draw(state: Column, quota: Column, level: int = level) -> Column:
-            bits = F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), state["i"])
+        def draw(state: Column, quota: Column) -> Column:
+            bits = F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), state["i"])  # noqa: B023  used up before the next level
             uniform = (bits.bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
             k = hypergeometric(state["pool"], quota, state["open"], uniform)
             return F.struct((state["pool"] - quota).alias("pool"), (state["open"] - k).alias("open"), (state["i"] + 1).alias("i"), F.concat(state["taken"], F.array(k)).alias("taken"))

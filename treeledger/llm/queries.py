@@ -13,6 +13,7 @@ from .common import documents, table
 from .counts import token_counts
 from .dedup import exact_groups
 from .mixing import allocate, mix, taken
+from .pii import personal_data
 from .quality import fitted, scored
 from .simhash import components_of
 
@@ -60,6 +61,11 @@ FROM n
 """
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(documents(spark, sf_dir))
