@@ -46,8 +46,8 @@ def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """One row per document: key, size, source, rank, source_size, target, at, copies.
 
     Each source's documents stand in a pseudo-random order that depends on seed, key and size only. Whole passes over the
-    source come first, then the documents of the order up to the target, the last one to the nearer side. `at` is the number of
-    words before the document in the order. Null texts and texts without words have size 0 and are never drawn.
+    source come first, then the documents of the order that still fit the target whole, and last the one document of the others
+    whose size is nearest to what is left, if that comes nearer. `at` is the number of words before the document in the order. Null texts and texts without words have size 0 and are never drawn.
     """
     sizes = cut_lineage(
         pick(docs, key, text, source).select(
@@ -62,9 +62,15 @@ def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - passes * F.col("source_size")
-    part = (F.col("at") + F.col("size") / 2 < rest).cast("int")
-    copies = F.when(F.col("size") > 0, passes + part).otherwise(0).cast("int")
-    return cut_lineage(placed.withColumn("copies", copies).drop("order"))
+    placed = cut_lineage(placed.withColumn("passes", passes).withColumn("rest", rest).withColumn("part", F.col("at") + F.col("size") <= F.col("rest")))
+    left = placed.where("not part").groupBy("rank").agg(F.max(F.col("rest") - F.col("at")).alias("gap"))
+    open_ = even_lookup(placed.where("not part and size > 0").select("rank", "size", "order", "row"), left, ["rank"])
+    off = F.abs(F.col("size") - F.col("gap"))
+    last = open_.where(off < F.col("gap")).groupBy("rank").agg(F.min(F.struct(off.alias("off"), "order", "row")).alias("best"))
+    placed = placed.join(last.select(F.col("best.row").alias("row"), F.lit(True).alias("last")), "row", "left")
+    part = (F.col("part") | F.coalesce("last", F.lit(False))).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("passes") + part).otherwise(0).cast("int")
+    return cut_lineage(placed.withColumn("copies", copies).drop("order", "passes", "rest", "part", "last"))
 
 
 def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
