@@ -15,6 +15,7 @@ from .dedup import exact_groups
 from .mixing import allocate, mix, taken
 from .pii import personal_data
 from .quality import fitted, scored
+from .rules import judged
 from .simhash import components_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
