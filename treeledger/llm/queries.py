@@ -12,6 +12,7 @@ from .bpe import encode_decode, read_ranks
 from .common import documents, table
 from .counts import token_counts
 from .dedup import exact_groups
+from .licenses import license_scan
 from .mixing import allocate, mix, taken
 from .pii import personal_data
 from .quality import fitted, scored
@@ -27,6 +28,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
