@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding (operator 3): higher-order functions fold ranked merges over distinct words."""
+"""Byte-level BPE encoding and decoding (operator 3): ranked merges folded over the bytes of distinct words."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -13,18 +16,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import attach, in_blocks
-from .common import cut_lineage
+from .common import pick
 
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
 BUCKETS = 1 << 14
+#: Words that a Python worker remembers; past it they are forgotten and folded anew.
+REMEMBERED = 1 << 19
+#: Longer words are folded with a heap. Words, or characters of a text, worked off at once.
+LONG_WORD = 48
+PART_WORDS = 1 << 18
+NONE = 1 << 62
+
+
+def parse_ranks(vocabulary: bytes) -> dict[bytes, int]:
+    """Token bytes and ranks of a vocabulary file's content: a base64 token and its rank in each line."""
+    lines = (line.split() for line in vocabulary.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ranks of a vocabulary file: a base64 token and its rank in each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        return parse_ranks(f.read())
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -94,47 +108,150 @@ def encoded(ranks: dict[bytes, int], word: Column) -> Column:
     return let(rank_map(ranks), ids)
 
 
-def distinct_words(pattern: str, by_block: bool):
-    """A mapInArrow function: the distinct pattern matches of the texts, of each block or of the task's rows."""
+def encoded_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word") -> DataFrame:
+    """`word` and ids of each distinct word of a table, by the fold above: for dictionaries, all in DataFrame functions.
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        seen: dict[int, set[str]] = {}
+    Null and empty words have no ids.
+    """
+    binary = F.col(word).cast("binary")
+    ids = F.when(F.octet_length(word) > 0, encoded(ranks, binary)).otherwise(F.array().cast("array<int>"))
+    return words.select(word).distinct().select(word, ids.alias("ids"))
+
+
+class Coder:
+    """Encodes texts word by word; a word's ids are folded once and remembered."""
+
+    def __init__(self, vocabulary: bytes, pattern: str):
+        self.ranks = parse_ranks(vocabulary)
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.words = regex.compile(pattern)
+        self.known: dict[str, str] = {}
+
+    def fold(self, word: bytes) -> list[int]:
+        """The ids of a word: the pair of lowest rank is merged until no pair has a rank, the leftmost of equal ranks first."""
+        ranks = self.ranks
+        if (whole := ranks.get(word)) is not None:
+            return [whole]
+        if len(word) > LONG_WORD:
+            return self._fold_long(word)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        while pairs and (best := min(pairs)) != NONE:
+            at = pairs.index(best)
+            parts[at : at + 2] = [piece := parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = ranks.get(piece + parts[at + 1], NONE)
+            if at:
+                pairs[at - 1] = ranks.get(parts[at - 1] + piece, NONE)
+        return [ranks[p] for p in parts]
+
+    def _fold_long(self, word: bytes) -> list[int]:
+        """The same with a heap of pairs and linked pieces, for words of any length."""
+        ranks, n = self.ranks, len(word)
+        end, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # of the piece that begins at a place; 0 once it is merged
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2], NONE)) != NONE]
+        heapify(heap)
+        while heap:
+            _, i, j = heappop(heap)
+            k = end[i]
+            if not k or k >= n or end[k] != j:
+                continue  # one of the two is merged already
+            end[i], end[k] = j, 0
+            if j < n:
+                before[j] = i
+                if (r := ranks.get(word[i : end[j]], NONE)) != NONE:
+                    heappush(heap, (r, i, end[j]))
+            if i and (r := ranks.get(word[before[i] : j], NONE)) != NONE:
+                heappush(heap, (r, before[i], j))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[word[i : end[i]]])
+            i = end[i]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        for w in set(words).difference(self.known):
+            self.known[w] = ",".join(map(str, self.fold(w.encode("utf-8", "surrogatepass"))))
+
+    def lines(self, text: str) -> Iterator[str]:
+        """The text's ids in decimal, comma-joined, in parts of up to PART_WORDS words."""
+        if len(text) <= PART_WORDS:
+            parts = iter([self.words.findall(text)])
+        else:
+            found = self.words.finditer(text)
+            parts = iter(lambda: [m[0] for m in islice(found, PART_WORDS)], [])
+        for words in parts:
+            if words:
+                try:
+                    yield ",".join(map(self.known.__getitem__, words))
+                except KeyError:
+                    self._learn(words)
+                    yield ",".join(map(self.known.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for line in self.lines(text) for i in line.split(",")]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids, digest of the bytes that they decode to."""
+        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for line in self.lines(text):
+            ids.update(("," if n else "").encode() + line.encode())
+            own = [*map(int, line.split(","))]
+            n += len(own)
+            decoded.update(self.decode(own))
+        return n, ids.hexdigest(), decoded.hexdigest()
+
+
+@lru_cache(maxsize=2)
+def coder(vocabulary: bytes, pattern: str) -> Coder:
+    """One coder per Python worker: what it has learnt serves the worker's later tasks."""
+    return Coder(vocabulary, pattern)
+
+
+def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: str, columns: list[T.StructField], row) -> DataFrame:
+    with open(vocabulary, "rb") as f:
+        payload = f.read()
+    rows = pick(docs, key, source).toDF("key", "value")
+    schema = T.StructType([rows.schema["key"], *columns])
+    names = [c.name for c in columns]
+    types = [to_arrow_type(c.dataType) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(payload, pattern)
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                seen.setdefault(block if by_block else 0, set()).update(find(text.as_py()))
-        for block, found in seen.items():
-            ordered = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ordered), pa.int32()), pa.array(ordered, pa.string())], ["block", "word"])
+            out = [*zip(*(row(own, v.as_py()) for v in batch.column(1)), strict=True)] or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["key", *names])
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key` and ids (array<int>) of each row; null counts as empty."""
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    return _mapped(docs, vocabulary, pattern, key, text, [ids], lambda c, t: (c.encode(t or ""),))
+
 
-    return words
+def decode(rows: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """`key` and data (binary): the concatenated bytes of the ids; null counts as no ids."""
+    data = T.StructField("data", T.BinaryType())
+    return _mapped(rows, vocabulary, pattern, key, ids, [data], lambda c, x: (c.decode(x or []),))
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_tokens, ids_sha256 and decoded_sha256 of each row: its text's ids, and the bytes that they decode to.
 
-    Each match of `pattern` is encoded separately, without special tokens. The corpus's distinct matches are encoded once each,
-    by the fold of `encoded`; blocks of texts then meet the ids of their own words. Decoding concatenates the ids' bytes.
+    Each match of `pattern` is encoded separately, without special tokens: the ranked merges are folded over the bytes of each
+    distinct word once per Python worker, up to a bound on what is remembered, and texts look their words up. Decoding
+    concatenates the ids' bytes. One pass without a shuffle; the vocabulary file (about 1 MB) goes along with the tasks.
 
-    Null counts as empty and has no tokens. Equal rows give equal rows; further columns are ignored.
+    Null counts as empty and has no tokens. Long texts are worked off in parts, long words by a heap. Equal rows give equal
+    rows; further columns are ignored.
     """
-    placed = in_blocks(docs, key, text)
-    asked = placed.mapInArrow(distinct_words(pattern, True), "block int, word string")
-    ids = F.array_join(encoded(ranks, F.col("word").cast("binary")).cast("array<string>"), ",")
-    dictionary = cut_lineage(asked.select("word").distinct().withColumn("ids", ids))
-    tokens = {rank: token for token, rank in ranks.items()}
-    schema = T.StructType([placed.schema["key"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
-    def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        find = regex.compile(pattern).findall
-        ids = dict(zip(answers.column("word").to_pylist(), answers.column("ids").to_pylist(), strict=True))
-        out: list[tuple[int, str, str]] = []
-        for text in texts.column("text"):
-            line = ",".join(map(ids.__getitem__, find(text.as_py())))
-            own = line.split(",") if line else []
-            decoded = b"".join(map(tokens.__getitem__, map(int, own)))
-            out.append((len(own), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        n, a, b = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"key": texts.column("key"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
-
-    return attach(placed, asked, dictionary, "word", apply, schema).withColumnRenamed("key", key)
+    columns = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(docs, vocabulary, pattern, key, text, columns, lambda c, t: c.digests(t or ""))

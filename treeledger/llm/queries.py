@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encode_decode, read_ranks
+from .bpe import encode_decode
 from .common import documents, table
 from .counts import token_counts
 from .dedup import exact_groups
@@ -41,8 +41,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
 
 
 @query
