@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .common import documents, table
 from .counts import token_counts
 from .dedup import exact_groups
+from .language_model import score
 from .licenses import license_scan
 from .mixing import allocate, mix, taken
 from .pii import personal_data
@@ -83,6 +84,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(documents(spark, sf_dir))
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(documents(spark, sf_dir))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
