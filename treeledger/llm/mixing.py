@@ -78,16 +78,16 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
 
     The root holds all quotas. At each level a node's left child gets half of the node's blocks, how many of each source being
     a draw without replacement (one hypergeometric draw per source, given those before), and the right child gets the rest.
-    The leaves' quotas add up to the sources' quotas exactly. Nodes are rows, so the levels need no shuffle but one that deals
-    out the work. A node's row holds one number per source.
+    The leaves' quotas add up to the sources' quotas exactly. Nodes are rows; every four levels they are dealt out anew and
+    stored. A node's row holds one number per source.
     """
     depth = max(0, (shards - 1).bit_length())
     node = blocks.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("all")).select(
         F.lit(0).cast("bigint").alias("node"), F.col("all.rank").alias("ranks"), F.col("all.quota").alias("quotas")
     )
     for level in range(depth):
-        if level == 8:
-            node = node.repartition("node")
+        if level % 4 == 0 and level:
+            node = cut_lineage(node.repartition("node"))
         total = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda a, q: a + q)
         node = node.withColumn("total", total)
         start = F.struct(F.col("total").alias("pool"), F.floor(F.col("total") / 2).alias("open"), F.lit(0).alias("i"), F.array().cast("array<bigint>").alias("taken"))
@@ -95,8 +95,7 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
         def draw(state: Column, quota: Column) -> Column:
             bits = F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), state["i"])  # noqa: B023  used up before the next level
             uniform = (bits.bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
-            k = hypergeometric(state["pool"], quota, state["open"], uniform)
-            return F.struct((state["pool"] - quota).alias("pool"), (state["open"] - k).alias("open"), (state["i"] + 1).alias("i"), F.concat(state["taken"], F.array(k)).alias("taken"))
+            return let(hypergeometric(state["pool"], quota, state["open"], uniform), lambda k: F.struct((state["pool"] - quota).alias("pool"), (state["open"] - k).alias("open"), (state["i"] + 1).alias("i"), F.concat(state["taken"], F.array(k)).alias("taken")))
 
         node = node.withColumn("left", F.aggregate("quotas", start, draw, lambda s: s["taken"]))
         right = F.zip_with("quotas", "left", lambda q, k: q - k)
@@ -106,36 +105,51 @@ def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.explode(pairs).alias("p")).select("shard", "p.rank", "p.quota").where("quota > 0")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once; otherwise each mention would be an expression of its own."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series, nine terms up so that the error stays below 1e-12."""
-    x = n.cast("double") + 10.0
-    series = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    below = F.lit(0.0)
-    for i in range(1, 10):
-        below = below + F.ln(n.cast("double") + float(i))
-    return series - below
+    """ln n! by Stirling's series nine factors up, which keeps the error below 1e-12; the factors are divided out again."""
+
+    def series(m: Column) -> Column:
+        x = m + 10.0
+        above = m + 1.0
+        for i in range(2, 10):
+            above = above * (m + float(i))
+        return (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) - F.ln(above)
+
+    return let(n.cast("double"), series)
 
 
 def hypergeometric(pool: Column, good: Column, draws: Column, uniform: Column) -> Column:
     """Successes among `draws` from `pool` items of which `good` count, by inversion of `uniform` in (0, 1)."""
     n, k, m = pool.cast("double"), good.cast("double"), draws.cast("double")
     mean = F.when(n > 0, m * k / n).otherwise(0.0)
-    spread = F.when(n > 1, F.sqrt(F.greatest(mean * (1 - k / n) * (n - m) / (n - 1), F.lit(0.0)))).otherwise(0.0)
-    low = F.greatest(F.lit(0), draws - (pool - good), F.floor(mean - DEVIATIONS * spread - 10)).cast("bigint")
-    high = F.least(good, draws, F.ceil(mean + DEVIATIONS * spread + 10)).cast("bigint")
-    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
-    first = F.exp(choose(good, low) + choose(pool - good, draws - low) - choose(pool, draws))
-    start = F.struct(low.alias("pick"), first.alias("mass"), first.alias("sum"))
-
-    def step(s: Column, j: Column) -> Column:
-        """From j - 1 to j successes, unless the sum is there already."""
-        i = j - 1
-        mass = s["mass"] * (k - i) * (m - i) / ((i + 1) * (n - k - m + i + 1))
-        on = s["sum"] < uniform
-        return F.struct(F.when(on, j).otherwise(s["pick"]).alias("pick"), F.when(on, mass).otherwise(s["mass"]).alias("mass"), F.when(on, s["sum"] + mass).otherwise(s["sum"]).alias("sum"))
-
-    steps = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step, lambda s: s["pick"])
+    spread = F.when(n > 1, F.sqrt(F.greatest(m * k / n * (1 - k / n) * (n - m) / (n - 1), F.lit(0.0)))).otherwise(0.0)
+
+    def bounds(s: Column) -> Column:
+        reach = DEVIATIONS * s["spread"] + 10
+        low = F.greatest(F.lit(0), s["m"] - (s["n"] - s["k"]), F.floor(s["mean"] - reach))
+        high = F.least(s["k"], s["m"], F.ceil(s["mean"] + reach))
+        return let(F.struct(s["n"].alias("n"), s["k"].alias("k"), s["m"].alias("m"), low.cast("bigint").alias("low"), high.cast("bigint").alias("high")), invert)
+
+    def invert(s: Column) -> Column:
+        choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+        first = F.exp(choose(s["k"], s["low"]) + choose(s["n"] - s["k"], s["m"] - s["low"]) - choose(s["n"], s["m"]))
+        start = let(first, lambda x: F.struct(s["low"].alias("pick"), x.alias("mass"), x.alias("sum")))
+
+        def step(t: Column, j: Column) -> Column:
+            """From j - 1 to j successes, unless the sum is there already."""
+            i = j - 1
+            mass = t["mass"] * (s["k"] - i) * (s["m"] - i) / ((i + 1) * (s["n"] - s["k"] - s["m"] + i + 1))
+            return F.when(t["sum"] >= uniform, t).otherwise(let(mass, lambda x: F.struct(j.alias("pick"), x.alias("mass"), (t["sum"] + x).alias("sum"))))
+
+        steps = F.when(s["high"] > s["low"], F.sequence(s["low"] + 1, s["high"])).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(steps, start, step, lambda t: t["pick"])
+
+    return let(F.struct(n.alias("n"), k.alias("k"), m.alias("m"), mean.alias("mean"), spread.alias("spread")), bounds)
 
 
 def mix(allocated: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 7) -> DataFrame:
