@@ -13,6 +13,7 @@ BLOCK_WORDS = 1 << 16
 SHARD_BLOCKS = 64
 #: Draws are inverted within so many standard deviations of their mean; what lies beyond weighs less than 1e-20.
 DEVIATIONS = 10
+LARGE = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -46,8 +47,9 @@ def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     """One row per document: key, size, source, rank, source_size, target, at, copies.
 
     Each source's documents stand in a pseudo-random order that depends on seed, key and size only. Whole passes over the
-    source come first, then the documents of the order that still fit the target whole, and last the one document of the others
-    whose size is nearest to what is left, if that comes nearer. `at` is the number of words before the document in the order. Null texts and texts without words have size 0 and are never drawn.
+    source come first. The rest of the target takes documents of the order while they fit whole: large ones (over 1 / LARGE of
+    the rest) first, since the others can fill up what these leave, and last the one document whose size is nearest to what is
+    still open, if that comes nearer. `at` is the number of words before the document in the order. Null texts and texts without words have size 0 and are never drawn.
     """
     sizes = cut_lineage(
         pick(docs, key, text, source).select(
@@ -57,20 +59,23 @@ def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     )
     targets = cut_lineage(source_targets(sizes.select("source", "size"), **shares))
     order = F.xxhash64(F.lit(seed), F.col("key"), F.col("size"))
-    placed = running_total(
-        even_lookup(sizes, targets, ["source"]).withColumn("order", order), ["rank"], ["order", "key", "row"], F.col("size"), "at"
-    )
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - passes * F.col("source_size")
-    placed = cut_lineage(placed.withColumn("passes", passes).withColumn("rest", rest).withColumn("part", F.col("at") + F.col("size") <= F.col("rest")))
-    left = placed.where("not part").groupBy("rank").agg(F.max(F.col("rest") - F.col("at")).alias("gap"))
+    rows = even_lookup(sizes, targets, ["source"]).withColumn("order", order).withColumn("passes", passes)
+    rows = rows.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("small", F.col("size") * LARGE <= F.col("rest"))
+    placed = running_total(rows, ["rank", "small"], ["order", "key", "row"], F.col("size"), "at")
+    fits = F.col("at") + F.col("size") <= F.col("rest")
+    large = placed.where("not small").groupBy("rank").agg(F.max(F.when(fits, F.col("at") + F.col("size"))).alias("given"), F.sum("size").alias("ahead"))
+    placed = even_lookup(placed, large, ["rank"]).fillna(0, ["given", "ahead"])
+    part = F.when(F.col("small"), F.col("at") + F.col("size") <= F.col("rest") - F.col("given")).otherwise(fits)
+    placed = cut_lineage(placed.withColumn("part", part).withColumn("at", F.when(F.col("small"), F.col("ahead") + F.col("at")).otherwise(F.col("at"))))
+    left = placed.groupBy("rank").agg((F.max("rest") - F.sum(F.when(F.col("part"), F.col("size")).otherwise(0))).alias("gap"))
     open_ = even_lookup(placed.where("not part and size > 0").select("rank", "size", "order", "row"), left, ["rank"])
     off = F.abs(F.col("size") - F.col("gap"))
     last = open_.where(off < F.col("gap")).groupBy("rank").agg(F.min(F.struct(off.alias("off"), "order", "row")).alias("best"))
     placed = placed.join(last.select(F.col("best.row").alias("row"), F.lit(True).alias("last")), "row", "left")
-    part = (F.col("part") | F.coalesce("last", F.lit(False))).cast("int")
-    copies = F.when(F.col("size") > 0, F.col("passes") + part).otherwise(0).cast("int")
-    return cut_lineage(placed.withColumn("copies", copies).drop("order", "passes", "rest", "part", "last"))
+    extra = (F.col("part") | F.coalesce("last", F.lit(False))).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(0).cast("int")
+    return cut_lineage(placed.withColumn("copies", copies).select("key", "source", "size", "row", "rank", "source_size", "target", "at", "copies"))
 
 
 def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
