@@ -11,9 +11,9 @@ from .common import UPPER, WORD, cut_lineage, pick
 
 SYMBOLS = "#*$%&|<>"
 #: What is measured of a text, each a share that is large in poor texts: symbols to word characters, repeated lines to lines
-#: with words, words in repeated three-word windows, words equal to the word before, words ending in two exclamation marks,
+#: with words, words in repeated three-word windows, words ending in two exclamation marks,
 #: capital letters (A-Z) to word characters.
-MEASURES = ("symbols", "dup_lines", "repeats", "stutter", "shouts", "capitals")
+MEASURES = ("symbols", "dup_lines", "repeats", "shouts", "capitals")
 
 
 @dataclass(frozen=True)
@@ -36,33 +36,39 @@ class Risk:
         return self.fault / (len(MEASURES) * (len(self.languages) + 1) * (len(self.bands) + 1))
 
 
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeated_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more, the first one included.
 
-    Windows are sorted with their positions; neighbours that are equal repeat, and a word counts if it stands in one that does.
+    Windows whose hashes are all different are different: most texts end there. Otherwise windows are sorted with their
+    positions, by hash and then by their words; neighbours that are equal repeat, and a word counts if it stands in one of them.
     """
     size = F.size(words)
     places = F.when(size > 3, F.sequence(F.lit(0), size - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(places, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    # By hash first: texts are compared only where the hashes are equal.
-    return _covered(F.array_sort(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), w.alias("w"), i.alias("i")))))
+    hashes = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
+    def decided(h: Column) -> Column:
+        keyed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(words, i + 1, 3).alias("w"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bound(keyed, _covered))
 
-def _covered(keyed: Column) -> Column:
-    same = lambda a, b: (a["h"] == b["h"]) & (a["w"] == b["w"])
-    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return bound(hashes, decided)
 
-    def places(k: Column) -> Column:
-        n = F.size(k)
-        hit = F.filter(k, lambda x, j: ((j > 0) & same(x, F.get(k, j - 1))) | ((j + 1 < n) & same(x, F.get(k, j + 1))))
-        at = F.array_sort(F.transform(hit, lambda x: x["i"]))
 
-        def total(a: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(0), lambda s, j: s + F.when(j > 0, F.least(F.lit(3), F.get(a, j) - F.get(a, j - 1))).otherwise(3))
+def _covered(keyed: Column) -> Column:
+    """Words under the sorted windows that equal a neighbour."""
+    n = F.size(keyed)
+    same = lambda a, b: (a["h"] == b["h"]) & (a["w"] == b["w"])
+    hit = F.filter(keyed, lambda x, j: ((j > 0) & same(x, F.get(keyed, j - 1))) | ((j + 1 < n) & same(x, F.get(keyed, j + 1))))
 
-        return F.when(F.size(at) > 0, bound(at, total)).otherwise(0)
+    def total(at: Column) -> Column:
+        steps = F.zip_with(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda x, y: F.least(F.lit(3), x - y))
+        return F.when(F.size(at) > 0, F.aggregate(steps, F.lit(3), lambda s, x: s + x)).otherwise(0)
 
-    return bound(keyed, places)
+    return bound(F.array_sort(F.transform(hit, lambda x: x["i"])), total)
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
@@ -80,7 +86,6 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", language:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
-        F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get("words", i - 1)))).cast("bigint").alias("n_stutter"),
         F.regexp_count("text", F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("bigint").alias("n_shouts"),
         without(UPPER).cast("bigint").alias("n_capitals"),
     )
@@ -91,7 +96,7 @@ def shares(rows: DataFrame) -> DataFrame:
     part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return rows.withColumn("shares", F.array(
         part("n_symbols", "word_chars"), part("n_dup_lines", "n_lines"), part("n_repeat_words", "n_words"),
-        part("n_stutter", "n_words"), part("n_shouts", "n_words"), part("n_capitals", "word_chars"),
+        part("n_shouts", "n_words"), part("n_capitals", "word_chars"),
     ))
 
 
