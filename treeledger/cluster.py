@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,31 +13,30 @@ BROADCAST_MAX_BYTES = 8 * 1024 * 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a scratch folder only when none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder named by the session. Only a local master, whose executors are the driver, may do without."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="treeledger-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = local_scratch("checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def local_scratch(name: str) -> str:
+    """A folder of this process for local masters."""
+    return os.path.join(os.environ.get("TMPDIR", "/tmp"), f"treeledger-{os.getpid()}", name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later branches read the stored rows instead of recomputing them."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def hint_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a measured size; larger frames are left to adaptive join planning."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(plan.stats().sizeInBytes().toString()) <= BROADCAST_MAX_BYTES:
-        if df.limit(max_rows + 1).count() <= max_rows:
-            return F.broadcast(df)
-    return df
-
-
 def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index", stored: bool = False) -> DataFrame:
     """Dense 0-based position under `order` without a single-partition window.
 

@@ -11,7 +11,6 @@ from ..schema import OP_COLUMNS
 from .compare import Sides, identical_files
 from .inventory import Inventory
 
-TOP_ROWS = 100_000
 ESCALATED = "escalated: sampled digests equal, mtime differs, full hashes differ"
 
 
@@ -49,22 +48,19 @@ def identical_totals(sides: Sides) -> DataFrame:
     )
 
 
-def identical_page(sides: Sides, search: str = "", offset: int = 0, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+def identical_page(sides: Sides, search: str = "", offset: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(total row, one page in key order).
 
-    Near the start a page is a top-k. A deep page would gather every row before it, so beyond
-    `TOP_ROWS` the rows are positioned by a distributed sort and the page is a range of positions.
+    Rows are positioned by a distributed sort and the page is a range of positions, however deep. Without a
+    limit the page is all rows from the offset on.
     """
     found = identical_files(sides)
     wanted = search.strip().lower()
     if wanted:
         found = found.where(F.contains(F.lower("path"), F.lit(wanted)))
-    if offset + limit <= TOP_ROWS:
-        page = found.orderBy("key").offset(offset).limit(limit).drop("key")
-    else:
-        place = F.col("_place")
-        placed = with_global_index(found, [F.col("key")], "_place")
-        page = placed.where((place >= offset) & (place < offset + limit)).drop("key", "_place")
+    place = F.col("_place")
+    placed = with_global_index(found, [F.col("key")], "_place")
+    page = placed.where(place >= offset if limit is None else (place >= offset) & (place < offset + limit)).drop("key", "_place")
     return found.agg(F.count(F.lit(1)).alias("total")), page
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import running_total, with_global_index
+from ..cluster import ranked_in_group, running_total, with_global_index
 
 DAY_MS = 86_400_000
 # Fixed values: (minimum gap in seconds, applies while younger than this many seconds).
@@ -73,15 +73,15 @@ def outcome_ledger(items: DataFrame) -> DataFrame:
     )
 
 
-def fault_list(events: DataFrame, keep: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(total per run, first distinct faults per run). Walk errors are summarised elsewhere and ignored."""
+def fault_list(events: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(total per run, distinct faults per run by first occurrence; `keep` limits them to the first). Walk errors are summarised elsewhere and ignored."""
     faults = events.where((F.col("kind") == "error") & (F.col("action") != "walk"))
     total = faults.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
     first = faults.groupBy("run_id", "path", "action", "message").agg(
         F.min("seq").alias("seq"), F.min_by("side", "seq").alias("side")
     )
-    w = Window.partitionBy("run_id").orderBy("seq")
-    kept = first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
+    kept = ranked_in_group(first, ["run_id"], ["seq", "path", "action", "message"], "position")
+    kept = kept if keep is None else kept.where(F.col("position") <= keep)
     return total, kept.select("run_id", "position", "path", "action", "side", "message", "seq")
 
 

@@ -46,7 +46,8 @@ class Header:
 class Inventory:
     """Entry rows, the header scalars, and the unread paths (a one-column frame `path`, or none).
 
-    A `key` column stored with the entries is trusted. `unique_keys` says that no two entries of a kind
+    A `key` column stored with the entries is used if `keyed_for` names the case mode it was made in; a run
+    in the other mode is refused. `unique_keys` says that no two entries of a kind
     share a key (a table saved with its twins resolved); the comparison then skips looking for twins, and
     tables bucketed on (kind, key) join without an exchange.
     """
@@ -55,11 +56,19 @@ class Inventory:
     header: Header = field(default_factory=Header)
     unread: DataFrame | None = None
     unique_keys: bool = False
+    keyed_for: bool | None = None
 
     def keyed(self, case_insensitive: bool, kinds: tuple[str, ...] | None = None) -> DataFrame:
         """Entries with their comparison key. The kind filter comes first, so it reaches the scan."""
         entries = self.entries if kinds is None else self.entries.where(F.col("kind").isin(*kinds))
-        return entries if "key" in entries.columns else text.with_key(entries, case_insensitive)
+        if "key" not in entries.columns:
+            return text.with_key(entries, case_insensitive)
+        if self.keyed_for is not None and self.keyed_for != case_insensitive:
+            stored, asked = (("insensitive", "sensitive")[not x] for x in (self.keyed_for, case_insensitive))
+            raise ValueError(f"the stored keys are case-{stored}; this comparison is case-{asked}")
+        if self.keyed_for is None:
+            return text.with_key(entries.drop("key"), case_insensitive)
+        return entries
 
 
 @dataclass

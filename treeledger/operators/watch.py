@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEBOUNCE_MS = 2_000
-MAX_PATHS = 512
+# A limit on a batch's paths is the caller's wish; there is none by default.
+MAX_PATHS = None
 FULL_VERIFICATION = ["standard", "paranoid"]
 # Raw flag column -> invalidation kind.
 FLAG_KINDS = {
@@ -112,17 +113,9 @@ def cursor_breaks(positions: DataFrame, slice_ms: int = 3_600_000) -> DataFrame:
     return joined.withColumn("follows", F.col("_old").isNull() | F.coalesce(follows, F.lit(False))).drop("_old", "_carry", "slice")
 
 
-def debounced_batches(
-    changes: DataFrame, watch: list[str], policy: str = "balanced", debounce_ms: int = DEBOUNCE_MS, max_paths: int = MAX_PATHS,
-    slice_ms: int = 3_600_000,
-) -> DataFrame:
-    """Work batches: changes gathered until it stays quiet, with the coverage each batch needs.
-
-    `changes` has ts_ms, path, and `invalidation` (null for plain changes). A batch is due `debounce_ms`
-    after its last change; a change exactly at that deadline already belongs to the next one. The first
-    batch of a watch is the bootstrap scan. Sessions are found from gaps inside time slices plus each
-    slice's first and last times, so no watch is sorted as a whole.
-    """
+def _numbered(changes: DataFrame, watch: list[str], debounce_ms: int, slice_ms: int) -> DataFrame:
+    """`changes` with the number of their work batch. Sessions are found from gaps inside time slices plus each
+    slice's first and last times, so no watch is sorted as a whole."""
     c = changes.withColumn("slice", F.floor(F.col("ts_ms") / slice_ms))
     inside = Window.partitionBy(*watch, "slice").orderBy("ts_ms")
     slices = c.groupBy(*watch, "slice").agg(F.max("ts_ms").alias("_last"))
@@ -140,7 +133,27 @@ def debounced_batches(
     numbered = marked.withColumn("_in", running).join(opened, [*watch, "slice"]).withColumn(
         "batch", (F.col("_base") + F.col("_in")).cast("bigint")
     )
-    # Distinct paths are counted from a grouped stream; only sets within the limit are ever listed.
+    return numbered
+
+
+def batch_paths(changes: DataFrame, watch: list[str], debounce_ms: int = DEBOUNCE_MS, slice_ms: int = 3_600_000) -> DataFrame:
+    """(watch, batch, path, ts_ms): every changed path of a work batch once, with its first change."""
+    numbered = _numbered(changes, watch, debounce_ms, slice_ms).where("invalidation is null")
+    return numbered.groupBy(*watch, "batch", "path").agg(F.min("ts_ms").alias("ts_ms"))
+
+
+def debounced_batches(
+    changes: DataFrame, watch: list[str], policy: str = "balanced", debounce_ms: int = DEBOUNCE_MS, max_paths: int | None = MAX_PATHS,
+    slice_ms: int = 3_600_000,
+) -> DataFrame:
+    """Work batches: changes gathered until it stays quiet, with the coverage each batch needs.
+
+    `changes` has ts_ms, path, and `invalidation` (null for plain changes). A batch is due `debounce_ms`
+    after its last change; a change exactly at that deadline already belongs to the next one. The first
+    batch of a watch is the bootstrap scan. Sessions are found from gaps inside time slices plus each
+    slice's first and last times, so no watch is sorted as a whole.
+    """
+    numbered = _numbered(changes, watch, debounce_ms, slice_ms)
     paths = numbered.where("invalidation is null").groupBy(*watch, "batch", "path").agg(F.min("ts_ms").alias("ts_ms"))
     sizes = paths.groupBy(*watch, "batch").agg(F.count(F.lit(1)).alias("paths"))
     spans = numbered.groupBy(*watch, "batch").agg(
@@ -154,12 +167,13 @@ def debounced_batches(
     )
 
 
-def coverage(bootstrap: Column, invalidation: Column, paths: Column, policy: Column, max_paths: int = MAX_PATHS) -> Column:
+def coverage(bootstrap: Column, invalidation: Column, paths: Column, policy: Column, max_paths: int | None = MAX_PATHS) -> Column:
     """What a work batch must scan: bootstrap, then latched full reasons, then policy, else only its paths."""
+    crowded = F.lit(False) if max_paths is None else paths > max_paths
     return (
         F.when(bootstrap, "full: bootstrap")
         .when(invalidation.isNotNull(), F.concat(F.lit("full: "), invalidation))
-        .when(paths > max_paths, F.lit(f"full: more than {max_paths} changes"))
+        .when(crowded, F.lit(f"full: more than {max_paths} changes"))
         .when(policy.isin(FULL_VERIFICATION), F.concat(F.lit("full: evidence policy "), policy))
         .otherwise("incremental")
     )

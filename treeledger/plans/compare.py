@@ -11,7 +11,7 @@ from ..cluster import cut_lineage
 from ..operators import compare as cmp
 from ..operators import passes
 from ..operators.compare import Options, Sides
-from ..operators.inventory import Inventory
+from ..operators.inventory import Inventory, archive_usable
 from ..schema import OP_COLUMNS
 
 MODES = ("mirror", "sync", "enrich")
@@ -46,11 +46,14 @@ def compare(
     """Plan the operations that reconcile two inventories.
 
     mirror makes the target equal the source, enrich only adds and refreshes, sync works both ways and
-    uses the archive (when given) to tell changes from deletions.
+    uses the archive (when given) to tell changes from deletions. Times are judged at the coarsest precision
+    that either inventory records, and an archive of another evidence tier than the source is no archive.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    sides = Sides(source, target, options or Options())
+    sides = Sides(source, target, (options or Options()).widened(source, target))
+    if archive is not None and not archive_usable(archive.header, mode, source.header.evidence):
+        archive = None
     if mode == "sync":
         decided = cut_lineage(cmp.decide_two_way(sides, archive, resolve_newer))
         parts = cmp.plan_two_way(sides, decided, archive is not None)

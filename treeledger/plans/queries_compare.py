@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators.compare import Options, Sides
@@ -105,6 +107,22 @@ def sync_without_archive(spark, sf):
     return _shown(compare(source, target, "sync").operations()).select(*PLAN[1:])
 
 
+@query(
+    "archive_other_tier",
+    fx.with_sql(
+        fx.BASE_SQL,
+        select=NO_ARCHIVE_SQL.format(
+            differ="SELECT 'target', 'conflict', sp, NULL, NULL, NULL, NULL, 'differs-no-archive' FROM pair WHERE hs AND ht AND NOT unreadable AND NOT eq"
+        ),
+    ),
+)
+def archive_other_tier(spark, sf):
+    """An archive of another evidence tier counts as none."""
+    source, target, archive = fx.inventories(spark, sf)
+    archive = replace(archive, header=replace(archive.header, evidence="sampled"))
+    return _shown(compare(source, target, "sync", archive=archive).operations()).select(*PLAN[1:])
+
+
 @query(
     "sync_newer_wins",
     fx.with_sql(
@@ -240,6 +258,22 @@ def metadata_compare(spark, sf):
     return compare(source, target, "mirror").operations().select("action", "path", "size", "reason")
 
 
+@query(
+    "coarse_time_compare",
+    fx.with_sql(
+        fx.BASE_SQL,
+        select="""SELECT CASE WHEN b.doc_id % 19 = 0 THEN 'copy' ELSE 'update' END AS action, b.path, b.size,
+          CASE WHEN b.doc_id % 19 = 0 THEN 'only-in-source' ELSE 'differs-master-wins' END AS reason FROM base b
+          WHERE b.doc_id % 19 = 0 OR b.doc_id % 41 = 0""",
+    ),
+)
+def coarse_time_compare(spark, sf):
+    """A side that records whole minutes only: times within a minute are equal."""
+    source, target = fx.metadata_inventories(spark, sf)
+    target = replace(target, header=replace(target.header, mtime_precision_ms=60_000))
+    return compare(source, target, "mirror").operations().select("action", "path", "size", "reason")
+
+
 PAGES_SQL = """
 p AS (SELECT page_id AS i, 'web/' || CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?:/+', '') ELSE regexp_replace(url, '/+', '/', 'g') END
         || CASE WHEN page_id % 4 = 0 THEN '?v=1' ELSE '' END || CASE WHEN page_id % 9 = 0 THEN '/con.txt' ELSE '' END AS path FROM pages),

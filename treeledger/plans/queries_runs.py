@@ -260,13 +260,12 @@ def outcome_ledger(spark, sf):
 @query(
     "fault_list",
     events_sql(
-        """SELECT * FROM (SELECT run_id, path, action, side, message, (row_number() OVER (PARTITION BY run_id ORDER BY seq))::INT AS position FROM (
-          SELECT run_id, path, action, message, min(seq) AS seq, arg_min(side, seq) AS side FROM ev WHERE kind = 'error' AND action <> 'walk' GROUP BY run_id, path, action, message))
-        WHERE position <= 12"""
+        """SELECT * FROM (SELECT run_id, path, action, side, message, row_number() OVER (PARTITION BY run_id ORDER BY seq, path, action, message) AS position FROM (
+          SELECT run_id, path, action, message, min(seq) AS seq, arg_min(side, seq) AS side FROM ev WHERE kind = 'error' AND action <> 'walk' GROUP BY run_id, path, action, message))"""
     ),
 )
 def fault_list(spark, sf):
-    return history.fault_list(fr.run_events(spark, sf), 12)[1].select("run_id", "position", "path", "action", "side", "message")
+    return history.fault_list(fr.run_events(spark, sf))[1].select("run_id", "position", "path", "action", "side", "message")
 
 
 @query(
@@ -413,6 +412,20 @@ def change_batches(spark, sf):
     return watch.debounced_batches(fr.file_changes(spark, sf), ["watch"], debounce_ms=900, max_paths=8, slice_ms=36_000)
 
 
+@query(
+    "change_batch_paths",
+    fx.with_sql(
+        fr.CHANGES_SQL,
+        """gaps AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY watch ORDER BY ts_ms) < 900 THEN 0 ELSE 1 END AS opens FROM changes),
+        batches AS (SELECT *, sum(opens) OVER (PARTITION BY watch ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS batch FROM gaps)""",
+        select="SELECT watch, CAST(batch AS BIGINT) AS batch, path, min(ts_ms) AS ts_ms FROM batches WHERE invalidation IS NULL GROUP BY watch, batch, path",
+    ),
+)
+def change_batch_paths(spark, sf):
+    """Every path of every work batch, whatever their number."""
+    return watch.batch_paths(fr.file_changes(spark, sf), ["watch"], debounce_ms=900, slice_ms=36_000)
+
+
 @query(
     "cursor_breaks",
     """WITH p AS (SELECT 'w' || user_id % 3 AS watch, 's' || user_id % 6 AS stream, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms,

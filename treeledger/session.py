@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from .cluster import local_scratch
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -28,5 +30,7 @@ def local_session(
         builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", local_scratch("checkpoints"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )

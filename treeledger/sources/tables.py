@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.masks import PathFilter, folded_path
@@ -12,8 +19,9 @@ from ..operators.validate import TABLE_SCHEMA
 from ..schema import ENTRY, HEADER, PLAN_HEADER
 
 LEGACY_SCHEMA = 1
-# Files too large for one binary value are listed, not read.
-LARGEST_READ = 1_500_000_000
+CASE_PROPERTY = "treeledger.case_insensitive"
+# Bytes of a file that are held at once while it is hashed.
+PIECE = 8 * 1024 * 1024
 
 
 def _is_header(line: Column) -> Column:
@@ -100,7 +108,10 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def save_keyed(entries: DataFrame, path: str, case_insensitive: bool = True) -> None:
-    """Parquet with the comparison key stored, range-partitioned and sorted by path for pruning."""
+    """Parquet with the comparison key stored, range-partitioned and sorted by path for pruning.
+
+    Read it as `Inventory(..., keyed_for=case_insensitive)`; without that the key is made anew.
+    """
     keyed = text.with_key(entries, case_insensitive)
     keyed.repartitionByRange("path").sortWithinPartitions("path").write.parquet(path)
 
@@ -115,11 +126,14 @@ def save_bucketed(entries: DataFrame, table: str, buckets: int, case_insensitive
     names = entries.columns
     first = keyed.groupBy("kind", "key").agg(F.min_by(F.struct(*names), F.col("path")).alias("e")).select("kind", "key", *[F.col(f"e.{c}").alias(c) for c in names if c != "kind"])
     first.repartition(buckets, "kind", "key").write.mode("overwrite").bucketBy(buckets, "kind", "key").sortBy("kind", "key").format("parquet").saveAsTable(table)
+    entries.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{CASE_PROPERTY}' = '{str(case_insensitive).lower()}')")
     return inv.later_twins(keyed)
 
 
 def bucketed_inventory(spark: SparkSession, table: str, header: inv.Header | None = None) -> inv.Inventory:
-    return inv.Inventory(spark.table(table), header or inv.Header(), unique_keys=True)
+    """An inventory saved by `save_bucketed`; the table's own property says which case mode its keys are in."""
+    made = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}.get(CASE_PROPERTY)
+    return inv.Inventory(spark.table(table), header or inv.Header(), unique_keys=True, keyed_for=made != "false")
 
 
 # --- plans --------------------------------------------------------------------------------------------------
@@ -195,13 +209,13 @@ def _escaped(value: str) -> str:
 
 def scan_tree(
     spark: SparkSession, root: str, evidence: str = "full", keep: PathFilter | None = None, cache: DataFrame | None = None,
-    corrections: DataFrame | None = None, listed: int = 10_000,
+    corrections: DataFrame | None = None,
 ) -> DataFrame:
     """Entry rows of a file tree at an evidence tier (none, sampled, full).
 
     Names, sizes and times are listed first; filters, time corrections and the digest cache decide which
-    files still have to be read. A short list of misses is opened by name; otherwise the tree is read
-    once more and only the misses' rows are kept.
+    files still have to be read. Only those are opened, in pieces by tasks, whatever their number and size;
+    the sampled tier reads its three windows only. A file that can't be read is `unreadable`.
     """
     found = folded_path(list_tree(spark, root))
     if keep is not None:
@@ -218,24 +232,46 @@ def scan_tree(
     hit_kind = F.when(F.lit(sampled) & (F.col("size") >= text.SAMPLE_MIN), "sampled").otherwise("full")
     hits = found.where("cached_digest is not null").withColumn("identity", F.struct(hit_kind.alias("kind"), F.col("cached_digest").alias("digest")))
     misses = found.where("cached_digest is null")
-    names = [r["location"] for r in misses.select("location").limit(listed + 1).collect()] if cache is not None else None
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if names is not None and len(names) <= listed:
-        content = reader.load(names) if names else None
-    else:
-        content = reader.load(root)
-    if content is None:
-        return _as_entries(hits)
-    digest = (
-        text.sampled_identity("content") if sampled
-        else F.struct(F.lit("full").alias("kind"), text.full_digest("content").alias("digest"))
-    )
-    read = content.where(F.col("length") <= LARGEST_READ).select(F.col("path").alias("location"), digest.alias("_id"))
     unread = F.struct(F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("digest"))
-    hashed = misses.join(read, "location", "left").withColumn("identity", F.coalesce("_id", unread)).drop("_id")
+    hashed = hashed_files(misses, sampled).withColumn("identity", F.coalesce("_id", unread)).drop("_id")
     return _as_entries(hits).unionByName(_as_entries(hashed))
 
 
+def hashed_files(files: DataFrame, sampled: bool = False, piece: int = PIECE) -> DataFrame:
+    """`files` (with location and size) and `_id`, the typed digest of each one's content, null if it can't be read.
+
+    A file is read as a stream of pieces, so its size has no limit. Locations are URIs that pyarrow's file systems open.
+    """
+    schema = T.StructType([*files.schema.fields, T.StructField("_id", T.StructType([T.StructField("kind", T.StringType()), T.StructField("digest", T.StringType())]))])
+    kind = pa.struct([("kind", pa.string()), ("digest", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [stream_digest(x.as_py(), sampled, piece) for x in batch.column("location")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], schema.names)
+
+    return files.repartition("location").mapInArrow(read, schema)
+
+
+def stream_digest(location: str, sampled: bool = False, piece: int = PIECE) -> dict[str, str] | None:
+    """The identity that `text.sampled_identity` or `text.full_digest` gives for the whole content."""
+    try:
+        system, path = fs.FileSystem.from_uri(quote(location, safe="/:%"))
+        digest = hashlib.sha256()
+        with system.open_input_file(path) as f:
+            size = f.size()
+            if sampled and size >= text.SAMPLE_MIN:
+                digest.update(size.to_bytes(8, "little"))
+                for start in (0, size // 2, size - text.SAMPLE_WINDOW):
+                    digest.update(f.read_at(text.SAMPLE_WINDOW, start))
+                return {"kind": "sampled", "digest": digest.hexdigest()}
+            while data := f.read(piece):
+                digest.update(data)
+            return {"kind": "full", "digest": digest.hexdigest()}
+    except OSError:
+        return None
+
+
 def _as_entries(files: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     return files.select(

@@ -108,12 +108,11 @@ _BATCH_STATE = "batch bigint, first_ms bigint, last_ms bigint, events bigint, pa
 
 
 def change_stream(
-    changes: DataFrame, policy: str = "balanced", debounce_ms: int = DEBOUNCE_MS, max_paths: int = MAX_PATHS, delay: str = "10 seconds"
+    changes: DataFrame, policy: str = "balanced", debounce_ms: int = DEBOUNCE_MS, max_paths: int | None = MAX_PATHS, delay: str = "10 seconds"
 ) -> DataFrame:
     """Work batches of a live change stream (watch, ts_ms, path, invalidation), emitted once it stays quiet.
 
-    The state of a watch holds at most `max_paths` paths: beyond that the batch is a full scan and the
-    paths no longer matter. A batch closes when the watermark passes its deadline.
+    The state of a watch holds the open batch's paths; more than `max_paths` of them, if given, make it a full scan. A batch closes when the watermark passes its deadline.
     """
 
     def coverage(first: bool, invalidation, overflow: bool) -> str:
@@ -137,8 +136,7 @@ def change_stream(
             nonlocal open_batch, number
             first, last, events, paths, overflow, invalidation = open_batch
             number += 1
-            size = max_paths + 1 if overflow else len(paths)
-            out.append((*key, number, first, last + debounce_ms, events, size, coverage(number == 1, invalidation, overflow)))
+            out.append((*key, number, first, last + debounce_ms, events, len(paths), coverage(number == 1, invalidation, overflow)))
             open_batch = None
 
         if state.hasTimedOut:
@@ -155,10 +153,9 @@ def change_stream(
                 open_batch[2] += 1
                 if invalid:
                     open_batch[5] = invalid
-                elif not open_batch[4]:
+                else:
                     open_batch[3].add(path)
-                    if len(open_batch[3]) > max_paths:
-                        open_batch[3], open_batch[4] = set(), True
+                    open_batch[4] = max_paths is not None and len(open_batch[3]) > max_paths
         if open_batch:
             first, last, events, paths, overflow, invalidation = open_batch
             state.update((number, first, last, events, json.dumps(sorted(paths)), overflow, invalidation))
