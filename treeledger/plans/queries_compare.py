@@ -192,8 +192,8 @@ def permission_changes(spark, sf):
         fx.EXACT_SQL,
         select="""SELECT 'copy' AS action, sp AS path, 'only-in-source' AS reason FROM pair p
           WHERE hs AND NOT ht AND NOT EXISTS (SELECT 1 FROM tgt_all t WHERE upper(t.path) = upper(p.sp) AND t.path <> p.sp)
-        UNION ALL SELECT 'conflict', p.sp, 'case-collision: writing ''' || p.sp || ''' would overwrite existing ''' || t.path ||
-          ''' on a case-insensitive filesystem (set case_sensitive = false, or rename one side)'
+        UNION ALL SELECT 'conflict', p.sp, 'case-collision: writing ''' || p.sp || ''' meets the existing ''' || t.path ||
+          ''' where case makes no difference; rename one or compare without case'
           FROM pair p JOIN tgt_all t ON upper(t.path) = upper(p.sp) AND t.path <> p.sp WHERE p.hs AND NOT p.ht""",
     ),
 )
@@ -282,9 +282,9 @@ named AS (SELECT coalesce(s.path, t.path) AS path, t.path IS NULL AS to_target,
   (SELECT upper(path) AS key, min(path) AS path, min_by(i, path) AS i FROM p WHERE i % 3 <> 0 GROUP BY upper(path)) t ON s.key = t.key),
 faulty AS (SELECT *,
   CASE WHEN path LIKE '%:%' THEN 'mangled' WHEN path LIKE '%?%' THEN 'rejected' WHEN path LIKE '%/con.txt' THEN 'unusable' END AS fault,
-  CASE WHEN path LIKE '%:%' THEN 'mangled: ''' || regexp_extract(path, '[^/]*:[^/]*') || ''' would be written into an alternate data stream — the write reports success, but the name disappears from the directory'
-       WHEN path LIKE '%?%' THEN 'rejected: Windows refuses the character ''?'' in ''' || regexp_extract(path, '[^/]*[?][^/]*') || ''''
-       WHEN path LIKE '%/con.txt' THEN 'unusable: ''con.txt'' is a reserved device name — it can be created, but Explorer and most Windows programs cannot open or delete it afterwards' END AS why,
+  CASE WHEN path LIKE '%:%' THEN 'mangled: ''' || regexp_extract(path, '[^/]*:[^/]*') || ''' names a stream of a file there, and no file of this name appears'
+       WHEN path LIKE '%?%' THEN 'rejected: no file name there may hold ''?'' in ''' || regexp_extract(path, '[^/]*[?][^/]*') || ''''
+       WHEN path LIKE '%/con.txt' THEN 'unusable: ''con.txt'' is the name of a device there, so programs fail to open or remove it' END AS why,
   CASE WHEN to_source THEN 'source' ELSE 'target' END AS side, CASE WHEN to_target OR to_source THEN 'copy' ELSE 'conflict' END AS action,
   CASE WHEN to_target THEN 'only-in-source' WHEN to_source THEN 'only-in-target' ELSE 'differs-no-archive' END AS reason
   FROM named WHERE to_target OR to_source OR differs),
@@ -315,7 +315,7 @@ def windows_name_rules(spark, sf):
         PAGES_SQL,
         select="""SELECT side, action, path, reason FROM hazard UNION ALL
           SELECT side, 'note', path, 'name-risk-on-unknown-server: ' || why ||
-            ' — this root''s OS cannot be determined over its protocol, so the operation is attempted as planned' FROM hazard WHERE endangered""",
+            '; the naming rules of this root are unknown, so nothing is held back' FROM hazard WHERE endangered""",
     ),
 )
 def unknown_name_rules(spark, sf):

@@ -74,8 +74,8 @@ def result_type_counts(spark, sf):
 @query(
     "delete_ratio_check",
     plan_sql(
-        """SELECT 'warning' AS level, side || ': plan deletes ' || d || ' of ' || n || ' entries (' ||
-        CAST(round_even(d * 100.0 / n, 0) AS BIGINT) || '%) — over the 10% mark. A wrong filter, an unmounted share, or swapped source/target all look exactly like this.' AS message
+        """SELECT 'warning' AS level, side || ': deletions planned: ' || d || ' of ' || n || ' entries (' ||
+        CAST(round_even(d * 100.0 / n, 0) AS BIGINT) || '%), limit 10%. Look at the filters, the mounts and the order of the two sides before running it.' AS message
         FROM (SELECT side, count(*) FILTER (action = 'delete') AS d, (SELECT count(*) FROM orders) // (CASE side WHEN 'target' THEN 8 ELSE 200 END) AS n FROM eff GROUP BY side)
         WHERE d > 0 AND n > 0 AND d / n >= 0.1"""
     ),
@@ -93,9 +93,9 @@ def delete_ratio_check(spark, sf):
     "space_check",
     plan_sql(
         f"""SELECT CASE WHEN side = 'source' THEN 'warning' ELSE 'blocker' END AS level,
-        CASE WHEN side = 'source' THEN 'source: cannot determine free space on /mnt/s'
-        ELSE 'target: not enough free space on /mnt/t: writing needs ~' || {fx.human_sql('w + w // 10')} || ' (plus '
-          || {fx.human_sql('w // 200')} || ' reserve), only ' || {fx.human_sql('w')} || ' available' END AS message
+        CASE WHEN side = 'source' THEN 'source: free space unknown on /mnt/s'
+        ELSE 'target: too little space on /mnt/t, writes take about ' || {fx.human_sql('w + w // 10')} || ' and a reserve of '
+          || {fx.human_sql('w // 200')} || ', free are ' || {fx.human_sql('w')} END AS message
         FROM (SELECT side, sum(CASE WHEN action IN ('copy', 'update') THEN coalesce(size, 0) ELSE 0 END)::BIGINT AS w FROM eff GROUP BY side)"""
     ),
 )
@@ -323,10 +323,10 @@ def scalar_formats(spark, sf):
         fx.BASE_SQL,
         fx.MIRROR_OPS_SQL,
         select="""SELECT level, message FROM (
-          SELECT 'warning' AS level, 'source: 1 subtree(s) could not be read, so this comparison left them out on both sides — nothing under them will be copied or deleted, and nothing there has been compared: src3/en. Grant access and compare again to include them.' AS message
-          UNION ALL SELECT 'warning', 'target: plan deletes ' || d || ' of ' || n || ' entries (' || CAST(round_even(d * 100.0 / n, 0) AS BIGINT) || '%) — over the 1% mark. A wrong filter, an unmounted share, or swapped source/target all look exactly like this.'
+          SELECT 'warning' AS level, 'source: 1 unread areas, not compared and not changed on either side: src3/en. Compare again once they can be read.' AS message
+          UNION ALL SELECT 'warning', 'target: deletions planned: ' || d || ' of ' || n || ' entries (' || CAST(round_even(d * 100.0 / n, 0) AS BIGINT) || '%), limit 1%. Look at the filters, the mounts and the order of the two sides before running it.'
             FROM (SELECT (SELECT count(*) FROM ops WHERE action = 'delete') AS d, (SELECT count(*) FROM tgt_all) AS n) WHERE d / n >= 0.01
-          UNION ALL SELECT 'blocker', 'target: not enough free space on /mnt/t: writing needs ~' || need || ' (plus 0 B reserve), only 0 B available'
+          UNION ALL SELECT 'blocker', 'target: too little space on /mnt/t, writes take about ' || need || ' and a reserve of 0 B, free are 0 B'
             FROM (SELECT """
         + fx.human_sql("w + w // 10")
         + """ AS need FROM (SELECT sum(size)::BIGINT AS w FROM ops WHERE action IN ('copy', 'update')))

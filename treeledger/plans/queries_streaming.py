@@ -13,16 +13,27 @@ from .queries_runs import events_sql
 from .registry import ORACLES, query
 
 
+PARTS = 5
+
+
 class _Streamed:
-    """Stands in for a session whose `read.parquet` gives streams, so that fixtures serve both."""
+    """Stands in for a session whose `read.parquet` gives streams, so that fixtures serve both.
+
+    The table is first written in several parts, one after another in time, and each is a micro-batch.
+    """
 
     def __init__(self, spark):
         self.spark, self.read = spark, self
 
     def parquet(self, path):
-        folder, name = path.rsplit("/", 1)
-        stream = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
-        return stream.option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
+        table = self.spark.read.parquet(path)
+        folder = f"{checkpoint_dir(self.spark)}/stream-{uuid.uuid4()}/arrivals"
+        first, last = table.agg(F.min("event_id"), F.max("event_id")).first()
+        size = (last - first) // PARTS + 1
+        for part in range(PARTS):
+            arrived = table.where((F.col("event_id") - first).between(part * size, (part + 1) * size - 1))
+            arrived.coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(folder)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _finish(spark, updates, keys):
