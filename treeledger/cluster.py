@@ -94,3 +94,18 @@ def running_total(
 def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str, stored: bool = False) -> DataFrame:
     """1-based rank inside each group, by `running_total` of ones."""
     return running_total(df, groups, order, F.lit(1), name, stored).withColumn(name, F.col(name) + 1)
+
+
+def spread_lookup(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """Join of many `rows` with one `found` row per key, even when one key holds most of the rows.
+
+    Rows are dealt by key and salt; `found` has each of its rows once per salt. An aggregate by key that
+    follows combines per salt before it shuffles.
+    """
+    # The salt comes from the row's other values: recomputed tasks must deal rows alike.
+    others = [c for c in rows.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
+    spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._salt") == F.col("r._salt")]
+    joined = rows.withColumn("_salt", salt).alias("l").join(spread, same, how)
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in found.columns if c not in keys]).drop("_salt")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import cut_lineage, ranked_in_group
+from ..cluster import cut_lineage, ranked_in_group, spread_lookup
 from ..functions import text
 
 # A grouped pass holds one bucket: at this many short rows, some tens of megabytes.
@@ -67,7 +67,7 @@ def pair_moves(adds: DataFrame, dels: DataFrame, limit: int = BUCKET_LIMIT) -> D
 
 
 def _one_delete(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
-    first = a.join(buckets, BUCKET, "left_semi").groupBy(*BUCKET).agg(F.min("key").alias("add_key"))
+    first = spread_lookup(a, buckets.select(*BUCKET), BUCKET, "inner").groupBy(*BUCKET).agg(F.min("key").alias("add_key"))
     only = d.join(buckets, BUCKET, "left_semi").select(*BUCKET, F.col("key").alias("del_key"))
     return first.join(only, BUCKET).select(*BUCKET, "add_key", "del_key", F.lit(1).cast("bigint").alias("candidates"))
 
@@ -79,11 +79,11 @@ def _preference(parent: Column, name: Column) -> Column:
 
 
 def _one_add(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
-    only = a.join(buckets, BUCKET).select(
+    only = a.join(buckets, BUCKET).select(  # one row per bucket
         *BUCKET, "nd", F.col("key").alias("add_key"), F.col("parent").alias("ap"), F.col("name").alias("an")
     )
     best = F.min_by(F.col("key"), F.struct(_preference(F.col("ap"), F.col("an")), F.col("key")))
-    return d.join(only, BUCKET).groupBy(*BUCKET, "add_key", "nd").agg(best.alias("del_key")).select(
+    return spread_lookup(d, only, BUCKET, "inner").groupBy(*BUCKET, "add_key", "nd").agg(best.alias("del_key")).select(
         *BUCKET, "add_key", "del_key", F.col("nd").alias("candidates")
     )
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import spread_lookup
 from ..functions import text
 
 WINDOW_MS = 60_000
@@ -56,7 +57,7 @@ def latest_rate(samples: DataFrame, run: list[str], window_ms: int = WINDOW_MS)
     ends = samples.groupBy(*run).agg(
         F.max_by(F.struct("active_ms", *COUNTERS, "phase"), at).alias("_last"), F.min_by(value, at).alias("_first"),
     )
-    older = samples.join(ends.select(*run, F.col("_last.active_ms").alias("_until")), run).where(
+    older = spread_lookup(samples, ends.select(*run, F.col("_last.active_ms").alias("_until")), run, "inner").where(
         F.col("active_ms") <= F.col("_until") - window_ms
     ).groupBy(*run).agg(F.max_by(value, at).alias("_old"))
     joined = ends.join(older, run, "left").withColumn("_base", F.coalesce("_old", "_first"))
@@ -119,7 +120,7 @@ def stage_states(events: DataFrame, run: list[str]) -> DataFrame:
         F.max(seq_if(kind == "progress")).alias("_progress"),
     )
     raised = (
-        e.where(kind == "progress").join(facts.select(*keys, *[f"_at_{c}" for c in COUNTERS]), keys).groupBy(*keys)
+        spread_lookup(e.where(kind == "progress"), facts.select(*keys, *[f"_at_{c}" for c in COUNTERS]), keys, "inner").groupBy(*keys)
         .agg(*[
             F.max(F.when(F.col("seq") > F.coalesce(F.col(f"_at_{c}"), F.lit(-1)), F.col(c))).alias(f"_up_{c}") for c in COUNTERS
         ])
