@@ -1,13 +1,12 @@
-"""What the corpus operators share: exact column picking, even joins, per-block lookups."""
+"""What the corpus operators share: exact column picking, even joins, the contracts' words."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage
+from ..cluster import spread_lookup as even_lookup
 
 __all__ = ["WORD", "cut_lineage", "documents", "even_lookup", "lower_ascii", "pick", "table"]
 
@@ -37,21 +36,3 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, nothing else changed; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-
-
-def even_lookup(rows: DataFrame, found: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Left join of many `rows` with one `found` row per key, even when one key holds most of the rows.
-
-    Rows are dealt by key and salt; `found` has each of its rows once per salt, so no key meets in one task.
-    """
-    # The salt comes from the row's other values: recomputed tasks must deal rows alike.
-    others = [c for c in rows.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.withColumn("_salt", salt).alias("l").join(
-        spread.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._salt") == F.col("r._salt")], "left"
-    )
-    return joined.select("l.*", *[F.col(f"r.{c}") for c in found.columns if c not in keys]).drop("_salt")
-
-
-Words = Callable[[str], list[str]]
