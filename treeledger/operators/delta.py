@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage, running_total
 
-DELTA_MINIMUM = 4 * 1024 * 1024
 MINIMUM, AVERAGE, MAXIMUM = 16 * 1024, 64 * 1024, 256 * 1024
 _WINDOW = 32
 _GEAR = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.uint64)
@@ -68,11 +67,11 @@ def chunk_table(
     )
 
 
-def delta_recipe(new: DataFrame, base: DataFrame, keys: list[str], minimum_size: int = DELTA_MINIMUM) -> DataFrame:
-    """Recipe steps of files that have a base and are large enough.
+def delta_recipe(new: DataFrame, base: DataFrame, keys: list[str], minimum_size: int = 0) -> DataFrame:
+    """Recipe steps of files that have a base; `minimum_size` leaves smaller files to be sent whole, if the caller wants that.
 
     A chunk found in the base (first one of its hash and length) is read from there, any other goes into
-    the blob at a running offset. Files without a base or below the size floor are sent whole and have no steps.
+    the blob at a running offset. Files without a base are sent whole and have no steps.
     """
     sizes = new.groupBy(*keys).agg(F.sum("len").alias("_size"))
     has_base = base.select(*keys).distinct()

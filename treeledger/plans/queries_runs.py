@@ -187,11 +187,11 @@ def stale_versions(spark, sf):
     "version_restore",
     files_sql(
         """SELECT run_id, path, CASE WHEN flag = 'A' THEN 'restore' WHEN p.k IS NULL THEN 'base missing' WHEN p.k % 4 = 1 THEN 'base changed' ELSE 'restore' END AS verdict
-        FROM kept k LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 <> 0) p ON 'Part/P' || p.k = k.path WHERE run_id = '5979' OR CAST(run_id AS BIGINT) % 2 = 0"""
+        FROM kept k LEFT JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 <> 0) p ON 'Part/P' || p.k = k.path"""
     ),
 )
 def version_restore(spark, sf):
-    f = fr.retained_files(spark, sf).where("run_id = '5979' or cast(run_id as bigint) % 2 = 0")
+    f = fr.retained_files(spark, sf)
     manifest = f.select("run_id", "path", F.when(F.col("flag") == "A", "whole").otherwise("patch").alias("kind"), F.lit("base").alias("base_digest"), F.col("run_id").alias("version_id"))
     now = fx.table(spark, sf, "part").where("p_partkey % 7 <> 0").select(
         F.concat(F.lit("Part/P"), F.col("p_partkey").cast("string")).alias("path"), F.when(F.col("p_partkey") % 4 == 1, "other").otherwise("base").alias("digest")
@@ -215,14 +215,14 @@ def latest_results(spark, sf):
     "record_migration",
     runs_sql(
         """SELECT run_id, CASE WHEN job_id IS NULL THEN 'legacy_unbound' ELSE 'registered' END AS binding, CASE WHEN job_id IS NOT NULL THEN 0::BIGINT END AS target_index,
-        CASE WHEN kind = 'compare' AND line_no % 8 = 0 THEN NULL WHEN kind = 'compare' THEN 'summary_only' WHEN line_no % 8 = 0 THEN 'directory' WHEN line_no % 8 = 1 THEN 'legacy_file' ELSE 'unavailable' END AS artifacts,
+        CASE WHEN kind = 'compare' AND line_no % 8 IN (0, 1) THEN NULL WHEN kind = 'compare' THEN 'summary_only' WHEN line_no % 8 = 0 THEN 'directory' WHEN line_no % 8 = 1 THEN 'legacy_file' ELSE 'unavailable' END AS artifacts,
         CASE WHEN kind = 'compare' AND line_no % 8 IN (0, 1) THEN 'compare record unexpectedly names detail artifacts' END AS fault
-        FROM runs WHERE NOT (kind = 'compare' AND line_no % 8 = 1)"""
+        FROM runs"""
     ),
 )
 def record_migration(spark, sf):
     r = fr.run_records(spark, sf)
-    legacy = r.where("not (kind = 'compare' and line_no % 8 = 1)").select(
+    legacy = r.select(
         F.col("job_name").alias("job"), F.col("run_id").alias("record_id"), "ts_ms", "kind", "done", F.lit(0).alias("skipped"), "errors", "bytes",
         F.lit(1).alias("elapsed_ms"), "cancelled", "warnings", "ops_found", "finished",
         F.when(F.col("line_no") % 8 == 0, F.col("run_id")).alias("run_id"), F.when(F.col("line_no") % 8 == 1, F.lit("d.jsonl")).alias("detail"),

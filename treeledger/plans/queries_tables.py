@@ -253,35 +253,29 @@ def _versions(spark, sf):
 @query("chunk_table")
 def chunk_table(spark, sf):
     """Boundaries depend on content, so there is no SQL form; tests compare with a byte-by-byte model."""
-    return _versions(spark, sf)[1]
+    return delta.chunk_table(fx.base(spark, sf).select("doc_id", "text"), ["doc_id"], "text", **SIZES)
 
 
 @query(
     "chunk_coverage",
-    base_sql("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, true AS contiguous FROM base WHERE doc_id % 4 <> 0"),
+    base_sql("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, true AS contiguous FROM base WHERE strlen(text) > 0"),
 )
 def chunk_coverage(spark, sf):
     """Chunk lengths add up to each text's bytes, and every offset is the sum of the lengths before it."""
     from ..cluster import running_total
 
-    chunks = running_total(_versions(spark, sf)[1], ["doc_id"], ["position"], F.col("len"), "expected")
+    chunks = running_total(chunk_table(spark, sf), ["doc_id"], ["position"], F.col("len"), "expected")
     return chunks.groupBy("doc_id").agg(F.sum("len").alias("size"), F.bool_and(F.col("expected") == F.col("off")).alias("contiguous"))
 
 
-@query("delta_savings")
-def delta_savings(spark, sf):
-    new, base = _versions(spark, sf)
-    return delta.delta_savings(delta.delta_recipe(new, base, ["doc_id"], minimum_size=2048), ["doc_id"])
-
-
 @query(
     "recipe_check",
-    base_sql("SELECT doc_id, true AS sound FROM base WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND strlen(text) + 14 >= 2048"),
+    base_sql("SELECT doc_id, true AS sound FROM base WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND strlen(text) > 0"),
 )
 def recipe_check(spark, sf):
     """Every recipe must rebuild its file: steps in bounds, sizes and ordered chunk digests equal."""
     new, base = _versions(spark, sf)
-    recipe = delta.delta_recipe(new, base, ["doc_id"], minimum_size=2048)
+    recipe = delta.delta_recipe(new, base, ["doc_id"])
     saved = delta.delta_savings(recipe, ["doc_id"])
     payload = saved.select("doc_id", "size", F.col("blob_bytes").alias("blob_size"))
     bases = base.groupBy("doc_id").agg(F.sum("len").alias("base_size"))
@@ -314,14 +308,27 @@ def _pieces(spark, sf):
     base_sql(
         """SELECT f.doc_id, f.position, CASE WHEN b.off IS NULL THEN 'blob' ELSE 'base' END AS source, f.len,
         coalesce(b.off, sum(CASE WHEN b.off IS NULL THEN f.len ELSE 0 END) OVER (PARTITION BY f.doc_id ORDER BY f.position) - f.len)::BIGINT AS off
-        FROM fresh f LEFT JOIN (SELECT doc_id, hash, len, arg_min(off, position) AS off FROM piece GROUP BY doc_id, hash, len) b ON b.doc_id = f.doc_id AND b.hash = f.hash AND b.len = f.len
-        WHERE f.doc_id IN (SELECT doc_id FROM fresh GROUP BY doc_id HAVING sum(len) >= 1500)""",
+        FROM fresh f LEFT JOIN (SELECT doc_id, hash, len, arg_min(off, position) AS off FROM piece GROUP BY doc_id, hash, len) b ON b.doc_id = f.doc_id AND b.hash = f.hash AND b.len = f.len""",
         PIECES,
     ),
 )
 def delta_recipe(spark, sf):
     new, base = _pieces(spark, sf)
-    return delta.delta_recipe(new, base, ["doc_id"], minimum_size=1500).select("doc_id", "position", "source", "len", "off")
+    return delta.delta_recipe(new, base, ["doc_id"]).select("doc_id", "position", "source", "len", "off")
+
+
+@query(
+    "delta_savings",
+    base_sql(
+        """SELECT f.doc_id, sum(f.len)::BIGINT AS size, sum(CASE WHEN b.doc_id IS NULL THEN f.len ELSE 0 END)::BIGINT AS blob_bytes, count(*) AS steps,
+        sum(CASE WHEN b.doc_id IS NULL THEN 0 ELSE f.len END)::BIGINT AS saved
+        FROM fresh f LEFT JOIN (SELECT DISTINCT doc_id, hash, len FROM piece) b ON b.doc_id = f.doc_id AND b.hash = f.hash AND b.len = f.len GROUP BY f.doc_id""",
+        PIECES,
+    ),
+)
+def delta_savings(spark, sf):
+    new, base = _pieces(spark, sf)
+    return delta.delta_savings(delta.delta_recipe(new, base, ["doc_id"]), ["doc_id"])
 
 
 @query(
