@@ -282,22 +282,23 @@ def event_routing(spark, sf):
 @query(
     "log_lines",
     events_sql(
-        f"""SELECT seq, CASE WHEN seq % 50 = 7 THEN 0 ELSE ts_ms END AS ts_ms,
-        CASE WHEN seq % 50 = 7 THEN 'info' WHEN kind = 'log' THEN level WHEN kind = 'error' THEN 'error' WHEN kind = 'item_result' THEN CASE outcome WHEN 'failed' THEN 'error' WHEN 'ok' THEN 'info' ELSE 'warn' END
+        f"""SELECT seq, CASE WHEN seq % 50 = 7 OR kind = 'progress' OR (kind = 'phase_end' AND items_done IS NULL) THEN 0 ELSE ts_ms END AS ts_ms,
+        CASE WHEN seq % 50 = 7 THEN 'info' WHEN kind = 'progress' OR (kind = 'phase_end' AND items_done IS NULL) THEN 'error' WHEN kind = 'log' THEN level WHEN kind = 'error' THEN 'error' WHEN kind = 'item_result' THEN CASE outcome WHEN 'failed' THEN 'error' WHEN 'ok' THEN 'info' ELSE 'warn' END
              WHEN kind = 'phase_end' AND status = 'failed' THEN 'error' ELSE 'info' END AS level,
-        CASE WHEN seq % 50 = 7 THEN 'legacy' WHEN kind = 'log' THEN scope WHEN kind = 'error' THEN phase WHEN kind = 'item_result' THEN side WHEN kind IN ('paused', 'resumed') THEN 'control' ELSE 'phase' END AS scope,
-        CASE WHEN seq % 50 = 7 THEN 'plain ' || seq WHEN kind = 'log' THEN message WHEN kind = 'error' THEN action || ' ' || path || ' (' || side || '): ' || message
+        CASE WHEN seq % 50 = 7 THEN 'legacy' WHEN kind = 'progress' OR (kind = 'phase_end' AND items_done IS NULL) THEN 'parse' WHEN kind = 'log' THEN scope WHEN kind = 'error' THEN phase WHEN kind = 'item_result' THEN side WHEN kind IN ('paused', 'resumed') THEN 'control' ELSE 'phase' END AS scope,
+        CASE WHEN seq % 50 = 7 THEN 'plain ' || seq WHEN kind = 'progress' THEN 'Malformed JSON log record: unsupported event kind or value ''progress'''
+             WHEN kind = 'phase_end' AND items_done IS NULL THEN 'Malformed JSON log record: missing ''items_done''' WHEN kind = 'log' THEN message WHEN kind = 'error' THEN action || ' ' || path || ' (' || side || '): ' || message
              WHEN kind = 'item_result' THEN CASE outcome WHEN 'ok' THEN '✓ ok' WHEN 'failed' THEN '✗ failed' WHEN 'kept' THEN '⊘ kept' ELSE '■ not run' END || '  ' || action || ' ' || path || '  ' || {fx.human_sql('bytes')} || CASE WHEN ms > 0 THEN ' · ' || ms || 'ms' ELSE '' END
              WHEN kind = 'phase_start' THEN '▶ ' || phase || CASE WHEN label IS NOT NULL THEN '  ' || label ELSE '' END
              WHEN kind = 'totals' THEN 'Totals · ' || phase || ' · ' || items_total || ' items · ' || {fx.human_sql('bytes_total')}
              WHEN kind = 'phase_end' THEN CASE status WHEN 'completed' THEN '✓' WHEN 'failed' THEN '✕' ELSE '■' END || ' ' || phase || ' · ' || status
              WHEN kind = 'paused' THEN 'Paused' ELSE 'Resumed after ' || paused_ms // 60000 || ':' || lpad(CAST(paused_ms // 1000 % 60 AS VARCHAR), 2, '0') END AS message
-        FROM ev WHERE kind <> 'progress' AND NOT (kind = 'phase_end' AND items_done IS NULL)"""
+        FROM ev"""
     ),
 )
 def log_lines(spark, sf):
     """Events written as JSON lines (some as plain text) and read back through the line normaliser."""
-    e = fr.run_events(spark, sf).where("kind <> 'progress' and not (kind = 'phase_end' and items_done is null)")
+    e = fr.run_events(spark, sf)
     fields = [c for c in e.columns if c not in ("run_id", "seq")]
     body = F.to_json(F.struct(*fields, F.when(F.col("kind") == "totals", F.lit(True)).alias("reset")))
     line = F.when(F.col("seq") % 50 == 7, F.concat(F.lit("plain "), F.col("seq").cast("string"))).otherwise(body)
