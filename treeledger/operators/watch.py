@@ -179,6 +179,19 @@ def coverage(bootstrap: Column, invalidation: Column, paths: Column, policy: Col
     )
 
 
+def periodic_coverage(batches: DataFrame, watch: list[str], interval_ms: int) -> DataFrame:
+    """Work batches with periodic verification: the first batch due in each interval of the clock scans everything.
+
+    A request never replaces a stronger reason: batches that are full already, by a discontinuity or otherwise,
+    keep theirs.
+    """
+    tick = F.floor(F.col("due_ms") / interval_ms)
+    first = batches.groupBy(*watch, tick.alias("_tick")).agg(F.min("batch").alias("batch")).select(*watch, "batch", F.lit(True).alias("_first"))
+    asked = F.coalesce("_first", F.lit(False)) & ~F.startswith("coverage", F.lit("full"))
+    marked = batches.join(first, [*watch, "batch"], "left")
+    return marked.withColumn("coverage", F.when(asked, "full: periodic").otherwise(F.col("coverage"))).select(*batches.columns)
+
+
 def requeue(pending: DataFrame, failed: DataFrame) -> DataFrame:
     """Work of failed tickets joins what is still pending, once per path."""
     return pending.unionByName(failed, allowMissingColumns=True).dropDuplicates()

@@ -413,6 +413,23 @@ def change_batches(spark, sf):
     return watch.debounced_batches(fr.file_changes(spark, sf), ["watch"], debounce_ms=900, max_paths=8, slice_ms=36_000)
 
 
+@query(
+    "periodic_coverage",
+    fx.with_sql(
+        fr.CHANGES_SQL,
+        """gaps AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY watch ORDER BY ts_ms) < 900 THEN 0 ELSE 1 END AS opens FROM changes),
+        batches AS (SELECT *, sum(opens) OVER (PARTITION BY watch ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS batch FROM gaps),
+        due AS (SELECT watch, CAST(batch AS BIGINT) AS batch, max(ts_ms) + 900 AS due_ms, CASE WHEN batch = 1 THEN 'full: bootstrap' WHEN max(invalidation) IS NOT NULL THEN 'full: ' || max(invalidation) ELSE 'incremental' END AS coverage
+          FROM batches GROUP BY watch, batch)""",
+        select="""SELECT watch, batch, due_ms, CASE WHEN coverage = 'incremental' AND row_number() OVER (PARTITION BY watch, due_ms // 86400 ORDER BY batch) = 1 THEN 'full: periodic' ELSE coverage END AS coverage FROM due""",
+    ),
+)
+def periodic_coverage(spark, sf):
+    """Change batches without a limit on paths, with a full verification in each interval."""
+    made = watch.debounced_batches(fr.file_changes(spark, sf), ["watch"], debounce_ms=900, slice_ms=36_000)
+    return watch.periodic_coverage(made, ["watch"], 86_400).select("watch", "batch", "due_ms", "coverage")
+
+
 @query(
     "change_batch_paths",
     fx.with_sql(
