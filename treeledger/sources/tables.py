@@ -256,7 +256,7 @@ def hashed_files(files: DataFrame, sampled: bool = False, piece: int = PIECE) ->
 def stream_digest(location: str, sampled: bool = False, piece: int = PIECE) -> dict[str, str] | None:
     """The identity that `text.sampled_identity` or `text.full_digest` gives for the whole content."""
     try:
-        system, path = fs.FileSystem.from_uri(quote(location, safe="/:%"))
+        system, path = fs.FileSystem.from_uri(quote(location, safe="/:"))
         digest = hashlib.sha256()
         with system.open_input_file(path) as f:
             size = f.size()
