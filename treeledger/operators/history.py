@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ranked_in_group, running_total, with_global_index
+from ..cluster import cut_lineage, ranked_in_group, running_total, with_global_index
 
 DAY_MS = 86_400_000
 # Fixed values: (minimum gap in seconds, applies while younger than this many seconds).
@@ -124,6 +124,7 @@ def retention_plan(
 
     `runs` has groups, run_id, at_ms, bytes. Over the cap, the oldest surviving runs go first.
     """
+    runs = cut_lineage(runs)  # read by the thinning, the totals and the running sums
     marked = runs.withColumns(
         {
             "at_s": F.floor(F.col("at_ms") / 1000).cast("bigint"),

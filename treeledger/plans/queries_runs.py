@@ -147,6 +147,23 @@ def retention_plan(spark, sf):
     return made.select("store", "run_id", "at_ms", "bytes", F.col("drop").alias("dropped"))
 
 
+@query(
+    "retention_totals",
+    files_sql(
+        f"""SELECT store, count(*) FILTER (dropped) AS runs_dropped, coalesce(sum(bytes) FILTER (dropped), 0)::BIGINT AS bytes_freed, count(*) FILTER (NOT dropped) AS runs_kept FROM (
+        SELECT store, bytes, (doomed OR total - before > 4000000) AND NOT newest AS dropped FROM (
+          SELECT *, sum(CASE WHEN doomed THEN 0 ELSE bytes END) OVER (PARTITION BY store) AS total,
+            coalesce(sum(CASE WHEN doomed THEN 0 ELSE bytes END) OVER (PARTITION BY store ORDER BY at_ms, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM (SELECT *, thinned OR at_ms < {fr.NOW_MS - 200 * DAY} AS doomed FROM judged))) GROUP BY store""",
+        STORES,
+    ),
+)
+def retention_totals(spark, sf):
+    """What a retention run frees in every store."""
+    made = history.retention_plan(_store_runs(spark, sf), ["store"], fr.NOW_MS, keep_days=200, max_bytes=4_000_000)
+    return history.retention_totals(made, ["store"])
+
+
 @query(
     "find_retained",
     files_sql("SELECT DISTINCT run_id, at_ms, path FROM kept WHERE lower(path) LIKE '%part/p12%'"),
