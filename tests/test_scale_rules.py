@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeledger import cluster
 from treeledger.functions import text
-from treeledger.operators import watch
+from treeledger.operators import passes, watch
 from treeledger.operators.inventory import Inventory
 from treeledger.sources import tables
 
@@ -77,3 +77,10 @@ def test_periodic_requests_replace_nothing_stronger(spark):
     batches = spark.createDataFrame(rows, "watch string, batch bigint, due_ms bigint, coverage string")
     got = {r["batch"]: r["coverage"] for r in watch.periodic_coverage(batches, ["watch"], 1000).collect()}
     assert got == {1: "full: bootstrap", 2: "incremental", 3: "full: periodic", 4: "incremental", 5: "full: dropped", 6: "incremental"}
+
+
+def test_all_members_of_a_name_collision_are_listed(spark):
+    names = ["".join(c.upper() if i >> k & 1 else c for k, c in enumerate("abcdefgh")) for i in range(256)]
+    rows = [("copy", "target", n, None) for n in names] + [("move", "target", "alone", "x"), ("delete", "target", "ALONE", None), ("copy", "source", "abcdefgh", None)]
+    got = passes.collision_members(spark.createDataFrame(rows, "action string, side string, path string, from string")).collect()
+    assert sorted(r["path"] for r in got) == sorted(names) and {r["side"] for r in got} == {"target"}
