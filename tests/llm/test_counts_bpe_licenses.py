@@ -114,3 +114,12 @@ def test_license_hits(spark):
     assert texts[1][start:end] == apache.rstrip(".")
     assert 0.8 <= got[3].best_coverage < 0.95
     assert licenses.license_scan(frame(spark, [])).collect() == []
+
+
+def test_a_misplaced_mark_hides_no_license():
+    """"license" stands twice in the template; its second place in the text must not spoil the first word's window."""
+    scan = licenses.Scanner(licenses.TEMPLATES)
+    text = "License license " + licenses.TEMPLATES["Apache-2.0"]
+    assert [h.name for h in scan(text)] == ["Apache-2.0"]
+    for n in range(12):
+        assert [h.name for h in scan("version " * n + licenses.TEMPLATES["GPL-3.0"] + " license" * n)] == ["GPL-3.0"], n

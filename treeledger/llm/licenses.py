@@ -187,13 +187,12 @@ class Scanner:
         template = self.templates[name]
         slack, done = 2 + len(template) // 4, 0
         least = self.coverage * len(template)
-        last = -1
+        last = (-1, -1)
         for at, offset in marks:
-            begin = max(done, at - offset - slack)
-            if at < done or begin == last:
+            begin, end = max(done, at - offset - slack), min(len(own), at - offset + len(template) + slack)
+            if at < done or (begin, end) == last:
                 continue
-            last = begin
-            end = min(len(own), at - offset + len(template) + slack)
+            last = (begin, end)
             pairs = align(template, own[begin:end])
             pairs = self._dense(pairs, least)
             if pairs:
