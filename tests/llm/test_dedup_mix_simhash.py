@@ -145,6 +145,36 @@ def test_simhash_of_rows(spark):
     assert left.count() == len(root) - (1 if root[slow_fingerprint("no key")] == slow_fingerprint("no key") else 0)
 
 
+def test_rows_stay_and_mix_by_row_when_keys_are_null_or_repeated(spark):
+    """Per group one row, per row of the mix one row, whatever the keys name."""
+    r = random.Random(21)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(12))
+    x, y, twice, alike = text(), text(), text(), text()
+    rows = [(None, text()) for _ in range(30)] + [(5, x), (7, x), (3, y), (5, y), (5, y), (None, x)]
+    rows += [(i % 4 + 20, text()) for i in range(20)] + [(None, twice)] * 9 + [(40, alike)] * 7
+    docs = frame(spark, [(k, t, "en", r.choice("ab"), 1, "", "", "") if t not in (twice, alike) else (k, t, "en", "a", 1, "", "", "") for k, t in rows])
+    fps = {t: slow_fingerprint(t) for _, t in rows}
+    root = brute_components(set(fps.values()))
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[root[fps[t]]].append(k)
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted((root[fps[d.text]], str(d.doc_id)) for d in left.collect())
+    assert got == sorted((g, str(min((k for k in ks if k is not None), default=None))) for g, ks in groups.items())
+    mixed = mixing.mix(mixing.allocate(docs), block_words=50, shard_blocks=16)
+    assert max(d["copies"] for d in mixed.select("copies").collect()) == 2
+    wanted = defaultdict(int)
+    for d in mixed.select("key", "size", "source").collect():
+        wanted[d.key, d.size, d.source] += 1
+    found, texts = defaultdict(int), defaultdict(int)
+    for d in mixing.shuffled(docs, mixed).collect():
+        found[d.doc_id, len(d.text.split()), d.source] += 1
+        texts[d.text] += 1
+    assert found == wanted
+    assert all(n <= 2 * sum(t == u for _, u in rows) for t, n in texts.items()) and len(texts) > 40
+
+
 def clustered(seed, n):
     r, out = random.Random(seed), set()
     while len(out) < n:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ranked_in_group, running_total, with_global_index
-from .common import WORD, cut_lineage, even_lookup, pick
+from .common import WORD, cut_lineage, even_lookup, first_of_repeated, identified, salted
 
 #: Words of a block, and blocks of an output shard at most.
 BLOCK_WORDS = 1 << 16
@@ -44,17 +44,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **shares) -> DataFrame:
-    """One row per document: key, size, source, rank, source_size, target, at, copies.
+    """One row per document: key, id, size, source, rank, source_size, target, at, copies.
 
-    Each source's documents stand in a pseudo-random order that depends on seed, key and size only. Whole passes over the
+    `id` tells rows apart whose keys are null or repeated; equal rows share it. Each source's documents stand in a
+    pseudo-random order that depends on seed, key, size and, for documents alike in these, id only. Whole passes over the
     source come first. The rest of the target takes documents of the order while they fit whole: large ones (over 1 / LARGE of
     the rest) first, since the others can fill up what these leave, and last the one document whose size is nearest to what is
     still open, if that comes nearer. `at` is the number of words before the document in the order. Null texts and texts without words have size 0 and are never drawn.
     """
+    missing = [n for n in (key, text, source) if n not in docs.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    k, t, s = (F.col(f"_c{docs.columns.index(c)}") for c in (key, text, source))
     sizes = cut_lineage(
-        pick(docs, key, text, source).select(
-            F.col(key).alias("key"), F.col(source).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        identified(docs).select(
+            k.alias("key"), F.col("_id").alias("id"), s.alias("source"),
+            F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         ).withColumn("row", F.monotonically_increasing_id())
     )
     targets = cut_lineage(source_targets(sizes.select("source", "size"), **shares))
@@ -62,20 +67,20 @@ def allocate(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rows = even_lookup(sizes, targets, ["source"]).withColumn("order", order).withColumn("passes", passes)
     rows = rows.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("small", F.col("size") * LARGE <= F.col("rest"))
-    placed = running_total(rows, ["rank", "small"], ["order", "key", "row"], F.col("size"), "at")
+    placed = running_total(rows, ["rank", "small"], ["order", "key", "id", "row"], F.col("size"), "at")
     fits = F.col("at") + F.col("size") <= F.col("rest")
     large = placed.where("not small").groupBy("rank").agg(F.max(F.when(fits, F.col("at") + F.col("size"))).alias("given"), F.sum("size").alias("ahead"))
     placed = even_lookup(placed, large, ["rank"]).fillna(0, ["given", "ahead"])
     part = F.when(F.col("small"), F.col("at") + F.col("size") <= F.col("rest") - F.col("given")).otherwise(fits)
     placed = cut_lineage(placed.withColumn("part", part).withColumn("at", F.when(F.col("small"), F.col("ahead") + F.col("at")).otherwise(F.col("at"))))
     left = placed.groupBy("rank").agg((F.max("rest") - F.sum(F.when(F.col("part"), F.col("size")).otherwise(0))).alias("gap"))
-    open_ = even_lookup(placed.where("not part and size > 0").select("rank", "size", "order", "row"), left, ["rank"])
+    open_ = even_lookup(placed.where("not part and size > 0").select("rank", "size", "order", "id", "row"), left, ["rank"])
     off = F.abs(F.col("size") - F.col("gap"))
-    last = open_.where(off < F.col("gap")).groupBy("rank").agg(F.min(F.struct(off.alias("off"), "order", "row")).alias("best"))
+    last = open_.where(off < F.col("gap")).groupBy("rank").agg(F.min(F.struct(off.alias("off"), "order", "id", "row")).alias("best"))
     placed = placed.join(last.select(F.col("best.row").alias("row"), F.lit(True).alias("last")), "row", "left")
     extra = (F.col("part") | F.coalesce("last", F.lit(False))).cast("int")
     copies = F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(0).cast("int")
-    return cut_lineage(placed.withColumn("copies", copies).select("key", "source", "size", "row", "rank", "source_size", "target", "at", "copies"))
+    return cut_lineage(placed.withColumn("copies", copies).select("key", "id", "source", "size", "row", "rank", "source_size", "target", "at", "copies"))
 
 
 def shard_quotas(blocks: DataFrame, shards: int, seed: int = 7) -> DataFrame:
@@ -176,7 +181,7 @@ def mix(allocated: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int
     blocks = quotas.select("rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)).alias("block"))
     blocks = ranked_in_group(blocks.withColumn("_h", F.xxhash64(F.lit(seed), "rank", "block")), ["rank"], ["_h", "block"], "place").drop("_h")
     homes = blocks.join(dealt, ["rank", "place"]).drop("place")
-    return copies.join(homes, ["rank", "block"]).withColumn("order", F.xxhash64(F.lit(seed), "shard", "key", "size", "copy"))
+    return copies.join(homes, ["rank", "block"]).withColumn("order", F.xxhash64(F.lit(seed), "shard", "key", "id", "size", "copy"))
 
 
 def taken(allocated: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -186,13 +191,20 @@ def taken(allocated: DataFrame, mixed: DataFrame) -> DataFrame:
     return both.groupBy("row").agg(*[F.first(c).alias(c) for c in same if c != "row"], F.sum("_w").alias("taken"))
 
 
-def shuffled(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+def shuffled(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix with the documents' own columns, a shard's rows together and in the shard's order: what is written for training.
 
-    A document of several copies gives several rows. Keys must name one document each.
+    Every row of `mixed` gives one row, whatever the keys: it meets its document by `id`, and of equal rows of `docs` one
+    stands for all. `docs` has the columns that `allocate` saw.
     """
-    drawn = mixed.select(F.col("key").alias("_k"), "shard", "order")
-    placed = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    k = F.col(f"_c{docs.columns.index(key)}")
-    rows = placed.join(drawn, k.eqNullSafe(F.col("_k"))).repartition("shard").sortWithinPartitions("shard", "order")
+    placed = identified(docs)
+    drawn = mixed.select(F.col("id").alias("_id"), "row", "shard", "order")
+    repeated = cut_lineage(placed.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"))
+    if repeated.isEmpty():
+        joined = placed.join(drawn, "_id")
+    else:
+        joined = salted(placed, repeated, "left_anti").join(drawn, "_id")
+        again = even_lookup(drawn, first_of_repeated(placed, repeated), ["_id"], "inner")
+        joined = joined.unionByName(again)
+    rows = joined.repartition("shard").sortWithinPartitions("shard", "order")
     return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, even_lookup, pick
+from .common import cut_lineage, even_lookup, first_of_repeated, identified, pick
 from .components import components, forest
 
 #: Fingerprints of a shard, as aimed at when the tree over all of them is laid out.
@@ -48,15 +48,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """key and fp (the fingerprint as a signed long) of each row."""
-    rows = pick(docs, key, text).toDF("key", "text")
-    schema = T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, fp (the fingerprint as a signed long) and the columns `also` of each row."""
+    rows = pick(docs, key, text, *also).toDF("key", "text", *also)
+    schema = T.StructType([rows.schema["key"], T.StructField("fp", T.LongType()), *[rows.schema[c] for c in also]])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], schema.names)
 
     return rows.mapInArrow(hashed, schema)
 
@@ -170,6 +170,15 @@ def linked(fps: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> Dat
     return components(edges).toDF("fp", "root")
 
 
+def _grouped(docs: DataFrame, key: str, text: str, least: Column, radius: int = 2, width: int = 3, shard_rows: int = SHARD_ROWS, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored rows (key, fp, `also`, row), their points (fp, root), and root, least: the smallest `least` of each component."""
+    rows = cut_lineage(fingerprints(docs, key, text, width, also).withColumn("row", F.monotonically_increasing_id()))
+    points = cut_lineage(rows.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = cut_lineage(linked(points.select("fp"), radius, shard_rows))
+    own = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, own.select("fp", "root"), own.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """key, row, fp and component_id (the smallest key reachable) of each row.
 
@@ -178,12 +187,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     have fingerprint zero and link like others. A null key is nobody's smallest key, unless all of a group are null. Repeated
     rows are rows of their own; further columns are ignored.
     """
-    rows = cut_lineage(fingerprints(docs, key, text, width).withColumn("row", F.monotonically_increasing_id()))
-    points = cut_lineage(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = cut_lineage(linked(points.select("fp"), radius, shard_rows))
-    own = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = even_lookup(own.select("fp", "root"), least, ["root"]).select("fp", "component_id")
+    rows, own, least = _grouped(docs, key, text, F.col("key"), radius, width, shard_rows)
+    named = even_lookup(own, least, ["root"]).select("fp", F.col("least").alias("component_id"))
     return even_lookup(rows, named, ["fp"])
 
 
@@ -194,20 +199,21 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, with all columns: of each group, the row with the group's smallest key.
+    """The rows of `docs` that stay, with all columns: of each group exactly one row, one with the group's smallest key.
 
-    Keys should name one row each: of rows that share a key that stays, one stays.
+    Rows are chosen, not keys: keys may be null or name several rows, in one group or in different ones. A null key is the
+    largest. Of rows of a group that share the smallest key, the one with the smallest hash of all its columns stays.
     """
     names = docs.columns
-    groups = near_groups(docs, key, text, **options)
-    stays = cut_lineage(
-        groups.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    repeated = not stays.where("n > 1").isEmpty()
-    placed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    k = F.col(f"_c{names.index(key)}")
-    left = placed.join(stays.select("_k"), k.eqNullSafe(F.col("_k")), "left_semi")
-    if repeated:
-        alike = Window.partitionBy(k).orderBy(F.xxhash64(*placed.columns))
-        left = left.withColumn("_n", F.row_number().over(alike)).where("_n = 1").drop("_n")
-    return left.toDF(*names)
+    placed = identified(docs)
+    k, t = (f"_c{names.index(c)}" for c in (key, text))
+    best = F.struct(F.col("key").isNull().alias("none"), "key", "_id")
+    rows, _, least = _grouped(placed, k, t, best, **options, also=("_id",))
+    # Equal rows have equal fingerprints, so that an id belongs to one group.
+    number = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    stays = cut_lineage(least.select("least._id").join(number, "_id"))
+    left = placed.join(stays.where("n = 1").select("_id"), "_id", "left_semi")
+    repeated = stays.where("n > 1").select("_id")
+    if not repeated.isEmpty():
+        left = left.unionByName(first_of_repeated(placed, repeated))
+    return left.drop("_id").toDF(*names)
