@@ -164,3 +164,15 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[10] == texts[10] and clean[204] is None
     assert len(pii.personal_data(frame(spark, odd_rows())).collect()) == len(odd_rows())
     assert pii.personal_data(frame(spark, [])).collect() == []
+
+
+def test_terms_far_from_the_entity_and_in_other_texts(spark):
+    """A name 40 words from the address discloses it, and is marked wherever it stands, also where the address is not."""
+    filler = "of the and in to " * 8
+    texts = [f"Zorblatt {filler} write to zor@blatt.example {filler} Zorblatt"] * 4 + [f"{filler} Zorblatt {filler}"] + [filler] * 400
+    got = {x.doc_id: x for x in pii.personal_data(frame(spark, [(i, t, "en", "a", 1, "", "", "") for i, t in enumerate(texts)])).collect()}
+    for i in range(5):
+        places = sorted((m.start(), m.end()) for m in re.finditer("Zorblatt", texts[i]))
+        terms = [(int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
+        assert set(places) <= set(terms) and all(texts[i][a:b] in ("Zorblatt", "write") for a, b in terms)
+    assert all(got[i].n_term == 0 for i in range(5, len(texts)))

@@ -9,7 +9,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +28,17 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^ \t-\r]+")
 #: Words whose document counts a task holds before it passes them on.
 HELD = 1 << 19
+#: Bits of the filter that keeps words which disclose nothing out of a join: 1 MB whatever the corpus. Full, it only keeps less out.
+FILTER_BITS = 1 << 23
 
 Span = tuple[str, int, int]
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: words on either side of an entity that are its context. support: documents in which term and entity must meet.
-    ratio: the share of an entity's information that a term may give away; from `removal` on it is removed, below generalised."""
+    """support: documents in which term and entity must meet. ratio: the share of an entity's information that a term may give
+    away; from `removal` on it is removed, below generalised."""
 
-    window: int = 8
     support: int = 2
     ratio: float = 0.8
     removal: float = 0.95
@@ -83,21 +86,34 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def contexts(text: str, spans: list[Span], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each protected value; words that touch a base span are no terms."""
-    if not spans:
-        return []
+def free_words(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """The words of a whole text that touch no base span: what can be a term."""
     words = [m.span() for m in TOKEN.finditer(text)]
+    if not spans:
+        return words
     starts = [s for s, _ in words]
     free = [True] * len(words)
-    ranges = []
-    for kind, start, end in spans:
-        first = max(0, bisect_right(starts, start) - 1)
-        last = bisect_left(starts, end)
-        for i in range(first, last):
+    for _, start, end in spans:
+        for i in range(max(0, bisect_right(starts, start) - 1), bisect_left(starts, end)):
             free[i] = free[i] and words[i][1] <= start
-        ranges.append((entity(kind, text[start:end]), max(0, first - window), min(len(words), last + window)))
-    return sorted({(e, text[s:t].lower(), s, t) for e, a, b in ranges for i in range(a, b) if free[i] for s, t in [words[i]]})
+    return [w for w, on in zip(words, free, strict=True) if on]
+
+
+def filter_bit(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode(), 5) % FILTER_BITS
+
+
+def filter_of(terms: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of each term set."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([filter_bit(t.as_py()) for t in batch.column(0)], pa.int32())], ["bit"])
+
+    found = terms.select("term").mapInArrow(bits, "bit int").distinct().toArrow().column("bit").to_numpy()
+    out = np.zeros(FILTER_BITS, bool)
+    out[found] = True
+    return np.packbits(out, bitorder="little")
 
 
 def document_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -124,55 +140,83 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Disclosure = Disclosure()) -> DataFrame:
     """key, base (spans array), terms (array of start, end, ratio) for each row of `docs`.
 
-    A protected entity is a value that the base patterns find. A term (a word in an entity's context, lower-cased) discloses it
-    if pointwise mutual information over the corpus's documents, divided by the entity's information content, reaches
-    `plan.ratio`: PMI / IC = 1 + log p(entity | term) / -log p(entity). Terms that meet the entity in fewer than
-    `plan.support` documents are no evidence. Counts cover all documents.
+    A protected entity is a value that the base patterns find. A term (a lower-cased word of a text with the entity, however far
+    from it) discloses it if pointwise mutual information over the corpus's documents, divided by the entity's information
+    content, reaches `plan.ratio`: PMI / IC = 1 + log p(entity | term) / -log p(entity). Terms that meet the entity in fewer than
+    `plan.support` documents are no evidence. Counts cover whole texts of all documents, and a disclosing term is marked wherever
+    it stands, also in texts without the entity, with the highest of its ratios.
 
     Null texts count as empty and have no spans; repeated rows count as documents of their own; further columns are ignored.
     """
     rows = pick(docs, key, text).toDF("key", "text")
+    telling = disclosing(docs, text, plan)
+    known = filter_of(telling)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    near = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first", T.BooleanType())])
+    near = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([rows.schema["key"], T.StructField("base", T.ArrayType(span)), T.StructField("near", T.ArrayType(near))])
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    nears = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())]))
+    nears = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_known, bitmap = bool(known.any()), known.tobytes()
+        held: dict[str, bool] = {}
+
+        def maybe(term: str) -> bool:
+            if term not in held:
+                if len(held) > HELD:
+                    held.clear()
+                bit = filter_bit(term)
+                held[term] = bool(bitmap[bit >> 3] >> (bit & 7) & 1)
+            return held[term]
+
         for batch in batches:
             base, near = [], []
             for t in batch.column(1):
                 own = t.as_py() or ""
                 spans = base_spans(own)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                seen: set[tuple[str, str]] = set()
-                found = []
-                for e, term, s, f in contexts(own, spans, plan.window):
-                    found.append({"entity": e, "term": term, "start": s, "end": f, "first": (e, term) not in seen})
-                    seen.add((e, term))
-                if spans:  # one row per entity without a term, to count its documents
-                    found += [{"entity": e, "term": None, "start": 0, "end": 0, "first": True} for e in sorted({entity(k, own[s:f]) for k, s, f in spans})]
-                near.append(found)
+                words = ((own[s:e].lower(), s, e) for s, e in free_words(own, spans)) if any_known else ()
+                near.append([{"term": w, "start": s, "end": e} for w, s, e in words if maybe(w)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kinds), pa.array(near, nears)], ["key", "base", "near"])
 
     found = cut_lineage(rows.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()))
-    total = found.count()
     near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    meets = near.where("first").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    entities = meets.where("term is null").select("entity", F.col("both").alias("n_entity"))
-    pairs = meets.where(F.col("term").isNotNull() & (F.col("both") >= plan.support))
-    counts = document_counts(docs, text).withColumnRenamed("n", "n_term")
-    rated = pairs.join(entities, "entity").join(counts, "term")
-    information = -F.ln(F.col("n_entity") / F.lit(float(max(1, total))))
-    ratio = F.when(information > 0, 1 + F.ln(F.col("both") / F.col("n_term")) / information)
-    telling = cut_lineage(rated.withColumn("ratio", ratio).where(F.col("ratio") >= plan.ratio).select("entity", "term", "ratio"))
-    hits = even_lookup(near.where("term is not null").select("row", "entity", "term", "start", "end"), telling, ["entity", "term"]).where("ratio is not null")
-    hits = hits.groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
+    hits = even_lookup(near, telling, ["term"], "inner")
     terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
     none = F.array().cast(terms.schema["terms"].dataType)
     return found.drop("near").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
 
+def disclosing(docs: DataFrame, text: str = "text", plan: Disclosure = Disclosure()) -> DataFrame:
+    """term, ratio: the terms that disclose an entity, with their highest ratio; see `find`."""
+    texts = pick(docs, text).toDF("text")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.string())
+        for batch in batches:
+            entities, terms = [], []
+            for t in batch.column(0):
+                own = t.as_py() or ""
+                if spans := base_spans(own):
+                    entities.append(sorted({entity(k, own[s:e]) for k, s, e in spans}))
+                    terms.append(sorted({own[s:e].lower() for s, e in free_words(own, spans)}))
+            yield pa.RecordBatch.from_arrays([pa.array(entities, kind), pa.array(terms, kind)], ["entities", "terms"])
+
+    total = texts.count()
+    met = cut_lineage(texts.mapInArrow(meet, "entities array<string>, terms array<string>").withColumn("row", F.monotonically_increasing_id()))
+    own = met.select("row", F.explode("entities").alias("entity"))
+    # An entity of fewer documents than `support` meets no term that often: leaving it out here changes nothing.
+    entities = cut_lineage(own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= plan.support))
+    rated = even_lookup(own, entities.select("entity", F.lit(True).alias("on")), ["entity"], "inner").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    pairs = met.select("row", "terms").join(rated, "row").select("entities", F.explode("terms").alias("term"))
+    pairs = pairs.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    counts = document_counts(docs, text).withColumnRenamed("n", "n_term")
+    weighed = pairs.where(F.col("both") >= plan.support).join(entities, "entity").join(counts, "term")
+    information = -F.ln(F.col("n_entity") / F.lit(float(max(1, total))))
+    ratio = F.when(information > 0, 1 + F.ln(F.col("both") / F.col("n_term")) / information)
+    return cut_lineage(weighed.withColumn("ratio", ratio).where(F.col("ratio") >= plan.ratio).groupBy("term").agg(F.max("ratio").alias("ratio")))
+
+
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Disclosure = Disclosure()) -> DataFrame:
     """`key`, the number of base spans by kind, base_sha256 and spans of each row, as `find` has them.
 
