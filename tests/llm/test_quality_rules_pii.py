@@ -115,6 +115,18 @@ def test_cutoffs_are_certified_and_reject_poor_documents(spark):
     assert all(x.kept for x in rules.judged(docs, noise).collect())
 
 
+def test_doubled_words_are_rejected(spark):
+    """w w x x y y has no repeated three-word window."""
+    r, rows, labels = random.Random(14), [], []
+    for i in range(2000):
+        good = r.random() < 0.7
+        own = r.sample(range(10**6), 60)
+        rows.append((i, " ".join(f"w{x}" if good else f"w{x} w{x}" for x in own), "en", "a", 1, "", "", ""))
+        labels.append((i, int(good), 0))
+    got = {x.doc_id: x for x in rules.judged(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    assert all(got[k].kept == bool(q) and got[k].broken == (None if q else "stutter") for k, q, _ in labels)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
