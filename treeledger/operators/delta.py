@@ -14,9 +14,25 @@ from ..cluster import cut_lineage, running_total
 
 MINIMUM, AVERAGE, MAXIMUM = 16 * 1024, 64 * 1024, 256 * 1024
 _WINDOW = 32
+# Bytes whose hashes are worked out at once.
+_PIECE = 4 * 1024 * 1024
 _GEAR = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.uint64)
 
 
+def candidates(data: bytes, minimum: int, average: int, lead: int = 0) -> np.ndarray:
+    """Offsets, after the first `lead` bytes, at which a hash of the last 32 bytes has its low bits clear; in pieces of bounded size."""
+    mask = np.uint64((1 << max(1, int(average - minimum).bit_length() - 1)) - 1)
+    out = []
+    for begin in range(lead, len(data), _PIECE):
+        back = min(_WINDOW - 1, begin)
+        values = _GEAR[np.frombuffer(data, np.uint8, min(_PIECE, len(data) - begin) + back, begin - back)]
+        rolling = values.copy()
+        for shift in range(1, min(_WINDOW, len(values))):
+            rolling[shift:] += values[:-shift] << np.uint64(shift)
+        out.append(np.flatnonzero((rolling[back:] >> np.uint64(16)) & mask == 0) + (begin - lead + 1))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def boundaries(data: bytes, minimum: int, average: int, maximum: int) -> list[int]:
     """End offsets of content-defined chunks.
 
@@ -26,17 +42,12 @@ def boundaries(data: bytes, minimum: int, average: int, maximum: int) -> list[in
     n = len(data)
     if n <= minimum:
         return [n] if n else []
-    values = _GEAR[np.frombuffer(data, dtype=np.uint8)]
-    rolling = values.copy()
-    for shift in range(1, min(_WINDOW, n)):
-        rolling[shift:] += values[:-shift] << np.uint64(shift)
-    mask = np.uint64((1 << max(1, int(average - minimum).bit_length() - 1)) - 1)
-    candidates = np.flatnonzero((rolling >> np.uint64(16)) & mask == 0) + 1
+    found = candidates(data, minimum, average)
     ends, start = [], 0
     while n - start > minimum:
-        at = np.searchsorted(candidates, start + minimum)
+        at = np.searchsorted(found, start + minimum)
         limit = min(start + maximum, n)
-        end = int(candidates[at]) if at < len(candidates) and candidates[at] <= limit else limit
+        end = int(found[at]) if at < len(found) and found[at] <= limit else limit
         ends.append(end)
         start = end
     if start < n:

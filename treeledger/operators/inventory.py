@@ -36,6 +36,8 @@ class Header:
     walk_err_samples: list[str] = field(default_factory=list)
     icloud_stubs: int = 0
     icloud_stub_samples: list[str] = field(default_factory=list)
+    skipped_symlinks: int = 0
+    dataless_files: int = 0
 
     @property
     def rules(self) -> str:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.masks import PathFilter, folded_path
+from ..functions.masks import PathFilter
 from ..operators import inventory as inv
 from ..operators.validate import TABLE_SCHEMA
 from ..schema import ENTRY, HEADER, PLAN_HEADER
+from .scan import base_matches, located, walk_tree
 
 LEGACY_SCHEMA = 1
 CASE_PROPERTY = "treeledger.case_insensitive"
@@ -189,38 +190,50 @@ def _quoted(c: str) -> Column:
 
 
 def list_tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(path, size, mtime_ms, location) of every file below a root. Content is not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    """(path, size, mtime_ms, location) of every file below a root, empty ones too. Content is not read, links aren't followed."""
+    files = walk_tree(spark, root).entries.where("kind = 'file'")
     if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.col("path"), "^.*?" + _escaped(base) + "/", "")
-    return reader.load(root).select(
-        relative.alias("path"), F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("mtime_ms"), F.col("path").alias("location"),
-    )
-
-
-def _escaped(value: str) -> str:
-    import re
-
-    return re.escape(value)
+        files = files.where(base_matches(pattern))
+    return located(files.select("path", "size", "mtime_ms"), root)
 
 
 def scan_tree(
     spark: SparkSession, root: str, evidence: str = "full", keep: PathFilter | None = None, cache: DataFrame | None = None,
     corrections: DataFrame | None = None,
 ) -> DataFrame:
-    """Entry rows of a file tree at an evidence tier (none, sampled, full).
+    """File rows of a tree at an evidence tier; `scan_inventory` has its folders, links and unread areas as well."""
+    return _file_entries(walk_tree(spark, root, keep).entries, root, evidence, cache, corrections)
+
+
+def scan_inventory(
+    spark: SparkSession, root: str, evidence: str = "full", keep: PathFilter | None = None, cache: DataFrame | None = None,
+    corrections: DataFrame | None = None, links: bool = True, **header,
+) -> inv.Inventory:
+    """The inventory of a tree: files at an evidence tier, folders, links, unread areas, and the counts in its header."""
+    walk = walk_tree(spark, root, keep, links)
+    others = walk.entries.where("kind <> 'file'")
+    files = _file_entries(walk.entries, root, evidence, cache, corrections)
+    counts = walk.accounting().first()
+    head = inv.Header(
+        root=root, evidence=evidence, excluded_dirs=counts["excluded_dirs"], excluded_files=counts["excluded_files"],
+        walk_errors=counts["walk_errors"], walk_err_samples=list(counts["walk_err_samples"]), icloud_stubs=counts["placeholders"],
+        icloud_stub_samples=list(counts["placeholder_samples"]), skipped_symlinks=counts["skipped_symlinks"],
+        dataless_files=counts["dataless_files"], **header,
+    )
+    return inv.Inventory(files.unionByName(_as_entries(others)), head, walk.unread if counts["unread"] else None)
+
+
+def _file_entries(
+    entries: DataFrame, root: str, evidence: str, cache: DataFrame | None, corrections: DataFrame | None
+) -> DataFrame:
+    """Entry rows of a walk's files at an evidence tier (none, sampled, full).
 
     Names, sizes and times are listed first; filters, time corrections and the digest cache decide which
     files still have to be read. Only those are opened, in pieces by tasks, whatever their number and size;
     the sampled tier reads its three windows only. A file that can't be read is `unreadable`.
     """
-    found = folded_path(list_tree(spark, root))
-    if keep is not None:
-        found = found.where(keep.passes_file())
-    found = found.drop("folded")
+    spark = entries.sparkSession
+    found = located(entries.where("kind = 'file'"), root)
     none_yet = spark.createDataFrame([], "path string, ondisk_ms bigint, intended_ms bigint")
     found = inv.correct_mtimes(found, none_yet if corrections is None else corrections)
     sampled = evidence == "sampled"
@@ -272,11 +285,12 @@ def stream_digest(location: str, sampled: bool = False, piece: int = PIECE) -> d
         return None
 
 
-def _as_entries(files: DataFrame) -> DataFrame:
+def _as_entries(found: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
-    return files.select(
-        F.lit("file").alias("kind"), "path", "size", "mtime_ms", "identity", none("string").alias("file_system_id"), none("int").alias("mode"),
-        none("array<struct<kind:string,digest:string>>").alias("previous_identities"), none("string").alias("target"),
+    identity = F.col("identity") if "identity" in found.columns else none("struct<kind:string,digest:string>")
+    return found.select(
+        "kind", "path", "size", "mtime_ms", identity.alias("identity"), "file_system_id", "mode",
+        none("array<struct<kind:string,digest:string>>").alias("previous_identities"), "target",
     )
 
 
