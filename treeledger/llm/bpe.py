@@ -10,6 +10,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -22,8 +23,11 @@ from .common import pick
 
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
 BUCKETS = 1 << 14
-#: Words that a Python worker remembers; past it they are forgotten and folded anew.
-REMEMBERED = 1 << 19
+#: Words of a generation. A Python worker remembers two: when the young one is full, the old one's words that were not met
+#: again are forgotten, and folded anew if they come back.
+REMEMBERED = 1 << 18
+#: Characters of texts whose words are learnt together.
+GROUP_CHARS = 1 << 20
 #: Longer words are folded with a heap. Words, or characters of a text, worked off at once.
 LONG_WORD = 48
 PART_WORDS = 1 << 18
@@ -118,14 +122,82 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word")
     return words.select(word).distinct().select(word, ids.alias("ids"))
 
 
+class Folder:
+    """Folds many words at once: in each round every word merges its pair of lowest rank, the leftmost of equal ranks.
+
+    Words are runs of ids in one array. A pair's rank is the id of the merged token, found in a sorted table of all pairs of
+    tokens that make up a token.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], NONE)
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of non-empty words."""
+        out: list[list[int]] = [[]] * len(words)
+        if not len(self.keys):
+            return [self.single[list(w)].tolist() for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        number = np.arange(len(words))  # of the words that still merge
+        of = np.repeat(number, lengths)
+        rank = np.full(len(ids), NONE)  # of the pair that begins here
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        rank[inner] = self.rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            done = best == NONE
+            if done.any():
+                for n, a, size in zip(number[done].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[n] = ids[a : a + size].tolist()
+                stays = np.repeat(~done, sizes)
+                ids, rank, number = ids[stays], rank[stays], number[~done]
+                best, sizes = best[~done], sizes[~done]
+                of = np.repeat(np.arange(len(number)), sizes)
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best[of])
+            at = at[np.concatenate(([True], of[at[1:]] != of[at[:-1]]))]  # each word's leftmost
+            ids[at] = best
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # one piece of each earlier word is gone
+            ids, rank, of = ids[stays], rank[stays], of[stays]
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(ids) - 1)
+                paired = (right > left) & (of[left] == of[right])
+                rank[left] = np.where(paired, self.rank(ids[left], ids[right]), NONE)
+        return out
+
+
 class Coder:
     """Encodes texts word by word; a word's ids are folded once and remembered."""
 
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = parse_ranks(vocabulary)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.shown = {rank: str(rank) for rank in self.tokens}
         self.words = regex.compile(pattern)
-        self.known: dict[str, str] = {}
+        self.folder = Folder(self.ranks)
+        #: Of the words: their ids in decimal, comma-joined, and the bytes that these decode to.
+        self.lines: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def fold(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank is merged until no pair has a rank, the leftmost of equal ranks first."""
@@ -170,42 +242,65 @@ class Coder:
             i = end[i]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = ",".join(map(str, self.fold(w.encode("utf-8", "surrogatepass"))))
-
-    def lines(self, text: str) -> Iterator[str]:
-        """The text's ids in decimal, comma-joined, in parts of up to PART_WORDS words."""
+    def learn(self, words: set[str]) -> None:
+        """Afterwards all these words are known; what the old generation knows of them is taken over."""
+        if len(self.lines) > REMEMBERED:
+            self.old, self.lines, self.bytes = (self.lines, self.bytes), {}, {}
+        lines, data = self.old
+        new = []
+        for w in words.difference(self.lines):
+            if (line := lines.get(w)) is not None:
+                self.lines[w], self.bytes[w] = line, data[w]
+            else:
+                new.append(w)
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD and w not in self.ranks]
+        found = dict(zip(short, self.folder([raw[i] for i in short]), strict=True))
+        for i, (word, own) in enumerate(zip(new, raw, strict=True)):
+            ids = found[i] if i in found else self.fold(own)
+            self.lines[word] = ",".join([self.shown[x] for x in ids])
+            self.bytes[word] = self.decode(ids)
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The text's words, in lists of up to PART_WORDS where it is long."""
         if len(text) <= PART_WORDS:
             parts = iter([self.words.findall(text)])
         else:
             found = self.words.finditer(text)
             parts = iter(lambda: [m[0] for m in islice(found, PART_WORDS)], [])
-        for words in parts:
-            if words:
-                try:
-                    yield ",".join(map(self.known.__getitem__, words))
-                except KeyError:
-                    self._learn(words)
-                    yield ",".join(map(self.known.__getitem__, words))
+        return (words for words in parts if words)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for line in self.lines(text) for i in line.split(",")]
+        out: list[int] = []
+        for words in self.parts(text):
+            self.learn(set(words))
+            out += [int(i) for w in words for i in self.lines[w].split(",")]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of the bytes that they decode to."""
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for line in self.lines(text):
-            ids.update(("," if n else "").encode() + line.encode())
-            own = [*map(int, line.split(","))]
-            n += len(own)
-            decoded.update(self.decode(own))
-        return n, ids.hexdigest(), decoded.hexdigest()
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, digest of the ids, digest of the bytes that they decode to."""
+        at = 0
+        while at < len(texts):
+            group, chars = [], 0
+            while at < len(texts) and (not group or chars + len(texts[at]) <= GROUP_CHARS):
+                group.append(texts[at])
+                chars, at = chars + len(texts[at]), at + 1
+            # A long text comes alone and part by part; the others' words are learnt together.
+            found = [self.parts(t) if len(t) > PART_WORDS else list(self.parts(t)) for t in group]
+            self.learn({w for parts in found if isinstance(parts, list) for words in parts for w in words})
+            for parts in found:
+                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for words in parts:
+                    if not isinstance(parts, list):
+                        self.learn(set(words))
+                    line = ",".join(map(self.lines.__getitem__, words))
+                    ids.update(("," if n else "").encode() + line.encode())
+                    n += line.count(",") + 1
+                    decoded.update(b"".join(map(self.bytes.__getitem__, words)))
+                yield n, ids.hexdigest(), decoded.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +309,7 @@ def coder(vocabulary: bytes, pattern: str) -> Coder:
     return Coder(vocabulary, pattern)
 
 
-def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: str, columns: list[T.StructField], row) -> DataFrame:
+def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: str, columns: list[T.StructField], rows_of) -> DataFrame:
     with open(vocabulary, "rb") as f:
         payload = f.read()
     rows = pick(docs, key, source).toDF("key", "value")
@@ -225,7 +320,7 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(payload, pattern)
         for batch in batches:
-            out = [*zip(*(row(own, v.as_py()) for v in batch.column(1)), strict=True)] or [()] * len(names)
+            out = [*zip(*rows_of(own, batch.column(1).to_pylist()), strict=True)] or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["key", *names])
 
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
@@ -234,13 +329,13 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: st
 def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and ids (array<int>) of each row; null counts as empty."""
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    return _mapped(docs, vocabulary, pattern, key, text, [ids], lambda c, t: (c.encode(t or ""),))
+    return _mapped(docs, vocabulary, pattern, key, text, [ids], lambda c, texts: ((c.encode(t or ""),) for t in texts))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """`key` and data (binary): the concatenated bytes of the ids; null counts as no ids."""
     data = T.StructField("data", T.BinaryType())
-    return _mapped(rows, vocabulary, pattern, key, ids, [data], lambda c, x: (c.decode(x or []),))
+    return _mapped(rows, vocabulary, pattern, key, ids, [data], lambda c, lists: ((c.decode(x or []),) for x in lists))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,4 +349,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "do
     rows; further columns are ignored.
     """
     columns = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(docs, vocabulary, pattern, key, text, columns, lambda c, t: c.digests(t or ""))
+    return _mapped(docs, vocabulary, pattern, key, text, columns, lambda c, texts: c.digests([t or "" for t in texts]))
