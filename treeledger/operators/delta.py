@@ -162,14 +162,21 @@ def ordered_digest(df: DataFrame, groups: list[str], order: str, value: Column,
     """Digest of an ordered list per group, in levels: rows to buckets of fixed width, buckets to one digest.
 
     `order` must be a dense 0-based position, so a bucket holds a bounded number of rows and the number of
-    buckets shrinks by its width at every level until each group has one row left.
+    buckets shrinks by its width at every level until each group has one row left. A group that is down to one row
+    keeps its digest while others go on, so a digest depends on its own list only.
     """
     level = df.select(*groups, F.col(order).alias("_o"), F.sha2(value.cast("string"), 256).alias("_d"))
+    first = True
     while True:
-        level = level.groupBy(*groups, F.floor(F.col("_o") / bucket).alias("_b")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_d"))), lambda r: r["_d"]), ""), 256).alias("_d")
-        ).withColumnRenamed("_b", "_o")
-        level = cut_lineage(level)
+        rows = F.array_sort(F.collect_list(F.struct("_o", "_d")))
+        whole = F.sha2(F.array_join(F.transform("_r", lambda r: r["_d"]), ""), 256)
+        # Only a finished group has a first bucket of one row: any other list reaches its second position.
+        digest = whole if first else F.when((F.size("_r") == 1) & (F.col("_b") == 0), F.col("_r")[0]["_d"]).otherwise(whole)
+        level = cut_lineage(
+            level.groupBy(*groups, F.floor(F.col("_o") / bucket).alias("_b")).agg(rows.alias("_r"))
+            .select(*groups, F.col("_b").alias("_o"), digest.alias("_d"))
+        )
+        first = False
         if level.where("_o > 0").isEmpty():
             return level.select(*groups, F.col("_d").alias(name))
 

@@ -292,28 +292,30 @@ def directory_outcomes(spark, sf):
 @query(
     "scalar_formats",
     plan_sql(
-        """SELECT op_index, regexp_replace(path, '/?[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS base,
+        """SELECT op_index, regexp_replace(path, '/?[^/]*$', '') AS parent, base,
         (length(path) - length(replace(path, '/', '')))::INT AS depth,
-        CASE WHEN amount < 1024 THEN amount || ' B' ELSE printf('%.1f', amount / 1024.0) || ' KiB' END AS human,
+        CASE WHEN amount < 1024 THEN amount || ' B' WHEN amount < 1048576 THEN round_even(amount / 1024.0, 1)::DECIMAL(18, 1) || ' KiB' ELSE round_even(amount / 1048576.0, 1)::DECIMAL(18, 1) || ' MiB' END AS human,
+        printf('%.2f', amount / 1048576.0) || ' MiB/s' AS rate,
         strftime(make_timestamp(ms // 1000 * 1000000), '%Y%m%d-%H%M%S') AS stamp,
-        CASE WHEN amount // 3600000 > 0 THEN amount // 3600000 || ':' || lpad(CAST(amount // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(amount // 1000 % 60 AS VARCHAR), 2, '0')
-          ELSE amount // 60000 || ':' || lpad(CAST(amount // 1000 % 60 AS VARCHAR), 2, '0') END AS duration,
+        CASE WHEN span // 3600000 > 0 THEN span // 3600000 || ':' || lpad(CAST(span // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(span // 1000 % 60 AS VARCHAR), 2, '0')
+          ELSE span // 60000 || ':' || lpad(CAST(span // 1000 % 60 AS VARCHAR), 2, '0') END AS duration,
         CASE WHEN age < 60000 THEN 'just now' WHEN age < 3600000 THEN age // 60000 || ' min ago' WHEN age < 86400000 THEN age // 3600000 || ' h ago' ELSE age // 86400000 || ' d ago' END AS ago,
-        CASE WHEN age // 60000 < 60 THEN age // 60000 || 'm ago' WHEN age // 60000 < 2880 THEN age // 3600000 || 'h ago' ELSE age // 86400000 || 'd ago' END AS age,
-        regexp_replace(path, '[^/]*$', '') || 'F' || CASE WHEN regexp_extract(path, '[^/]*$') LIKE '%.dat' THEN regexp_extract(path, 'F([0-9]+)', 1) END || '.sync-conflict-' || strftime(make_timestamp(ms // 1000 * 1000000), '%Y%m%d-%H%M%S') || '-nas-01.dat' AS kept
-        FROM (SELECT p.op_index, p.path, e.ms, e.amount, 1706700000000 - e.ms AS age FROM plan p JOIN ev2 e ON e.event_id = p.op_index) WHERE path LIKE '%.dat' AND amount >= 0"""
+        CASE WHEN late // 60000 < 60 THEN late // 60000 || 'm ago' WHEN late // 60000 < 2880 THEN late // 3600000 || 'h ago' ELSE late // 86400000 || 'd ago' END AS age,
+        regexp_replace(path, '[^/]*$', '') || left(base, length(base) - length(ext)) || '.sync-conflict-' || strftime(make_timestamp(ms // 1000 * 1000000), '%Y%m%d-%H%M%S') || '-nas-01' || ext AS kept
+        FROM (SELECT *, regexp_extract(base, '^.+(\\.[^.]*)$', 1) AS ext, greatest(amount, 0) AS span, greatest(age, 0) AS late FROM (
+          SELECT p.op_index, p.path, regexp_extract(p.path, '[^/]*$') AS base, e.ms, e.amount, 1706700000000 - e.ms AS age FROM plan p JOIN ev2 e ON e.event_id = p.op_index))"""
     ),
 )
 def scalar_formats(spark, sf):
+    """Every format of every plan row: files, folders and root-level names, also of negative amounts and times ahead."""
     e = fx.table(spark, sf, "events").select(
         F.col("event_id").alias("op_index"), text.epoch_ms("ts").alias("ms"), F.round(F.col("value") * 1000).cast("bigint").alias("amount")
     )
-    p = fx.review_plan(spark, sf).select("op_index", "path").where(F.endswith("path", F.lit(".dat")))
-    return p.join(e, "op_index").where("amount >= 0").select(
+    return fx.review_plan(spark, sf).select("op_index", "path").join(e, "op_index").select(
         "op_index", text.parent("path").alias("parent"), text.base_name("path").alias("base"), text.depth("path").alias("depth"),
-        text.human_bytes("amount").alias("human"), text.stamp_compact("ms").alias("stamp"), text.human_duration("amount").alias("duration"),
-        text.relative_time("ms", fx.PLAN_MS).alias("ago"), text.relative_age("ms", fx.PLAN_MS).alias("age"),
-        text.conflict_name("path", F.lit("nas.01"), F.col("ms")).alias("kept"),
+        text.human_bytes("amount").alias("human"), text.human_rate("amount").alias("rate"), text.stamp_compact("ms").alias("stamp"),
+        text.human_duration("amount").alias("duration"), text.relative_time("ms", fx.PLAN_MS).alias("ago"),
+        text.relative_age("ms", fx.PLAN_MS).alias("age"), text.conflict_name("path", F.lit("nas.01"), F.col("ms")).alias("kept"),
     )
 
 

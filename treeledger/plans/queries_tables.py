@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import masks, names, rows, text
-from ..operators import delta, inventory, layout, validate
+from ..operators import chunk_ranges, delta, inventory, layout, validate
 from ..sources import tables
 from . import fixtures as fx
 
@@ -268,6 +268,26 @@ def chunk_coverage(spark, sf):
     return chunks.groupBy("doc_id").agg(F.sum("len").alias("size"), F.bool_and(F.col("expected") == F.col("off")).alias("contiguous"))
 
 
+@query(
+    "chunk_range_coverage",
+    base_sql("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, true AS contiguous, true AS as_whole FROM base WHERE strlen(text) > 0"),
+)
+def chunk_range_coverage(spark, sf):
+    """The same when ranges of 1,000 bytes are worked off side by side; each chunk is also one of the whole text's."""
+    from ..cluster import running_total
+
+    kinds = {"minimum": 256, "average": 1024, "maximum": 4096}
+    base = fx.base(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content"))
+    made = chunk_ranges.chunk_table_by_ranges(base, ["doc_id"], location=None, content="content", span=1000, **kinds)
+    chunks = running_total(made, ["doc_id"], ["position"], F.col("len"), "expected")
+    whole = delta.chunk_table(base, ["doc_id"], "content", **kinds).withColumn("found", F.lit(True))
+    both = chunks.join(whole, ["doc_id", "position", "off", "len", "hash"], "left")
+    return both.groupBy("doc_id").agg(
+        F.sum("len").alias("size"), F.bool_and(F.col("expected") == F.col("off")).alias("contiguous"),
+        F.bool_and(F.coalesce("found", F.lit(False))).alias("as_whole"),
+    )
+
+
 @query(
     "recipe_check",
     base_sql("SELECT doc_id, true AS sound FROM base WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND strlen(text) > 0"),
@@ -347,16 +367,19 @@ def patch_bytes(spark, sf):
 @query(
     "ordered_digests",
     base_sql(
-        """SELECT doc_id, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM (SELECT doc_id, position // 8 AS b, sha256(string_agg(sha256(hash), '' ORDER BY position)) AS d FROM piece GROUP BY 1, 2)
-        GROUP BY doc_id HAVING max(b) BETWEEN 1 AND 7
-        UNION ALL SELECT doc_id, any_value(d2) FROM (SELECT doc_id, sha256(string_agg(sha256(hash), '' ORDER BY position)) AS d, max(position) AS m, sha256(sha256(string_agg(sha256(hash), '' ORDER BY position))) AS d2 FROM piece GROUP BY doc_id) WHERE m < 8 GROUP BY doc_id""",
-        PIECES.replace("FROM (SELECT doc_id, text, unnest", "FROM (SELECT doc_id, text, unnest").replace("FROM base)),", "FROM base WHERE length(text) <= 700 * 60)),"),
+        "SELECT doc_id, d AS digest FROM lv WHERE n = 1",
+        PIECES,
+        """lv(doc_id, level, o, d, n) AS (
+          SELECT doc_id, 1, position // 8, sha256(string_agg(sha256(hash), '' ORDER BY position)), any_value(n + 7) // 8
+          FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM piece) GROUP BY doc_id, position // 8
+          UNION ALL
+          SELECT doc_id, level + 1, o // 8, sha256(string_agg(d, '' ORDER BY o)), (n + 7) // 8 FROM lv WHERE n > 1 GROUP BY doc_id, level, o // 8, n
+        )""",
     ),
 )
 def ordered_digests(spark, sf):
     base = _pieces(spark, sf)[1]
-    sizes = fx.base(spark, sf).where(F.length("text") <= 700 * 60).select("doc_id")
-    return delta.ordered_digest(base.join(sizes, "doc_id", "left_semi"), ["doc_id"], "position", F.col("hash"), "digest", bucket=8)
+    return delta.ordered_digest(base, ["doc_id"], "position", F.col("hash"), "digest", bucket=8)
 
 
 @query("plan_digest")
