@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
+from ..cluster import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, cut_lineage
 from ..functions import rows, text
 from ..functions.masks import PathFilter, folded_path
 
@@ -75,7 +79,11 @@ class Inventory:
 
 @dataclass
 class UnreadScope:
-    """Prefix keys of both sides' unread areas, with the depths that occur."""
+    """Prefix keys of both sides' unread areas, with the depths that occur.
+
+    While they are `small`, entries lose what they cover in broadcast joins, one per depth, without an exchange. Beyond that
+    entries and prefixes are range-partitioned together, once whatever the depths, and swept in order.
+    """
 
     prefixes: DataFrame | None
     depths: list[int]
@@ -104,17 +112,17 @@ class UnreadScope:
         return F.broadcast(df) if self.small else df
 
     def readable(self, keyed: DataFrame) -> DataFrame:
-        """Entries outside every unread area.
-
-        One equality anti join per prefix depth, on the entry key cut to that depth. Entries are never
-        multiplied by their depth, and a hot folder stays splittable on the entry side.
-        """
-        return self._join(keyed, "left_anti")
+        """Entries outside every unread area. They are never multiplied by their depth, and a hot folder stays splittable."""
+        if self.prefixes is None:
+            return keyed
+        return self._join(keyed, "left_anti") if self.small else swept(keyed, self.prefixes.select("prefix"), covered=False)
 
     def covered(self, keyed: DataFrame) -> DataFrame:
         """Entries at or under an unread area."""
         if self.prefixes is None:
             return keyed.limit(0)
+        if not self.small:
+            return swept(keyed, self.prefixes.select("prefix"), covered=True)
         flagged = keyed
         hit = F.lit(False)
         for d in self.depths:
@@ -142,6 +150,52 @@ class UnreadScope:
         return keyed.join(self._side(above), "key", "left_anti")
 
 
+def outermost(prefixes: DataFrame) -> DataFrame:
+    """The prefixes that lie below no other one; what they cover doesn't overlap."""
+    inner = prefixes.select("prefix", F.explode(text.ancestors("prefix")).alias("_above"))
+    nested = inner.join(prefixes.select(F.col("prefix").alias("_above")), "_above", "left_semi").select("prefix").distinct()
+    return prefixes.join(nested, "prefix", "left_anti")
+
+
+def swept(keyed: DataFrame, prefixes: DataFrame, covered: bool) -> DataFrame:
+    """Entries at or under one of the prefixes if `covered`, else the others: one pass over keys in the order of their segments.
+
+    In that order a folder's subtree follows it without a gap, so a prefix covers a run of rows whose end is found by
+    bisection. A run may go on in later partitions: of each partition only its last prefix reaches the driver.
+    """
+    marks = outermost(prefixes.distinct()).select(F.col("prefix").alias("key"), F.lit(True).alias("_mark"))
+    both = keyed.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    order = [F.col("_order"), F.col("_mark").desc()]
+    placed = both.withColumn("_order", F.split("key", "/")).repartitionByRange("_order").sortWithinPartitions(*order)
+    placed = cut_lineage(placed).drop("_order")
+    last = placed.where("_mark").groupBy(F.spark_partition_id().alias("part")).agg(
+        F.max_by("key", F.split("key", "/")).alias("key")
+    ).collect()
+    carried = sorted((r["part"], r["key"]) for r in last)
+    at = placed.columns.index("key")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        open_ = next((key for p, key in reversed(carried) if p < part), None)
+        for batch in batches:
+            keys, mark = batch.column(at), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            hit = np.zeros(batch.num_rows, bool)
+            starts = np.flatnonzero(mark).tolist()
+            for start, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if start < end and mark[start]:
+                    open_ = keys[start].as_py()
+                if open_ is not None:
+                    low, high = start, end  # rows from `low` on may be past the run
+                    while low < high:
+                        mid = (low + high) // 2
+                        key = keys[mid].as_py()
+                        low, high = (mid + 1, high) if key == open_ or key.startswith(open_ + "/") else (low, mid)
+                    hit[start:low] = True
+            yield batch.filter(pa.array((hit == covered) & ~mark))
+
+    return placed.mapInArrow(sweep, placed.schema).drop("_mark")
+
+
 ENTRY_FIELDS = ["path", "size", "mtime_ms", "identity", "mode", "target"]
 
 
