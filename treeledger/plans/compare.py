@@ -54,12 +54,18 @@ def compare(
     sides = Sides(source, target, (options or Options()).widened(source, target))
     if archive is not None and not archive_usable(archive.header, mode, source.header.evidence):
         archive = None
-    if mode == "sync":
-        decided = cut_lineage(cmp.decide_two_way(sides, archive, resolve_newer))
-        parts = cmp.plan_two_way(sides, decided, archive is not None)
-    else:
-        decided = cut_lineage(cmp.decide_one_way(sides, mode))
-        parts = cmp.plan_one_way(sides, mode, decided)
+    decided = cut_lineage(decide(sides, mode, archive, resolve_newer))
+    return planned(sides, mode, decided, archive is not None, now_ms)
+
+
+def decide(sides: Sides, mode: str, archive: Inventory | None, resolve_newer: bool = False) -> DataFrame:
+    """(kind, key, s, t, twins, verdict) of every key that is not settled. A key's verdict depends on its own rows only."""
+    return cmp.decide_two_way(sides, archive, resolve_newer) if mode == "sync" else cmp.decide_one_way(sides, mode)
+
+
+def planned(sides: Sides, mode: str, decided: DataFrame, with_archive: bool, now_ms: int = 0) -> Comparison:
+    """The operations that stored decisions lead to, after all passes."""
+    parts = cmp.plan_two_way(sides, decided, with_archive) if mode == "sync" else cmp.plan_one_way(sides, mode, decided)
     notes = cmp.duplicate_notes(sides, decided)
     ops = parts[0]
     for part in parts[1:] + ([notes] if notes is not None else []):
@@ -69,7 +75,7 @@ def compare(
     pruned = passes.prune_conflict_copies(sides)
     if pruned is not None:
         ops = ops.unionByName(pruned)
-    ops = passes.check_name_rules(ops, source.header.rules, target.header.rules)
+    ops = passes.check_name_rules(ops, sides.source.header.rules, sides.target.header.rules)
     return Comparison(sides, mode, ops)
 
 

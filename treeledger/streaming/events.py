@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -196,24 +196,17 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(fields, F.col("round")).alias("r")).select(*keys, "r.*")
 
 
-def compare_rounds(
-    versions: DataFrame, load: Callable[[SparkSession, str], object], target, mode: str, path: str, checkpoint: str, **compare_options
-) -> DataStreamWriter:
-    """Compare each new inventory version with the target and append its per-side statistics.
+def compare_rounds(changes: DataFrame, maintained, path: str, checkpoint: str, order: str = "ts_ms") -> DataStreamWriter:
+    """Keep a comparison up to date with a stream of inventory changes; every round appends its per-side statistics.
 
-    `versions` streams (snapshot_id, ts_ms); `load` opens the inventory of an id. A round handles the few
-    versions that arrived since the last one, in time order.
+    `changes` streams the columns of `maintained.CHANGE` and `order`; `maintained` is a started `Maintained`. A round decides
+    the keys in the buckets of its changes again, not the inventories. A replayed round replaces what it wrote.
     """
-    from ..plans.compare import compare
+    from ..plans.maintained import last_changes
 
     def round_(rows: DataFrame, round_no: int) -> None:
-        spark = rows.sparkSession
-        for place, row in enumerate(rows.orderBy("ts_ms").select("snapshot_id").toLocalIterator()):
-            snapshot_id = row["snapshot_id"]
-            made = compare(load(spark, snapshot_id), target, mode, **compare_options)
-            side_stats(made.operations()).withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").parquet(
-                f"{path}/round={round_no}/place={place}"
-            )
-
-    return versions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(round_)
+        maintained.apply(last_changes(rows, order), round_no + 1)
+        stats = side_stats(maintained.comparison(round_no + 1).operations())
+        stats.write.mode("overwrite").parquet(f"{path}/round={round_no + 1}")
 
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(round_)
