@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.progress import COUNTERS, SPACING_MS
@@ -41,17 +42,64 @@ _STAGE = "run_id string, phase string, items_done bigint, items_total bigint, by
 _STAGE_STATE = "counters array<bigint>, label string, active boolean, status string"
 
 
-def stage_stream(events: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Forget:
+    """When a group's state ends: once the watermark, `delay` behind the newest row, is `after_ms` past the group's last row.
+
+    Rows behind the watermark are dropped then; `LateRows` counts them.
+    """
+
+    after_ms: int
+    delay: str = "10 seconds"
+
+    def timed(self, events: DataFrame) -> DataFrame:
+        return watermarked(events, self.delay)
+
+    def set(self, state: GroupState, last_ms: int) -> None:
+        state.setTimeoutTimestamp(max(int(last_ms) + self.after_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _by_group(
+    events: DataFrame, keys: list[str], columns: list[str], forget: Forget | None, step, output: str, kept: str, mode: str
+) -> DataFrame:
+    """`step(key, rows, state) -> output rows` per group and micro-batch. With `forget`, the state carries the group's last
+    ts_ms in its last field, and a group past its time is removed without a row; without it, states stay for good."""
+    names = [part.split()[0] for part in output.split(", ")]
+    clock = "" if forget is None else ", last_seen bigint"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        old = state.get if state.exists else None
+        new, out = step(rows, None if old is None else old if forget is None else old[:-1])
+        if forget is None:
+            if new is not None:
+                state.update(new)
+        else:
+            last = max(int(rows["ts_ms"].max()), old[-1] if old else 0)
+            state.update((*new, last))
+            forget.set(state, last)
+        yield pd.DataFrame([(*key, *row) for row in out], columns=names)
+
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout
+    timed = events if forget is None else forget.timed(events)
+    wanted = [*keys, *columns] + ([] if forget is None else [c for c in ("ts_ms", "event_time") if c not in columns])
+    return timed.select(*wanted).groupBy(*keys).applyInPandasWithState(run, output, kept + clock, mode, timeout)
+
+
+def stage_stream(events: DataFrame, forget: Forget | None = None) -> DataFrame:
     """The state of each (run, phase) after every micro-batch, for update mode.
 
-    State per phase is its four counters, label and status; rows of a batch apply in `seq` order.
+    State per phase is its four counters, label and status; rows of a batch apply in `seq` order. With `forget`, phases that
+    have been quiet long enough leave the state; their last row has been emitted.
     """
 
-    def reduce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counters, label, active, status = state.get if state.exists else ([0, 0, 0, 0], "", True, "")
+    def reduce(rows: pd.DataFrame, old: tuple | None) -> tuple[tuple, list[tuple]]:
+        counters, label, active, status = old or ([0, 0, 0, 0], "", True, "")
         counters = list(counters)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples(index=False):
+        for row in rows.sort_values("seq").itertuples(index=False):
             seen = [getattr(row, c) for c in COUNTERS]
             given = [0 if pd.isna(v) else int(v) for v in seen]
             if row.kind == "phase_start":
@@ -66,39 +114,100 @@ def stage_stream(events: DataFrame) -> DataFrame:
             elif row.kind == "phase_end":
                 counters = [old if pd.isna(v) else int(v) for old, v in zip(counters, seen)]
                 active, status = False, row.status or ""
-        state.update((counters, label, active, status))
-        yield pd.DataFrame(
-            [(*key, *counters, label, active, status == "completed", status == "failed", status == "cancelled")],
-            columns=["run_id", "phase", *COUNTERS, "label", "active", "done", "failed", "cancelled"],
-        )
+        ends = [status == x for x in ("completed", "failed", "cancelled")]
+        return (counters, label, active, status), [(*counters, label, active, *ends)]
 
     wanted = events.where(F.col("kind").isin("phase_start", "totals", "progress", "phase_end") & F.col("phase").isNotNull())
-    return wanted.select("run_id", "phase", "seq", "kind", *COUNTERS, "label", "status").groupBy("run_id", "phase").applyInPandasWithState(
-        reduce, _STAGE, _STAGE_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    return _by_group(wanted, ["run_id", "phase"], ["seq", "kind", *COUNTERS, "label", "status"], forget, reduce, _STAGE, _STAGE_STATE, "update")
 
 
-def throttle_stream(events: DataFrame, spacing_ms: int = SPACING_MS) -> DataFrame:
+_TALLY = "warnings bigint, errors bigint, done bigint, skipped bigint, failed bigint, cancelled bigint, bytes_done bigint"
+
+
+def run_counter_stream(events: DataFrame, forget: Forget) -> DataFrame:
+    """The counters of `run_counters` after every micro-batch, for update mode, with a state that ends.
+
+    A streaming aggregate by run alone keeps every run for good. Here a micro-batch's rows are numbers before they are
+    grouped, and a run that has been quiet long enough leaves the state.
+    """
+    log, level, item = F.col("kind") == "log", F.col("level"), F.col("kind") == "item_result"
+    outcome = lambda o: item & (F.col("outcome") == o)
+    flags = [
+        log & (level == "warn"), (log & (level == "error")) | (F.col("kind") == "error"),
+        outcome("ok"), outcome("kept"), outcome("failed"), outcome("cancelled"),
+    ]
+    names = [part.split()[0] for part in _TALLY.split(", ")]
+    numbers = [F.coalesce(f, F.lit(False)).cast("bigint").alias(n) for f, n in zip(flags, names, strict=False)]
+    size = F.when(F.coalesce(outcome("ok"), F.lit(False)), F.coalesce("bytes", F.lit(0))).otherwise(0).cast("bigint").alias(names[-1])
+    rows = events.select("run_id", "ts_ms", *numbers, size)
+
+    def add(found: pd.DataFrame, old: tuple | None) -> tuple[tuple, list[tuple]]:
+        sums = tuple(int(found[n].sum()) + o for n, o in zip(names, old or [0] * len(names), strict=True))
+        return sums, [sums]
+
+    return _by_group(rows, ["run_id"], names, forget, add, f"run_id string, {_TALLY}", _TALLY, "update")
+
+
+def throttle_stream(events: DataFrame, spacing_ms: int = SPACING_MS, forget: Forget | None = None) -> DataFrame:
     """Progress rows kept when each must follow the last kept one of its phase by the spacing (append mode).
 
-    A micro-batch brings one phase's rows to one task; bound it at the source (files or offsets per trigger).
+    A micro-batch brings one phase's rows to one task; bound it at the source (files or offsets per trigger). With `forget`,
+    quiet phases leave the state; a row of one that comes back is kept, as it follows by more than the spacing anyway if
+    `forget.after_ms` is no less than that.
     """
+    if forget is not None and forget.after_ms < spacing_ms:
+        raise ValueError("a phase can't be forgotten before the spacing has passed")
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "seq"])
-        out = []
-        for ts, seq in zip(rows["ts_ms"], rows["seq"]):
+    def keep(rows: pd.DataFrame, old: tuple | None) -> tuple[tuple, list[tuple]]:
+        last, out = old[0] if old else None, []
+        ordered = rows.sort_values(["ts_ms", "seq"])
+        for ts, seq in zip(ordered["ts_ms"], ordered["seq"], strict=True):
             if last is None or ts - last >= spacing_ms:
                 last = int(ts)
-                out.append((*key, ts, seq))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["run_id", "phase", "ts_ms", "seq"])
+                out.append((ts, seq))
+        return (last,), out
 
-    return events.where("kind = 'progress'").select("run_id", "phase", "ts_ms", "seq").groupBy("run_id", "phase").applyInPandasWithState(
-        keep, "run_id string, phase string, ts_ms bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    wanted = events.where("kind = 'progress'")
+    output = "run_id string, phase string, ts_ms bigint, seq bigint"
+    return _by_group(wanted, ["run_id", "phase"], ["ts_ms", "seq"], forget, keep, output, "last bigint", "append")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that a query's stateful operators drop behind the watermark, and the size of their state, per round.
+
+    Add it with `spark.streams.addListener`; `table` gives what was seen, one row per round that dropped rows or holds state.
+    """
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[str, int, int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.stateOperators:
+            dropped = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            self.seen.append((p.name or str(p.id), p.batchId, dropped, sum(s.numRowsTotal for s in p.stateOperators)))
+
+    def dropped(self, query: str | None = None) -> int:
+        return sum(d for q, _, d, _ in self.seen if query in (None, q))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """query, round, dropped, held."""
+        return spark.createDataFrame(list(self.seen), "query string, round bigint, dropped bigint, held bigint")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Append what was seen since the last call; call it between rounds or at the end, not from the listener itself."""
+        rows, self.seen = self.seen, []
+        if rows:
+            spark.createDataFrame(rows, "query string, round bigint, dropped bigint, held bigint").write.mode("append").parquet(path)
 
 
 # --- changes ------------------------------------------------------------------------------------------------
