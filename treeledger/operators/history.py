@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage, ranked_in_group, running_total, with_global_index
+from .chains import greedy_kept
 
 DAY_MS = 86_400_000
 # Fixed values: (minimum gap in seconds, applies while younger than this many seconds).
@@ -92,19 +93,14 @@ def stagger_removals(runs: DataFrame, groups: list[str], now_s: int) -> DataFram
     """(groups, at_s) of run seconds the thinning rule names for removal.
 
     Walking old to new, a run goes when it follows the last kept one by less than the step of its age, and
-    anything past the last step's age goes at once. The walk needs distinct seconds inside one year only,
-    and its state is the kept seconds: at most a few hundred, whatever the number of runs.
+    anything past the last step's age goes at once. The walk is a chain over slots of a day (`chains.greedy_kept`), so no
+    array or task holds a store.
     """
     oldest = STAGGER_STEPS[-1][1]
-    counted = runs.groupBy(*groups, "at_s").agg(F.count(F.lit(1)).alias("_n"))
-    steps = " ".join(f"WHEN {now_s} - x < {end} THEN {gap}" for gap, end in STAGGER_STEPS)
-    keep = f"""aggregate(seconds, CAST(array() AS ARRAY<BIGINT>), (kept, x) -> CASE
-        WHEN size(kept) = 0 OR x - element_at(kept, -1) >= CASE {steps} ELSE {oldest} END
-        THEN concat(kept, array(x)) ELSE kept END)"""
+    counted = cut_lineage(runs.groupBy(*groups, "at_s").agg(F.count(F.lit(1)).alias("_n")))
+    steps = " ".join(f"WHEN {now_s} - at_s < {end} THEN {gap}" for gap, end in STAGGER_STEPS)
     recent = counted.where(now_s - F.col("at_s") <= oldest)
-    kept = recent.groupBy(*groups).agg(F.array_sort(F.collect_list("at_s")).alias("seconds")).select(
-        *groups, F.explode(F.expr(keep)).alias("at_s"), F.lit(True).alias("_kept")
-    )
+    kept = greedy_kept(recent, groups, "at_s", F.expr(f"CASE {steps} ELSE {oldest} END"), width=86_400).withColumn("_kept", F.lit(True))
     judged = counted.join(kept, [*groups, "at_s"], "left")
     # Of several runs in one kept second, one is still named: only the first stands for the second.
     return judged.where(F.col("_kept").isNull() | (F.col("_n") > 1)).select(*groups, "at_s")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import spread_lookup
+from ..cluster import cut_lineage, spread_lookup
 from ..functions import text
+from .chains import greedy_kept
 
 WINDOW_MS = 60_000
 SHORTEST_MS = 200
@@ -138,67 +135,14 @@ def stage_states(events: DataFrame, run: list[str]) -> DataFrame:
 # --- throttling ---------------------------------------------------------------------------------------------
 
 
-def _chain(times: np.ndarray, allowed: np.ndarray, spacing: int) -> np.ndarray:
-    """For each first allowed time: the time of the last row kept inside the slot, or -1."""
-    last = np.full(len(allowed), -1, dtype=np.int64)
-    at = np.searchsorted(times, allowed)
-    while True:
-        live = at < len(times)
-        if not live.any():
-            return last
-        last[live] = times[at[live]]
-        at[live] = np.searchsorted(times, last[live] + spacing)
-
-
 def throttled(events: DataFrame, run: list[str], spacing_ms: int = SPACING_MS) -> DataFrame:
     """Progress rows an observer keeps: each at least `spacing_ms` after the last kept one of its phase.
 
-    The choice is a chain over ordered times, but what one time slot needs from all earlier ones is only
-    how long it must still wait, a number below the spacing. So every slot first computes what each
-    possible wait leads to; a pass over these small tables (one per slot) finds the actual waits; then
-    every slot picks its rows. No phase is ever gathered, and rows of one slot are bounded by its width.
+    The choice is a chain over ordered times (`chains.greedy_kept`): slots of time are composed in a tree, so no phase is
+    ever gathered, and the rows of a slot are bounded by its width.
     """
     keys = [*run, "phase"]
-    width = 600 * spacing_ms
-    first = events.where(F.col("kind") == "progress").groupBy(*keys, "ts_ms").agg(F.min("seq").alias("seq"))
-    slots = (
-        first.withColumns({"slot": F.floor(F.col("ts_ms") / width), "_off": F.col("ts_ms") % width})
-        .groupBy(*keys, "slot").agg(F.array_sort(F.collect_list(F.struct("_off", "seq"))).alias("rows"))
-    )
-
-    @F.pandas_udf("array<bigint>")
-    def next_wait(offsets: pd.Series) -> pd.Series:
-        waits = np.arange(spacing_ms)
-        return offsets.map(lambda o: np.maximum(_chain(np.asarray(o), waits, spacing_ms) + spacing_ms - width, 0))
-
-    tables = slots.select(*keys, "slot", next_wait(F.expr("transform(rows, r -> r._off)")).alias("leads_to"))
-    schema = ", ".join(f"{c} {tables.schema[c].dataType.simpleString()}" for c in keys) + ", slot bigint, wait bigint"
-
-    def walk(tables_of_phase: pd.DataFrame) -> pd.DataFrame:
-        t = tables_of_phase.sort_values("slot")
-        waits, wait, previous = [], 0, None
-        for slot, leads_to in zip(t["slot"], t["leads_to"]):
-            wait = wait if previous is not None and slot == previous + 1 else 0
-            waits.append(wait)
-            wait, previous = int(leads_to[wait]), slot
-        return t[[*keys, "slot"]].assign(wait=waits)
-
-    entered = tables.groupBy(*keys).applyInPandas(walk, schema)
-
-    @F.pandas_udf("array<bigint>")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for offsets, waits in batches:
-            picked = []
-            for o, wait in zip(offsets, waits):
-                times, out = np.asarray(o), []
-                at = np.searchsorted(times, wait)
-                while at < len(times):
-                    out.append(at)
-                    at = np.searchsorted(times, times[at] + spacing_ms)
-                picked.append(out)
-            yield pd.Series(picked)
-
-    chosen = slots.join(entered, [*keys, "slot"]).withColumn("_pick", kept(F.expr("transform(rows, r -> r._off)"), F.col("wait")))
-    return chosen.select(*keys, "slot", F.explode(F.expr("transform(_pick, i -> element_at(rows, CAST(i + 1 AS INT)))")).alias("_k")).select(
-        *keys, (F.col("slot") * width + F.col("_k._off")).alias("ts_ms"), F.col("_k.seq").alias("seq")
-    )
+    rows = cut_lineage(events.where(F.col("kind") == "progress").groupBy(*keys, "ts_ms").agg(F.min("seq").alias("seq")))
+    kept = greedy_kept(rows, keys, "ts_ms", F.lit(spacing_ms), width=600 * spacing_ms).alias("k")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*keys, "ts_ms"]]
+    return rows.alias("r").join(kept, same, "left_semi").select(*keys, "ts_ms", "seq")
