@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from treeledger.llm import manifest as tree
@@ -196,12 +197,17 @@ def test_noisy_or_slopes_are_those_of_the_likelihood():
             total -= math.log(1 - clean if y else clean)
         return total / len(found)
 
+    table = pa.table({
+        "y": [y for y, *_ in found], "plain": [p for _, p, _ in found], "times": pa.array([[p[0] for p in x] for *_, x in found], pa.list_(pa.int32())),
+        "sizes": pa.array([[len(p) - 1 for p in x] for *_, x in found], pa.list_(pa.int32())),
+        "terms": pa.array([[t for p in x for t in p[1:]] for *_, x in found], pa.list_(pa.int32())),
+    })
     plan = toxicity.Plan(steps=400, rate=0.05, decay=0.0)
-    w, sentence, leak = toxicity.train(found, np.zeros(2), plan)
+    w, sentence, leak = toxicity.train(table, np.zeros(2), plan)
     at = [*w, sentence, leak]
     start = [0.0, 0.0, math.log(0.05 / (15 / 4)), math.log(0.01)]
     assert loss(at) < loss(start) * 0.5
-    first = toxicity.train(found, np.zeros(2), toxicity.Plan(steps=1, rate=1e-3, decay=0.0))
+    first = toxicity.train(table, np.zeros(2), toxicity.Plan(steps=1, rate=1e-3, decay=0.0))
     moved = [*first[0], first[1], first[2]]
     for k in range(4):  # a first step of this optimiser goes against the slope's sign
         up, down = list(start), list(start)

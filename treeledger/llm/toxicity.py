@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,49 +121,50 @@ def chosen_terms(rows: DataFrame, plan: Plan) -> dict[str, float]:
 
 
 def bags(rows: DataFrame, known: dict[str, float]) -> DataFrame:
-    """order, y, plain (sentences without a known term) and patterns (times, then the terms' numbers) of each row.
+    """order, y, plain (sentences without a known term), times, sizes and terms of each row.
 
-    A sentence is the bag of its known terms; a document's equal sentences are one pattern.
+    A sentence is the bag of its known terms' numbers; a document's equal sentences are one pattern, met `times` times. The
+    patterns' terms stand one after another, `sizes` of them each.
     """
     number = {t: i for i, t in enumerate(known)}
-    schema = "order long, y int, plain int, patterns array<array<int>>"
+    schema = "order long, y int, plain int, times array<int>, sizes array<int>, terms array<int>"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, patterns = [], []
+            plain, lists = [], ([], [], [])
             for value in batch.column(1):
                 text, found = value.as_py(), Counter()
                 for a, b in sentences(text):
                     found[tuple(sorted(number[t] for w in WORD.findall(text, a, b) for t in terms(w) if t in number))] += 1
                 plain.append(found.pop((), 0))
-                patterns.append([[n, *p] for p, n in sorted(found.items())])
-            columns = [batch.column(0), batch.column(2), pa.array(plain, pa.int32()), pa.array(patterns, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, ["order", "y", "plain", "patterns"])
+                patterns = sorted(found.items())
+                own = ([n for _, n in patterns], [len(p) for p, _ in patterns], [t for p, _ in patterns for t in p])
+                for out, x in zip(lists, own, strict=True):
+                    out.append(x)
+            columns = [batch.column(0), batch.column(2), pa.array(plain, pa.int32()), *[pa.array(x, pa.list_(pa.int32())) for x in lists]]
+            yield pa.RecordBatch.from_arrays(columns, ["order", "y", "plain", "times", "sizes", "terms"])
 
     return rows.select("order", "text", "y").mapInArrow(made, schema)
 
 
-def train(found: list[tuple[int, int, list[list[int]]]], start: np.ndarray, plan: Plan = Plan()) -> tuple[np.ndarray, float, float]:
-    """Weights, sentence and leak log-odds that fit P(toxic) = 1 - (1 - leak) * product of (1 - p(sentence)) to the labels.
+def train(found: pa.Table, start: np.ndarray, plan: Plan = Plan()) -> tuple[np.ndarray, float, float]:
+    """Weights, sentence and leak log-odds that fit P(toxic) = 1 - (1 - leak) * product of (1 - p(sentence)) to `bags`' labels.
 
     With A = -log(1 - P), the sum of softplus(log-odds) over a document's sentences and its leak, the log-likelihood's slope
     in A is (1 - y) - y * (1 - P) / P, and A's slope in a sentence's log-odds is that sentence's probability. Weights begin at
     `start` and are drawn towards it: a toxic document full of well-known words says little about the others in it.
     """
-    dims = len(start)
-    y = np.array([r[0] for r in found], float)
-    plain = np.array([r[1] for r in found], float)
-    patterns = [(d, p) for d, r in enumerate(found) for p in r[2]]
-    doc = np.array([d for d, _ in patterns], np.int64)
-    times = np.array([p[0] for _, p in patterns], float)
-    row = np.repeat(np.arange(len(patterns)), [len(p) - 1 for _, p in patterns]).astype(np.int64)
-    term = np.array([t for _, p in patterns for t in p[1:]], np.int64)
-    n, per = len(y), max(1.0, float(plain.sum() + times.sum()) / len(y))
+    dims, n = len(start), found.num_rows
+    flat = {c: pc.list_flatten(found.column(c)).to_numpy() for c in ("times", "sizes", "terms")}
+    y, plain, times = (x.astype(float) for x in (found.column("y").to_numpy(), found.column("plain").to_numpy(), flat["times"]))
+    doc = np.repeat(np.arange(n), pc.list_value_length(found.column("times")).to_numpy())
+    row, term, patterns = np.repeat(np.arange(len(times)), flat["sizes"]), flat["terms"], len(times)
+    per = max(1.0, float(plain.sum() + times.sum()) / n)
     # The last two entries are the sentence's and the leak's log-odds.
     w = np.append(start, [math.log(0.05 / per), math.log(0.01)])
     m, v = np.zeros(dims + 2), np.zeros(dims + 2)
     for t in range(1, plan.steps + 1):
-        z = np.clip(np.bincount(row, w[term], len(patterns)) + w[dims], -CLEAR, CLEAR)
+        z = np.clip(np.bincount(row, w[term], patterns) + w[dims], -CLEAR, CLEAR)
         p, p0, leak = (1 / (1 + np.exp(-np.clip(x, -CLEAR, CLEAR))) for x in (z, w[dims], w[dims + 1]))
         a = np.bincount(doc, times * np.logaddexp(0, z), n) + plain * np.logaddexp(0, w[dims]) + np.logaddexp(0, w[dims + 1])
         clean = np.exp(-a)
@@ -183,9 +185,11 @@ def fitted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), key: str = "
     if not known:
         share = rows.agg(F.avg("y")).first()[0]
         return Model(prior=float(share or 0.0))
-    found = sorted((r["order"], r["y"], r["plain"], r["patterns"]) for r in bags(rows, known).collect())
-    start = np.array(list(known.values())) / SHARE
-    weights, sentence, leak = train([f[1:] for f in found], start, plan)
+    found = bags(rows, known).toArrow()
+    # In one order whatever the tasks did, so that sums agree: rows of equal hash have one key, and go by what they hold.
+    keys = zip(*(found.column(c).to_pylist() for c in ("order", "plain")), map(str, found.column("terms").to_pylist()), strict=True)
+    found = found.take(pa.array([i for _, i in sorted((k, i) for i, k in enumerate(keys))], pa.int64()))
+    weights, sentence, leak = train(found, np.array(list(known.values())) / SHARE, plan)
     return Model(dict(zip(known, weights.tolist(), strict=True)), sentence, leak)
 
 
