@@ -61,6 +61,16 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "op_index"
     return placed.withColumn(name, base + F.col("_row")).drop("_part", "_row")
 
 
+def _brought(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` with what their group brings along into their partition; null names a group like any other value.
+
+    `carried` has one row per partition at most, so it is small whatever the data.
+    """
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    more = [F.col(f"r.{c}") for c in carried.columns if c not in keys]
+    return rows.alias("l").join(F.broadcast(carried).alias("r"), same, "left").select("l.*", *more)
+
+
 def running_total(
     df: DataFrame, groups: list[str], order: list[str], value: Column, name: str, stored: bool = False
 ) -> DataFrame:
@@ -85,12 +95,38 @@ def running_total(
     before = totals.withColumn("_rt_before", F.sum("_rt_n").over(earlier)).where("_rt_before <> 0").drop("_rt_n")
     # Only the first group of a partition can have begun in an earlier one: one row per partition at most.
     return (
-        local.join(F.broadcast(before), ["_rt_part", *groups], "left")
+        _brought(local, before, ["_rt_part", *groups])
         .withColumn(name, (F.col("_rt_local") + F.coalesce("_rt_before", F.lit(0))).cast("bigint"))
         .drop("_rt_part", "_rt_local", "_rt_before", "_rt_value")
     )
 
 
+def previous_value(
+    df: DataFrame, groups: list[str], order: list[str], value: Column, name: str, stored: bool = False
+) -> DataFrame:
+    """The last non-null `value` of the rows before each row of its group, null where there is none.
+
+    Works like `running_total`: range partitions on (group, order), a local pass, and for each partition the value that its
+    first group brings along from earlier ones. A group that holds most rows is spread over many tasks.
+    """
+    df = df if stored else cut_lineage(df)
+    cols = [F.col(c) for c in groups + order]
+    placed = cut_lineage(
+        df.withColumn("_pv_value", value).repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ).withColumn("_pv_part", F.spark_partition_id())
+    here = Window.partitionBy("_pv_part", *groups).orderBy(*order)
+    local = F.last("_pv_value", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    place = F.when(F.col("_pv_value").isNotNull(), F.struct(*order))
+    ends = placed.groupBy("_pv_part", *groups).agg(F.max_by("_pv_value", place).alias("_pv_end"))
+    earlier = Window.partitionBy(*groups).orderBy("_pv_part").rowsBetween(Window.unboundedPreceding, -1)
+    brought = ends.withColumn("_pv_carry", F.last("_pv_end", ignorenulls=True).over(earlier)).where("_pv_carry is not null").drop("_pv_end")
+    # Only the first group of a partition can have begun in an earlier one: one row per partition at most.
+    return (
+        _brought(placed.withColumn("_pv_local", local), brought, ["_pv_part", *groups])
+        .withColumn(name, F.coalesce("_pv_local", "_pv_carry")).drop("_pv_part", "_pv_value", "_pv_local", "_pv_carry")
+    )
+
+
 def ranked_in_group(df: DataFrame, groups: list[str], order: list[str], name: str, stored: bool = False) -> DataFrame:
     """1-based rank inside each group, by `running_total` of ones."""
     return running_total(df, groups, order, F.lit(1), name, stored).withColumn(name, F.col(name) + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import cut_lineage, spread_lookup
+from ..cluster import cut_lineage, running_total, spread_lookup
 from ..functions import text
 from .chains import greedy_kept
 
@@ -30,17 +30,15 @@ def active_elapsed(events: DataFrame, run: list[str], now_ms: int) -> DataFrame:
 def progress_samples(events: DataFrame, run: list[str]) -> DataFrame:
     """Progress rows with `active_ms`: time since the run started without the pauses before the row.
 
-    A run's pauses are few (someone pressed a button), so they travel to its rows as one small array.
+    Pauses and rows are scanned together over range partitions of (run, time), so neither a run's pauses nor its rows are
+    gathered; a pause that ends at a row's time counts as before it.
     """
-    facts = events.groupBy(*run).agg(
-        F.min("ts_ms").alias("_start"),
-        F.collect_list(F.when(F.col("kind") == "resumed", F.struct("ts_ms", "paused_ms"))).alias("_pauses"),
-    )
-    before = F.expr("aggregate(_pauses, 0L, (sum, p) -> CASE WHEN p.ts_ms <= ts_ms THEN sum + p.paused_ms ELSE sum END)")
-    return (
-        events.where(F.col("kind") == "progress").join(facts, run)
-        .withColumn("active_ms", (F.col("ts_ms") - F.col("_start") - before).cast("bigint")).drop("_start", "_pauses")
-    )
+    begun = events.groupBy(*run).agg(F.min("ts_ms").alias("_start"))
+    wanted = events.where(F.col("kind").isin("progress", "resumed")).withColumn("_row", (F.col("kind") == "progress").cast("int"))
+    pause = F.when(F.col("_row") == 0, F.coalesce("paused_ms", F.lit(0))).otherwise(0).cast("bigint")
+    placed = running_total(wanted, run, ["ts_ms", "_row", "seq"], pause, "_paused").where("_row = 1")
+    started = spread_lookup(placed, begun, run)
+    return started.withColumn("active_ms", (F.col("ts_ms") - F.col("_start") - F.col("_paused")).cast("bigint")).drop("_start", "_paused", "_row")
 
 
 def latest_rate(samples: DataFrame, run: list[str], window_ms: int = WINDOW_MS) -> DataFrame:

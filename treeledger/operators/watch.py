@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import previous_value, running_total, spread_lookup
+
 DEBOUNCE_MS = 2_000
 # A limit on a batch's paths is the caller's wish; there is none by default.
 MAX_PATHS = None
@@ -34,40 +36,27 @@ def path_relation(root: Column, event: Column) -> Column:
     return F.struct(relation.alias("relation"), F.when(relation == "descendant", below).alias("path"))
 
 
-def reduce_raw_events(events: DataFrame, seeds: DataFrame, slice_ms: int = 3_600_000) -> DataFrame:
+def reduce_raw_events(events: DataFrame, seeds: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Raw watcher rows with epoch number, relation to the root, changed path and invalidations.
 
     `events`: stream, seq, ts_ms, event_id, device_path, wrapped, history_done and the flag columns.
-    `seeds`: stream, root, event_id (the stored cursor). A wrapped or regressed id opens a new epoch.
+    `seeds`: stream, root, event_id (the stored cursor); a stream without one begins at its first id, below the empty root.
+    A wrapped or regressed id opens a new epoch.
 
     The running maximum of ids restarts at a reset, so a reset is a wrapped row or an id below the largest
-    one since the last reset. Ids regress only when an id is below its predecessor, so resets are searched
-    among those rows alone; the running state is carried between time slices of a stream, which keeps a
-    busy stream out of a single task.
+    one since the last reset. Zero ids carry no position. The last positioned id before a row decides a plain regression: after
+    a reset the cursor equals the row's id, and otherwise it is the largest id so far, which the previous positioned row reached
+    unless it regressed itself and thereby became a reset. So two scans over range partitions of (stream, seq) do: the last
+    positioned id, then the number of resets. A stream of any length is spread over tasks; `slice_ms` is no longer needed.
     """
-    e = events.join(seeds.select("stream", "root", F.col("event_id").alias("seed_id")), "stream")
-    e = e.withColumn("slice", F.floor(F.col("ts_ms") / slice_ms))
-    inside = Window.partitionBy("stream", "slice").orderBy("seq")
-    # Zero ids carry no position. The last positioned id before a row decides a plain regression: after a
-    # reset the cursor equals the row's id, and otherwise it is the largest id so far, which the previous
-    # positioned row reached unless it regressed itself and thereby became a reset.
+    known = seeds.groupBy("stream").agg(F.max_by(F.struct("root", "event_id"), F.struct("event_id", "root")).alias("_seed"))
+    e = spread_lookup(events, known, ["stream"]).withColumns({"root": F.coalesce("_seed.root", F.lit("")), "seed_id": F.col("_seed.event_id")})
     positioned = F.when(F.col("wrapped") | (F.col("event_id") != 0), F.col("event_id"))
-    last_before = F.last(positioned, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    slices = e.groupBy("stream", "slice", "seed_id").agg(
-        F.max_by(positioned, F.when(positioned.isNotNull(), F.col("seq"))).alias("_last")
-    )
-    earlier = Window.partitionBy("stream").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select(
-        "stream", "slice", F.coalesce(F.last("_last", ignorenulls=True).over(earlier), F.col("seed_id")).alias("_carry")
-    )
-    marked = e.withColumn("_before", last_before).join(carried, ["stream", "slice"]).withColumn(
-        "reset", F.col("wrapped") | ((F.col("event_id") != 0) & (F.col("event_id") < F.coalesce("_before", "_carry")))
-    )
-    resets = marked.groupBy("stream", "slice").agg(F.count_if("reset").alias("_r"))
-    opened = resets.select(
-        "stream", "slice", F.coalesce(F.sum("_r").over(earlier), F.lit(0)).alias("_opened")
+    behind = F.coalesce(F.col("event_id") < F.coalesce("_before", "seed_id"), F.lit(False))
+    marked = previous_value(e.drop("_seed"), ["stream"], ["seq"], positioned, "_before").withColumn(
+        "reset", F.col("wrapped") | ((F.col("event_id") != 0) & behind)
     )
-    so_far = F.sum(F.col("reset").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = running_total(marked, ["stream"], ["seq"], F.col("reset").cast("bigint"), "_opened")
     relation = path_relation(F.col("root"), F.col("device_path"))
     kinds = [F.when(F.col("reset"), F.lit("event_ids_wrapped"))]
     for flag, kind in FLAG_KINDS.items():
@@ -79,9 +68,9 @@ def reduce_raw_events(events: DataFrame, seeds: DataFrame, slice_ms: int = 3_600
     kinds.append(F.when(live & (F.col("_rel.relation") == "root"), F.lit("whole_root_changed")))
     kinds.append(F.when(live & (F.col("_rel.relation") == "outside"), F.lit("path_outside_root")))
     return (
-        marked.withColumn("_in_slice", so_far).join(opened, ["stream", "slice"]).withColumn("_rel", relation)
+        counted.withColumn("_rel", relation)
         .select(
-            "stream", "seq", "ts_ms", "event_id", (F.col("_opened") + F.col("_in_slice")).cast("bigint").alias("epoch"),
+            "stream", "seq", "ts_ms", "event_id", (F.col("_opened") + F.col("reset").cast("bigint")).alias("epoch"),
             F.when(live, F.col("_rel.path")).alias("path"), F.array_compact(F.array(*kinds)).alias("invalidations"),
         )
     )
@@ -95,65 +84,49 @@ def safe_change(path: Column) -> Column:
     )
 
 
-def cursor_breaks(positions: DataFrame, slice_ms: int = 3_600_000) -> DataFrame:
-    """Positions (watch, stream, seq, ts_ms, journal, epoch, event_id) with `follows`: continues its predecessor."""
-    p = positions.withColumn("slice", F.floor(F.col("ts_ms") / slice_ms))
+def cursor_breaks(positions: DataFrame, slice_ms: int | None = None) -> DataFrame:
+    """Positions (watch, stream, seq, ts_ms, journal, epoch, event_id) with `follows`: continues its predecessor.
+
+    The predecessor comes from a scan over range partitions of (watch, stream, seq); `slice_ms` is no longer needed.
+    """
     now = F.struct("journal", "epoch", "event_id")
-    inside = Window.partitionBy("watch", "stream", "slice").orderBy("seq")
-    ends = p.groupBy("watch", "stream", "slice").agg(F.max_by(now, "seq").alias("_end"))
-    before = ends.select(
-        "watch", "stream", "slice", F.lag("_end").over(Window.partitionBy("watch", "stream").orderBy("slice")).alias("_carry")
-    )
-    old = F.coalesce(F.lag(now).over(inside), F.col("_carry"))
-    joined = p.join(before, ["watch", "stream", "slice"]).withColumn("_old", old)
+    joined = previous_value(positions, ["watch", "stream"], ["seq"], now, "_old")
     follows = (
         F.col("_old.journal").eqNullSafe(F.col("journal")) & (F.col("_old.epoch") == F.col("epoch"))
         & (F.col("event_id") >= F.col("_old.event_id"))
     )
-    return joined.withColumn("follows", F.col("_old").isNull() | F.coalesce(follows, F.lit(False))).drop("_old", "_carry", "slice")
-
-
-def _numbered(changes: DataFrame, watch: list[str], debounce_ms: int, slice_ms: int) -> DataFrame:
-    """`changes` with the number of their work batch. Sessions are found from gaps inside time slices plus each
-    slice's first and last times, so no watch is sorted as a whole."""
-    c = changes.withColumn("slice", F.floor(F.col("ts_ms") / slice_ms))
-    inside = Window.partitionBy(*watch, "slice").orderBy("ts_ms")
-    slices = c.groupBy(*watch, "slice").agg(F.max("ts_ms").alias("_last"))
-    by_slice = Window.partitionBy(*watch).orderBy("slice")
-    tails = slices.select(*watch, "slice", F.lag("_last").over(by_slice).alias("_carry"))
-    previous = F.coalesce(F.lag("ts_ms").over(inside), F.col("_carry"))
-    marked = c.join(tails, [*watch, "slice"]).withColumn("_prev", previous).withColumn(
-        "_opens", F.col("_prev").isNull() | (F.col("ts_ms") - F.col("_prev") >= debounce_ms)
-    )
-    opened = marked.groupBy(*watch, "slice").agg(F.count_if("_opens").alias("_n")).select(
-        *watch, "slice",
-        F.coalesce(F.sum("_n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-    )
-    running = F.sum(F.col("_opens").cast("int")).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    numbered = marked.withColumn("_in", running).join(opened, [*watch, "slice"]).withColumn(
-        "batch", (F.col("_base") + F.col("_in")).cast("bigint")
-    )
-    return numbered
+    return joined.withColumn("follows", F.col("_old").isNull() | F.coalesce(follows, F.lit(False))).drop("_old")
+
+
+def _numbered(changes: DataFrame, watch: list[str], debounce_ms: int) -> DataFrame:
+    """`changes` with the number of their work batch: a change opens one if it comes `debounce_ms` or more after the one before.
+
+    Only distinct times are scanned, over range partitions of (watch, time), so no watch is sorted in one task.
+    """
+    times = previous_value(changes.select(*watch, "ts_ms").distinct(), watch, ["ts_ms"], F.col("ts_ms"), "_prev")
+    opens = F.col("_prev").isNull() | (F.col("ts_ms") - F.col("_prev") >= debounce_ms)
+    counted = running_total(times.withColumn("_opens", opens.cast("bigint")), watch, ["ts_ms"], F.col("_opens"), "_base")
+    batches = counted.select(*watch, "ts_ms", (F.col("_base") + F.col("_opens")).alias("batch"))
+    return spread_lookup(changes, batches, [*watch, "ts_ms"], "inner")
 
 
-def batch_paths(changes: DataFrame, watch: list[str], debounce_ms: int = DEBOUNCE_MS, slice_ms: int = 3_600_000) -> DataFrame:
+def batch_paths(changes: DataFrame, watch: list[str], debounce_ms: int = DEBOUNCE_MS, slice_ms: int | None = None) -> DataFrame:
     """(watch, batch, path, ts_ms): every changed path of a work batch once, with its first change."""
-    numbered = _numbered(changes, watch, debounce_ms, slice_ms).where("invalidation is null")
+    numbered = _numbered(changes, watch, debounce_ms).where("invalidation is null")
     return numbered.groupBy(*watch, "batch", "path").agg(F.min("ts_ms").alias("ts_ms"))
 
 
 def debounced_batches(
     changes: DataFrame, watch: list[str], policy: str = "balanced", debounce_ms: int = DEBOUNCE_MS, max_paths: int | None = MAX_PATHS,
-    slice_ms: int = 3_600_000,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """Work batches: changes gathered until it stays quiet, with the coverage each batch needs.
 
     `changes` has ts_ms, path, and `invalidation` (null for plain changes). A batch is due `debounce_ms`
     after its last change; a change exactly at that deadline already belongs to the next one. The first
-    batch of a watch is the bootstrap scan. Sessions are found from gaps inside time slices plus each
-    slice's first and last times, so no watch is sorted as a whole.
+    batch of a watch is the bootstrap scan. No watch is sorted in one task, and `slice_ms` is no longer needed.
     """
-    numbered = _numbered(changes, watch, debounce_ms, slice_ms)
+    numbered = _numbered(changes, watch, debounce_ms)
     paths = numbered.where("invalidation is null").groupBy(*watch, "batch", "path").agg(F.min("ts_ms").alias("ts_ms"))
     sizes = paths.groupBy(*watch, "batch").agg(F.count(F.lit(1)).alias("paths"))
     spans = numbered.groupBy(*watch, "batch").agg(
