@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..cluster import with_global_index
 from ..functions import rows, text
 from ..schema import OP_COLUMNS
+from . import pages
 from .compare import Sides, identical_files
 from .inventory import Inventory
 
@@ -64,6 +65,15 @@ def identical_page(sides: Sides, search: str = "", offset: int = 0, limit: int |
     return found.agg(F.count(F.lit(1)).alias("total")), page
 
 
+def identical_pages(sides: Sides, path: str, search: str = "", block_rows: int = pages.BLOCK_ROWS) -> None:
+    """Store all rows of `identical_page` once, for pages that read their blocks only: `pages.page` and `pages.total`."""
+    found = identical_files(sides)
+    wanted = search.strip().lower()
+    if wanted:
+        found = found.where(F.contains(F.lower("path"), F.lit(wanted)))
+    pages.write_pages(found, ["key"], path, block_rows)
+
+
 def escalation_suspects(source: Inventory, target: Inventory, window_ms: int) -> DataFrame:
     """Equal sampled digests whose times disagree; matched on the exact path."""
     s, t = (

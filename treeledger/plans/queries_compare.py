@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..cluster import checkpoint_dir
+from ..operators import pages
 from ..operators.compare import Options, Sides
 from ..operators.evidence import (
-    attach_evidence, escalation_suspects, escalation_verdicts, identical_page, identical_totals,
+    attach_evidence, escalation_suspects, escalation_verdicts, identical_page, identical_pages, identical_totals,
 )
 from ..operators.inventory import Inventory, refresh_archive
 from . import fixtures as fx
 from .compare import compare, plan_header
-from .registry import query
+from .registry import ORACLES, query
 
 PLAN = ["op_index", "side", "action", "path", "from_path", "size", "mtime_ms", "hash", "reason"]
 OPS_SELECT = "SELECT side, action, path, from_path, size, mtime_ms, hash, reason FROM ops"
@@ -382,6 +385,15 @@ def identical_rows(spark, sf):
     return identical_page(Sides(source, target, Options()), "/EN/ ", 20, 50)[1]
 
 
+@query("identical_page_index", ORACLES["identical_page"])
+def identical_page_index(spark, sf):
+    """The same page from the stored zone map: only the blocks that hold it are read."""
+    source, target, _ = fx.inventories(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4()}"
+    identical_pages(Sides(source, target, Options()), folder, "/EN/ ", block_rows=1000)
+    return pages.page(spark, folder, 20, 50).drop("key", pages.PLACE)
+
+
 @query(
     "escalation",
     fx.with_sql(

@@ -12,6 +12,9 @@ from ..schema import EVENT, OP, RUN_RECORD
 ARTIFACTS = {
     "summary": "summary.json", "run": "run.jsonl", "errors": "errors.jsonl", "items": "items.jsonl", "plan": "plan.jsonl",
 }
+# A bucket of a batch with more lines than this is written by several tasks.
+BUCKET_LINES, BUCKET_SALTS = 1_000_000, 16
+INDEX_FILES = 8
 OUTCOMES = {"ok": "✓ ok", "failed": "✗ failed", "kept": "⊘ kept", "cancelled": "■ not run"}
 
 
@@ -93,6 +96,38 @@ def write_routed(events: DataFrame, root: str, minimum_level: str = "info") -> N
     ).text(root)
 
 
+def write_routed_buckets(events: DataFrame, root: str, batch: int, buckets: int = 64, minimum_level: str = "info") -> None:
+    """One batch of routed events as at most `buckets` files and their index, however many runs it holds.
+
+    A bucket's file is sorted by run, artifact and position; the index names, for every artifact of the batch, how many lines
+    it has. A batch that is written again replaces itself. `read_routed` finds an artifact through the index alone.
+    """
+    body = F.to_json(F.struct(*[c for c in events.columns if c != "run_id"]), {"ignoreNullFields": "true"})
+    bucket = F.pmod(F.xxhash64("run_id", "artifact"), F.lit(buckets)).cast("int")
+    lines = routed(events, minimum_level).select("run_id", "artifact", "seq", body.alias("value")).withColumn("bucket", bucket).persist()
+    # Buckets are dealt with a salt, so that one run's flood is no single task; its lines meet again in one bucket folder.
+    salt = F.pmod(F.xxhash64("seq", "value"), F.lit(BUCKET_SALTS))
+    many = lines.groupBy("bucket").count().where(F.col("count") > BUCKET_LINES).select("bucket").withColumn("_wide", F.lit(True))
+    dealt = lines.join(F.broadcast(many), "bucket", "left").withColumn("_salt", F.when(F.col("_wide"), salt).otherwise(0))
+    sorted_ = dealt.repartition(buckets, "bucket", "_salt").sortWithinPartitions("bucket", "run_id", "artifact", "seq")
+    sorted_.drop("_wide", "_salt").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/lines/batch={batch}")
+    held = lines.groupBy("bucket", "run_id", "artifact").agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    held.repartition(INDEX_FILES, "bucket").sortWithinPartitions("bucket", "run_id", "artifact").write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
+    lines.unpersist()
+
+
+def read_routed(spark: SparkSession, root: str, run_id: str, artifact: str, buckets: int = 64) -> DataFrame:
+    """seq, value of one run's artifact, in order of seq; only the batches and the bucket that hold it are opened."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(run_id), F.lit(artifact)), F.lit(buckets)).cast("int")).first()[0]
+    own = (F.col("bucket") == bucket) & (F.col("run_id") == run_id) & (F.col("artifact") == artifact)
+    batches = [r["batch"] for r in spark.read.parquet(f"{root}/index").where(own).select("batch").distinct().collect()]
+    schema = "run_id string, artifact string, seq bigint, value string"
+    if not batches:
+        return spark.createDataFrame([], schema).select("seq", "value")
+    rows = spark.read.schema(schema).parquet(*[f"{root}/lines/batch={b}/bucket={bucket}" for b in sorted(batches)])
+    return rows.where((F.col("run_id") == run_id) & (F.col("artifact") == artifact)).select("seq", "value").orderBy("seq", "value")
+
+
 # --- log lines ----------------------------------------------------------------------------------------------
 
 

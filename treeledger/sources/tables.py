@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from ..functions.masks import PathFilter
 from ..operators import inventory as inv
 from ..operators.validate import TABLE_SCHEMA
 from ..schema import ENTRY, HEADER, PLAN_HEADER
-from .scan import base_matches, located, walk_tree
+from .scan import base_matches, local_path, located, walk_tree
 
 LEGACY_SCHEMA = 1
 CASE_PROPERTY = "treeledger.case_insensitive"
@@ -357,3 +359,57 @@ def next_sequence(spark: SparkSession, path: str, job_id: str) -> int:
     """The publication number after the newest one of a job; reads that job's partition only."""
     row = spark.read.parquet(path).where(F.col("job_id") == job_id).agg(F.max("sequence").alias("s")).first()
     return 1 if row["s"] is None else row["s"] + 1
+
+
+def publish(result: DataFrame, path: str, job_id: str) -> int:
+    """Append one job's compare results under a publication number of their own, and return it.
+
+    The number is claimed by creating a file of that name, which only one writer can; a writer that finds it taken goes on
+    with the next one. Each publication is a folder of its own, so that writers don't meet; a writer that dies after its claim
+    leaves a number without results, which readers never see. A store is written by `publish` alone or `append_result` alone.
+    """
+    spark = result.sparkSession
+    number = newest_claim(spark, path, job_id) + 1
+    while not claim(spark, f"{_claims(path, job_id)}/{number:020d}"):
+        number += 1
+    result.drop("job_id", "sequence").write.parquet(f"{path.rstrip('/')}/job_id={quote(job_id, safe='')}/sequence={number}")
+    return number
+
+
+def _claims(path: str, job_id: str) -> str:
+    # Outside the result folder's partitions: names with a leading underscore are not data.
+    return f"{path.rstrip('/')}/_claims/{quote(job_id, safe='')}"
+
+
+def newest_claim(spark: SparkSession, path: str, job_id: str) -> int:
+    """The largest number that a writer of the job has claimed, 0 before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_claims(path, job_id))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0
+    names = (f.getPath().getName() for f in system.listStatus(folder))
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there; of several writers, one is told True.
+
+    Hadoop stores refuse to create over an existing file. The local file system is asked itself, as Hadoop's view of it looks
+    first and creates then.
+    """
+    local = local_path(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False).close()
+    except Py4JJavaError as refused:
+        if "AlreadyExists" in str(refused.java_exception):
+            return False
+        raise
+    return True

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.progress import COUNTERS, SPACING_MS
 from ..operators.stats import side_stats
 from ..operators.watch import DEBOUNCE_MS, FULL_VERIFICATION, MAX_PATHS
-from ..sources.runs import routed
+from ..sources.runs import routed, write_routed_buckets
 
 
 def watermarked(events: DataFrame, delay: str) -> DataFrame:
@@ -289,6 +289,15 @@ def route_stream(events: DataFrame, root: str, checkpoint: str, minimum_level: s
     ).outputMode("append")
 
 
+def route_stream_buckets(events: DataFrame, root: str, checkpoint: str, buckets: int = 64, minimum_level: str = "info") -> DataStreamWriter:
+    """The same into buckets with an index: the files of a round don't grow with its runs. Read with `runs.read_routed`."""
+
+    def write(rows: DataFrame, round_no: int) -> None:
+        write_routed_buckets(rows, root, round_no, buckets, minimum_level)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
 def update_table(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Write every micro-batch of an update-mode stream as a table partition `round`; replays overwrite it."""
 
