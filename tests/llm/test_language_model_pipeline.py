@@ -49,6 +49,50 @@ def test_seating_follows_its_conditional():
     assert many[0] == 1 and many[1] == 0 and 1 <= many[2] <= 5000
 
 
+def conditional(count, prior, others, strength, discount):
+    """The exact weights of 1 to count tables, from the recursion over customers alone."""
+    row = np.full(count + 1, -np.inf)
+    row[0] = 0.0
+    t = np.arange(1, count + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(count):
+            row[1:] = np.logaddexp(row[:-1], np.log(np.maximum(c - discount * t, 0)) + row[1:])
+            row[0] = -np.inf
+    log = row[1:] + np.cumsum(np.log((strength + discount * (others + t - 1)) * prior))
+    weight = np.exp(log - log.max())
+    return weight / weight.sum()
+
+
+@pytest.mark.parametrize(
+    "count,prior,others,discount",
+    [(49, 1 / 369_036, 450_000, 0.7), (1000, 1 / 369_036, 450_000, 0.7), (200, 0.01, 500, 0.7), (200, 0.3, 2000, 0.2), (1000, 0.02, 30_000, 0.9), (300, 0.2, 30_000, 0.9), (5000, 0.01, 500, 0.5), (6000, 0.05, 4000, 0.7)],
+)
+def test_many_customers_follow_the_same_conditional(count, prior, others, discount):
+    """Tabled, past the table's width, and past its counts: shares, mean and variance are the exact ones."""
+    n = 4000
+    got = lm.seat(np.full(n, count), np.full(n, prior), np.full(n, float(others)), 1.0, discount, lm.log_stirling(discount), np.random.default_rng(2))
+    want = conditional(count, prior, others, 1.0, discount)
+    t = np.arange(1, count + 1)
+    mean = (want * t).sum()
+    spread = math.sqrt((want * (t - mean) ** 2).sum())
+    assert abs(got.mean() - mean) < 5 * spread / math.sqrt(n) + 1e-9
+    assert got.std() == pytest.approx(spread, rel=0.1, abs=0.02)
+    likely = t[want > 0.05]
+    for k in likely:
+        assert abs((got == k).mean() - want[k - 1]) < 5 * math.sqrt(want[k - 1] / n)
+
+
+def test_integrated_stirling_numbers_equal_the_recursion():
+    for discount in (0.1, 0.5, 0.9):
+        table = lm.log_stirling(discount, 1000)
+        for c in (49, 300, 1000):
+            t = np.array([1, 2, 7, 30, 48])
+            assert lm.log_stirling_at(np.full(5, c), t, discount) == pytest.approx(table[c, t], abs=5e-6)
+            t = np.arange(1, min(c, lm.WIDE) + 1)
+            assert lm.Curves(np.array([c]), discount)(np.zeros(len(t), int), t) == pytest.approx(table[c, t], abs=1e-3)
+    assert lm.log_stirling_at(np.array([10**9]), np.array([1]), 0.5)[0] == pytest.approx(math.lgamma(10**9 - 0.5) - math.lgamma(0.5), rel=1e-9)
+
+
 def test_scores_against_brute_force(spark, monkeypatch):
     """Base scores and counts are exact, whatever the parts and chunks."""
     monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
