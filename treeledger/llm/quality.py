@@ -6,16 +6,17 @@ import math
 import operator
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick
+from .common import cut_lineage, pick
 
 #: Dimensions of the hashed text view, and of the hashed names (language, source) of the metadata view.
 TEXT_DIMS, NAME_DIMS = 1 << 15, 1 << 8
@@ -28,11 +29,11 @@ CLEAR = 12.0  # logits are held within this
 
 @dataclass(frozen=True)
 class Plan:
-    """labelled, pool: rows sampled to fit on (the smallest by hash), at most. rounds: exchanges. confident: probability from
-    which a view passes a pseudo-label on. holdout: share of the labelled sample that calibrates. threshold: to keep."""
+    """labelled: labelled rows to fit on (the smallest by hash), at most; all other documents take part in the exchange. rounds:
+    exchanges. confident: probability from which a view passes a pseudo-label on. holdout: share of the labelled sample that
+    calibrates. threshold: to keep."""
 
     labelled: int = 4000
-    pool: int = 4000
     rounds: int = 4
     confident: float = 0.97
     holdout: float = 0.25
@@ -149,38 +150,120 @@ def meta_rows(pages: list[tuple[list[float], list[int]]], mean: np.ndarray, std:
     return out
 
 
-def train(rows: list[tuple[str, tuple, float | None]], plan: Plan) -> Model:
-    """Fits on (text, names, label or None) rows, in the order given."""
-    y = np.array([np.nan if r[2] is None else float(r[2]) for r in rows])
-    labelled = ~np.isnan(y)
-    prior = float(y[labelled].mean()) if labelled.any() else 1.0
-    held = labelled & (np.cumsum(labelled) % max(2, round(1 / plan.holdout)) == 0)
-    fit = labelled & ~held
-    if any(not (part & (y == side)).any() for part in (fit, held) for side in (0, 1)):
+#: Sums of features are kept in whole numbers of this fraction, so that they agree whatever the tasks and their order.
+GRAIN = 1 << 20
+SLOTS = 16
+
+Exchange = Callable[[list[np.ndarray], list[tuple[float, float]], np.ndarray, np.ndarray], list[np.ndarray]]
+
+
+def centroids(sums: np.ndarray, dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The mean feature vector of each class that has documents, as rows; `sums` has a class per row, its count last."""
+    out = []
+    for row in sums:
+        index = np.flatnonzero(row[:dims])
+        out.append((index, row[index] / (GRAIN * max(1, row[dims]))))
+    return out
+
+
+def train(rows: list[tuple[str, tuple, float]], plan: Plan, exchange: Exchange | None = None) -> Model:
+    """Fits on labelled (text, names, label) rows, in the order given.
+
+    `exchange` gives, for both views' weights and calibrations, what each view gets from the other: per class the sum of its
+    own features over all unlabelled documents that the other view is sure of, and their number. They join the fit as their
+    mean, which weighs as much as the class's labelled rows, or less where the documents are fewer than those.
+    """
+    y = np.array([float(r[2]) for r in rows])
+    prior = float(y.mean()) if len(y) else 1.0
+    held = np.arange(1, len(y) + 1) % max(2, round(1 / plan.holdout)) == 0
+    if any(not (part & (y == side)).any() for part in (~held, held) for side in (0, 1)):
         return Model(None, None, None, None, None, None, prior)
     pages = [metadata(t, n) for t, n, _ in rows]
     numbers = np.array([p[0] for p in pages])
     mean, std = numbers.mean(axis=0), numbers.std(axis=0) + 1e-6
-    views = (Sparse(text_rows([t for t, _, _ in rows]), TEXT_DIMS), Sparse(meta_rows(pages, mean, std), 2 * NUMBERS + NAME_DIMS))
-    given = [np.where(fit, y, np.nan) for _ in views]  # each view's own labels, the other's pseudo-labels among them
-    weights: list[np.ndarray] = []
+    dims = (TEXT_DIMS, 2 * NUMBERS + NAME_DIMS)
+    own = (text_rows([t for t, _, _ in rows]), meta_rows(pages, mean, std))
+    views = [Sparse(x, d) for x, d in zip(own, dims, strict=True)]
+    base = [balanced(y, ~held) for _ in views]
+    weights = [x.fit(y, b) for x, b in zip(views, base, strict=True)]
+    scales: list[tuple[float, float]] = []
     for turn in range(plan.rounds + 1):
-        weights = [x.fit(np.nan_to_num(g), balanced(np.nan_to_num(g), ~np.isnan(g))) for x, g in zip(views, given, strict=True)]
-        if turn == plan.rounds:
+        scales = [calibrated(x.score(w)[held], y[held]) for x, w in zip(views, weights, strict=True)]
+        if turn == plan.rounds or exchange is None:
             break
-        for k in (0, 1):
-            z = views[k].score(weights[k])
-            slope, shift = calibrated(z[held], y[held])
-            p = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-            sure = ~labelled & np.isnan(given[1 - k]) & (np.maximum(p, 1 - p) >= plan.confident)
-            given[1 - k] = np.where(sure, (p >= 0.5).astype(float), given[1 - k])
+        for k, sums in enumerate(exchange(weights, scales, mean, std)):
+            given = sums[:, -1]
+            share = np.array([min(given[c], (~held & (y == c)).sum()) / ((~held & (y == c)).sum() + min(given[c], (~held & (y == c)).sum())) for c in (0, 1)])
+            both = Sparse([*own[k], *centroids(sums, dims[k])], dims[k])
+            weight = np.concatenate((base[k] * (1 - share[y.astype(int)]), 0.5 * share))
+            weights[k] = both.fit(np.concatenate((y, [0.0, 1.0])), weight)
     scores = [x.score(w) for x, w in zip(views, weights, strict=True)]
-    scales = tuple(calibrated(z[held], y[held]) for z in scores)
     odds = [np.clip(a * z + b, -CLEAR, CLEAR) for z, (a, b) in zip(scores, scales, strict=True)]
     both = [(np.array([0, 1]), np.array([u, v])) for u, v in zip(odds[0][held], odds[1][held], strict=True)]
     combine = Sparse(both, 2).fit(y[held], np.ones(int(held.sum())), steps=400, rate=0.05, decay=1e-3)
     combine[:2] = np.maximum(combine[:2], 0)
-    return Model(*weights, mean, std, scales, combine, prior)
+    return Model(*weights, mean, std, tuple(scales), combine, prior)
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """index, value (the text view), numbers and names (the metadata view) of each of the rows (text and names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, value, numbers, names = [], [], [], []
+            named = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True) if batch.num_columns > 1 else iter(lambda: (), 1)
+            for text, own in zip(batch.column(0), named, strict=batch.num_columns > 1):
+                text = text.as_py()
+                (i, v), = text_rows([text])
+                n, slots_ = metadata(text, own)
+                index.append(i.astype("<u2").tobytes())
+                value.append(v.astype("<f4").tobytes())
+                numbers.append(np.array(n, "<f8").tobytes())
+                names.append(np.array(slots_, "<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (index, value, numbers, names)], ["index", "value", "numbers", "names"])
+
+    return rows.mapInArrow(run, "index binary, value binary, numbers binary, names binary")
+
+
+def exchanged(stored: DataFrame, plan: Plan) -> Exchange:
+    """The exchange over stored `features`: a task sums up the features of the documents that a view is sure of, Spark adds
+    the tasks' sums, and four vectors reach the driver whatever the number of documents."""
+    sizes = (TEXT_DIMS, 2 * NUMBERS + NAME_DIMS)
+
+    def run_with(weights, scales, mean, std):
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros((2, d + 1), np.int64) for d in sizes]
+            for batch in batches:
+                text = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)]
+                pages = [(np.frombuffer(n, "<f8"), np.frombuffer(s, "<u2").astype(np.int64)) for n, s in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+                views = [Sparse(text, sizes[0]), Sparse(meta_rows(pages, mean, std), sizes[1])]
+                for k in (0, 1):
+                    slope, shift = scales[k]
+                    p = 1 / (1 + np.exp(-np.clip(slope * views[k].score(weights[k]) + shift, -30, 30)))
+                    other = views[1 - k]
+                    for c, sure in enumerate((p <= 1 - plan.confident, p >= plan.confident)):
+                        on = sure[other.row]
+                        np.add.at(total[1 - k][c], other.index[on], np.rint(other.value[on] * GRAIN).astype(np.int64))
+                        total[1 - k][c, -1] += int(sure.sum())
+            flat = np.concatenate([t.ravel() for t in total])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["slot", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for data in batch.column(1):
+                    own = np.frombuffer(data.as_py(), np.int64)
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
+
+        kind = "slot int, sums binary"
+        found = stored.mapInArrow(sums, kind).repartition(SLOTS, "slot").mapInArrow(add, kind).collect()  # SLOTS rows at most
+        flat = sum((np.frombuffer(bytes(r["sums"]), np.int64) for r in found), np.zeros(sum(2 * (d + 1) for d in sizes), np.int64))
+        cut = 2 * (sizes[0] + 1)
+        return [flat[:cut].reshape(2, -1).astype(float), flat[cut:].reshape(2, -1).astype(float)]
+
+    return run_with
 
 
 class Scorer:
@@ -213,18 +296,28 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source"), label: str = "quality") -> Model:
-    """A model fitted on at most `plan.labelled` labelled and `plan.pool` unlabelled documents, the smallest by hash of their
-    key. Documents of several labels take the majority, 1 on a tie; null labels and null keys are left out."""
+    """A model fitted on at most `plan.labelled` labelled documents, the smallest by hash of their key, and on what both views
+    teach each other about all other documents of `docs`, in `plan.rounds` rounds.
+
+    Documents of several labels take the majority, 1 on a tie; null labels and null keys are left out. Of documents that share
+    a labelled key the one with the smallest hash of its values is fitted on; all others count as unlabelled. Texts are read
+    once for their features, which are stored; the rounds read these. Whole texts count, however long.
+    """
     known = pick(labels, key, label).toDF("key", "y").where("key is not null and y is not null").groupBy("key").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     order = [F.xxhash64(F.lit(plan.seed), "key"), F.col("key")]
-    keys = pick(docs, key).toDF("key").where("key is not null").distinct()
-    chosen = keys.join(known, "key").orderBy(*order).limit(plan.labelled).unionByName(
-        keys.join(known, "key", "left_anti").orderBy(*order).limit(plan.pool).withColumn("y", F.lit(None).cast("double"))
-    )
     rows = pick(docs, key, text, *names).toDF("key", "text", *[f"n{i}" for i in range(len(names))])
-    sample = rows.join(F.broadcast(chosen), "key").dropDuplicates(["key"])  # at most labelled + pool rows
-    found = sorted((r for r in sample.collect()), key=lambda r: (zlib.crc32(str(r["key"]).encode()), str(r["key"])))
-    return train([(r["text"] or "", tuple(r[f"n{i}"] for i in range(len(names))), r["y"]) for r in found], plan)
+    rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), **{f"n{i}": F.col(f"n{i}").cast("string") for i in range(len(names))}})
+    keys = pick(docs, key).toDF("key").where("key is not null").distinct()
+    chosen = cut_lineage(keys.join(known, "key").orderBy(*order).limit(plan.labelled))
+    sample = rows.join(F.broadcast(chosen), "key")  # at most plan.labelled keys
+    values = F.struct(*[c for c in sample.columns if c not in ("key", "y")])
+    first = sample.groupBy("key", "y").agg(F.min_by(values, F.struct(F.xxhash64(values), values)).alias("v")).select("key", "y", "v.*")
+    found = sorted(first.collect(), key=lambda r: (zlib.crc32(str(r["key"]).encode()), str(r["key"])))
+    data = [(r["text"], tuple(r[f"n{i}"] for i in range(len(names))), r["y"]) for r in found]
+    if len({y for *_, y in data}) < 2:
+        return train(data, plan)
+    others = rows.join(F.broadcast(chosen.select("key")), "key", "left_anti").drop("key")
+    return train(data, plan, exchanged(cut_lineage(features(others)), plan))
 
 
 def scored(docs: DataFrame, model: Model, plan: Plan = Plan(), key: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source")) -> DataFrame:
