@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import cut_lineage
+from ..cluster import cut_lineage, spread_lookup
 from ..functions import text
 from ..schema import OP_COLUMNS
 from . import moves as mv
@@ -347,7 +347,8 @@ def possible_moves(decided: DataFrame) -> DataFrame:
     )
     mine = decided.where((F.col("verdict") == "add-s") & full("s")).withColumn("digest", F.col("s.identity.digest"))
     return op_rows(
-        mine.join(other, "digest"), "'target'", "'note'", "s.path", "'possible-move-needs-archive'", pass_no=4,
+        # All equal files share a digest, empty ones above all: rows meet it by key and salt.
+        spread_lookup(mine, other, ["digest"], "inner"), "'target'", "'note'", "s.path", "'possible-move-needs-archive'", pass_no=4,
         from_="other", size="s.size",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import cut_lineage, ranked_in_group, running_total, with_global_index
+from ..cluster import cut_lineage, ranked_in_group, running_total, spread_lookup, with_global_index
 from .chains import greedy_kept
 
 DAY_MS = 86_400_000
@@ -140,7 +140,7 @@ def retention_plan(
     totals = marked.groupBy(*groups).agg(
         F.sum(alive).alias("_total"), F.max(F.struct("at_ms", "run_id"))["run_id"].alias("_newest")
     )
-    placed = running_total(marked, groups, ["at_ms", "run_id"], alive, "_before").join(totals, groups)
+    placed = spread_lookup(running_total(marked, groups, ["at_ms", "run_id"], alive, "_before"), totals, groups, "inner")
     over = F.lit(max_bytes > 0) & (F.col("_total") - F.col("_before") > max_bytes)
     stays = F.col("run_id") == F.col("_newest")
     return placed.withColumn("drop", (doomed | over) & ~stays).select(*runs.columns, "drop")

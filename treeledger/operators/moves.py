@@ -137,7 +137,7 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
     holder outranks the proposer; the rest wait for the next round. An add past the end of its list moves
     to its next list.
     """
-    ranked = ranked_in_group(a.join(buckets, BUCKET), BUCKET, ["key"], "turn")
+    ranked = ranked_in_group(spread_lookup(a, buckets, BUCKET, "inner"), BUCKET, ["key"], "turn")
     free = cut_lineage(
         ranked.where(F.col("turn") <= F.col("nd")).select(
             *BUCKET, "nd", F.col("key").alias("add_key"), "parent", "name", "turn", F.lit(1).alias("stage")
@@ -164,7 +164,7 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
         earliest = asking.groupBy(*_LIST).agg(F.min("turn").alias("_first"))
         # Later holders of the same list give way: they can only move down it, and do so in this round.
         listed = cut_lineage(
-            held.withColumn("wants", wants).join(earliest, _LIST, "left")
+            spread_lookup(held.withColumn("wants", wants), earliest, _LIST)
             .withColumn("_yields", F.coalesce(F.col("turn") > F.col("_first"), F.lit(False))).drop("_first")
         )
         held = listed.where("not _yields").select(*carried, "del_key")
@@ -172,7 +172,7 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
         asking = ranked_in_group(pool, _LIST, ["turn"], "j")
         holders = held.select(*BUCKET, "del_key", F.col("turn").alias("holder"))
         open_files = (
-            lists.join(earliest, _LIST)
+            spread_lookup(lists, earliest, _LIST, "inner")
             .join(holders, [*BUCKET, "del_key"], "left")
             .where(F.col("holder").isNull() | (F.col("holder") > F.col("_first")))
             .select(*_LIST, "del_key", "holder")
@@ -180,7 +180,7 @@ def _many(a: DataFrame, d: DataFrame, buckets: DataFrame) -> DataFrame:
         offered = ranked_in_group(open_files, _LIST, ["del_key"], "j")
         matched = asking.join(offered, [*_LIST, "j"], "left")
         blocked = matched.where(F.col("holder") <= F.col("turn")).groupBy(*_LIST).agg(F.min("j").alias("_stop"))
-        judged = cut_lineage(matched.join(blocked, _LIST, "left"))
+        judged = cut_lineage(spread_lookup(matched, blocked, _LIST))
         accepted = judged.where(
             F.col("del_key").isNotNull() & (F.col("_stop").isNull() | (F.col("j") < F.col("_stop")))
         ).select(*carried, "del_key")

@@ -59,15 +59,15 @@ gone_dirs AS (SELECT path FROM t_dirs WHERE key NOT IN (SELECT key FROM s_dirs)
     fx.with_sql(
         fx.BASE_SQL.replace("doc_id % 17 <> 0", "doc_id % 17 <> 0 AND lang <> 'fr'").replace("SELECT doc_id, text,", "SELECT doc_id, text, lang,"),
         DIRS_SQL,
-        select="SELECT 'target' AS side, 'delete_dir' AS action, path, 'dir-gone-from-source' AS reason FROM gone_dirs",
+        fx.MIRROR_OPS_SQL,
+        select="SELECT side, action, path, reason FROM ops UNION ALL SELECT 'target', 'delete_dir', path, 'dir-gone-from-source' FROM gone_dirs",
     ),
 )
 def mirror_folders(spark, sf):
-    """Folder removals of a mirror run: one language is missing on the source, one folder is unread."""
+    """A whole mirror plan with folders: one language is missing on the source, one folder is unread."""
     source, target, _ = fx.inventories(spark, sf, folders=True)
     kept = source.entries.where(~F.col("path").rlike("(^|/)fr(/|$)"))
-    plan = compare(Inventory(kept, source.header, source.unread), target, "mirror").operations()
-    return plan.where("action = 'delete_dir'").select("side", "action", "path", "reason")
+    return compare(Inventory(kept, source.header, source.unread), target, "mirror").operations().select("side", "action", "path", "reason")
 
 
 @query(
@@ -158,19 +158,19 @@ NOW_MS = 1_706_700_000_000
             CASE WHEN s_wins THEN ss ELSE ts END AS ws, CASE WHEN s_wins THEN sm ELSE tm END AS wm, CASE WHEN s_wins THEN sd ELSE td END AS wd,
             CASE WHEN s_wins THEN 'beta' ELSE 'alpha' END AS lh, sp FROM won
         )""",
-        select="""SELECT 'target' AS side, 'note' AS action, sp AS path, NULL::VARCHAR AS from_path, NULL::BIGINT AS size, NULL::BIGINT AS mtime_ms,
-          NULL::VARCHAR AS hash, 'auto-resolved: differs-no-archive' AS reason FROM lost
+        select=NO_ARCHIVE_SQL.format(
+            differ="""SELECT 'target', 'note', sp, NULL, NULL, NULL, NULL, 'auto-resolved: differs-no-archive' FROM lost
         UNION ALL SELECT side, 'move', regexp_replace(lp, '\\.[^.]*$', '') || '.sync-conflict-20240131-112000-' || lh || regexp_extract(lp, '\\.[^.]*$'), lp, ls, lm, ld,
           'conflict-loser-kept-as-copy (differs-no-archive)' FROM lost
-        UNION ALL SELECT side, 'update', lp, NULL, ws, wm, wd, 'conflict-resolved-newer-wins (loser kept as .sync-conflict copy)' FROM lost""",
+        UNION ALL SELECT side, 'update', lp, NULL, ws, wm, wd, 'conflict-resolved-newer-wins (loser kept as .sync-conflict copy)' FROM lost"""
+        ),
     ),
 )
 def conflict_copies(spark, sf):
-    """Conflicts resolved by time, with the older content kept under a conflict name."""
+    """A whole plan in which conflicts are resolved by time, with the older content kept under a conflict name."""
     source, target, _ = fx.inventories(spark, sf)
     ops = compare(source, target, "sync", options=Options(conflict="copy"), now_ms=NOW_MS).operations()
-    resolved = F.col("reason").rlike("^(auto-resolved|conflict-)")
-    return _shown(ops.where(resolved)).select(*PLAN[1:])
+    return _shown(ops).select(*PLAN[1:])
 
 
 @query(
@@ -180,13 +180,14 @@ def conflict_copies(spark, sf):
         select="""SELECT 'chmod' AS action, tp AS path, smode AS mode, 'mode-differs-master-wins (0644 -> 0600)' AS reason FROM pair
           WHERE hs AND ht AND eq AND smode <> tmode
         UNION ALL SELECT 'update', tp, smode, 'source-newer' FROM pair WHERE hs AND ht AND NOT unreadable AND NOT eq AND sm > tm + 2000
-        UNION ALL SELECT 'copy', sp, smode, 'only-in-source' FROM pair WHERE hs AND NOT ht""",
+        UNION ALL SELECT 'copy', sp, smode, 'only-in-source' FROM pair WHERE hs AND NOT ht
+        UNION ALL SELECT 'conflict', tp, NULL, 'evidence-unavailable (content unreadable on one side)' FROM pair WHERE hs AND ht AND unreadable""",
     ),
 )
 def permission_changes(spark, sf):
     source, target, _ = fx.inventories(spark, sf)
     ops = compare(source, target, "enrich", options=Options(sync_mode=True)).operations()
-    return ops.where("action <> 'conflict'").select("action", "path", "mode", "reason")
+    return ops.select("action", "path", "mode", "reason")
 
 
 @query(
@@ -197,14 +198,15 @@ def permission_changes(spark, sf):
           WHERE hs AND NOT ht AND NOT EXISTS (SELECT 1 FROM tgt_all t WHERE upper(t.path) = upper(p.sp) AND t.path <> p.sp)
         UNION ALL SELECT 'conflict', p.sp, 'case-collision: writing ''' || p.sp || ''' meets the existing ''' || t.path ||
           ''' where case makes no difference; rename one or compare without case'
-          FROM pair p JOIN tgt_all t ON upper(t.path) = upper(p.sp) AND t.path <> p.sp WHERE p.hs AND NOT p.ht""",
+          FROM pair p JOIN tgt_all t ON upper(t.path) = upper(p.sp) AND t.path <> p.sp WHERE p.hs AND NOT p.ht
+        UNION ALL SELECT 'conflict', tp, 'evidence-unavailable (content unreadable on one side)' FROM pair WHERE hs AND ht AND unreadable
+        UNION ALL SELECT 'update', tp, 'source-newer' FROM pair WHERE hs AND ht AND NOT unreadable AND NOT eq AND sm > tm + 2000""",
     ),
 )
 def case_collisions(spark, sf):
-    """Case-sensitive keys: names that would land on a differently spelled existing file."""
+    """A whole plan by case-sensitive keys: names that would land on a differently spelled existing file are refused."""
     source, target, _ = fx.inventories(spark, sf)
-    ops = compare(source, target, "enrich", options=Options(case_insensitive=False)).operations()
-    return ops.where((F.col("action") == "copy") | F.startswith("reason", F.lit("case-collision"))).select("action", "path", "reason")
+    return compare(source, target, "enrich", options=Options(case_insensitive=False)).operations().select("action", "path", "reason")
 
 
 TWIN_SQL = """

@@ -27,7 +27,10 @@ def read_artifact_lines(spark: SparkSession, root: str, artifact: str) -> DataFr
 
 def artifact_lines(spark: SparkSession, root: str, run_id: str, artifact: str, max_lines: int) -> DataFrame:
     """The first lines of one run's artifact file, in file order."""
-    return spark.read.text(f"{root}/{run_id}/{ARTIFACTS[artifact]}").limit(max_lines).withColumnRenamed("value", "line")
+    lines = spark.read.text(f"{root}/{run_id}/{ARTIFACTS[artifact]}")
+    # A large file is split; its blocks are in order of their begin, and a block's lines in the order they are read.
+    placed = lines.select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return placed.orderBy("_b", "_i").limit(max_lines).select("line")
 
 
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:
