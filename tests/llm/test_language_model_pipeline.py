@@ -185,4 +185,4 @@ def test_pipeline_stages(spark):
 
 
 def test_every_operator_has_one_query():
-    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14)] == [1] * 13
