@@ -293,7 +293,14 @@ faulty AS (SELECT *,
   CASE WHEN to_source THEN 'source' ELSE 'target' END AS side, CASE WHEN to_target OR to_source THEN 'copy' ELSE 'conflict' END AS action,
   CASE WHEN to_target THEN 'only-in-source' WHEN to_source THEN 'only-in-target' ELSE 'differs-no-archive' END AS reason
   FROM named WHERE to_target OR to_source OR differs),
-hazard AS (SELECT *, coalesce(fault = 'mangled' OR (to_target AND fault IS NOT NULL), false) AS endangered FROM faulty)
+hazard AS (SELECT *, coalesce(fault = 'mangled' OR (to_target AND fault IS NOT NULL), false) AS endangered FROM faulty),
+held AS (SELECT 'source' AS side, p.path, upper(p.path) AS key, sha256(html) AS digest FROM p JOIN pages ON page_id = i WHERE i % 6 <> 0
+  UNION ALL SELECT 'target', p.path, upper(p.path), sha256(html || CASE WHEN i % 5 = 0 THEN 'x' ELSE '' END) FROM p JOIN pages ON page_id = i WHERE i % 3 <> 0),
+firsts AS (SELECT side, key, min(path) AS path, min_by(digest, path) AS digest FROM held GROUP BY side, key),
+notes AS (SELECT side, path, 'duplicate-after-normalization (kept first; NFC/case twin)' AS reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY side, key ORDER BY path) AS n FROM held) WHERE n > 1
+  UNION ALL SELECT 'target', a.path, 'possible-move-needs-archive' FROM firsts a WHERE a.side = 'source' AND a.key NOT IN (SELECT key FROM firsts WHERE side = 'target')
+    AND a.digest IN (SELECT digest FROM firsts t WHERE t.side = 'target' AND t.key NOT IN (SELECT key FROM firsts WHERE side = 'source')))
 """
 
 
@@ -303,15 +310,13 @@ hazard AS (SELECT *, coalesce(fault = 'mangled' OR (to_target AND fault IS NOT N
         PAGES_SQL,
         select="""SELECT side, CASE WHEN endangered THEN 'conflict' ELSE action END AS action, path,
           CASE WHEN endangered THEN 'illegal-on-windows: ' || why || CASE WHEN to_source THEN ' (reading side)' ELSE ' (executing side)' END ELSE reason END AS reason
-          FROM hazard""",
+          FROM hazard UNION ALL SELECT side, 'note', path, reason FROM notes""",
     ),
 )
 def windows_name_rules(spark, sf):
     """Page addresses as file names on a Windows target: colons, question marks, device names."""
     source, target = fx.page_inventories(spark, sf, "windows")
-    ops = compare(source, target, "sync").operations()
-    content = ~F.col("reason").rlike("^(duplicate|possible)") & F.col("from").isNull()
-    return ops.where(content).select("side", "action", "path", "reason")
+    return compare(source, target, "sync").operations().select("side", "action", "path", "reason")
 
 
 @query(
@@ -320,14 +325,14 @@ def windows_name_rules(spark, sf):
         PAGES_SQL,
         select="""SELECT side, action, path, reason FROM hazard UNION ALL
           SELECT side, 'note', path, 'name-risk-on-unknown-server: ' || why ||
-            '; the naming rules of this root are unknown, so nothing is held back' FROM hazard WHERE endangered""",
+            '; the naming rules of this root are unknown, so nothing is held back' FROM hazard WHERE endangered
+          UNION ALL SELECT side, 'note', path, reason FROM notes""",
     ),
 )
 def unknown_name_rules(spark, sf):
     """The same against a server whose system is unknown: operations stay, a note is added."""
     source, target = fx.page_inventories(spark, sf, "unknown")
-    ops = compare(source, target, "sync").operations()
-    return ops.where(~F.col("reason").rlike("^(duplicate|possible)")).select("side", "action", "path", "reason")
+    return compare(source, target, "sync").operations().select("side", "action", "path", "reason")
 
 
 @query(
