@@ -123,3 +123,42 @@ def test_a_misplaced_mark_hides_no_license():
     assert [h.name for h in scan(text)] == ["Apache-2.0"]
     for n in range(12):
         assert [h.name for h in scan("version " * n + licenses.TEMPLATES["GPL-3.0"] + " license" * n)] == ["GPL-3.0"], n
+
+
+def test_scan_equals_alignment_at_every_position():
+    """Each template aligned with the window at every place of a text finds the same licenses as the places that marks propose."""
+    scan, r = licenses.Scanner(licenses.TEMPLATES), random.Random(6)
+    filler = "the of a thin oran work license under version in this bet".split()
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(0, 2)):
+            own = licenses.TEMPLATES[r.choice([n for n, t in licenses.TEMPLATES.items() if len(t) < 200])].split()
+            for _ in range(r.randint(0, 1 + len(own) // 6)):
+                own[r.randrange(len(own))] = r.choice(filler)
+            parts += [*[r.choice(filler) for _ in range(r.randint(0, 9))], *own]
+        text = " ".join(parts + [r.choice(filler) for _ in range(5)])
+        own, _ = licenses.words(text)
+        want = set()
+        for name, template in scan.templates.items():
+            least, slack = scan.coverage * len(template), 2 + len(template) // 4
+            for begin in range(len(own)):
+                pairs = scan._dense(licenses.align(template, own[begin : begin + len(template) + slack]), least)
+                if pairs and scan.telling[name] <= {template[x] for x, _ in pairs}:
+                    want.add(name)
+        got = {h.name for h in scan(text)}
+        assert got <= want and bool(got) == bool(want), (text, got, want)
+
+
+def test_close_licenses_are_told_apart():
+    scan = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"):
+        assert [h.name for h in scan("Text. " + licenses.TEMPLATES[name] + " More.")] == [name]
+    assert scan("Licensed under CC BY-XX 4.0.") == []
+
+
+def test_texts_of_many_near_misses_cost_little():
+    import time
+
+    scan, start = licenses.Scanner(licenses.TEMPLATES), time.perf_counter()
+    assert scan("apache license warranties conditions x y z " * 22_000) == []  # about 1 MB
+    assert time.perf_counter() - start < 20

@@ -27,6 +27,8 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "All rights reserved.",
@@ -153,7 +155,11 @@ class Hit:
 
 
 class Scanner:
-    """coverage: share of a template's words that must be aligned. density: share that they must make up of their span."""
+    """coverage: share of a template's words that must be aligned. density: share that they must make up of their span.
+
+    Where another template reads so much alike that it covers this one, the words that only this one has must be aligned too:
+    they tell the licenses apart, whatever else agrees.
+    """
 
     def __init__(self, templates: dict[str, str], coverage: float = 0.8, density: float = 0.6):
         self.templates = {name: words(text)[0] for name, text in templates.items()}
@@ -162,6 +168,12 @@ class Scanner:
             for w in set(own) - COMMON:
                 self.signs.setdefault(w, []).append((name, own.index(w)))
         self.coverage, self.density = coverage, density
+        self.counts = {name: Counter(own) for name, own in self.templates.items()}
+        self.telling = {name: set() for name in self.templates}
+        for name, own in self.templates.items():
+            for other, theirs in self.templates.items():
+                if other != name and len(align(own, theirs)) >= coverage * len(own):
+                    self.telling[name] |= set(own) - set(theirs)
         self.marks = ahocorasick.Automaton()
         for w in self.signs:
             self.marks.add_word(w, w)
@@ -177,25 +189,35 @@ class Scanner:
             for name, offset in self.signs.get(w, ()):
                 seen.setdefault(name, []).append((at, offset))
         found = [h for name, marks in seen.items() for h in self._hits(name, marks, own, places)]
-        kept: list[Hit] = []
+        kept: list[tuple[int, int]] = []  # spans of hits that stand, by start; none overlap
+        stands = []
         for h in sorted(found, key=lambda h: (-h.matched, -h.coverage, h.start, h.name)):
-            if all(h.end <= k.start or h.start >= k.end for k in kept):
-                kept.append(h)
-        return sorted(kept, key=lambda h: h.start)
+            at = bisect_left(kept, (h.start, h.end))
+            if (at == len(kept) or h.end <= kept[at][0]) and (at == 0 or kept[at - 1][1] <= h.start):
+                kept.insert(at, (h.start, h.end))
+                stands.append(h)
+        return sorted(stands, key=lambda h: h.start)
 
     def _hits(self, name: str, marks: list[tuple[int, int]], own: list[str], places: list[tuple[int, int]]) -> Iterator[Hit]:
         template = self.templates[name]
         slack, done = 2 + len(template) // 4, 0
         least = self.coverage * len(template)
-        last = (-1, -1)
+        last, counts, telling = (-1, -1), self.counts[name], self.telling[name]
+        known = [i for i, w in enumerate(own) if w in counts]
         for at, offset in marks:
             begin, end = max(done, at - offset - slack), min(len(own), at - offset + len(template) + slack)
             if at < done or (begin, end) == last:
                 continue
             last = (begin, end)
-            pairs = align(template, own[begin:end])
-            pairs = self._dense(pairs, least)
-            if pairs:
+            # No alignment has more pairs than both sides share words; most windows end here.
+            i, j = bisect_left(known, begin), bisect_left(known, end)
+            if j - i < least:
+                continue
+            here = Counter([own[k] for k in known[i:j]])
+            if sum(min(n, counts[w]) for w, n in here.items()) < least:
+                continue
+            pairs = self._dense(align(template, own[begin:end]), least)
+            if pairs and telling <= {template[x] for x, _ in pairs}:
                 first, stop = begin + pairs[0][1], begin + pairs[-1][1]
                 yield Hit(name, places[first][0], places[stop][1], len(pairs), len(template))
                 done = stop + 1
@@ -215,8 +237,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     """`key`, n_licenses, licenses and best_coverage of each row of `docs`, over whole texts.
 
     licenses has name:start:end:matched:length of each hit, by start (code points, end exclusive), comma-joined. Null and empty
-    texts have none, with a coverage of 0. Equal rows give equal rows; further columns are ignored. A text costs time in
-    proportion to its words and to the places where a template's own words stand.
+    texts have none, with a coverage of 0. Equal rows give equal rows, an empty table an empty result; further columns are
+    ignored. Of overlapping hits the one that aligns more words stands, then the fuller, the earlier, the first by name. A long
+    text costs time in proportion to its words and to the places where a template's own words stand; only windows that share
+    enough words with the template are aligned.
     """
     chosen = templates or TEMPLATES
     rows = pick(docs, key, text).toDF("key", "text")
