@@ -26,8 +26,8 @@ BUCKETS = 1 << 14
 #: Words of a generation. A Python worker remembers two: when the young one is full, the old one's words that were not met
 #: again are forgotten, and folded anew if they come back.
 REMEMBERED = 1 << 18
-#: Characters of texts whose words are learnt together.
-GROUP_CHARS = 1 << 20
+#: Characters of texts whose words are learnt together, and new words from which on they are folded together.
+GROUP_CHARS, MANY = 1 << 20, 64
 #: Longer words are folded with a heap. Words, or characters of a text, worked off at once.
 LONG_WORD = 48
 PART_WORDS = 1 << 18
@@ -255,7 +255,8 @@ class Coder:
                 new.append(w)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD and w not in self.ranks]
-        found = dict(zip(short, self.folder([raw[i] for i in short]), strict=True))
+        # Few words are folded one by one: rounds over arrays pay off for many.
+        found = dict(zip(short, self.folder([raw[i] for i in short]), strict=True)) if len(short) >= MANY else {}
         for i, (word, own) in enumerate(zip(new, raw, strict=True)):
             ids = found[i] if i in found else self.fold(own)
             self.lines[word] = ",".join([self.shown[x] for x in ids])
