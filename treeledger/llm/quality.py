@@ -205,11 +205,18 @@ def train(rows: list[tuple[str, tuple, float]], plan: Plan, exchange: Exchange |
     return Model(*weights, mean, std, tuple(scales), combine, prior)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows: what a part's features take is all that a task holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def features(rows: DataFrame) -> DataFrame:
     """index, value (the text view), numbers and names (the metadata view) of each of the rows (text and names)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             index, value, numbers, names = [], [], [], []
             named = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True) if batch.num_columns > 1 else iter(lambda: (), 1)
             for text, own in zip(batch.column(0), named, strict=batch.num_columns > 1):
@@ -233,7 +240,7 @@ def exchanged(stored: DataFrame, plan: Plan) -> Exchange:
     def run_with(weights, scales, mean, std):
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = [np.zeros((2, d + 1), np.int64) for d in sizes]
-            for batch in batches:
+            for batch in sliced(batches):
                 text = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)]
                 pages = [(np.frombuffer(n, "<f8"), np.frombuffer(s, "<u2").astype(np.int64)) for n, s in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
                 views = [Sparse(text, sizes[0]), Sparse(meta_rows(pages, mean, std), sizes[1])]
