@@ -144,6 +144,54 @@ def test_probabilities_add_up_to_one():
             assert (chance.sum() + back * unknown) / (plan.strength + seen[u]) == pytest.approx(1)
 
 
+def test_rare_words_have_contexts_of_their_own():
+    """Over three parts that tell each other: in every rare word's context probabilities add up to 1 and follow its pairs."""
+    r = random.Random(14)
+    words = [f"w{i}".encode() for i in range(24)]
+    contexts, parts, plan = {words[0]: 1}, 3, lm.Plan()
+    texts = [[w for i in r.choices(range(1, 12), k=8) for w in (words[2 * i], words[2 * i + 1])] + [words[0], lm.END] for _ in range(60)]
+    asked = [[u] for u in words] + [[u, w] for u in words for w in [*words, lm.END, b"new"]]
+    names = sorted({w for t in [*texts, *asked] for w in t})
+    at = {w: i for i, w in enumerate(names)}
+    chunk = lm.Chunk(names, np.array([at[w] for t in [*texts, *asked] for w in t], np.int32), np.array([len(t) for t in [*texts, *asked]]), np.array([False] * len(texts) + [True] * len(asked)))
+    n, v = sum(map(len, texts)), len({w for t in texts for w in t})
+    seen = np.array([60.0, 60.0])
+    made = {p: lm.Part([(0, lm.unpack(x))], 2, contexts, parts) for p, x in lm.requests(chunk, contexts, parts)}
+    assert sum(x.pairs.sum() + x.hosted.sum() for x in made.values()) == n
+    shared = lm.Totals(seen[None, :] ** 0.8, np.array([500.0]), np.array([float(v)]), np.zeros(4))
+    states = {p: [*x.sample(shared, v, plan, [1, p])] for p, x in made.items()}
+    flats = lambda: lm.Totals.of(sum(x.totals(states[p]).flat() for p, x in made.items()), 2)
+    for turn in (2, 3):
+        shared, rows = flats(), [m for p, x in made.items() for m in x.messages(states[p], p)]
+        met = {p: [] for p in made}
+        for _, q, _, known in (m for m in rows if m[2] == lm.KNOWN):
+            for p, x in lm.meet([(source, lm.unpack(m)) for slot, source, kind, m in rows if kind == lm.ASK and slot == q], lm.unpack(known)):
+                met[q if p < 0 else p].append((p if p < 0 else q, x))
+        # What a rare word gets is what all parts serve of it.
+        for p, x in made.items():
+            served = [sum(int(states[q][0].hosted[y.dish == 2 + y.others.index(w)].sum()) for q, y in made.items() if w in y.others) for w in x.rare_names]
+            assert x.met(met[p], p, plan.samples).guests[0].tolist() == served
+        before, states = shared, {p: [*x.sample(shared, v, plan, [turn, p], x.met(met[p], p, plan.samples))] for p, x in made.items()}
+    answers = {p: lm.unpack(next(x.answers(lm.unpack(x.seated(states[p]))))[1]) for p, x in made.items()}
+    *_, found = lm.log_scores(chunk, contexts, parts, answers, n, v, flats(), seen, plan, before.discounts())
+    found = dict(zip(map(tuple, asked), found[len(texts) :].tolist(), strict=True))
+    for i, u in enumerate(words):
+        chance = {w: 10 ** (found[u, w] - found[u,]) for w in [*words, lm.END, b"new"] if w != words[1]}  # not in training either
+        assert sum(chance.values()) == pytest.approx(1, abs=1e-6)
+        if i > 1 and i % 2 == 0:
+            assert chance[words[i + 1]] > 0.8
+
+
+def test_scores_hardly_depend_on_which_words_are_common(spark, monkeypatch):
+    """A large share leaves the start of a text as the only common context; all the others are rare words'."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "PART_TOKENS", 2000)
+    r = random.Random(15)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in r.choices(range(40), k=20)), "en", "a", 1, "", "", "") for i in range(200)]
+    totals = [sum(x.score for x in lm.score(frame(spark, rows), lm.Plan(share=share)).collect()) for share in (0.5, 1e-9)]
+    assert totals[0] == pytest.approx(totals[1], rel=0.02)
+
+
 def test_model_beats_the_base_on_held_out_texts_and_reruns_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = lm.score(docs).collect()

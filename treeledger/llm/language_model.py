@@ -1,11 +1,14 @@
 """LM scoring (operator 9): a hierarchical Pitman-Yor model whose seating is sampled by Gibbs, in parts of the vocabulary.
 
-The root restaurant's dishes are words; its base is uniform. A context restaurant for a previous word shares the root as its
-parent: each of its tables is a customer of the root. Contexts are the start of a text and the words that hold a fixed share of
-the training tokens, so their number has a bound (1 / share) whatever the corpus; after any other word the root predicts.
+The root restaurant's dishes are words; its base is uniform. The start of a text and every training word have a context
+restaurant with the root as its parent: each of its tables is a customer of the root. Common words hold a fixed share of the
+training tokens, so their number has a bound (1 / share) whatever the corpus: their restaurants' dishes lie with the parts of
+the vocabulary that own the dishes, and their totals go through the driver. Any other word's restaurant, small by that share,
+lies whole with the part that owns the word.
 
 A dish's seating is summed up in its number of tables. A sweep draws it from its full conditional given all other tables; parts
-of the vocabulary are swept side by side and see the other parts' totals as of the round before.
+of the vocabulary are swept side by side and see the other parts' totals as of the round before. A restaurant that lies whole
+in a part is drawn given a gamma variable that stands for its total, which leaves its dishes independent of each other.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, groupby, repeat
+from itertools import chain, repeat
 from typing import ClassVar
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import cut_lineage, pick
 
 END = b""  # no word is empty
-START = 0  # the context at the beginning of a text
+START = 0  # the context at the beginning of a text, and the number of the end as a dish
 #: Bytes of text in a chunk, the unit in which texts ask for their words' predictions.
 CHUNK_BYTES = 8 << 20
 #: Training tokens that a part of the vocabulary stands for, on average.
@@ -53,11 +56,16 @@ REMEMBERED = 1 << 15
 FAR_BELOW, TAIL = 40.0, 1e-12
 TOTALS_ROWS = 16
 MOST_TASKS = 20_000
+#: Tables next to which a dish's own don't count: its weights then grow by a constant factor with each of them.
+VERY_MANY = 1e9
+#: Rows that a round leaves: totals, asks after other parts' words, what is known of a part's own words, seatings.
+TOTALS, ASK, KNOWN, SEATED = range(4)
+ROWS = "slot long, source long, kind int, packed binary"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """share: of the training tokens that makes a word a context. rounds: exchanges of totals before the samples are drawn.
+    """share: of the training tokens that makes a word common. rounds: exchanges of totals before the samples are drawn.
     burn, samples: sweeps in a round. strength: of both levels; discounts start here and are estimated from the counts."""
 
     share: float = 1e-5
@@ -77,7 +85,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -271,21 +279,25 @@ def _seat_far(count: np.ndarray, prior: np.ndarray, others: np.ndarray, curves:
 
 @dataclass
 class Totals:
-    """What parts of the vocabulary share: per sample the tables of each context, the root's customers and tables; counts of
-    dishes with one and two customers on both levels."""
+    """What parts of the vocabulary share: per sample the tables of each common context, the root's customers and tables; counts
+    of dishes with one and two customers on both levels; of the common words in the root, per sample, customers, tables, and
+    the customers that come from the contexts of other words. `rest` is a first guess of another word's chance."""
 
     contexts: np.ndarray  # samples x contexts
     customers: np.ndarray  # samples
     tables: np.ndarray  # samples
     ones: np.ndarray  # contexts' ones and twos, the root's ones and twos
+    common: np.ndarray | None = None  # 3 x samples x contexts
+    rest: float = 1e-3
 
     def flat(self) -> np.ndarray:
-        return np.concatenate((self.contexts.ravel(), self.customers, self.tables, self.ones))
+        return np.concatenate((self.contexts.ravel(), self.common.ravel(), self.customers, self.tables, self.ones)).astype(np.int64)
 
     @staticmethod
     def of(flat: np.ndarray, contexts: int) -> Totals:
-        n = (len(flat) - 4) // (contexts + 2)
-        return Totals(flat[: n * contexts].reshape(n, contexts), flat[n * contexts : n * contexts + n], flat[-4 - n : -4], flat[-4:])
+        n = (len(flat) - 4) // (4 * contexts + 2)
+        own, common, rest = np.split(flat.astype(float), (n * contexts, 4 * n * contexts))
+        return Totals(own.reshape(n, contexts), rest[:n], rest[n:-4], rest[-4:], common.reshape(3, n, contexts))
 
     def discounts(self, least: float = 0.1, most: float = 0.85) -> tuple[float, float]:
         """Of contexts and root, by the ratio of dishes with one customer to those with one or two."""
@@ -293,66 +305,200 @@ class Totals:
         return tuple(min(most, max(least, x / (x + 2 * y))) if x + y else 0.7 for x, y in ((a, b), (c, d)))
 
 
+@dataclass
+class Seats:
+    """A sample: tables of each pair, customers and tables of each word in the root, tables of each hosted pair."""
+
+    tables: np.ndarray
+    diners: np.ndarray
+    standing: np.ndarray
+    hosted: np.ndarray
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return iter((self.tables, self.diners, self.standing))
+
+
+@dataclass
+class Met:
+    """What a part is told by others, each per sample: customers that its own rare words get from other words' contexts, and
+    customers and tables in the root of the rare words that it hosts."""
+
+    guests: np.ndarray
+    diners: np.ndarray
+    standing: np.ndarray
+
+
 class Part:
-    """One part of the vocabulary: all its words' counts in training, and which chunk asked for what."""
+    """One part of the vocabulary: all its words' counts in training, the dishes of its rare words' contexts, and which chunk
+    asked for what.
 
-    def __init__(self, asked: list[tuple[int, dict]], contexts: int):
+    A pair is a word of the part in a common context. A hosted pair is a dish in the context of a rare word of the part; the
+    dish is a common word's number, or `contexts` and the place of a rare word, of whatever part, in `others`.
+    """
+
+    def __init__(self, asked: list[tuple[int, dict]], contexts: int, numbers: dict[bytes, int] | None = None, parts: int = 1):
         lists = [x["words"].split(b"\n") for _, x in asked]
         names = sorted(set().union(*lists)) if lists else []
         index = dict(zip(names, range(len(names)), strict=True))
         self.chunks = [c for c, _ in asked]
         self.words = [np.fromiter(map(index.__getitem__, own), np.int64, len(own)) for own in lists]
         every = np.concatenate(self.words) if lists else np.zeros(0, np.int64)
-        self.count = np.bincount(every, np.concatenate([x["count"] for _, x in asked]) if lists else None, len(names)).astype(np.int64)
-        self.alone = np.bincount(every, np.concatenate([x["alone"] for _, x in asked]) if lists else None, len(names)).astype(np.int64)
+
+        def added(place: np.ndarray, name: str, size: int) -> np.ndarray:
+            return np.bincount(place, np.concatenate([x[name] for _, x in asked]) if lists else None, size).astype(np.int64)
+
+        self.count, self.alone = added(every, "count", len(names)), added(every, "alone", len(names))
         keys = [w[np.cumsum(x["steps"], dtype=np.int64)] * contexts + x["context"] for w, (_, x) in zip(self.words, asked, strict=True)]
         pairs, self.place = distinct(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         self.sizes = [len(k) for k in keys]
-        self.pairs = np.bincount(self.place, np.concatenate([x["pairs"] for _, x in asked]) if keys else None, len(pairs)).astype(np.int64)
+        self.pairs = added(self.place, "pairs", len(pairs))
         self.word, self.context = pairs // max(1, contexts), pairs % max(1, contexts)
         self.contexts = contexts
 
-    def sample(self, shared: Totals, vocabulary: int, plan: Plan, seed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables of each pair, customers and tables of each word in the root), `samples` times after `burn` sweeps."""
+        lists = [x["others"].split(b"\n") if x["others"] else [] for _, x in asked]
+        self.others = sorted(set().union(*lists))
+        index = dict(zip(self.others, range(len(self.others)), strict=True))
+        width, keys = contexts + len(self.others), []
+        for own, w, (_, x) in zip(lists, self.words, asked, strict=True):
+            dish = np.cumsum(x["dishes"], dtype=np.int64)
+            rare = dish >= contexts
+            dish[rare] = contexts + np.fromiter(map(index.__getitem__, own), np.int64, len(own))[dish[rare] - contexts]
+            keys.append(w[x["hosts"]] * width + dish)
+        pairs, self.hosted_place = distinct(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        self.hosted_sizes = [len(k) for k in keys]
+        self.hosted = added(self.hosted_place, "hosted", len(pairs))
+        self.host, self.dish = pairs // max(1, width), pairs % max(1, width)
+
+        numbers = numbers or {}
+        number = np.fromiter(map(numbers.get, names, repeat(-1)), np.int64, len(names))
+        if names and names[0] == END and numbers:
+            number[0] = START
+        self.common = np.flatnonzero(number >= 0)
+        self.number = number[self.common]
+        self.rare = np.flatnonzero((number < 0) & (self.count > 0))  # no training, no customers
+        self.rare_names = [names[i] for i in self.rare.tolist()]
+        # Rare dishes with customers, by the part that owns them; the chance of those with several in a context is wanted.
+        most = np.zeros(len(self.others), np.int64)
+        on = self.dish >= contexts
+        np.maximum.at(most, self.dish[on] - contexts, self.hosted[on])
+        asks = np.flatnonzero(most > 0)
+        order, cuts = by_part(part_of([self.others[i] for i in asks.tolist()], parts), parts)
+        self.asks = [(p, asks[order[cuts[p] : cuts[p + 1]]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+        self.wanted = most > 1
+
+    def _diners(self, tables: np.ndarray, shared: Totals, met: Met | None, s: int) -> np.ndarray:
+        """Each word's customers in the root: its tables in common contexts, and those in the contexts of rare words."""
+        own = np.bincount(self.word, tables, len(self.count)).astype(np.int64)
+        if met is None:
+            return own + np.ceil(self.alone**0.8).astype(np.int64)
+        own[self.common] += shared.common[2][s][self.number].astype(np.int64)
+        own[self.rare] += met.guests[s]
+        return own
+
+    def _chances(self, dishes: np.ndarray, shared: Totals, met: Met | None, s: int, vocabulary: int, plan: Plan, discount: float) -> np.ndarray:
+        """The root's probability of dishes of hosted pairs, as of the round before."""
+        if shared.common is None:
+            return np.full(len(dishes), shared.rest)
+        diners, standing = shared.common[0][s], shared.common[1][s]
+        if met is not None:
+            diners, standing = np.concatenate((diners, met.diners[s])), np.concatenate((standing, met.standing[s]))
+        common = dishes < len(diners)
+        at = np.where(common, dishes, 0)
+        return np.where(common, root_chance(diners[at], standing[at], shared.customers[s], shared.tables[s], vocabulary, plan.strength, discount), shared.rest)
+
+    def sample(self, shared: Totals, vocabulary: int, plan: Plan, seed: list[int], met: Met | None = None) -> Iterator[Seats]:
+        """Seatings, `samples` times after `burn` sweeps. Without `met` the other parts' share is guessed."""
         rng = np.random.default_rng(seed)
         low, high = shared.discounts() if shared.ones.any() else (plan.discount,) * 2
         inner, outer = log_stirling(low), log_stirling(high)
-        tables = np.minimum(self.pairs, 1)
+        tables, hosted = np.minimum(self.pairs, 1), np.minimum(self.hosted, 1)
+        several = np.flatnonzero(self.hosted > 1)
+        hosts, at = np.unique(self.host[several], return_inverse=True)
         for turn in range(plan.burn + plan.samples):
             s = turn % len(shared.customers)
             others, customers, root = shared.contexts[s], shared.customers[s], shared.tables[s]
-            diners = self.alone + np.bincount(self.word, tables, len(self.count)).astype(np.int64)
+            diners = self._diners(tables, shared, met, s)
             standing = seat(diners, np.full(len(diners), 1 / (vocabulary + 1)), np.full(len(diners), root), plan.strength, high, outer, rng)
             prior = root_chance(diners, standing, customers, root, vocabulary, plan.strength, high)
             tables = seat(self.pairs, prior[self.word], others[self.context], plan.strength, low, inner, rng)
+            if len(several):
+                # Given x ~ Gamma(strength / low + all tables of the context), t tables weigh S(count, t) * (low * x * prior) ** t.
+                x = rng.gamma(plan.strength / low + np.bincount(self.host, hosted, len(self.count))[hosts])
+                chance = self._chances(self.dish[several], shared, met, s, vocabulary, plan, high)
+                hosted = hosted.copy()
+                hosted[several] = seat(self.hosted[several], x[at] * chance / VERY_MANY, np.full(len(several), VERY_MANY), plan.strength, low, inner, rng)
             if turn >= plan.burn:
-                diners = self.alone + np.bincount(self.word, tables, len(self.count)).astype(np.int64)
-                yield tables, diners, seat(diners, np.full(len(diners), 1 / (vocabulary + 1)), np.full(len(diners), root), plan.strength, high, outer, rng)
+                diners = self._diners(tables, shared, met, s)
+                standing = seat(diners, np.full(len(diners), 1 / (vocabulary + 1)), np.full(len(diners), root), plan.strength, high, outer, rng)
+                yield Seats(tables, diners, standing, hosted)
 
     def totals(self, states) -> Totals:
         states = [*states]
-        both = [np.bincount(self.context, t, self.contexts) for t, _, _ in states]
-        ones = [(self.pairs == 1).sum(), (self.pairs == 2).sum(), *(sum(int((d == k).sum()) for _, d, _ in states) for k in (1, 2))]
-        return Totals(np.array(both), np.array([d.sum() for _, d, _ in states], float), np.array([r.sum() for _, _, r in states], float), np.array(ones, float))
-
-    def answers(self, states, totals: Totals, seen: np.ndarray, vocabulary: int, plan: Plan, discounts: tuple[float, float]) -> Iterator[tuple[int, bytes]]:
-        """For each chunk, log10 of the averaged predictive probabilities of its words and pairs, and the words' counts.
-
-        `seen` are the contexts' customers; the states' own totals make the probabilities add up to 1.
-        """
-        low, high = discounts
-        words, pairs, n = np.zeros(len(self.count)), np.zeros(len(self.pairs)), 0
-        for s, (tables, diners, standing) in enumerate(states):
-            prior = root_chance(diners, standing, totals.customers[s], totals.tables[s], vocabulary, plan.strength, high)
-            words += prior
-            back = plan.strength + low * totals.contexts[s][self.context]
-            pairs += (self.pairs - low * tables + back * prior[self.word]) / (plan.strength + seen[self.context])
-            n += 1
-        words, pairs = np.log10(words / n).astype(np.float32), np.log10(pairs / n).astype(np.float32)
-        at = 0
-        for chunk, own, size in zip(self.chunks, self.words, self.sizes, strict=True):
-            yield chunk, pack(count=narrow(self.count[own]), words=words[own], pairs=pairs[self.place[at : at + size]])
-            at += size
+        both = [np.bincount(self.context, x.tables, self.contexts) for x in states]
+        ones = [((self.pairs == k).sum() + (self.hosted == k).sum()) for k in (1, 2)] + [sum(int((x.diners == k).sum()) for x in states) for k in (1, 2)]
+        common = np.zeros((3, len(states), self.contexts))
+        known = self.dish < self.contexts
+        for s, x in enumerate(states):
+            common[0, s, self.number], common[1, s, self.number] = x.diners[self.common], x.standing[self.common]
+            common[2, s] = np.bincount(self.dish[known], x.hosted[known], self.contexts)
+        sums = [np.array([y.sum() for y in z], float) for z in ([x.diners for x in states], [x.standing for x in states])]
+        return Totals(np.array(both), *sums, np.array(ones, float), common)
+
+    def messages(self, states: list[Seats], number: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """For other parts: the tables at which rare words of theirs are served here. For those who ask: the own rare words."""
+        rare = self.dish >= self.contexts
+        served = np.array([np.bincount(self.dish[rare] - self.contexts, x.hosted[rare], len(self.others)) for x in states]).astype(np.int64)
+        for p, own in self.asks:
+            yield p, number, ASK, pack(words=b"\n".join([self.others[i] for i in own.tolist()]), wanted=self.wanted[own], served=narrow(served[:, own]))
+        if self.rare_names:
+            diners, standing = (narrow(np.array([y[self.rare] for y in z])) for z in ([x.diners for x in states], [x.standing for x in states]))
+            yield number, number, KNOWN, pack(words=b"\n".join(self.rare_names), diners=diners, standing=standing)
+
+    def met(self, answers: list[tuple[int, dict]], number: int, samples: int) -> Met:
+        """From the rows of `meet`."""
+        got = dict(answers)
+        guests = got[-1]["guests"].astype(np.int64) if -1 in got else np.zeros((samples, len(self.rare)), np.int64)
+        diners, standing = (np.zeros((samples, len(self.others))) for _ in range(2))
+        for p, own in self.asks:
+            if p in got:
+                own = own[self.wanted[own]]
+                diners[:, own], standing[:, own] = got[p]["diners"], got[p]["standing"]
+        return Met(guests, diners, standing)
+
+    def seated(self, states: list[Seats]) -> bytes:
+        """What the predictions need of the samples."""
+        return pack(
+            tables=narrow(sum(x.tables for x in states)), hosted=narrow(sum(x.hosted for x in states)),
+            diners=narrow(np.array([x.diners for x in states])), standing=narrow(np.array([x.standing for x in states])),
+            held=narrow(np.array([np.bincount(self.host, x.hosted, len(self.count)) for x in states]).astype(np.int64)),
+        )
+
+    def answers(self, seated: dict) -> Iterator[tuple[int, bytes]]:
+        """For each chunk, of its words: count, customers and tables in the root and tables of the own context, per sample; of
+        its pairs and hosted pairs: customers and tables, the latter over all samples."""
+        a = b = 0
+        for chunk, own, size, more in zip(self.chunks, self.words, self.sizes, self.hosted_sizes, strict=True):
+            near, far = self.place[a : a + size], self.hosted_place[b : b + more]
+            a, b = a + size, b + more
+            yield chunk, pack(
+                count=narrow(self.count[own]), **{name: narrow(seated[name][:, own]) for name in ("diners", "standing", "held")},
+                pairs=narrow(np.concatenate((self.pairs[near], self.hosted[far]))), tables=narrow(np.concatenate((seated["tables"][near], seated["hosted"][far]))),
+            )
+
+
+def meet(asks: list[tuple[int, dict]], known: dict) -> Iterator[tuple[int, dict]]:
+    """A part's rare words meet those who ask after them: (-1, the customers that the words get from all who ask), and for each
+    who asks the customers and tables of the words that it wants."""
+    names = known["words"].split(b"\n")
+    index = dict(zip(names, range(len(names)), strict=True))
+    guests = np.zeros((len(known["diners"]), len(names)), np.int64)
+    for source, x in asks:
+        own = x["words"].split(b"\n")
+        at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+        guests[:, at] += x["served"]
+        at = at[x["wanted"]]
+        yield source, {"diners": known["diners"][:, at], "standing": known["standing"][:, at]}
+    yield -1, {"guests": narrow(guests)}
 
 
 def root_chance(diners, standing, customers: float, tables: float, vocabulary: int, strength: float, discount: float) -> np.ndarray:
@@ -373,20 +519,23 @@ class Chunk:
     held: np.ndarray
 
     def pairs(self, contexts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct (word, context) keys, sorted, and each token's place among them, -1 where no context applies."""
-        of_word = np.fromiter(map(contexts.get, self.words, repeat(-1)), np.int64, len(self.words))
+        """The distinct (word, context) keys, sorted, and each token's place among them. A context is a common word's number, or
+        past these the number in the chunk of another word."""
+        n, common = len(self.words), len(contexts) + 1
+        of_word = np.fromiter(map(contexts.get, self.words, repeat(-1)), np.int64, n)
+        of_word = np.where(of_word < 0, common + np.arange(n), of_word)
         before = np.concatenate(([START], of_word[self.stream[:-1]])) if len(self.stream) else np.zeros(0, np.int64)
         begins = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if len(self.lengths) else np.zeros(0, np.int64)
         before[begins] = START
-        on = before >= 0
-        keys, place = distinct(self.stream[on].astype(np.int64) * (len(contexts) + 1) + before[on])
-        out = np.full(len(self.stream), -1)
-        out[on] = place
-        return keys, out
+        return distinct(self.stream.astype(np.int64) * (common + n) + before)
 
     def parts(self, parts: int) -> np.ndarray:
         """The part of the vocabulary that each word belongs to."""
-        return np.array([xxhash.xxh64_intdigest(w, 7) for w in self.words], np.uint64) % np.uint64(parts)
+        return part_of(self.words, parts)
+
+
+def part_of(words: list[bytes], parts: int) -> np.ndarray:
+    return (np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
 def ordered(values: np.ndarray) -> np.ndarray:
@@ -415,41 +564,77 @@ def by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))))
 
 
+class Dealt:
+    """A chunk's words and pairs by the part that they go to: pairs in common contexts to the word's, others to the context's."""
+
+    def __init__(self, chunk: Chunk, contexts: dict[bytes, int], parts: int):
+        self.common, n = len(contexts) + 1, len(chunk.words)
+        self.keys, self.place = chunk.pairs(contexts)
+        self.word, self.context = self.keys // (self.common + n), self.keys % (self.common + n)
+        self.number = np.fromiter(map(contexts.get, chunk.words, repeat(-1)), np.int64, n)
+        if n and chunk.words[0] == END:
+            self.number[0] = START
+        self.part = chunk.parts(parts)
+        far = self.context >= self.common
+        target = self.part[np.where(far, self.context - self.common, self.word)]
+        kind = np.where(far, np.where(self.number[self.word] < 0, 2, 1), 0)
+        (self.by_word, self.word_cuts), (self.by_pair, self.pair_cuts) = by_part(self.part, parts), by_part(target * 3 + kind, 3 * parts)
+
+    def words_of(self, p: int) -> np.ndarray:
+        return self.by_word[self.word_cuts[p] : self.word_cuts[p + 1]]
+
+    def pairs_of(self, p: int) -> list[np.ndarray]:
+        """In common contexts; in others: of common words, of rare words."""
+        return [self.by_pair[self.pair_cuts[i] : self.pair_cuts[i + 1]] for i in range(3 * p, 3 * p + 3)]
+
+
 def requests(chunk: Chunk, contexts: dict[bytes, int], parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, what the chunk counts and asks there): words, their training counts, those without a context, and pairs."""
-    keys, place = chunk.pairs(contexts)
+    """(part, what the chunk counts and asks there): words, their training counts, those in rare words' contexts, pairs, and the
+    pairs in the contexts of the part's rare words."""
+    dealt = Dealt(chunk, contexts, parts)
     train = np.repeat(~chunk.held, chunk.lengths)
-    n = len(chunk.words)
+    n, word, context, common = len(chunk.words), dealt.word, dealt.context, dealt.common
     count = np.bincount(chunk.stream[train], minlength=n)
-    alone = np.bincount(chunk.stream[train & (place < 0)], minlength=n)
-    seen = np.bincount(place[train & (place >= 0)], minlength=len(keys))
-    part = chunk.parts(parts)
-    word, context = keys // (len(contexts) + 1), keys % (len(contexts) + 1)
-    (by_word, word_cuts), (by_pair, pair_cuts) = by_part(part, parts), by_part(part[word], parts)
+    seen = np.bincount(dealt.place[train], minlength=len(dealt.keys))
+    far = context >= common
+    alone = np.bincount(word[far], seen[far], n).astype(np.int64)
     names = np.array([*chunk.words, None], object)[:-1]  # no array of fixed width
     rank = np.empty(n, np.int64)
-    for p in np.unique(part).astype(np.int64):
-        own, mine = by_word[word_cuts[p] : word_cuts[p + 1]], by_pair[pair_cuts[p] : pair_cuts[p + 1]]
-        rank[own] = np.arange(len(own))
-        yield int(p), pack(
+    rank[dealt.by_word] = np.arange(n) - np.repeat(dealt.word_cuts[:-1], np.diff(dealt.word_cuts))
+    for p in np.unique(dealt.part).tolist():
+        own, (near, known, rare) = dealt.words_of(p), dealt.pairs_of(p)
+        others, at = np.unique(word[rare], return_inverse=True)
+        dishes, hosted = np.concatenate((dealt.number[word[known]], common + at)), np.concatenate((known, rare))
+        yield p, pack(
             words=b"\n".join(names[own].tolist()), count=narrow(count[own]), alone=narrow(alone[own]),
-            steps=narrow(np.diff(rank[word[mine]], prepend=0)), context=narrow(context[mine]), pairs=narrow(seen[mine]),
+            steps=narrow(np.diff(rank[word[near]], prepend=0)), context=narrow(context[near]), pairs=narrow(seen[near]),
+            others=b"\n".join(names[others].tolist()), dishes=narrow(np.diff(dishes, prepend=0)), hosts=narrow(rank[context[hosted] - common]), hosted=narrow(seen[hosted]),
         )
 
 
-def log_scores(chunk: Chunk, contexts: dict[bytes, int], parts: int, answers: dict[int, dict], train_tokens: int, vocabulary: int):
-    """Per text: tokens, known tokens, base score and the model's score."""
-    keys, place = chunk.pairs(contexts)
-    n = len(chunk.words)
-    part = chunk.parts(parts)
-    word = keys // (len(contexts) + 1)
-    (by_word, word_cuts), (by_pair, pair_cuts) = by_part(part, parts), by_part(part[word], parts)
-    count, words, pairs = np.zeros(n), np.zeros(n), np.zeros(len(keys))
+def log_scores(
+    chunk: Chunk, contexts: dict[bytes, int], parts: int, answers: dict[int, dict], train_tokens: int, vocabulary: int,
+    totals: Totals, seen: np.ndarray, plan: Plan, discounts: tuple[float, float],
+):
+    """Per text: tokens, known tokens, base score and the model's score, by the samples' averaged predictive probabilities.
+
+    `seen` are the common contexts' customers; those of another word's context are its own count. A context without any leaves
+    the word to the root. The samples' own totals make the probabilities add up to 1.
+    """
+    low, high = discounts
+    dealt, n, samples = Dealt(chunk, contexts, parts), len(chunk.words), len(totals.customers)
+    count, root, held = np.zeros(n), np.zeros((samples, n)), np.zeros((samples, n))
+    customers, tables = np.zeros(len(dealt.keys)), np.zeros(len(dealt.keys))
     for p, x in answers.items():
-        own = by_word[word_cuts[p] : word_cuts[p + 1]]
-        count[own], words[own] = x["count"], x["words"]
-        pairs[by_pair[pair_cuts[p] : pair_cuts[p + 1]]] = x["pairs"]
-    own = np.where(place >= 0, pairs[place] if len(pairs) else 0.0, words[chunk.stream])
+        own, pairs = dealt.words_of(p), np.concatenate(dealt.pairs_of(p))
+        count[own], held[:, own] = x["count"], x["held"]
+        for s in range(samples):
+            root[s, own] = root_chance(x["diners"][s].astype(float), x["standing"][s], totals.customers[s], totals.tables[s], vocabulary, plan.strength, high)
+        customers[pairs], tables[pairs] = x["pairs"], x["tables"]
+    chance = samples * customers - low * tables
+    for s in range(samples):
+        chance += (plan.strength + low * np.concatenate((totals.contexts[s], held[s])))[dealt.context] * root[s][dealt.word]
+    own = np.log10(chance / (samples * (plan.strength + np.concatenate((seen, count))[dealt.context])))[dealt.place]
     base = np.log10((count + 1) / (train_tokens + vocabulary + 1))[chunk.stream]
     known = (count > 0)[chunk.stream]
     begins = np.concatenate(([0], np.cumsum(chunk.lengths)[:-1])).astype(np.int64)
@@ -477,9 +662,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def chunked(rows: DataFrame, contexts: dict[bytes, int], parts: int) -> DataFrame:
-    """chunk, part, keys, held, packed: each chunk's texts (part -1) and its requests to the parts."""
+    """slot, chunk, keys, packed: each chunk's texts (slot -1 - chunk) and its requests to the parts (slot: the part)."""
     schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)),
+        T.StructField("slot", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)),
         T.StructField("packed", T.BinaryType()),
     ])
     kind = pa.list_(to_arrow_type(rows.schema["key"].dataType))
@@ -496,10 +681,10 @@ def chunked(rows: DataFrame, contexts: dict[bytes, int], parts: int) -> DataFram
             chunk = Chunk(names, stream, np.array([len(t) for t in texts]), np.array(held))
             rest = [*requests(chunk, contexts, parts)]
             own = pack(words=b"\n".join(names), stream=narrow(chunk.stream), lengths=narrow(chunk.lengths), held=chunk.held)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([keys], kind), pa.array([own], pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int64()), pa.array([number], pa.int64()), pa.array([keys], kind), pa.array([own], pa.binary())], schema.names)
             for at in range(0, len(rest), 32):
                 some = rest[at : at + 32]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()), pa.array([None] * len(some), kind), pa.array([x for _, x in some], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([None] * len(some), kind), pa.array([x for _, x in some], pa.binary())], schema.names)
 
         for batch in batches:
             for key, text, out_of_training in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -523,8 +708,8 @@ def score(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str =
 
     Rows whose crc32 of the key as text leaves `plan.residue` are held out; the others train. Texts are turned into chunks of
     word numbers; a chunk sends its counts and questions to parts of the vocabulary, the parts sample the seating and send back
-    the averaged predictive probabilities. Only the vocabulary's contexts (at most 1 / share) and totals per context pass
-    through the driver. base_score is the add-one unigram score of the same tokens.
+    the seatings of what was asked. Only the common words (at most 1 / share) and totals per common word pass through the
+    driver; rare words that are served in other rare words' contexts meet these by a shuffle between rounds. base_score is the add-one unigram score of the same tokens.
 
     Null texts count as empty: one token, the end. A null key counts as the text "" and trains. Repeated rows count each time.
     Without training rows all words are unknown and the model is uniform; an empty table gives an empty result.
@@ -540,24 +725,27 @@ def score(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str =
     starts = counts.where(F.octet_length("word") == 0).first()
     seen = np.array([starts["n"] if starts else 0, *(c for _, c in common)], float)
     parts = max(1, -(-n // PART_TOKENS))
-    stored = cut_lineage(chunked(rows, contexts, parts))
-    # Dealt to the parts once and stored: the rounds then need no shuffle.
-    asked = cut_lineage(stored.where("part >= 0").select("part", "chunk", "packed").repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part", "chunk"))
-
-    first = np.array([float(min(x, max(1.0, x**0.8))) for x in seen])
-    shared = Totals(first[None, :], np.array([first.sum() + n / 2]), np.array([float(v)]), np.zeros(4))
+    # Dealt to the parts once and stored: the rounds then shuffle what the parts tell each other only.
+    stored = _stored(chunked(rows, contexts, parts).repartition(min(parts, MOST_TASKS), "slot").sortWithinPartitions("slot", "chunk"))
+    asked, texts = stored.where("slot >= 0").select("slot", "chunk", "packed"), stored.where("slot < 0")
+
+    first = np.ceil(np.minimum(seen, np.maximum(1.0, seen**0.8)))
+    rare = max(0.0, n - seen.sum())
+    guess = np.array([first, np.minimum(first, 1), np.zeros(len(seen))])[:, None]
+    shared = Totals(first[None, :], np.array([first.sum() + n / 2]), np.array([float(v)]), np.zeros(4), guess, max(1.0, rare) / max(1, n) / max(1, v - len(seen)))
+    made = None
     for turn in range(plan.rounds + 1):
-        shared, before = _totals(asked, shared, len(seen), v, plan, turn), shared
-    last = plan.rounds
+        told = None if made is None else _told(made)
+        made = cut_lineage(_round(asked, told, shared, contexts, parts, v, plan, turn))
+        shared, before = _totals(made, len(seen), plan), shared
+    discounts = before.discounts() if before.ones.any() else (plan.discount,) * 2
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        discounts = before.discounts() if before.ones.any() else (plan.discount,) * 2
-        for number, part in _parts(batches, len(seen)):
-            states = part.sample(before, v, plan, [plan.seed, last, number])
-            chunk, packed = zip(*part.answers(states, shared, seen, v, plan, discounts), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([number] * len(chunk), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "part", "packed"])
+    def gather(requests: pa.Table, seated: pa.Table) -> pa.Table:
+        number, part = _part(requests, contexts, parts)
+        chunk, packed = zip(*part.answers(unpack(seated.column("packed")[0].as_py())), strict=True)
+        return pa.table([pa.array([-1 - c for c in chunk], pa.int64()), pa.array([number] * len(chunk), pa.int32()), pa.array(packed, pa.binary())], ["slot", "part", "packed"])
 
-    answered = asked.mapInArrow(predict, "chunk long, part int, packed binary")
+    answered = asked.groupBy("slot").cogroup(made.where(F.col("kind") == SEATED).groupBy("slot")).applyInArrow(gather, "slot long, part int, packed binary")
     schema = T.StructType([
         rows.schema["key"], T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -567,40 +755,80 @@ def score(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str =
         x = unpack(own.column("packed")[0].as_py())
         chunk = Chunk(x["words"].split(b"\n"), x["stream"].astype(np.int32), x["lengths"].astype(np.int64), x["held"])
         got = {p: unpack(a) for p, a in zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist(), strict=True)}
-        lengths, known, base, found = log_scores(chunk, contexts, parts, got, n, v)
+        lengths, known, base, found = log_scores(chunk, contexts, parts, got, n, v, shared, seen, plan, discounts)
         keys = own.column("keys").combine_chunks().flatten()
         return pa.table([keys, pa.array(chunk.held), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n)), pa.array(base), pa.array(found)], names=schema.names)
 
-    texts = stored.where("part < 0").select("chunk", "keys", "packed")
-    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("key", key)
+    return texts.select("slot", "keys", "packed").groupBy("slot").cogroup(answered.groupBy("slot")).applyInArrow(finish, schema).withColumnRenamed("key", key)
+
+
+def _stored(dealt: DataFrame) -> DataFrame:
+    """`cut_lineage` of dealt rows that is known to be dealt: a checkpoint of an adaptive plan forgets it."""
+    conf, name = dealt.sparkSession.conf, "spark.sql.adaptive.enabled"
+    adaptive = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_lineage(dealt.select("*"))
+    finally:
+        conf.set(name, adaptive)
+
+
+def _part(requests: pa.Table, contexts: dict[bytes, int], parts: int) -> tuple[int, Part]:
+    """The part of a slot's rows, which may come in any order."""
+    rows = sorted(zip(requests.column("chunk").to_pylist(), requests.column("packed").to_pylist(), strict=True))
+    return requests.column("slot")[0].as_py(), Part([(chunk, unpack(packed)) for chunk, packed in rows], len(contexts) + 1, contexts, parts)
+
+
+def _made(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["slot", "source", "kind", "packed"])
+
+
+def _round(asked: DataFrame, told: DataFrame | None, shared: Totals, contexts: dict[bytes, int], parts: int, vocabulary: int, plan: Plan, turn: int) -> DataFrame:
+    """Every part sweeps with the totals it is given: their own totals, and messages or, after the last round, the seatings."""
+
+    def sweep(requests: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        number, part = _part(requests, contexts, parts)
+        met = None
+        if answers is not None:
+            got = zip(answers.column("source").to_pylist(), answers.column("packed").to_pylist(), strict=True)
+            met = part.met([(source, unpack(x)) for source, x in got], number, len(shared.customers))
+        states = [*part.sample(shared, vocabulary, plan, [plan.seed, turn, number], met)]
+        out = [(number % TOTALS_ROWS, number, TOTALS, pack(totals=narrow(part.totals(states).flat())))]
+        if turn < plan.rounds:
+            out += part.messages(states, number)
+        else:
+            out.append((number, number, SEATED, part.seated(states)))
+        return _made(out)
+
+    if told is None:
+        return asked.groupBy("slot").applyInArrow(lambda requests: sweep(requests), ROWS)
+    return asked.groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(lambda requests, answers: sweep(requests, answers), ROWS)
+
 
+def _told(made: DataFrame) -> DataFrame:
+    """What the parts are told of the round before, see `meet`."""
 
-def _parts(batches: Iterator[pa.RecordBatch], contexts: int) -> Iterator[tuple[int, Part]]:
-    """The parts of a partition that is sorted by part and chunk."""
-    rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-    for number, own in groupby(rows, key=lambda row: row[0]):
-        yield number, Part([(chunk, unpack(packed)) for _, chunk, packed in own], contexts)
+    def run(rows: pa.Table) -> pa.Table:
+        got = [*zip(*(rows.column(name).to_pylist() for name in ("slot", "source", "kind", "packed")), strict=True)]
+        number, asks = got[0][0], [(p, unpack(x)) for _, p, kind, x in got if kind == ASK]
+        return _made([(number if p < 0 else p, p if p < 0 else number, KNOWN, pack(**x)) for *_, kind, own in got if kind == KNOWN for p, x in meet(asks, unpack(own))])
 
+    return made.where(F.col("kind").isin(ASK, KNOWN)).groupBy("slot").applyInArrow(run, ROWS)
 
-def _totals(asked: DataFrame, shared: Totals, contexts: int, vocabulary: int, plan: Plan, turn: int) -> Totals:
-    """A round: every part sweeps with the totals it is given; their own totals are added up in tasks, then by the driver."""
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(plan.samples * (contexts + 2) + 4)
-        for number, part in _parts(batches, contexts):
-            flat = flat + part.totals(part.sample(shared, vocabulary, plan, [plan.seed, turn, number])).flat()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TOTALS_ROWS], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["slot", "totals"])
+def _totals(made: DataFrame, contexts: int, plan: Plan) -> Totals:
+    """The parts' totals, added up in tasks, then by the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(data.as_py())
+                own = unpack(data.as_py())["totals"].astype(np.int64)
                 sums[slot] = sums[slot] + own if slot in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slot", "totals"])
+        yield pa.RecordBatch.from_arrays([pa.array([pack(totals=x) for x in sums.values()], pa.binary())], ["totals"])
 
-    kind = "slot int, totals binary"
-    found = asked.mapInArrow(sweep, kind).repartition(TOTALS_ROWS, "slot").mapInArrow(add, kind).collect()
+    found = made.where(F.col("kind") == TOTALS).select("slot", "packed").repartition(TOTALS_ROWS, "slot").mapInArrow(add, "totals binary").collect()
     # All are whole numbers, so that sums, and with them reruns, agree whatever their order.
-    flat = sum((np.frombuffer(bytes(r["totals"])) for r in found), np.zeros(plan.samples * (contexts + 2) + 4))
+    flat = sum((unpack(bytes(r["totals"]))["totals"] for r in found), np.zeros(plan.samples * (4 * contexts + 2) + 4, np.int64))
     return Totals.of(flat, contexts)
