@@ -1,6 +1,7 @@
 """Chunks found range by range equal those of whole files."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,3 +92,14 @@ def test_tables_of_files_and_values(spark, tmp_path, monkeypatch, span, fan):
 def test_no_files(spark):
     files = spark.createDataFrame([], "name string, size bigint, location string")
     assert cr.chunk_table_by_ranges(files, ["name"]).collect() == []
+
+
+def test_hashes_take_little_memory_beside_the_content(spark):
+    data = np.random.default_rng(7).bytes(8 << 20)
+    tracemalloc.start()
+    delta.candidates(data, 16, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    files = spark.createDataFrame([("a", bytearray(b"x" * 100)), ("b", None)], "name string, content binary")
+    assert [(r.name, r.len) for r in delta.chunk_table(files, ["name"], "content").collect()] == [("a", 100)]

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +15,28 @@ from ..cluster import cut_lineage, running_total
 MINIMUM, AVERAGE, MAXIMUM = 16 * 1024, 64 * 1024, 256 * 1024
 _WINDOW = 32
 # Bytes whose hashes are worked out at once.
-_PIECE = 4 * 1024 * 1024
+_PIECE = 256 * 1024
+# Chunks that a task passes on together.
+_ROWS = 4096
 _GEAR = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.uint64)
 
 
-def candidates(data: bytes, minimum: int, average: int, lead: int = 0) -> np.ndarray:
+def candidates(data: bytes | memoryview, minimum: int, average: int, lead: int = 0) -> np.ndarray:
     """Offsets, after the first `lead` bytes, at which a hash of the last 32 bytes has its low bits clear; in pieces of bounded size."""
     mask = np.uint64((1 << max(1, int(average - minimum).bit_length() - 1)) - 1)
     out = []
     for begin in range(lead, len(data), _PIECE):
         back = min(_WINDOW - 1, begin)
-        values = _GEAR[np.frombuffer(data, np.uint8, min(_PIECE, len(data) - begin) + back, begin - back)]
-        rolling = values.copy()
-        for shift in range(1, min(_WINDOW, len(values))):
-            rolling[shift:] += values[:-shift] << np.uint64(shift)
+        rolling = _GEAR[np.frombuffer(data, np.uint8, min(_PIECE, len(data) - begin) + back, begin - back)]
+        width = 1  # bytes that a hash covers so far
+        while width < min(_WINDOW, len(rolling)):
+            rolling[width:] += rolling[:-width] << np.uint64(width)
+            width *= 2
         out.append(np.flatnonzero((rolling[back:] >> np.uint64(16)) & mask == 0) + (begin - lead + 1))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def boundaries(data: bytes, minimum: int, average: int, maximum: int) -> list[int]:
+def boundaries(data: bytes | memoryview, minimum: int, average: int, maximum: int) -> list[int]:
     """End offsets of content-defined chunks.
 
     A position ends a chunk when a hash of the last 32 bytes has its low bits clear, so an edit moves only
@@ -58,24 +61,37 @@ def boundaries(data: bytes, minimum: int, average: int, maximum: int) -> list[in
 def chunk_table(
     files: DataFrame, keys: list[str], content: str, minimum: int = MINIMUM, average: int = AVERAGE, maximum: int = MAXIMUM
 ) -> DataFrame:
-    """(keys, position, off, len, hash) of every chunk of every file, one file's content at a time."""
-    types = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
+    """(keys, position, off, len, hash) of every chunk of every file, one file's content at a time.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A task holds a batch of contents once, as it came, and some rows of the result. A null content has no chunk.
+    """
+    types = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "position", "off", "len", "hash"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                data, start = bytes(row[-1]), 0
+            rows: list[tuple[int, int, int, int, str]] = []
+
+            def out() -> pa.RecordBatch:
+                at, *columns = zip(*rows, strict=True)
+                own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+                return pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in columns)], names)
+
+            for i, value in enumerate(batch.column(len(keys))):
+                if not value.is_valid:
+                    continue
+                data, start = memoryview(value.as_buffer()), 0
                 for position, end in enumerate(boundaries(data, minimum, average, maximum)):
-                    part = data[start:end]
-                    out.append((*row[:-1], position, start, end - start, hashlib.sha256(part).hexdigest()))
+                    rows.append((i, position, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
                     start = end
-            yield pd.DataFrame(out, columns=[*keys, "position", "off", "len", "hash"])
+                    if len(rows) == _ROWS:
+                        yield out()
+                        rows.clear()
+            if rows:
+                yield out()
 
     body = F.col(content).cast("binary")
-    return files.select(*keys, body.alias("_content")).mapInPandas(
-        cut, f"{types}, position bigint, off bigint, len bigint, hash string"
-    )
+    return files.select(*keys, body.alias("_content")).mapInArrow(cut, f"{types}, position bigint, off bigint, len bigint, hash string")
 
 
 def delta_recipe(new: DataFrame, base: DataFrame, keys: list[str], minimum_size: int = 0) -> DataFrame:
