@@ -94,6 +94,16 @@ def test_no_files(spark):
     assert cr.chunk_table_by_ranges(files, ["name"]).collect() == []
 
 
+def test_contents_meet_their_starts_before_they_are_cut_into_ranges(spark, monkeypatch):
+    """Joined afterwards, each range would take its whole content through the shuffle."""
+    plans, cut = [], cr.cut_lineage
+    monkeypatch.setattr(cr, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    files = spark.createDataFrame([(name, bytearray(data)) for name, data in contents().items()], "name string, content binary")
+    cr.chunk_table_by_ranges(files, ["name"], location=None, content="content", minimum=64, average=256, maximum=1024, span=1500).count()
+    joined = [p for p in plans if "Join" in p and "Generate" in p]
+    assert joined and all(p.index("Generate") < p.index("Join") for p in joined)
+
+
 def test_hashes_take_little_memory_beside_the_content(spark):
     data = np.random.default_rng(7).bytes(8 << 20)
     tracemalloc.start()

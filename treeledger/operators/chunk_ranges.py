@@ -9,7 +9,9 @@ neighbours compose into one of the same kind, and a tree of compositions gives e
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import numpy as np
@@ -26,6 +28,8 @@ from .delta import AVERAGE, MAXIMUM, MINIMUM, candidates
 SPAN = 64 * 1024 * 1024
 FAN = 64
 LEAD = 31
+#: Rows that a task passes on together, and rows with maps that it unfolds together.
+AT_ONCE = 1024
 
 # One stretch of a map: starts lo..hi go to `to` if that is set, else move by `shift`.
 PIECES = "array<struct<lo:bigint,hi:bigint,to:bigint,shift:bigint>>"
@@ -86,7 +90,7 @@ def joined(pieces: list[Piece]) -> list[Piece]:
 
 
 def apply(pieces: list[Piece], start: int) -> int:
-    at = int(np.searchsorted([p[0] for p in pieces], start, side="right")) - 1
+    at = bisect_right(pieces, start, key=lambda p: p[0]) - 1
     lo, hi, to, shift = pieces[at]
     if not lo <= start <= hi:
         raise ValueError(f"no chunk can start at {start} here")
@@ -126,7 +130,7 @@ def ranges_of(files: DataFrame, keys: list[str], size: str = "size", span: int =
     return spread.withColumn("begin", F.col("number") * span).withColumn("end", F.least(F.col("begin") + span, F.col(size)))
 
 
-def _bytes(row: dict, begin: int, end: int) -> bytes:
+def _bytes(row: dict, begin: int, end: int) -> bytes | memoryview:
     """From the row's own `body`, which begins at `body_at`, or from the file at its `location`."""
     if row.get("location") is None:
         body = row["body"]
@@ -137,18 +141,51 @@ def _bytes(row: dict, begin: int, end: int) -> bytes:
 
 
 def _arrow(rows: DataFrame, run, schema: str) -> DataFrame:
-    """`run` makes rows (dicts) of each row; rows with large values are passed on one by one."""
+    """`run` makes rows (dicts) of each row; large values are looked at one by one, where they lie."""
     kind = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                yield pa.RecordBatch.from_pylist([*run(row)], kind)
+            names = [n for n in batch.schema.names if n != "body"]
+            body = batch.column("body") if "body" in batch.schema.names else None
+            for i, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                row = dict(zip(names, values, strict=True))
+                if body is not None:
+                    row["body"] = memoryview(body[i].as_buffer())
+                for made in run(row):
+                    out.append(made)
+                    if len(out) == AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(out, kind)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
 
     return rows.mapInArrow(each, schema)
 
 
+def _grouped(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """`run` makes rows (dicts) of each group's rows, which are those of FAN neighbours of a file in the order of their numbers.
+
+    Groups are small and very many: a task goes through its own in one stream.
+    """
+    kind = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    group = [*keys, "_group"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for at in range(0, b.num_rows, AT_ONCE) for r in b.slice(at, AT_ONCE).to_pylist())
+        out = []
+        for _, own in groupby(stream, key=lambda r: [r[k] for k in group]):
+            out += run(own)
+            if len(out) >= AT_ONCE:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "number").mapInArrow(each, schema)
+
+
 def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -175,37 +212,32 @@ def entries(maps: DataFrame, keys: list[str]) -> DataFrame:
     levels = [cut_lineage(maps.select(*keys, "number", "pieces"))]
     types = _types(maps, keys)
     top = levels[0].agg(F.max("number")).first()[0]
-    while top:
+    group = F.floor(F.col("number") / FAN).cast("bigint")
+
+    def together(rows: Iterator[dict]) -> list[dict]:
+        first = next(rows)
+        whole = [_piece(p) for p in first["pieces"]]
+        for r in rows:
+            whole = compose(whole, [_piece(p) for p in r["pieces"]])
+        own = [dict(zip(("lo", "hi", "to", "shift"), p, strict=True)) for p in whole]
+        return [{**{k: first[k] for k in keys}, "number": first["_group"], "pieces": own}]
+
+    def down(rows: Iterator[dict]) -> list[dict]:
+        start, out = next(rows)["start"], []
+        for r in rows:
+            out.append({**{k: r[k] for k in keys}, "number": r["number"], "start": start})
+            start = apply([_piece(p) for p in r["pieces"]], start)
+        return out
 
-        def together(batch):
-            rows = sorted(batch.to_pylist(), key=lambda r: r["number"])
-            whole = [_piece(p) for p in rows[0]["pieces"]]
-            for r in rows[1:]:
-                whole = compose(whole, [_piece(p) for p in r["pieces"]])
-            own = [dict(zip(("lo", "hi", "to", "shift"), p, strict=True)) for p in whole]
-            return pa.Table.from_pylist([{**{k: rows[0][k] for k in keys}, "number": rows[0]["number"] // FAN, "pieces": own}], kind)
-
-        schema = f"{types}, number bigint, pieces {PIECES}"
-        kind = to_arrow_schema(maps.sparkSession.createDataFrame([], schema).schema)
-        group = F.floor(F.col("number") / FAN).cast("bigint").alias("_group")
-        levels.append(cut_lineage(levels[-1].groupBy(*keys, group).applyInArrow(together, schema)))
+    while top:
+        levels.append(cut_lineage(_grouped(levels[-1].withColumn("_group", group), keys, together, f"{types}, number bigint, pieces {PIECES}")))
         top //= FAN
     starts = levels[-1].select(*keys, "number", F.lit(0).cast("bigint").alias("start"))
     for below in reversed(levels[:-1]):
-        given = starts.withColumnRenamed("number", "_group")
-        members = below.withColumn("_group", F.floor(F.col("number") / FAN).cast("bigint")).join(given, [*keys, "_group"])
-
-        def down(batch):
-            rows = sorted(batch.to_pylist(), key=lambda r: r["number"])
-            start, out = rows[0]["start"], []
-            for r in rows:
-                out.append({**{k: r[k] for k in keys}, "number": r["number"], "start": start})
-                start = apply([_piece(p) for p in r["pieces"]], start)
-            return pa.Table.from_pylist(out, kind)
-
-        schema = f"{types}, number bigint, start bigint"
-        kind = to_arrow_schema(maps.sparkSession.createDataFrame([], schema).schema)
-        starts = members.groupBy(*keys, "_group").applyInArrow(down, schema)
+        # The start that a group is given comes first among its members.
+        given = starts.select(*keys, F.col("number").alias("_group"), F.lit(-1).cast("bigint").alias("number"), "start")
+        members = below.withColumn("_group", group).unionByName(given, allowMissingColumns=True)
+        starts = _grouped(members, keys, down, f"{types}, number bigint, start bigint")
     return starts
 
 
@@ -240,7 +272,13 @@ def chunk_table_by_ranges(
     source = ["location"] if content is None else ["body", "body_at"]
     maps = range_maps(with_bytes(ranges, F.greatest(F.col("begin") - LEAD, F.lit(0).cast("bigint"))).select(*own, *source), keys, minimum, average, maximum)
     known = entries(cut_lineage(maps), keys)
-    placed = with_bytes(ranges.join(known, [*keys, "number"]), F.least("start", F.greatest(F.col("begin") - LEAD, F.lit(0).cast("bigint"))))
+    if content is None:
+        placed = ranges.join(known, [*keys, "number"])
+    else:
+        # A content meets its ranges' starts once, and not each of its ranges with the whole content.
+        starts = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("number", "start"))).alias("_starts"))
+        placed = ranges_of(files.join(starts, keys), keys, size, span).withColumn("start", F.get("_starts", F.col("number").cast("int"))["start"])
+    placed = with_bytes(placed, F.least("start", F.greatest(F.col("begin") - LEAD, F.lit(0).cast("bigint"))))
     placed = placed.withColumn("_last", F.col("end") == F.col(size)).select(*own, "start", "_last", *source)
 
     def run(row: dict) -> Iterator[dict]:
