@@ -37,6 +37,10 @@ def test_stirling_numbers_count_seatings():
     assert [stirling[t - 1] * rising[t - 1] / total for t in range(1, c + 1)] == pytest.approx([chance[t] for t in range(1, c + 1)])
 
 
+def test_parts_of_a_round_share_the_stirling_numbers():
+    assert lm.log_stirling(0.35) is lm.log_stirling(0.35)
+
+
 def test_seating_follows_its_conditional():
     n, c, prior, others = 40_000, 5, 0.3, 7.0
     rng = np.random.default_rng(1)
@@ -232,5 +236,13 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(mixed)
 
 
+def test_coders_remember_a_bounded_part_of_many_words():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        own = coder(f.read(), public_tokenizers.PATTERN)
+    texts = [" ".join(f"w{i:x}" for i in range(at, at + 4000)) for at in range(0, 400_000, 4000)]
+    assert [x[2] for x in own.digests(texts)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert len(own.lines) + len(own.old[0]) < 300_000
+
+
 def test_every_operator_has_one_query():
     assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14)] == [1] * 13

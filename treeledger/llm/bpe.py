@@ -24,8 +24,8 @@ from .common import pick
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
 BUCKETS = 1 << 14
 #: Words of a generation. A Python worker remembers two: when the young one is full, the old one's words that were not met
-#: again are forgotten, and folded anew if they come back.
-REMEMBERED = 1 << 18
+#: again are forgotten, and folded anew if they come back. A word takes about 0.4 KB; workers keep theirs for later tasks.
+REMEMBERED = 1 << 16
 #: Characters of texts whose words are learnt together, and new words from which on they are folded together.
 GROUP_CHARS, MANY = 1 << 20, 64
 #: Longer words are folded with a heap. Words, or characters of a text, worked off at once.
