@@ -18,6 +18,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from itertools import chain, repeat
 from typing import ClassVar
 
@@ -100,6 +101,7 @@ def unpack(data: bytes) -> dict:
 # --- seating -----------------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4)  # a worker's parts of a round have the same two
 def log_stirling(discount: float, most: int = NEAR) -> np.ndarray:
     """log S[c, t]: the ways, weighed by the discount, in which c customers share t tables; c up to `most`, t up to WIDE."""
     out = np.full((most + 1, WIDE + 1), -np.inf)
@@ -108,6 +110,7 @@ def log_stirling(discount: float, most: int = NEAR) -> np.ndarray:
     with np.errstate(divide="ignore"):
         for c in range(most):
             out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.log(np.maximum(c - discount * t, 0)) + out[c, 1:])
+    out.flags.writeable = False
     return out
 
 
@@ -377,14 +380,21 @@ class Part:
         self.number = number[self.common]
         self.rare = np.flatnonzero((number < 0) & (self.count > 0))  # no training, no customers
         self.rare_names = [names[i] for i in self.rare.tolist()]
-        # Rare dishes with customers, by the part that owns them; the chance of those with several in a context is wanted.
-        most = np.zeros(len(self.others), np.int64)
-        on = self.dish >= contexts
-        np.maximum.at(most, self.dish[on] - contexts, self.hosted[on])
-        asks = np.flatnonzero(most > 0)
-        order, cuts = by_part(part_of([self.others[i] for i in asks.tolist()], parts), parts)
-        self.asks = [(p, asks[order[cuts[p] : cuts[p + 1]]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
-        self.wanted = most > 1
+        self.parts = parts
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        """The most customers that each rare dish has in one context here; the chance of those with several is wanted."""
+        on = self.dish >= self.contexts
+        dish, hosted = self.dish[on] - self.contexts, self.hosted[on]
+        return np.where(np.bincount(dish, hosted > 1, len(self.others)) > 0, 2, np.bincount(dish, hosted > 0, len(self.others)) > 0)
+
+    @cached_property
+    def asks(self) -> list[tuple[int, np.ndarray]]:
+        """Rare dishes with customers, by the part that owns them."""
+        asks = np.flatnonzero(self.most > 0)
+        order, cuts = by_part(part_of([self.others[i] for i in asks.tolist()], self.parts), self.parts)
+        return [(p, asks[order[cuts[p] : cuts[p + 1]]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
 
     def _diners(self, tables: np.ndarray, shared: Totals, met: Met | None, s: int) -> np.ndarray:
         """Each word's customers in the root: its tables in common contexts, and those in the contexts of rare words."""
@@ -449,7 +459,7 @@ class Part:
         rare = self.dish >= self.contexts
         served = np.array([np.bincount(self.dish[rare] - self.contexts, x.hosted[rare], len(self.others)) for x in states]).astype(np.int64)
         for p, own in self.asks:
-            yield p, number, ASK, pack(words=b"\n".join([self.others[i] for i in own.tolist()]), wanted=self.wanted[own], served=narrow(served[:, own]))
+            yield p, number, ASK, pack(words=b"\n".join([self.others[i] for i in own.tolist()]), wanted=self.most[own] > 1, served=narrow(served[:, own]))
         if self.rare_names:
             diners, standing = (narrow(np.array([y[self.rare] for y in z])) for z in ([x.diners for x in states], [x.standing for x in states]))
             yield number, number, KNOWN, pack(words=b"\n".join(self.rare_names), diners=diners, standing=standing)
@@ -461,7 +471,7 @@ class Part:
         diners, standing = (np.zeros((samples, len(self.others))) for _ in range(2))
         for p, own in self.asks:
             if p in got:
-                own = own[self.wanted[own]]
+                own = own[self.most[own] > 1]
                 diners[:, own], standing[:, own] = got[p]["diners"], got[p]["standing"]
         return Met(guests, diners, standing)
 
