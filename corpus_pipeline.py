@@ -15,12 +15,22 @@ from treeledger.llm.mixing import allocate, mix, shuffled
 from treeledger.llm.quality import good_only
 from treeledger.llm.simhash import one_of_each
 
+#: Bytes of an Arrow batch. An executor and its Python worker each hold a batch of whole texts and keep that memory for later
+#: tasks; by rows alone (10,000) a batch has 35 MB, or twice that while it grows.
+BATCH_BYTES = 4 << 20
+
 #: The classifier, the fingerprints and the mix have no SQL form.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps; it is fitted on a bounded sample of `docs` and the labels."""
+    small_batches(spark)
     return good_only(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,6 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that reach each other over SimHash links, the one with the smallest id."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -41,6 +52,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix."""
+    small_batches(spark)
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

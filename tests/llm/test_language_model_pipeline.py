@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -244,5 +246,32 @@ def test_coders_remember_a_bounded_part_of_many_words():
     assert len(own.lines) + len(own.old[0]) < 300_000
 
 
+def test_a_coder_holds_the_words_of_few_texts_at_once():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        own = coder(f.read(), public_tokenizers.PATTERN)
+    texts = ["ab cd " * 8000 for _ in range(40)]
+    [*own.digests(texts[:1])]
+    tracemalloc.start()
+    found = {x[2] for x in own.digests(texts)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {hashlib.sha256(texts[0].encode()).hexdigest()} and peak < 10 << 20
+
+
+def test_python_stages_of_the_pipeline_get_batches_of_bounded_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 600) AS text", "'en' AS lang", "'a' AS source", "1 AS n_chars").coalesce(1)
+    sizes = lambda: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    try:
+        for at in (0, 2, 4):
+            spark.conf.unset(bound)
+            assert max(sizes()).n > 2 * corpus_pipeline.BATCH_BYTES
+            corpus_pipeline.STAGES[at][1](spark, docs.limit(2), SF)
+            got = [x.n for x in sizes()]
+            assert max(got) < 1.1 * corpus_pipeline.BATCH_BYTES and sum(got) > 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.unset(bound)
+
+
 def test_every_operator_has_one_query():
     assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14)] == [1] * 13

@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pick
+from .common import pick, sliced
 
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
 BUCKETS = 1 << 14
 #: Words of a generation. A Python worker remembers two: when the young one is full, the old one's words that were not met
 #: again are forgotten, and folded anew if they come back. A word takes about 0.4 KB; workers keep theirs for later tasks.
 REMEMBERED = 1 << 16
-#: Characters of texts whose words are learnt together, and new words from which on they are folded together.
-GROUP_CHARS, MANY = 1 << 20, 64
+#: Characters of texts whose words are learnt together, and new words from which on they are folded together. All words of a
+#: group are held as strings at once; those remembered lie between them, so that a worker keeps about what its largest group took.
+GROUP_CHARS, MANY = 1 << 18, 64
+#: Rows of an Arrow batch whose texts are Python strings at once.
+PART_ROWS = 128
 #: Longer words are folded with a heap. Words, or characters of a text, worked off at once.
 LONG_WORD = 48
 PART_WORDS = 1 << 18
@@ -320,7 +323,7 @@ def _mapped(docs: DataFrame, vocabulary: str, pattern: str, key: str, source: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(payload, pattern)
-        for batch in batches:
+        for batch in sliced(batches, PART_ROWS):
             out = [*zip(*rows_of(own, batch.column(1).to_pylist()), strict=True)] or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["key", *names])
 

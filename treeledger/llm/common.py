@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import cut_lineage
 from ..cluster import spread_lookup as even_lookup
 
-__all__ = ["WORD", "cut_lineage", "documents", "even_lookup", "first_of_repeated", "identified", "lower_ascii", "pick", "salted", "table"]
+__all__ = ["WORD", "cut_lineage", "documents", "even_lookup", "first_of_repeated", "identified", "lower_ascii", "pick", "salted", "sliced", "table"]
 
 #: A word of the contracts: a run of characters that are neither a space nor one of the five ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +36,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return placed.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows: what a part's Python objects take is all that a task holds beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, nothing else changed; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, pick
+from .common import cut_lineage, pick, sliced
 
 #: Dimensions of the hashed text view, and of the hashed names (language, source) of the metadata view.
 TEXT_DIMS, NAME_DIMS = 1 << 15, 1 << 8
 NUMBERS = 9
 #: Words whose weight a task remembers; past it they are forgotten and worked out anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 SIGNS = "!?.,:;*$%&#|<>()[]{}\"'~^_=+-/\\"
 CLEAR = 12.0  # logits are held within this
 
@@ -205,13 +205,6 @@ def train(rows: list[tuple[str, tuple, float]], plan: Plan, exchange: Exchange |
     return Model(*weights, mean, std, tuple(scales), combine, prior)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few rows: what a part's features take is all that a task holds."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def features(rows: DataFrame) -> DataFrame:
     """index, value (the text view), numbers and names (the metadata view) of each of the rows (text and names)."""
 
@@ -340,7 +333,7 @@ def scored(docs: DataFrame, model: Model, plan: Plan = Plan(), key: str = "doc_i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             named = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True) if names else iter(lambda: (), 1)
             found = np.array([scorer(t.as_py(), n) for t, n in zip(batch.column(1), named, strict=bool(names))]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i].copy()) for i in range(3)]], ["key", *columns])
@@ -359,7 +352,7 @@ def good_only(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), key: str
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             seen = zip(*(batch.column(i).to_pylist() for i in at), strict=True)
             on = [scorer(t or "", tuple(None if n is None else str(n) for n in own))[2] >= plan.threshold for t, *own in seen]
             yield batch.filter(pa.array(on, pa.bool_()))
