@@ -119,6 +119,25 @@ def test_scores_against_brute_force(spark, monkeypatch):
     assert all(x.score < 0 and math.isfinite(x.score) for x in got)
 
 
+def test_words_are_split_and_counted_a_batch_at_a_time(spark, monkeypatch):
+    """The tasks cut no text by itself, and find the same words in every odd case, however few are held at once."""
+    rows = [*odd_rows(), (200, "A\x0bb\x0c\x1cc\u0085d\u00a0e \u0130\u212a \x00 a", "en", "a", 1, "", "", "")]
+    trained = Counter(w for k, t, *_ in rows for w in lm.tokens(t))
+    texts = [t for _, t, *_ in rows]
+    words, sizes = lm.split(pa.array(["x", *texts, "y"]).slice(1, len(texts)))
+    assert words.to_pylist() == [w for t in texts for w in lm.tokens(t)[:-1]] and sizes.tolist() == [len(lm.tokens(t)) - 1 for t in texts]
+
+    def alone(text):
+        raise AssertionError("a text by itself")
+
+    monkeypatch.setattr(lm, "tokens", alone)
+    monkeypatch.setattr(lm, "COUNTED", 50)
+    monkeypatch.setattr(lm, "HELD", 20)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    assert {bytes(x.word): x.n for x in lm.word_counts(frame(spark, rows)).collect()} == trained
+    assert sum(x.n_tokens for x in lm.score(frame(spark, rows)).collect()) == sum(trained.values())
+
+
 def test_probabilities_add_up_to_one():
     """Over the vocabulary and the unknown word, in a context and in the root, with the samples' own totals."""
     r = random.Random(13)

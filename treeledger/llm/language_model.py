@@ -15,15 +15,15 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut_lineage, pick
+from .common import cut_lineage, pick, sliced
 
 END = b""  # no word is empty
 START = 0  # the context at the beginning of a text, and the number of the end as a dish
@@ -40,8 +40,8 @@ START = 0  # the context at the beginning of a text, and the number of the end a
 CHUNK_BYTES = 8 << 20
 #: Training tokens that a part of the vocabulary stands for, on average.
 PART_TOKENS = 2_000_000
-#: Words that a counting task holds before it passes them on.
-HELD = 1 << 19
+#: Words that a counting task holds before it passes them on, and tokens that it counts at once.
+HELD, COUNTED = 1 << 19, 1 << 20
 #: Stirling numbers are tabled for counts up to NEAR and tables up to WIDE; others are integrated.
 NEAR, WIDE = 4096, 96
 #: Counts up to this use as much of the table as they have customers; larger ones its whole width.
@@ -52,6 +52,7 @@ NODES, SCALE, GRID = 60, 1.0, 4096
 AT_ONCE = 1 << 16
 #: Points of a stretch at which a count's Stirling numbers are integrated; between them they are a polynomial.
 POINTS, STRETCH = 24, 32.0
+STRETCHES = 16  # 32 ** 16 is more than any count
 REMEMBERED = 1 << 15
 #: Log-weights this far below the mode's are left out, and the mass of a tail that may be.
 FAR_BELOW, TAIL = 40.0, 1e-12
@@ -85,6 +86,46 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of `tokens`, without the ends, of all texts one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().cast(pa.large_binary())
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    ends = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
+    return words.filter(filled), np.diff(ends)
+
+
+def binary(words: list[bytes] | pa.Array) -> pa.Array:
+    return words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+
+
+def joined(words: pa.Array, cuts: np.ndarray) -> list[bytes]:
+    """The words between the cuts, each time in lines."""
+    lists = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), words)
+    return pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary())).to_pylist()
+
+
+def lines(data: bytes) -> pa.Array:
+    return pc.split_pattern(binary([data]), "\n").flatten()
+
+
+def numbered(lists: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of all lists, ascending, and each list's places among them."""
+    if not lists:
+        return binary([]), []
+    found = pa.concat_arrays(lists).dictionary_encode()
+    order = pc.array_sort_indices(found.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return found.dictionary.take(order), np.split(place[found.indices.to_numpy()], np.cumsum([len(x) for x in lists])[:-1])
+
+
+def number_of(words: pa.Array, numbers: dict[bytes, int]) -> np.ndarray:
+    """The words' numbers, -1 for those that have none."""
+    at = pc.fill_null(pc.index_in(words, binary([*numbers])), -1).to_numpy()
+    return np.array([*numbers.values(), -1], np.int64)[at]
+
+
 def pack(**arrays) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
@@ -118,7 +159,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     """For x > 0, by Stirling's series from x + 8 on."""
     y = x + 8.0
     series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * ((x + 4) * (x + 5) * (x + 6) * (x + 7)))
 
 
 def log_stirling_at(count: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
@@ -130,9 +171,10 @@ def log_stirling_at(count: np.ndarray, tables: np.ndarray, discount: float) -> n
     """
     n, t = (np.asarray(x, float).ravel()[:, None] for x in np.broadcast_arrays(count, tables))
     low, high = np.full(n.shape, -700.0), np.full(n.shape, -1e-12)  # the saddle's logarithm is between them
-    for _ in range(60):
+    ratio = np.log(t * discount) - np.log(n + 1)
+    for _ in range(34):  # to 1e-7; the integral hardly depends on the place
         mid = (low + high) / 2
-        above = np.log(t * discount) + (discount - 1) * mid + np.log1p(-np.exp(mid)) > np.log(n + 1) + np.log(-np.expm1(discount * mid))
+        above = ratio + (discount - 1) * mid + np.log1p(-np.exp(mid)) > np.log(-np.expm1(discount * mid))
         low, high = np.where(above, mid, low), np.where(above, high, mid)
     mu = np.minimum(np.maximum(np.exp(low), SCALE / (n + 1)), 1 - 1e-9)
     u = np.linspace(0, 4.5, NODES)[None, :]
@@ -143,7 +185,10 @@ def log_stirling_at(count: np.ndarray, tables: np.ndarray, discount: float) -> n
     top = t * np.log1p(-(mu**discount)) - (n + 1) * np.log1p(-mu)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         # Where the contour isn't held by the saddle, the part that integrates to zero is taken out beforehand.
-        value = np.where(mu <= SCALE / (n + 1) * (1 + 1e-9), np.exp(b - top) * np.expm1(a), np.exp(a + b - top)) * 2 * mu * z * width * np.cosh(u)
+        free = (mu <= SCALE / (n + 1) * (1 + 1e-9))[:, 0]
+        value = np.exp(np.where(free[:, None], b, a + b) - top)
+        value[free] *= np.expm1(a[free])
+        value *= 2 * mu * z * width * np.cosh(u)
         value[:, 0] *= 0.5
         total = np.log(value.sum(axis=1).real * (u[0, 1] - u[0, 0]) / np.pi)
         n, t = n[:, 0], t[:, 0]
@@ -166,6 +211,9 @@ class Curves:
 
     def __init__(self, counts: np.ndarray, discount: float):
         self.counts, self.discount = counts.astype(float), discount
+        self.tops = log_gamma(self.counts)
+        #: Polynomials in columns, and the column of each dish's stretches; -1 where none was asked for.
+        self.weights, self.column = np.empty((POINTS, 0)), np.full((len(counts), STRETCHES), -1, np.int32)
         k = np.arange(POINTS)
         self.basis = np.cos(np.pi * np.outer(k, k + 0.5) / POINTS) * (2 / POINTS)
         self.basis[0] *= 0.5
@@ -188,16 +236,19 @@ class Curves:
         n, t = np.broadcast_arrays(self.counts[dish], np.asarray(t, float))
         part = np.floor(np.log(t) / math.log(STRETCH) + 1e-12).astype(np.int64)
         part = np.where((part > 0) & (STRETCH ** part.astype(float) >= n), part - 1, part)
-        codes, which = np.unique(np.broadcast_to(dish, t.shape) * 64 + part, return_inverse=True)
-        keys = [(self.discount, c, j) for c, j in zip(self.counts[codes // 64].tolist(), (codes % 64).tolist(), strict=True)]
-        self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
-        w = np.array([self.known[k] for k in keys]).T
+        if (missing := self.column[dish, part] < 0).any():
+            codes = np.unique((np.broadcast_to(dish, t.shape) * STRETCHES + part)[missing])
+            keys = [(self.discount, c, j) for c, j in zip(self.counts[codes // STRETCHES].tolist(), (codes % STRETCHES).tolist(), strict=True)]
+            self._learn([k for k in dict.fromkeys(keys) if k not in self.known])
+            self.column.ravel()[codes] = self.weights.shape[1] + np.arange(len(codes))
+            self.weights = np.concatenate((self.weights, np.array([self.known[k] for k in keys]).T), axis=1)
+        w, which = self.weights, self.column[dish, part]
         low = STRETCH ** part.astype(float)
         x = 2 * np.log(t / low) / np.log(np.minimum(STRETCH, n / low)) - 1
         after = last = np.zeros(len(t))
         for k in range(POINTS - 1, 0, -1):
             after, last = last, w[k][which] + 2 * x * last - after
-        return w[0][which] + x * last - after + self.runs(n, t)
+        return w[0][which] + x * last - after + self.tops[dish] - log_gamma(t) - log_gamma(np.maximum(n - t, 0) + 1)
 
 
 def seat(count: np.ndarray, prior: np.ndarray, others: np.ndarray, strength: float, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -208,6 +259,7 @@ def seat(count: np.ndarray, prior: np.ndarray, others: np.ndarray, strength: flo
     width the weights fall at least as fast as at its end, and a dish goes by the integral unless that tail is below TAIL.
     """
     tables = np.minimum(count, 1)
+    alike = len(others) > 0 and others.min() == others.max()
     rest = [np.flatnonzero(count > NEAR)]
     few = np.flatnonzero((count > 1) & (count <= EXACT))
     few = few[ordered(count[few])]
@@ -217,8 +269,8 @@ def seat(count: np.ndarray, prior: np.ndarray, others: np.ndarray, strength: flo
         t = np.arange(c)
         for at in range(0, len(own), 1 << 14):
             some = own[at : at + (1 << 14)]
-            grow = np.log(strength + discount * (others[some, None] + t)) + np.log(prior[some, None])
-            weight = np.cumsum(grow, axis=1) + stirling[count[some], 1 : c + 1]
+            grow = np.log(strength + discount * (others[some[:1] if alike else some, None] + t))
+            weight = np.cumsum(grow, axis=1) + np.log(prior[some, None]) * (t + 1) + stirling[count[some], 1 : c + 1]
             weight = np.exp(weight - weight.max(axis=1, keepdims=True))
             if c == WIDE:
                 ends = np.maximum(weight[:, -1], 1e-300) / np.maximum(weight[:, -2], 1e-300)
@@ -248,7 +300,8 @@ def _seat_far(count: np.ndarray, prior: np.ndarray, others: np.ndarray, curves:
     low, high = np.ones(len(count), np.int64), count.astype(np.int64)
     while (on := every[low < high]).size:
         mid = (low[on] + high[on]) // 2
-        up = weigh(on, mid + 1) > weigh(on, mid)
+        after, here = np.split(weigh(np.tile(on, 2), np.concatenate((mid + 1, mid))), 2)
+        up = after > here
         low[on], high[on] = np.where(up, mid + 1, low[on]), np.where(up, high[on], mid)
     mode, best = low, weigh(every, low)
     ends = []
@@ -340,15 +393,12 @@ class Part:
     """
 
     def __init__(self, asked: list[tuple[int, dict]], contexts: int, numbers: dict[bytes, int] | None = None, parts: int = 1):
-        lists = [x["words"].split(b"\n") for _, x in asked]
-        names = sorted(set().union(*lists)) if lists else []
-        index = dict(zip(names, range(len(names)), strict=True))
+        names, self.words = numbered([lines(x["words"]) for _, x in asked])
         self.chunks = [c for c, _ in asked]
-        self.words = [np.fromiter(map(index.__getitem__, own), np.int64, len(own)) for own in lists]
-        every = np.concatenate(self.words) if lists else np.zeros(0, np.int64)
+        every = np.concatenate(self.words) if asked else np.zeros(0, np.int64)
 
         def added(place: np.ndarray, name: str, size: int) -> np.ndarray:
-            return np.bincount(place, np.concatenate([x[name] for _, x in asked]) if lists else None, size).astype(np.int64)
+            return np.bincount(place, np.concatenate([x[name] for _, x in asked]) if asked else None, size).astype(np.int64)
 
         self.count, self.alone = added(every, "count", len(names)), added(every, "alone", len(names))
         keys = [w[np.cumsum(x["steps"], dtype=np.int64)] * contexts + x["context"] for w, (_, x) in zip(self.words, asked, strict=True)]
@@ -358,14 +408,12 @@ class Part:
         self.word, self.context = pairs // max(1, contexts), pairs % max(1, contexts)
         self.contexts = contexts
 
-        lists = [x["others"].split(b"\n") if x["others"] else [] for _, x in asked]
-        self.others = sorted(set().union(*lists))
-        index = dict(zip(self.others, range(len(self.others)), strict=True))
-        width, keys = contexts + len(self.others), []
-        for own, w, (_, x) in zip(lists, self.words, asked, strict=True):
+        self.other_names, places = numbered([lines(x["others"]) if x["others"] else binary([]) for _, x in asked])
+        width, keys = contexts + len(self.other_names), []
+        for own, w, (_, x) in zip(places, self.words, asked, strict=True):
             dish = np.cumsum(x["dishes"], dtype=np.int64)
             rare = dish >= contexts
-            dish[rare] = contexts + np.fromiter(map(index.__getitem__, own), np.int64, len(own))[dish[rare] - contexts]
+            dish[rare] = contexts + own[dish[rare] - contexts]
             keys.append(w[x["hosts"]] * width + dish)
         pairs, self.hosted_place = distinct(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         self.hosted_sizes = [len(k) for k in keys]
@@ -373,27 +421,36 @@ class Part:
         self.host, self.dish = pairs // max(1, width), pairs % max(1, width)
 
         numbers = numbers or {}
-        number = np.fromiter(map(numbers.get, names, repeat(-1)), np.int64, len(names))
-        if names and names[0] == END and numbers:
+        number = number_of(names, numbers)
+        if len(names) and names[0].as_py() == END and numbers:
             number[0] = START
         self.common = np.flatnonzero(number >= 0)
         self.number = number[self.common]
         self.rare = np.flatnonzero((number < 0) & (self.count > 0))  # no training, no customers
-        self.rare_names = [names[i] for i in self.rare.tolist()]
+        self.names = names
         self.parts = parts
 
+    @property
+    def others(self) -> list[bytes]:
+        return self.other_names.to_pylist()
+
+    @property
+    def rare_names(self) -> list[bytes]:
+        return self.names.take(pa.array(self.rare)).to_pylist()
+
     @cached_property
     def most(self) -> np.ndarray:
         """The most customers that each rare dish has in one context here; the chance of those with several is wanted."""
         on = self.dish >= self.contexts
         dish, hosted = self.dish[on] - self.contexts, self.hosted[on]
-        return np.where(np.bincount(dish, hosted > 1, len(self.others)) > 0, 2, np.bincount(dish, hosted > 0, len(self.others)) > 0)
+        size = len(self.other_names)
+        return np.where(np.bincount(dish, hosted > 1, size) > 0, 2, np.bincount(dish, hosted > 0, size) > 0)
 
     @cached_property
     def asks(self) -> list[tuple[int, np.ndarray]]:
         """Rare dishes with customers, by the part that owns them."""
         asks = np.flatnonzero(self.most > 0)
-        order, cuts = by_part(part_of([self.others[i] for i in asks.tolist()], self.parts), self.parts)
+        order, cuts = by_part(part_of(self.other_names.take(pa.array(asks)), self.parts), self.parts)
         return [(p, asks[order[cuts[p] : cuts[p + 1]]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
 
     def _diners(self, tables: np.ndarray, shared: Totals, met: Met | None, s: int) -> np.ndarray:
@@ -457,18 +514,20 @@ class Part:
     def messages(self, states: list[Seats], number: int) -> Iterator[tuple[int, int, int, bytes]]:
         """For other parts: the tables at which rare words of theirs are served here. For those who ask: the own rare words."""
         rare = self.dish >= self.contexts
-        served = np.array([np.bincount(self.dish[rare] - self.contexts, x.hosted[rare], len(self.others)) for x in states]).astype(np.int64)
-        for p, own in self.asks:
-            yield p, number, ASK, pack(words=b"\n".join([self.others[i] for i in own.tolist()]), wanted=self.most[own] > 1, served=narrow(served[:, own]))
-        if self.rare_names:
+        served = np.array([np.bincount(self.dish[rare] - self.contexts, x.hosted[rare], len(self.other_names)) for x in states]).astype(np.int64)
+        cuts = np.cumsum([0, *(len(own) for _, own in self.asks)])
+        names = joined(self.other_names.take(pa.array(np.concatenate([own for _, own in self.asks]))), cuts) if self.asks else []
+        for (p, own), words in zip(self.asks, names, strict=True):
+            yield p, number, ASK, pack(words=words, wanted=self.most[own] > 1, served=narrow(served[:, own]))
+        if len(self.rare):
             diners, standing = (narrow(np.array([y[self.rare] for y in z])) for z in ([x.diners for x in states], [x.standing for x in states]))
-            yield number, number, KNOWN, pack(words=b"\n".join(self.rare_names), diners=diners, standing=standing)
+            yield number, number, KNOWN, pack(words=joined(self.names.take(pa.array(self.rare)), np.array([0, len(self.rare)]))[0], diners=diners, standing=standing)
 
     def met(self, answers: list[tuple[int, dict]], number: int, samples: int) -> Met:
         """From the rows of `meet`."""
         got = dict(answers)
         guests = got[-1]["guests"].astype(np.int64) if -1 in got else np.zeros((samples, len(self.rare)), np.int64)
-        diners, standing = (np.zeros((samples, len(self.others))) for _ in range(2))
+        diners, standing = (np.zeros((samples, len(self.other_names))) for _ in range(2))
         for p, own in self.asks:
             if p in got:
                 own = own[self.most[own] > 1]
@@ -499,12 +558,10 @@ class Part:
 def meet(asks: list[tuple[int, dict]], known: dict) -> Iterator[tuple[int, dict]]:
     """A part's rare words meet those who ask after them: (-1, the customers that the words get from all who ask), and for each
     who asks the customers and tables of the words that it wants."""
-    names = known["words"].split(b"\n")
-    index = dict(zip(names, range(len(names)), strict=True))
+    names, lists = lines(known["words"]), [lines(x["words"]) for _, x in asks]
     guests = np.zeros((len(known["diners"]), len(names)), np.int64)
-    for source, x in asks:
-        own = x["words"].split(b"\n")
-        at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+    every = pc.index_in(pa.concat_arrays(lists), names).to_numpy() if lists else np.zeros(0, np.int64)
+    for (source, x), at in zip(asks, np.split(every, np.cumsum([len(own) for own in lists])[:-1]), strict=False):
         guests[:, at] += x["served"]
         at = at[x["wanted"]]
         yield source, {"diners": known["diners"][:, at], "standing": known["standing"][:, at]}
@@ -523,17 +580,16 @@ def root_chance(diners, standing, customers: float, tables: float, vocabulary: i
 class Chunk:
     """Texts as numbers of their distinct words (sorted), one text after another."""
 
-    words: list[bytes]
+    words: list[bytes] | pa.Array
     stream: np.ndarray
     lengths: np.ndarray
     held: np.ndarray
 
-    def pairs(self, contexts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, number: np.ndarray, common: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct (word, context) keys, sorted, and each token's place among them. A context is a common word's number, or
         past these the number in the chunk of another word."""
-        n, common = len(self.words), len(contexts) + 1
-        of_word = np.fromiter(map(contexts.get, self.words, repeat(-1)), np.int64, n)
-        of_word = np.where(of_word < 0, common + np.arange(n), of_word)
+        n = len(self.words)
+        of_word = np.where(number < 0, common + np.arange(n), number)
         before = np.concatenate(([START], of_word[self.stream[:-1]])) if len(self.stream) else np.zeros(0, np.int64)
         begins = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if len(self.lengths) else np.zeros(0, np.int64)
         before[begins] = START
@@ -541,11 +597,11 @@ class Chunk:
 
     def parts(self, parts: int) -> np.ndarray:
         """The part of the vocabulary that each word belongs to."""
-        return part_of(self.words, parts)
+        return part_of(binary(self.words), parts)
 
 
-def part_of(words: list[bytes], parts: int) -> np.ndarray:
-    return (np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64) % np.uint64(parts)).astype(np.int64)
+def part_of(words: pa.Array, parts: int) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False), repeat(7)), np.uint64, len(words)) % np.uint64(parts)).astype(np.int64)
 
 
 def ordered(values: np.ndarray) -> np.ndarray:
@@ -578,11 +634,12 @@ class Dealt:
     """A chunk's words and pairs by the part that they go to: pairs in common contexts to the word's, others to the context's."""
 
     def __init__(self, chunk: Chunk, contexts: dict[bytes, int], parts: int):
-        self.common, n = len(contexts) + 1, len(chunk.words)
-        self.keys, self.place = chunk.pairs(contexts)
+        words = binary(chunk.words)
+        self.common, n = len(contexts) + 1, len(words)
+        self.number = number_of(words, contexts)
+        self.keys, self.place = chunk.pairs(self.number, self.common)
         self.word, self.context = self.keys // (self.common + n), self.keys % (self.common + n)
-        self.number = np.fromiter(map(contexts.get, chunk.words, repeat(-1)), np.int64, n)
-        if n and chunk.words[0] == END:
+        if n and words[0].as_py() == END:
             self.number[0] = START
         self.part = chunk.parts(parts)
         far = self.context >= self.common
@@ -608,17 +665,18 @@ def requests(chunk: Chunk, contexts: dict[bytes, int], parts: int) -> Iterator[t
     seen = np.bincount(dealt.place[train], minlength=len(dealt.keys))
     far = context >= common
     alone = np.bincount(word[far], seen[far], n).astype(np.int64)
-    names = np.array([*chunk.words, None], object)[:-1]  # no array of fixed width
+    names = binary(chunk.words)
+    words = joined(names.take(pa.array(dealt.by_word)), dealt.word_cuts)
     rank = np.empty(n, np.int64)
     rank[dealt.by_word] = np.arange(n) - np.repeat(dealt.word_cuts[:-1], np.diff(dealt.word_cuts))
     for p in np.unique(dealt.part).tolist():
         own, (near, known, rare) = dealt.words_of(p), dealt.pairs_of(p)
-        others, at = np.unique(word[rare], return_inverse=True)
+        others, at = distinct(word[rare])
         dishes, hosted = np.concatenate((dealt.number[word[known]], common + at)), np.concatenate((known, rare))
         yield p, pack(
-            words=b"\n".join(names[own].tolist()), count=narrow(count[own]), alone=narrow(alone[own]),
+            words=words[p], count=narrow(count[own]), alone=narrow(alone[own]),
             steps=narrow(np.diff(rank[word[near]], prepend=0)), context=narrow(context[near]), pairs=narrow(seen[near]),
-            others=b"\n".join(names[others].tolist()), dishes=narrow(np.diff(dishes, prepend=0)), hosts=narrow(rank[context[hosted] - common]), hosted=narrow(seen[hosted]),
+            others=joined(names.take(pa.array(others)), np.array([0, len(others)]))[0], dishes=narrow(np.diff(dishes, prepend=0)), hosts=narrow(rank[context[hosted] - common]), hosted=narrow(seen[hosted]),
         )
 
 
@@ -655,20 +713,32 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word (binary; the end is empty), n: over the rows' texts, counted in the tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        words, numbers, waiting, texts, size = binary([]), np.zeros(0, np.int64), [], 0, 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
+        def add() -> None:
+            nonlocal words, numbers, waiting, size
+            found = pa.concat_arrays([words, *waiting]).dictionary_encode()
+            at = found.indices.to_numpy()
+            numbers = np.bincount(at[len(words) :], minlength=len(found.dictionary)) + np.bincount(at[: len(words)], numbers, len(found.dictionary)).astype(np.int64)
+            words, waiting, size = found.dictionary, [], 0
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > HELD:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(numbers, pa.int64())], ["word", "n"])
+
+        for batch in sliced(batches):
+            own, lengths = split(batch.column(0))
+            waiting.append(own)
+            texts, size = texts + len(lengths), size + len(own)
+            if size >= COUNTED:
+                add()
+                if len(words) > HELD:
                     yield out()
-                    seen.clear()
+                    words, numbers = binary([]), numbers[:0]
+        add()
         yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "n"])
 
-    return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(count, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def chunked(rows: DataFrame, contexts: dict[bytes, int], parts: int) -> DataFrame:
@@ -681,32 +751,37 @@ def chunked(rows: DataFrame, contexts: dict[bytes, int], parts: int) -> DataFram
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        keys, texts, held, size = [], [], [], 0
+        keys, words, lengths, held, size = [], [], [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            every = [*chain.from_iterable(texts)]
-            names = sorted(set(every))
-            known = dict(zip(names, range(len(names)), strict=True))
-            stream = np.fromiter(map(known.__getitem__, every), np.int32, len(every))
-            chunk = Chunk(names, stream, np.array([len(t) for t in texts]), np.array(held))
+            names, (found,) = numbered([pa.concat_arrays(words)])
+            names, sizes = pa.concat_arrays([binary([END]), names]), np.concatenate(lengths)
+            stream = np.zeros(len(found) + len(sizes), np.int32)  # the end, where no word is
+            stream[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found + 1
+            chunk = Chunk(names, stream, sizes + 1, np.concatenate(held))
             rest = [*requests(chunk, contexts, parts)]
-            own = pack(words=b"\n".join(names), stream=narrow(chunk.stream), lengths=narrow(chunk.lengths), held=chunk.held)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int64()), pa.array([number], pa.int64()), pa.array([keys], kind), pa.array([own], pa.binary())], schema.names)
+            own = pack(words=joined(names, np.array([0, len(names)]))[0], stream=narrow(chunk.stream), lengths=narrow(chunk.lengths), held=chunk.held)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int64()), pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(keys)).cast(kind), pa.array([own], pa.binary())], schema.names)
             for at in range(0, len(rest), 32):
                 some = rest[at : at + 32]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([None] * len(some), kind), pa.array([x for _, x in some], pa.binary())], schema.names)
 
-        for batch in batches:
-            for key, text, out_of_training in zip(*(batch.column(i) for i in range(3)), strict=True):
-                own = tokens(text.as_py())
-                texts.append(own)
-                keys.append(key.as_py())
-                held.append(bool(out_of_training.as_py()))
-                size += len(own) * 6
+        for batch in sliced(batches):
+            own, sizes = split(batch.column(1))
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                # The texts up to the one that fills the chunk.
+                room = np.cumsum(sizes[at:] + 1) * 6 + size
+                end = min(at + int(np.searchsorted(room, CHUNK_BYTES)) + 1, len(sizes))
+                words.append(own.slice(ends[at] - sizes[at], ends[end - 1] - ends[at] + sizes[at]))
+                lengths.append(sizes[at:end])
+                keys.append(batch.column(0).slice(at, end - at))
+                held.append(batch.column(2).slice(at, end - at).to_numpy(zero_copy_only=False).astype(bool))
+                size, at = int(room[end - at - 1]), end
                 if size >= CHUNK_BYTES:
                     yield from out()
                     number += 1
-                    keys, texts, held, size = [], [], [], 0
+                    keys, words, lengths, held, size = [], [], [], [], 0
         if keys:
             yield from out()
 
@@ -763,7 +838,7 @@ def score(docs: DataFrame, plan: Plan = Plan(), key: str = "doc_id", text: str =
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         x = unpack(own.column("packed")[0].as_py())
-        chunk = Chunk(x["words"].split(b"\n"), x["stream"].astype(np.int32), x["lengths"].astype(np.int64), x["held"])
+        chunk = Chunk(lines(x["words"]), x["stream"].astype(np.int32), x["lengths"].astype(np.int64), x["held"])
         got = {p: unpack(a) for p, a in zip(answers.column("part").to_pylist(), answers.column("packed").to_pylist(), strict=True)}
         lengths, known, base, found = log_scores(chunk, contexts, parts, got, n, v, shared, seen, plan, discounts)
         keys = own.column("keys").combine_chunks().flatten()
