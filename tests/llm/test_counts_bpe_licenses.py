@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -62,6 +63,39 @@ def test_bpe_equals_the_library_and_round_trips(coder, monkeypatch):
         assert coder.decode(ids) == t.encode()
 
 
+def test_words_that_come_back_are_kept_in_little_memory(monkeypatch):
+    """120,000 words twice: each is folded once, and what is known of it takes less than 0.3 KB."""
+    folded, runs = [], bpe.Folder.runs
+    monkeypatch.setattr(bpe.Folder, "runs", lambda self, words: folded.append(len(words)) or runs(self, words))
+    with open(RANKS, "rb") as f:
+        own = bpe.Coder(f.read(), public_tokenizers.PATTERN)
+    names = ["".join(chr(106 + int(c, 16)) for c in f"{i * 40_503 % (1 << 24):06x}") for i in range(120_000)]
+    texts = [" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)]
+    tracemalloc.start()
+    found = [[*own.digests(texts)] for _ in range(2)]
+    size = tracemalloc.get_traced_memory()[0] / (len(own.lines) + len(own.old[0]))
+    tracemalloc.stop()
+    assert found[0] == found[1] and sum(folded) <= len(names)
+    for i in (0, 70, 119):
+        ids = library(own).encode_ordinary(texts[i])
+        assert found[0][i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+    assert size < 300
+
+
+def test_a_group_of_texts_is_encoded_like_its_texts(coder, monkeypatch):
+    """Known, old, whole, short and long words stand side by side; few words are remembered."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 300)
+    monkeypatch.setattr(bpe, "PART_WORDS", 400)
+    monkeypatch.setattr(bpe, "MANY", 4)
+    r = random.Random(5)
+    texts = [*(random_text(r) for _ in range(600)), "", " ", "a", "the of and", "xyzzy" * 300, "qzx " * 500, "", "y" * 70 + " qqzzxx ppkkvv wwjjhh ddtt zzq"]
+    r.shuffle(texts)
+    encoder = library(coder)
+    want = [(len(ids := encoder.encode_ordinary(t)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for t in texts]
+    assert [*coder.digests(texts)] == want
+
+
 def test_bpe_tables(spark, coder):
     rows = odd_rows()
     docs = frame(spark, rows)

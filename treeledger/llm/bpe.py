@@ -5,10 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from .common import pick, sliced
 #: The rank map is a literal array of small maps, found by hash: one map's keys would be searched one after another.
 BUCKETS = 1 << 14
 #: Words of a generation. A Python worker remembers two: when the young one is full, the old one's words that were not met
-#: again are forgotten, and folded anew if they come back. A word takes about 0.4 KB; workers keep theirs for later tasks.
-REMEMBERED = 1 << 16
+#: again are forgotten, and folded anew if they come back. A word takes about 0.2 KB; workers keep theirs for later tasks.
+REMEMBERED = 3 << 15
 #: Characters of texts whose words are learnt together, and new words from which on they are folded together. All words of a
 #: group are held as strings at once; those remembered lie between them, so that a worker keeps about what its largest group took.
 GROUP_CHARS, MANY = 1 << 18, 64
@@ -125,6 +125,11 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], word: str = "word")
     return words.select(word).distinct().select(word, ids.alias("ids"))
 
 
+def stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `starts`, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Folder:
     """Folds many words at once: in each round every word merges its pair of lowest rank, the leftmost of equal ranks.
 
@@ -150,9 +155,11 @@ class Folder:
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
         """The ids of non-empty words."""
-        out: list[list[int]] = [[]] * len(words)
-        if not len(self.keys):
-            return [self.single[list(w)].tolist() for w in words]
+        ids, sizes = self.runs(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if words else []
+
+    def runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of non-empty words, one word after another, and how many each has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
         number = np.arange(len(words))  # of the words that still merge
@@ -160,15 +167,17 @@ class Folder:
         rank = np.full(len(ids), NONE)  # of the pair that begins here
         inner = np.flatnonzero(of[1:] == of[:-1])
         rank[inner] = self.rank(ids[inner], ids[inner + 1])
+        if not len(self.keys):
+            return ids, lengths
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # numbers, sizes and ids of the words done in a round
         while len(ids):
             starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(ids)))
             done = best == NONE
             if done.any():
-                for n, a, size in zip(number[done].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
-                    out[n] = ids[a : a + size].tolist()
                 stays = np.repeat(~done, sizes)
+                found.append((number[done], sizes[done], ids[~stays]))
                 ids, rank, number = ids[stays], rank[stays], number[~done]
                 best, sizes = best[~done], sizes[~done]
                 of = np.repeat(np.arange(len(number)), sizes)
@@ -185,7 +194,33 @@ class Folder:
                 right = np.minimum(left + 1, len(ids) - 1)
                 paired = (right > left) & (of[left] == of[right])
                 rank[left] = np.where(paired, self.rank(ids[left], ids[right]), NONE)
-        return out
+        if not found:
+            return ids, lengths
+        number, sizes, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(number)
+        return ids[stretches((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+
+class Lines(dict):
+    """Words by the number of their line of ids: a word that is new gets the next number and waits for its ids."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one word after another, and how many each has."""
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        return self.ids[stretches(self.ends[numbers], sizes)], sizes
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.ids, self.new = np.concatenate((self.ids, ids.astype(np.int32))), []
 
 
 class Coder:
@@ -194,13 +229,12 @@ class Coder:
     def __init__(self, vocabulary: bytes, pattern: str):
         self.ranks = parse_ranks(vocabulary)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.shown = {rank: str(rank) for rank in self.tokens}
+        #: Each id in decimal and a comma.
+        self.shown = np.array([f"{rank}," for rank in range(max(self.tokens) + 1)], "S")
         self.words = regex.compile(pattern)
         self.folder = Folder(self.ranks)
-        #: Of the words: their ids in decimal, comma-joined, and the bytes that these decode to.
-        self.lines: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.lines = Lines()
+        self.old: tuple[Lines] = (Lines(),)
 
     def fold(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank is merged until no pair has a rank, the leftmost of equal ranks first."""
@@ -245,25 +279,41 @@ class Coder:
             i = end[i]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Afterwards all these words are known; what the old generation knows of them is taken over."""
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one word after another, and how many each has. What the old generation knows of them is taken over."""
         if len(self.lines) > REMEMBERED:
-            self.old, self.lines, self.bytes = (self.lines, self.bytes), {}, {}
-        lines, data = self.old
-        new = []
-        for w in words.difference(self.lines):
-            if (line := lines.get(w)) is not None:
-                self.lines[w], self.bytes[w] = line, data[w]
-            else:
-                new.append(w)
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        short = [i for i, w in enumerate(raw) if len(w) <= LONG_WORD and w not in self.ranks]
-        # Few words are folded one by one: rounds over arrays pay off for many.
-        found = dict(zip(short, self.folder([raw[i] for i in short]), strict=True)) if len(short) >= MANY else {}
-        for i, (word, own) in enumerate(zip(new, raw, strict=True)):
-            ids = found[i] if i in found else self.fold(own)
-            self.lines[word] = ",".join([self.shown[x] for x in ids])
-            self.bytes[word] = self.decode(ids)
+            self.old, self.lines = (self.lines,), Lines()
+        numbers = np.fromiter(map(self.lines.__getitem__, words), np.int64, len(words))
+        if self.lines.new:
+            self.lines.add(*self._learnt(self.lines.new))
+        return self.lines.of(numbers)
+
+    def _learnt(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = np.fromiter((self.old[0].get(w, -1) for w in new), np.int64, len(new))
+        fresh = np.flatnonzero(known < 0)
+        raw = [new[i].encode("utf-8", "surrogatepass") for i in fresh.tolist()]
+        whole = np.fromiter((self.ranks.get(w, -1) for w in raw), np.int64, len(raw))
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = (whole < 0) & (lengths <= LONG_WORD)
+        if short.sum() < MANY:  # few words are folded one by one: rounds over arrays pay off for many
+            short[:] = False
+        alone = np.flatnonzero((whole < 0) & ~short)
+        single = [self.fold(raw[i]) for i in alone.tolist()]
+        old, one = np.flatnonzero(known >= 0), np.flatnonzero(whole >= 0)
+        some = [
+            (old, *self.old[0].of(known[old])),
+            (fresh[one], whole[one], np.ones(len(one), np.int64)),
+            (fresh[short], *self.folder.runs([raw[i] for i in np.flatnonzero(short).tolist()])),
+            (fresh[alone], np.array([x for ids in single for x in ids], np.int64), np.array([len(ids) for ids in single], np.int64)),
+        ]
+        sizes = np.empty(len(new), np.int64)
+        for at, _, own in some:
+            sizes[at] = own
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(sizes.sum(), np.int64)
+        for at, ids, own in some:
+            out[stretches(starts[at], own)] = ids
+        return out, sizes
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The text's words, in lists of up to PART_WORDS where it is long."""
@@ -275,11 +325,7 @@ class Coder:
         return (words for words in parts if words)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for words in self.parts(text):
-            self.learn(set(words))
-            out += [int(i) for w in words for i in self.lines[w].split(",")]
-        return out
+        return [i for words in self.parts(text) for i in self.ids(words)[0].tolist()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -292,19 +338,24 @@ class Coder:
             while at < len(texts) and (not group or chars + len(texts[at]) <= GROUP_CHARS):
                 group.append(texts[at])
                 chars, at = chars + len(texts[at]), at + 1
-            # A long text comes alone and part by part; the others' words are learnt together.
-            found = [self.parts(t) if len(t) > PART_WORDS else list(self.parts(t)) for t in group]
-            self.learn({w for parts in found if isinstance(parts, list) for words in parts for w in words})
-            for parts in found:
-                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                for words in parts:
-                    if not isinstance(parts, list):
-                        self.learn(set(words))
-                    line = ",".join(map(self.lines.__getitem__, words))
-                    ids.update(("," if n else "").encode() + line.encode())
-                    n += line.count(",") + 1
-                    decoded.update(b"".join(map(self.bytes.__getitem__, words)))
-                yield n, ids.hexdigest(), decoded.hexdigest()
+            if len(group[0]) > PART_WORDS:  # it comes alone, and part by part
+                yield self._digest(self.ids(words)[0] for words in self.parts(group[0]))
+                continue
+            found = [self.words.findall(t) for t in group]
+            ids, sizes = self.ids([*chain.from_iterable(found)])
+            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, found)])].tolist()
+            for a, b in pairwise(ends):
+                yield self._digest([ids[a:b]] if b > a else [])
+
+    def _digest(self, parts: Iterable[np.ndarray]) -> tuple[int, str, str]:
+        n, digest, decoded, last = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for ids in parts:
+            line = self.shown[ids].view(np.uint8)
+            line = line[line != 0].tobytes()
+            digest.update(last + line[:-1])
+            decoded.update(self.decode(ids.tolist()))
+            n, last = n + len(ids), b","
+        return n, digest.hexdigest(), decoded.hexdigest()
 
 
 @lru_cache(maxsize=2)
